@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
-from . import language, packing, tokens
+from ..session import stage, table
+from . import ann, language, packing, quality, tokens, toxicity
 
 
 def split_of(id_col: str, folds: int):
@@ -16,6 +16,14 @@ def split_of(id_col: str, folds: int):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(folds))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").filter(split_of("doc_id", 5) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    labelled = stage(docs.filter(split_of("doc_id", 5) != 0).select("doc_id", "text").join(labels, "doc_id"), "toxicity-labelled")
+    scored = toxicity.score(docs, toxicity.learn(labelled))
+    return scored.select("doc_id", (split_of("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -30,4 +38,20 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_best_fit_packing, op6_bpe_encode_decode, op8_language_id)}
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = stage(quality.measure(table(spark, sf_dir, "documents")), "quality-measured")
+    cutoffs = quality.choose_cutoffs(measured, table(spark, sf_dir, "labels"))
+    judged = quality.judge(measured, cutoffs)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op10_cross_polytope_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = ann.valid(table(spark, sf_dir, "embeddings"))
+    queries = base.filter(F.col("id") % 20 == 0)
+    index = ann.fit(base, queries)
+    if index is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return ann.search(base, queries, index)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op4_best_fit_packing, op6_bpe_encode_decode, op8_language_id, op9_quality_rules, op10_cross_polytope_ann)}
