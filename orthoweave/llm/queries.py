@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stage, table
-from . import ann, language, packing, quality, tokens, toxicity
+from . import ann, language, packing, quality, substrings, tokens, toxicity
 
 
 def split_of(id_col: str, folds: int):
@@ -24,6 +24,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (split_of("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return parsed.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -54,4 +59,4 @@ def op10_cross_polytope_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(base, queries, index)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op4_best_fit_packing, op6_bpe_encode_decode, op8_language_id, op9_quality_rules, op10_cross_polytope_ann)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op3_substring_dedup, op4_best_fit_packing, op6_bpe_encode_decode, op8_language_id, op9_quality_rules, op10_cross_polytope_ann)}
