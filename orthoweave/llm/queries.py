@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stage, table
-from . import ann, language, packing, quality, substrings, tokens, toxicity
+from . import ann, jaccard, language, packing, quality, substrings, tokens, toxicity
 
 
 def split_of(id_col: str, folds: int):
@@ -33,6 +33,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_similar(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digests(tokens.encode_decode(table(spark, sf_dir, "documents")))
 
@@ -59,4 +63,4 @@ def op10_cross_polytope_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(base, queries, index)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op3_substring_dedup, op4_best_fit_packing, op6_bpe_encode_decode, op8_language_id, op9_quality_rules, op10_cross_polytope_ann)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op3_substring_dedup, op4_best_fit_packing, op5_ngram_jaccard_join, op6_bpe_encode_decode, op8_language_id, op9_quality_rules, op10_cross_polytope_ann)}
