@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stage, table
-from . import ann, jaccard, language, packing, quality, substrings, tokens, toxicity
+from . import ann, jaccard, language, packing, quality, substrings, tokens, toxicity, warc
 
 
 def split_of(id_col: str, folds: int):
@@ -16,6 +16,15 @@ def split_of(id_col: str, folds: int):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(folds))
 
 
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc.derivatives(warc.responses_from_pages(table(spark, sf_dir, "pages")), keep=("page_id",))
+    source = F.col("headers")
+    return made.select(
+        "page_id", "record_id", "type", "target_uri", "refers_to", "content_type", source["WARC-Refers-To-Payload-Digest"].alias("source_payload_digest"),
+        source["WARC-Refers-To-Block-Digest"].alias("source_block_digest"), "block", "block_digest",
+    )
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").filter(split_of("doc_id", 5) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -63,4 +72,4 @@ def op10_cross_polytope_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(base, queries, index)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op3_substring_dedup, op4_best_fit_packing, op5_ngram_jaccard_join, op6_bpe_encode_decode, op8_language_id, op9_quality_rules, op10_cross_polytope_ann)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_derivatives, op2_toxicity, op3_substring_dedup, op4_best_fit_packing, op5_ngram_jaccard_join, op6_bpe_encode_decode, op8_language_id, op9_quality_rules, op10_cross_polytope_ann)}
