@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stage, table
-from . import ann, jaccard, language, packing, quality, substrings, tokens, toxicity, warc
+from . import ann, jaccard, language, packing, quality, secrets, substrings, tokens, toxicity, warc
 
 
 def split_of(id_col: str, folds: int):
@@ -50,6 +50,11 @@ def op6_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digests(tokens.encode_decode(table(spark, sf_dir, "documents")))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "position", F.length("value").alias("length"), F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"), F.round("probability", 6).alias("probability"), "is_secret")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit(docs.filter(split_of("doc_id", 4) != 2))
@@ -72,4 +77,4 @@ def op10_cross_polytope_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(base, queries, index)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_derivatives, op2_toxicity, op3_substring_dedup, op4_best_fit_packing, op5_ngram_jaccard_join, op6_bpe_encode_decode, op8_language_id, op9_quality_rules, op10_cross_polytope_ann)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_derivatives, op2_toxicity, op3_substring_dedup, op4_best_fit_packing, op5_ngram_jaccard_join, op6_bpe_encode_decode, op7_secret_scan, op8_language_id, op9_quality_rules, op10_cross_polytope_ann)}

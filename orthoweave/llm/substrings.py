@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import stage
 from .vectors import Texts, mix, span_hashes
@@ -200,7 +201,8 @@ def _looked_up(rows: DataFrame, with_needs: bool) -> DataFrame:
     return dealt.mapInArrow(_look_up(with_needs), _FACT)
 
 
-_RESULT = "doc long, n_words long, n_removed long, kept string, spans array<struct<start:int,length:int,src_doc:long,src_start:int>>"
+_SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType()), T.StructField("src_doc", T.LongType()), T.StructField("src_start", T.IntegerType())])
+_RESULT = T.StructType([T.StructField("doc", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()), T.StructField("spans", T.ArrayType(_SPAN))])
 
 
 def join_factors(start: np.ndarray, n: np.ndarray, src_doc: np.ndarray, src_start: np.ndarray, width: int):
@@ -238,12 +240,12 @@ def _remove(width: int):
                 kept.append(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]).decode("utf-8", "replace"))
                 spans.append([dict(start=a, length=b, src_doc=None if c == _NONE else c, src_start=d) for a, b, c, d in zip(start.tolist(), length.tolist(), src_doc.tolist(), src_start.tolist(), strict=True)])
             fields = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("src_doc", pa.int64()), ("src_start", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([docs, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, fields)], names=["doc", "n_words", "n_removed", "kept", "spans"])
+            yield pa.RecordBatch.from_arrays([docs, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, fields), *batch.columns[3:]], names=["doc", "n_words", "n_removed", "kept", "spans", *batch.schema.names[3:]])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, width: int = 20, gram: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 20, gram: int = 8, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """id, n_words, n_removed, kept, spans: every document without the words of repeated windows.
 
     Words are runs of characters other than ASCII white space. A window of `width` words is repeated if
@@ -254,15 +256,19 @@ def remove_repeats(docs: DataFrame, width: int = 20, gram: int = 8, id_col: str
     Null texts have no words. Rows with one id count as one document each in the same place: a row
     does not make its own repetition repeated. Null ids come after all others and count as one id.
     Windows are compared by 95-bit hashes. Texts shorter than a window are kept as they are.
+    carry: columns of docs that come along unchanged, in a struct column `row`.
     """
+    doc, text = F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("doc"), F.col(text_col).cast("string").alias("text")
+    row = [F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row")] if carry else []
     # both joins below read this one exchange of the texts
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    dealt = texts.repartition("doc")
-    facts = stage(_looked_up(texts.mapInArrow(_index_rows(width, gram), _FACT), True), "substring-factors")
+    dealt = docs.select(doc, text, *row).repartition("doc")
+    rest = ["row"] if carry else []
+    facts = stage(_looked_up(docs.select(doc, text).mapInArrow(_index_rows(width, gram), _FACT), True), "substring-factors")
     needs = facts.filter(F.col("kind") == NEEDED).groupBy("doc").agg(F.collect_set(F.struct("start", "n")).alias("wanted"))
-    windows = dealt.join(needs, "doc").select("doc", "text", "wanted").mapInArrow(_window_rows(width), _FACT)
+    windows = dealt.join(needs, "doc").select("doc", "text", "wanted", *rest).mapInArrow(_window_rows(width), _FACT)
     factors = facts.filter(F.col("kind") == SETTLED).unionByName(_looked_up(windows, False))
     by_doc = factors.groupBy("doc").agg(F.collect_list(F.struct("start", "n", "src_doc", "src_start")).alias("facts"))
-    joined = dealt.join(by_doc, "doc", "left").select("doc", "text", "facts")
-    done = joined.mapInArrow(_remove(width), _RESULT)
-    return done.select(F.when(F.col("doc") != _NONE, F.col("doc")).alias(id_col), "n_words", "n_removed", "kept", "spans")
+    joined = dealt.join(by_doc, "doc", "left").select("doc", "text", "facts", *rest)
+    schema = T.StructType([*_RESULT.fields, *(f for f in joined.schema.fields if f.name == "row")])
+    done = joined.mapInArrow(_remove(width), schema)
+    return done.select(F.when(F.col("doc") != _NONE, F.col("doc")).alias(id_col), "n_words", "n_removed", "kept", "spans", *rest)
