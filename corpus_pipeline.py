@@ -1,2 +1,79 @@
-"""The corpus pipeline."""
-STAGES = []
+"""The corpus pipeline: quality rules, near duplicates, repeated passages, secrets, packing.
+
+Every stage takes (spark, docs, sf_dir), works on all rows of docs and returns a DataFrame; all but the
+last return the columns of docs. run() writes each stage as Parquet and reads it for the next.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from orthoweave.llm import jaccard, packing, quality, secrets, substrings
+from orthoweave.session import stage, table
+
+ORACLE_SQL = None
+
+
+def _named(row: str, columns: list[str], changed: dict | None = None):
+    """Columns out of a struct, some of them replaced."""
+    changed = changed or {}
+    return [(changed[c] if c in changed else F.col(row)[c]).alias(c) for c in columns]
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the certified cutoffs of their language."""
+    labels = table(spark, sf_dir, "labels")
+    named = labels.filter("quality is not null and doc_id is not null").select("doc_id").distinct()
+    # cutoffs need the labelled documents alone; the counts of the others are made where they are judged
+    cutoffs = stage(quality.choose_cutoffs(quality.measure(docs.join(named, "doc_id", "left_semi")), labels), "pipeline-cutoffs")
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "lang", "text")
+    judged = quality.judge(quality.measure(packed, keep=("row", "lang")), cutoffs)
+    return judged.filter("kept").select(*_named("row", docs.columns))
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each class of near duplicates; rows without an id stay."""
+    classes = jaccard.join_similar(docs)
+    least = classes.filter(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("kept_id")).distinct()
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("own_id"))
+    chosen = packed.join(least, F.col("own_id") == F.col("kept_id"), "left_semi").groupBy("own_id").agg(F.first("row").alias("row"))
+    return chosen.select("row").unionByName(packed.filter("own_id is null").select("row")).select(*_named("row", docs.columns))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that occur earlier; texts without such a passage stay as they are."""
+    parsed = substrings.remove_repeats(docs, carry=tuple(docs.columns))
+    text = F.when(F.col("n_removed") == 0, F.col("row.text")).otherwise(F.col("kept"))
+    changed = {"text": text} | ({"n_chars": F.coalesce(F.length(text), F.lit(0)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return parsed.select(*_named("row", docs.columns, changed))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with the secrets found in them masked."""
+    masked = secrets.redact(docs, secrets.scan(docs))
+    if "n_chars" not in docs.columns:
+        return masked
+    return masked.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces in sequences of 2048 tokens."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality_rules", keep_quality),
+    ("ngram_jaccard_join", keep_one_of_each),
+    ("substring_dedup", cut_repeats),
+    ("secret_scans", mask_secrets),
+    ("best_fit_packing", pack),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir."""
+    docs = table(spark, sf_dir, "documents")
+    for name, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
