@@ -1,4 +1,4 @@
 """All queries of the library outside llm."""
 
-from . import scalar_queries  # noqa: F401
+from . import match_queries, scalar_queries  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401
