@@ -27,7 +27,7 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 def _decoded(spark: SparkSession, path: str, decode, schema: str) -> DataFrame:
     def run(frames):
         for f in frames:
-            parts = [decode(p, bytes(c)) for p, c in zip(f["path"], f["content"], strict=True)]
+            parts = [d for p, c in zip(f["path"], f["content"], strict=True) if len(d := decode(p, bytes(c)))]
             if parts:
                 yield pd.concat(parts, ignore_index=True)
 
