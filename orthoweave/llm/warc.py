@@ -118,15 +118,15 @@ def serialize(records: DataFrame) -> DataFrame:
 
 
 def write_warc(records: DataFrame, path: str) -> None:
-    """Write records as WARC files, one a partition, compressed by gzip."""
-    serialize(records).select("warc").write.option("lineSep", "").option("compression", "gzip").text(path)
+    """Write records as WARC files, one a partition, compressed by gzip; the two line ends after a block separate the rows."""
+    rows = serialize(records).select(F.expr("substring(warc, 1, length(warc) - 4)").alias("warc"))
+    rows.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
 def read_warc(spark, path: str) -> DataFrame:
-    """Records of WARC text files (plain or gzip), one row each, split at the version line.
+    """Records of WARC/1.1 text files (plain or gzip), one row each, split at the version line.
 
-    A record starts where a line is WARC/1.x followed by a named field; the block is cut by Content-Length,
-    so such a line inside a block is read as a record only if it is a whole header itself.
+    Blocks are cut by Content-Length. A block that holds the version line itself is cut short there.
     """
     raw = spark.read.option("lineSep", "WARC/1.1\r\n").text(path).filter(F.length("value") > 0)
     at = F.locate("\r\n\r\n", F.col("value"))
