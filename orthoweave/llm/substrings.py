@@ -26,17 +26,17 @@ from ..session import stage
 from .vectors import Texts, mix, span_hashes
 
 _NONE = 2**63 - 1
-_FACT = "kind int, route long, e long, e2 int, doc long, start int, n int, src_doc long, src_start int"
+_FACT = "kind int, route long, e long, e2 int, doc long, start int, n int, src_doc long, src_start int, fp int"
 _NAMES = [f.split()[0] for f in _FACT.split(", ")]
 SETTLED, INDEXED, NEEDED = 0, 1, 2
 
 
 def _batch(**columns) -> pa.RecordBatch:
-    kinds = {"kind": pa.int32(), "e2": pa.int32(), "start": pa.int32(), "n": pa.int32(), "src_start": pa.int32()}
+    kinds = {"kind": pa.int32(), "e2": pa.int32(), "start": pa.int32(), "n": pa.int32(), "src_start": pa.int32(), "fp": pa.int32()}
     return pa.RecordBatch.from_arrays([pa.array(columns[k], type=kinds.get(k, pa.int64())) for k in _NAMES], names=_NAMES)
 
 
-def _first_in_batch(route, e, e2, doc, start, n):
+def _first_in_batch(route, e, e2, doc, start, n, fp):
     """Rows of a batch in (doc, start) order: the first of equal rows is INDEXED, the others are SETTLED as its copies."""
     order = np.argsort(e, kind="stable")
     same = np.zeros(len(order), dtype=bool)
@@ -48,31 +48,32 @@ def _first_in_batch(route, e, e2, doc, start, n):
     if len(rows):
         spread = mix(doc[rows].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + start[rows].astype(np.uint64)).view(np.int64)
         zero = np.zeros(len(rows), dtype=np.int64)
-        yield _batch(kind=np.full(len(rows), SETTLED), route=spread, e=zero, e2=zero, doc=doc[rows], start=start[rows], n=n[rows], src_doc=doc[source], src_start=start[source])
+        yield _batch(kind=np.full(len(rows), SETTLED), route=spread, e=zero, e2=zero, doc=doc[rows], start=start[rows], n=n[rows], src_doc=doc[source], src_start=start[source], fp=fp[rows])
     rows = np.sort(order[~same])
     if len(rows):
         zero = np.zeros(len(rows), dtype=np.int64)
-        yield _batch(kind=np.full(len(rows), INDEXED), route=route[rows], e=e[rows], e2=e2[rows], doc=doc[rows], start=start[rows], n=n[rows], src_doc=zero, src_start=zero)
+        yield _batch(kind=np.full(len(rows), INDEXED), route=route[rows], e=e[rows], e2=e2[rows], doc=doc[rows], start=start[rows], n=n[rows], src_doc=zero, src_start=zero, fp=fp[rows])
 
 
 def _sorted_texts(batches, limit: int = 2 << 20):
-    """(ids, texts, extra) of about `limit` characters, in the order of ids; null ids come last."""
+    """(ids, texts, fingerprints, extra) of about `limit` characters, in the order of ids; null ids come last."""
     for batch in batches:
         ids = np.array([_NONE if i is None else i for i in batch.column(0).to_pylist()], dtype=np.int64)
         texts = batch.column(1).to_pylist()
-        extra = batch.column(2).to_pylist() if batch.num_columns > 2 else None
+        prints = batch.column(2).to_numpy(zero_copy_only=False)
+        extra = batch.column(3).to_pylist() if batch.num_columns > 3 else None
         order = np.argsort(ids, kind="stable")
         a, total = 0, 0
         for b, i in enumerate(order.tolist()):
             size = len(texts[i] or "") + 1
             if total and total + size > limit:
                 part = order[a:b]
-                yield ids[part], [texts[k] for k in part], extra and [extra[k] for k in part]
+                yield ids[part], [texts[k] for k in part], prints[part], extra and [extra[k] for k in part]
                 a, total = b, 0
             total += size
         if a < len(order):
             part = order[a:]
-            yield ids[part], [texts[k] for k in part], extra and [extra[k] for k in part]
+            yield ids[part], [texts[k] for k in part], prints[part], extra and [extra[k] for k in part]
 
 
 def _segments(words: Texts, width: int, gram: int):
@@ -101,7 +102,7 @@ def _segments(words: Texts, width: int, gram: int):
 
 def _index_rows(width: int, gram: int):
     def run(batches):
-        for ids, texts, _ in _sorted_texts(batches):
+        for ids, texts, prints, _ in _sorted_texts(batches):
             words = Texts(texts, 2)
             found = _segments(words, width, gram)
             if found is None:
@@ -110,7 +111,7 @@ def _index_rows(width: int, gram: int):
             ends = at + n + width - 1
             e = span_hashes(words.hashes[0], at, ends).view(np.int64)
             e2 = (span_hashes(words.hashes[1], at, ends, 1) >> np.uint64(33)).astype(np.int64)
-            yield from _first_in_batch(anchors.view(np.int64), e, e2, ids[text], at - words.first[text], n)
+            yield from _first_in_batch(anchors.view(np.int64), e, e2, ids[text], at - words.first[text], n, prints[text])
 
     return run
 
@@ -119,7 +120,7 @@ def _window_rows(width: int):
     """Windows of the segments (start, n) that come with each text."""
 
     def run(batches):
-        for ids, texts, wanted in _sorted_texts(batches):
+        for ids, texts, prints, wanted in _sorted_texts(batches):
             words = Texts(texts, 2)
             n = np.array([w["n"] for part in wanted for w in part], dtype=np.int64)
             start = np.array([w["start"] for part in wanted for w in part], dtype=np.int64)
@@ -131,7 +132,7 @@ def _window_rows(width: int):
             at = place + words.first[text]
             e = span_hashes(words.hashes[0], at, at + width)
             e2 = (span_hashes(words.hashes[1], at, at + width, 1) >> np.uint64(33)).astype(np.int64)
-            yield from _first_in_batch(e.view(np.int64), e.view(np.int64), e2, ids[text], place, np.ones(len(at), dtype=np.int64))
+            yield from _first_in_batch(e.view(np.int64), e.view(np.int64), e2, ids[text], place, np.ones(len(at), dtype=np.int64), prints[text])
 
     return run
 
@@ -144,7 +145,7 @@ def _look_up(with_needs: bool):
 
     def run(batches):
         lead = None  # key and place of the current source
-        lone = None  # (route, doc, start, n, how many different segments this anchor has had)
+        lone = None  # (route, doc, start, n, fp, how many different segments this anchor has had)
         for batch in batches:
             cols = {k: batch.column(i).to_numpy(zero_copy_only=False) for i, k in enumerate(_NAMES)}
             settled = cols["kind"] == SETTLED
@@ -168,7 +169,7 @@ def _look_up(with_needs: bool):
             copy = ~new & ((src_doc != c["doc"]) | (src_start != c["start"]))
             if copy.any():
                 zero = np.zeros(int(copy.sum()), dtype=np.int64)
-                yield _batch(kind=zero + SETTLED, route=zero, e=zero, e2=zero, doc=c["doc"][copy], start=c["start"][copy], n=c["n"][copy], src_doc=src_doc[copy], src_start=src_start[copy])
+                yield _batch(kind=zero + SETTLED, route=zero, e=zero, e2=zero, doc=c["doc"][copy], start=c["start"][copy], n=c["n"][copy], src_doc=src_doc[copy], src_start=src_start[copy], fp=c["fp"][copy])
             if len(firsts):
                 i = firsts[-1]
                 lead = (c["route"][i], c["e"][i], c["e2"][i], c["doc"][i], c["start"][i])
@@ -182,16 +183,16 @@ def _look_up(with_needs: bool):
             total = length.copy()
             goes_on = lone is not None and lone[0] == routes[0]
             if goes_on:
-                total[0] += lone[4]
+                total[0] += lone[5]
             chosen = firsts[np.repeat(total > 1, length)]
-            doc, start, n = c["doc"][chosen], c["start"][chosen], c["n"][chosen]
-            if goes_on and lone[4] == 1:
-                doc, start, n = np.append(doc, lone[1]), np.append(start, lone[2]), np.append(n, lone[3])
+            doc, start, n, fp = (c[k][chosen] for k in ("doc", "start", "n", "fp"))
+            if goes_on and lone[5] == 1:
+                doc, start, n, fp = (np.append(x, y) for x, y in zip((doc, start, n, fp), lone[1:5], strict=True))
             if len(doc):
                 zero = np.zeros(len(doc), dtype=np.int64)
-                yield _batch(kind=zero + NEEDED, route=zero, e=zero, e2=zero, doc=doc, start=start, n=n, src_doc=zero, src_start=zero)
+                yield _batch(kind=zero + NEEDED, route=zero, e=zero, e2=zero, doc=doc, start=start, n=n, src_doc=zero, src_start=zero, fp=fp)
             i = firsts[runs[-1]]
-            lone = (routes[-1], c["doc"][i], c["start"][i], c["n"][i], int(total[-1]))
+            lone = (routes[-1], c["doc"][i], c["start"][i], c["n"][i], c["fp"][i], int(total[-1]))
 
     return run
 
@@ -260,15 +261,17 @@ def remove_repeats(docs: DataFrame, width: int = 20, gram: int = 8, id_col: str
     """
     doc, text = F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("doc"), F.col(text_col).cast("string").alias("text")
     row = [F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row")] if carry else []
+    # rows with one id and different texts are told apart by a hash of the text
+    texts = docs.select(doc, text, *row).withColumn("fp", F.hash("text"))
     # both joins below read this one exchange of the texts
-    dealt = docs.select(doc, text, *row).repartition("doc")
+    dealt = texts.repartition("doc", "fp")
     rest = ["row"] if carry else []
-    facts = stage(_looked_up(docs.select(doc, text).mapInArrow(_index_rows(width, gram), _FACT), True), "substring-factors")
-    needs = facts.filter(F.col("kind") == NEEDED).groupBy("doc").agg(F.collect_set(F.struct("start", "n")).alias("wanted"))
-    windows = dealt.join(needs, "doc").select("doc", "text", "wanted", *rest).mapInArrow(_window_rows(width), _FACT)
+    facts = stage(_looked_up(texts.select("doc", "text", "fp").mapInArrow(_index_rows(width, gram), _FACT), True), "substring-factors")
+    needs = facts.filter(F.col("kind") == NEEDED).groupBy("doc", "fp").agg(F.collect_set(F.struct("start", "n")).alias("wanted"))
+    windows = dealt.join(needs, ["doc", "fp"]).select("doc", "text", "fp", "wanted", *rest).mapInArrow(_window_rows(width), _FACT)
     factors = facts.filter(F.col("kind") == SETTLED).unionByName(_looked_up(windows, False))
-    by_doc = factors.groupBy("doc").agg(F.collect_list(F.struct("start", "n", "src_doc", "src_start")).alias("facts"))
-    joined = dealt.join(by_doc, "doc", "left").select("doc", "text", "facts", *rest)
+    by_doc = factors.groupBy("doc", "fp").agg(F.collect_list(F.struct("start", "n", "src_doc", "src_start")).alias("facts"))
+    joined = dealt.join(by_doc, ["doc", "fp"], "left").select("doc", "text", "facts", *rest)
     schema = T.StructType([*_RESULT.fields, *(f for f in joined.schema.fields if f.name == "row")])
     done = joined.mapInArrow(_remove(width), schema)
     return done.select(F.when(F.col("doc") != _NONE, F.col("doc")).alias(id_col), "n_words", "n_removed", "kept", "spans", *rest)
