@@ -27,8 +27,9 @@ def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    labels = table(spark, sf_dir, "labels").filter(split_of("doc_id", 5) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    labelled = stage(docs.filter(split_of("doc_id", 5) != 0).select("doc_id", "text").join(labels, "doc_id"), "toxicity-labelled")
+    labels = toxicity.sample_labels(table(spark, sf_dir, "labels").filter(split_of("doc_id", 5) != 0))
+    # ids and labels of a sample of fixed size, sent to the texts
+    labelled = stage(docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id"), "toxicity-labelled")
     scored = toxicity.score(docs, toxicity.learn(labelled))
     return scored.select("doc_id", (split_of("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 

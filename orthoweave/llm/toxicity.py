@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.cameras import small
+from ..session import stage
 from .bpe import LETTER, character_classes
 
 # Letters of other scripts that look like Latin ones, and signs that stand for letters.
@@ -147,25 +149,44 @@ def _counted(rows: DataFrame, make) -> DataFrame:
 _word = re.compile(r"[^ ]+")
 
 
+def sample_labels(labels: DataFrame, rows: int = 60_000) -> DataFrame:
+    """doc_id and toxic of about `rows` labelled documents (all, if fewer), chosen by a hash of the id.
+
+    A document with several labels has the greatest; null ids and labels take no part.
+    """
+    one = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    total = one.count()
+    return one.filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, total))) < rows)
+
+
 def learn(labelled: DataFrame, least_ratio: float = 8.0, least_documents: int = 3, lexicon_words: int = 20_000, calibration_rows: int = 20_000) -> ToxicityModel:
     """Learn from columns doc_id, text, toxic (rows with a null label or text take no part).
 
     Word and phrase counts cover all labelled rows. lexicon_words bounds what is sent to the tasks (the
-    words with the most evidence stay); the two numbers of the logistic function are fitted on the
-    calibration_rows with the least hashed ids. Without toxic rows nothing is toxic.
+    words with the most evidence stay); the two numbers of the logistic function are fitted on about
+    calibration_rows rows, chosen by a hash of the id. Without toxic rows nothing is toxic.
     """
     rows = labelled.filter(F.col("toxic").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    # copies of a text are one piece of evidence
+    firsts = rows.groupBy(F.xxhash64("text").alias("text_hash")).agg(F.min("doc_id").alias("first_id")).select("first_id").distinct()
+    rows = rows.join(small(stage(firsts, "toxicity-texts")), F.col("doc_id") == F.col("first_id"), "left_semi")
     sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("bad")).first()
     n_bad, n_good = sizes.bad, sizes.n - sizes.bad
     if not n_bad:
         return ToxicityModel({})
     texts = rows.select("text", "toxic")
-    counts = _counted(texts, lambda f: set(_word.findall(f)))
-    ratio = F.log((F.col("bad") + 0.5) / (n_bad + 1)) - F.log((F.col("good") + 0.5) / (n_good + 1))
-    evidence = counts.filter(F.col("bad") >= least_documents).withColumn("weight", ratio).filter(F.col("weight") >= math.log(least_ratio))
-    # a word in fewer documents than chance would give among all words is no evidence
-    evidence = evidence.filter(F.col("bad") * F.col("weight") >= 8.0)
-    best = evidence.orderBy(F.desc(F.col("bad") * F.col("weight")), "key").limit(lexicon_words).collect()
+    counts = stage(_counted(texts, lambda f: set(_word.findall(f))).filter(F.col("bad") >= least_documents), "toxicity-words")
+    weight = F.log((F.col("bad") + 0.5) / (n_bad + 1)) - F.log((F.col("good") + 0.5) / (n_good + 1))
+    # log likelihood of a word's own share of toxic documents against the share of all; it must stand out
+    # among all candidate words
+    share = n_bad / sizes.n
+    total = F.col("bad") + F.col("good")
+    gain = F.col("bad") * F.log(F.col("bad") / total / share)
+    if n_good:
+        gain = gain + F.when(F.col("good") > 0, F.col("good") * F.log(F.col("good") / total / (1 - share))).otherwise(0.0)
+    least_gain = math.log(max(1, counts.count())) + 2
+    evidence = counts.withColumns({"weight": weight, "gain": gain}).filter((F.col("weight") >= math.log(least_ratio)) & (F.col("gain") >= least_gain))
+    best = evidence.orderBy(F.desc("gain"), "key").limit(lexicon_words).collect()
     model = ToxicityModel({r.key: r.weight for r in best})
 
     def phrases(folded: str) -> set[str]:
@@ -174,7 +195,7 @@ def learn(labelled: DataFrame, least_ratio: float = 8.0, least_documents: int =
 
     harmless = _counted(texts, phrases).filter((F.col("good") >= 5) & (F.col("good") * n_bad >= F.col("bad") * n_good))
     model.exceptions = {r.key for r in harmless.orderBy(F.desc("good"), "key").limit(lexicon_words).collect()}
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration_rows)
+    sample = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(sizes.n)) < calibration_rows)
 
     def features(batches):
         machine = cached_automaton(model)
