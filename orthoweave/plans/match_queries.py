@@ -59,10 +59,10 @@ def _(i):
     return P.retain_best_gridded(i.v_features, 200).select("iid", "fid", "response")
 
 
-@query("J12_attach_ends", "select m.iid_i, m.fid_i, m.iid_j, m.fid_j, a.x as x1, a.y as y1, b.x as x2, b.y as y2 from {v_matches} as m join {v_features} as a on m.iid_i = a.iid and m.fid_i = a.fid join {v_features} as b on m.iid_j = b.iid and m.fid_j = b.fid")
+@query("J12_attach_ends", "select m.iid_i, m.fid_i, m.iid_j, m.fid_j, a.x as x1, a.y as y1, b.x as x2, b.y as y2 from {v_matches} as m join {v_keypoints} as a on m.iid_i = a.iid and m.fid_i = a.fid join {v_keypoints} as b on m.iid_j = b.iid and m.fid_j = b.fid")
 def _(i):
     m = i.v_matches.select("iid_i", "fid_i", "iid_j", "fid_j")
-    return P.attach_ends(m, i.v_features).select("iid_i", "fid_i", "iid_j", "fid_j", "x1", "y1", "x2", "y2")
+    return P.attach_ends(m, i.v_keypoints).select("iid_i", "fid_i", "iid_j", "fid_j", "x1", "y1", "x2", "y2")
 
 
 @query("J20_image_pairs", "select a.iid as iid_i, b.iid as iid_j from (select distinct iid from {v_features}) a join (select distinct iid from {v_features}) b on a.iid < b.iid")
@@ -92,10 +92,10 @@ def _(i):
     return _knn(i).withColumn("dist", R6(F.col("dist")))
 
 
-@query("W1_best_and_second", f"with {_KNN} select iid_i, fid_i, iid_j, fid_j, rank, round(dist, 6) as dist from knn where fid_i % 5 = 0")
+@query("W1_best_and_second", f"with {_KNN} select iid_i, fid_i, iid_j, fid_j, rank, round(dist, 6) as dist from knn")
 def _(i):
     f = i.v_desc
-    return K.knn_join_columns(f, P.image_pairs(f), 2).filter("fid_i % 5 = 0").withColumn("dist", R6(F.col("dist")))
+    return K.knn_join_columns(f, P.image_pairs(f), 2).withColumn("dist", R6(F.col("dist")))
 
 
 @query("J2_ann_join")
@@ -121,9 +121,6 @@ def _(i):
     return K.mutual_best(best(_knn(i)), best(K.knn_join(i.v_desc, back, 1))).withColumn("dist", R6(F.col("dist")))
 
 
-_FEW = "(select * from {v_features} where fid % 8 = iid)"
-
-
 @query("J6_radius_join", "select a.iid, a.fid as fid_a, b.fid as fid_b, round((a.x - b.x) ** 2 + (a.y - b.y) ** 2, 6) as d2 from {v_features} as a join {v_features} as b on a.iid = b.iid where (a.x - b.x) ** 2 + (a.y - b.y) ** 2 < 225")
 def _(i):
     return K.radius_join(i.v_features, i.v_features, 15.0).withColumn("d2", R6(F.col("d2")))
@@ -131,7 +128,8 @@ def _(i):
 
 _NEAR = """near as (select * from (select a.iid_i, a.iid_j, a.fid_i, b.fid_i as nkey, (a.x1 - b.x1) ** 2 + (a.y1 - b.y1) ** 2 as d2,
       row_number() over (partition by a.iid_i, a.iid_j, a.fid_i order by (a.x1 - b.x1) ** 2 + (a.y1 - b.y1) ** 2, (a.fid_i <> b.fid_i)::int, b.fid_i) as rank
-      from {v_matches} as a join {v_matches} as b on a.iid_i = b.iid_i and a.iid_j = b.iid_j) where rank <= 5)"""
+      , count(*) over (partition by a.iid_i, a.iid_j, a.fid_i) as n
+      from {v_matches} as a join {v_matches} as b on a.iid_i = b.iid_i and a.iid_j = b.iid_j) where rank <= case when n <= 10 then greatest(1, n // 2) else 5 end)"""
 
 
 @query("J5_spatial_knn", f"with {_NEAR} select iid_i, iid_j, fid_i, nkey, round(d2, 4) as d2, rank from near")

@@ -236,17 +236,17 @@ def _(i):
 
 # -- patches ------------------------------------------------------------------------------------
 
-_PT = "pt as (select pid, 8 + pid % 45 as c, 8 + (pid * 7) % 45 as r, 3 + pid % 4 as dc, 1 + pid % 5 as dr from {v_points3d} where pid % 20 = 0)"
+_PT = "pt as (select pid, 8 + pid % 45 as c, 8 + (pid * 7) % 45 as r, 3 + pid % 4 as dc, 1 + pid % 5 as dr from {v_points3d})"
 
 
 def _points(i):
-    return i.v_points3d.filter("pid % 20 = 0").select("pid", (F.col("pid") % 45 + 8).alias("c0"), (F.col("pid") * 7 % 45 + 8).alias("r0"), (F.col("pid") % 4 + 3).alias("dc0"), (F.col("pid") % 5 + 1).alias("dr0"))
+    return i.v_points3d.select("pid", (F.col("pid") % 45 + 8).alias("c0"), (F.col("pid") * 7 % 45 + 8).alias("r0"), (F.col("pid") % 4 + 3).alias("dc0"), (F.col("pid") % 5 + 1).alias("dr0"))
 
 
-@query("R8_extract_patch", f"""with pt as (select pid, 5 + pid % 60 + 0.25 as x, 3 + (pid * 7) % 60 + 0.5 as y from {{v_points3d}} where pid % 20 = 0), q as (select pid, dr, dc, x + dc as x, y + dr as y from pt, (select unnest(range(-2, 3)) as dr), (select unnest(range(-2, 3)) as dc)), {_BI},
+@query("R8_extract_patch", f"""with pt as (select pid, 5 + pid % 60 + 0.25 as x, 3 + (pid * 7) % 60 + 0.5 as y from {{v_points3d}}), q as (select pid, dr, dc, x + dc as x, y + dr as y from pt, (select unnest(range(-2, 3)) as dr), (select unnest(range(-2, 3)) as dc)), {_BI},
     s as (select pid, dr::int as dr, dc::int as dc, round({_FOUR}, 6) as v {_JOINS}) select * from s where pid in (select pid from s group by pid having count(v) = 25)""")
 def _(i):
-    pts = i.v_points3d.filter("pid % 20 = 0").select("pid", F.lit(0).cast("long").alias("image_id"), (F.col("pid") % 60 + 5.25).alias("x"), (F.col("pid") * 7 % 60 + 3.5).alias("y"))
+    pts = i.v_points3d.select("pid", F.lit(0).cast("long").alias("image_id"), (F.col("pid") % 60 + 5.25).alias("x"), (F.col("pid") * 7 % 60 + 3.5).alias("y"))
     return T.extract_patch(pts, _px(i), 5).withColumn("v", F.round("v", 6))
 
 
@@ -275,7 +275,7 @@ def _smooth(i):
 
 @query("A21_refine_affine")
 def _(i):
-    smooth, p = _smooth(i), _points(i).filter("pid % 40 = 0")
+    smooth, p = _smooth(i), _points(i)
     steps = F.sequence(F.lit(-7), F.lit(7))
     t = p.select("pid", "r0", "c0", F.explode(steps).alias("y")).select("*", F.explode(steps).alias("x")).join(smooth, (F.col("r") == F.col("r0") + F.col("y")) & (F.col("c") == F.col("c0") + F.col("x"))).select("pid", "image_id", "x", "y", "v")
     init = p.select("pid", F.array(F.lit(1.0), F.lit(0.0), F.col("c0") + 0.4, F.lit(0.0), F.lit(1.0), F.col("r0") - 0.3).alias("a"))
@@ -286,6 +286,6 @@ def _(i):
 def _(i):
     smooth = _smooth(i)
     two = smooth.unionByName(smooth.withColumn("image_id", F.col("image_id") + 1))
-    p = _points(i).select("pid", F.lit(0).cast("long").alias("image_id"), F.col("c0").cast("double").alias("x"), F.col("r0").cast("double").alias("y")).filter("x between 18 and 45 and y between 18 and 45")
+    p = _points(i).select("pid", F.lit(0).cast("long").alias("image_id"), F.col("c0").cast("double").alias("x"), F.col("r0").cast("double").alias("y"))
     targets = p.select("pid", F.lit(1).cast("long").alias("target_id"), (F.col("x") + 2).alias("px"), (F.col("y") - 1).alias("py"))
     return T.propagate(p, two, targets, 11, 9)

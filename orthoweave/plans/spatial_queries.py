@@ -54,9 +54,9 @@ def _(i):
     return X.obb_scale(b.withColumn("vol", X.obb_volume()), 2.0).select("g", R6(F.col("c0"), "c0"), R6(F.col("c1"), "c1"), R6(F.col("c2"), "c2"), R6(F.col("h0") / 2, "h0"), F.round("vol", 4).alias("vol"), F.round(X.obb_volume(), 4).alias("vol2"))
 
 
-@query("A15_obb_contains", f"with {_OBB} select pid, g from {{v_points3d}}, b where abs(0.6 * x + 0.8 * y - (l0 + u0) / 2) <= (u0 - l0) / 4 and abs(-0.8 * x + 0.6 * y - (l1 + u1) / 2) <= (u1 - l1) / 4 and abs(z - (l2 + u2) / 2) <= (u2 - l2) / 4")
+@query("A15_obb_contains", f"with {_OBB} select pid, g from {{v_points3d}}, b where abs(0.6 * x + 0.8 * y - (l0 + u0) / 2) <= (u0 - l0) * 0.2437 and abs(-0.8 * x + 0.6 * y - (l1 + u1) / 2) <= (u1 - l1) * 0.2437 and abs(z - (l2 + u2) / 2) <= (u2 - l2) * 0.2437")
 def _(i):
-    return i.v_points3d.crossJoin(F.broadcast(X.obb_scale(_obb(i), 0.5))).filter(X.obb_contains(F.col("x"), F.col("y"), F.col("z"))).select("pid", "g")
+    return i.v_points3d.join(F.broadcast(X.obb_scale(_obb(i), 0.4874)), X.obb_contains(F.col("x"), F.col("y"), F.col("z"))).select("pid", "g")
 
 
 @query("A15_obb_edges", f"with {_OBB} select g, count(*) * 12 as n, round(4 * (any_value(u0) - any_value(l0)) + 4 * (any_value(u1) - any_value(l1)) + 4 * (any_value(u2) - any_value(l2)), 4) as total from b group by g")
@@ -93,11 +93,11 @@ def _indexed(t):
     return t.select(F.explode(three).alias("v")).select("v.*"), t.select("tid", *((F.col("tid") * 3 + n).alias(f"v{n}") for n in range(3)))
 
 
-@query("U4_mesh_merge", """with a as (select * from {v_triangles} where tid < 50), b as (select * from {v_triangles} where tid >= 50 and tid < 120), m as (select max(tid) * 3 + 3 as v, max(tid) + 1 as t from a)
+@query("U4_mesh_merge", """with a as (select * from {v_triangles} where tid % 2 = 0), b as (select * from {v_triangles} where tid % 2 = 1), m as (select max(tid) * 3 + 3 as v, max(tid) + 1 as t from a)
     select tid, tid * 3 as v0, tid * 3 + 2 as v2 from a union all select tid + m.t, tid * 3 + m.v, tid * 3 + 2 + m.v from b, m""")
 def _(i):
     t = i.v_triangles
-    v, f = X.mesh_merge(*_indexed(t.filter("tid < 50")), *_indexed(t.filter("tid >= 50 and tid < 120")))
+    v, f = X.mesh_merge(*_indexed(t.filter("tid % 2 = 0")), *_indexed(t.filter("tid % 2 = 1")))
     return f.join(X.drop_isolated(v, f).select(F.col("vid").alias("v0")), "v0", "left_semi").select("tid", "v0", "v2")
 
 
@@ -110,14 +110,16 @@ def _(i):
     return full.select(F.round(X.tri_area(), 6).alias("area")).groupBy("area").agg(F.count(F.lit(1)).alias("n"))
 
 
+# each point is looked at by one photo
 def _rays(i):
-    p, h = i.v_points3d.filter("pid % 25 = 3"), i.v_photos.filter("iid % 10 = 1")
+    p, h = i.v_points3d, i.v_photos
+    n = h.agg(F.count(F.lit(1)).alias("n"), F.min("iid").alias("first"))
+    p = p.join(F.broadcast(n), F.lit(True)).withColumn("iid", F.col("pid") % F.col("n") + F.col("first"))
     d = [F.col("x") - F.col("cx"), F.col("y") - F.col("cy"), F.col("z") - F.col("cz")]
-    rays = p.join(F.broadcast(h), F.lit(True)).select((F.col("pid") * 100000 + F.col("iid")).alias("ray_id"), F.col("cx").alias("ox"), F.col("cy").alias("oy"), F.col("cz").alias("oz"), *(v.alias(n) for v, n in zip(d, ("dx", "dy", "dz"), strict=True)), F.lit(0.0).alias("tnear"), F.lit(0.999).alias("tfar"))
-    return rays
+    return p.join(h, "iid").select(F.col("pid").alias("ray_id"), F.col("cx").alias("ox"), F.col("cy").alias("oy"), F.col("cz").alias("oz"), *(v.alias(k) for v, k in zip(d, ("dx", "dy", "dz"), strict=True)), F.lit(0.0).alias("tnear"), F.lit(0.999).alias("tfar"))
 
 
-_RAYS = """ray as (select pid * 100000 + iid as ray_id, p.cx as ox, p.cy as oy, p.cz as oz, x - p.cx as dx, y - p.cy as dy, z - p.cz as dz from (select * from {v_points3d} where pid % 25 = 3) q, (select * from {v_photos} where iid % 10 = 1) p),
+_RAYS = """ray as (select pid as ray_id, p.cx as ox, p.cy as oy, p.cz as oz, x - p.cx as dx, y - p.cy as dy, z - p.cz as dz from {v_points3d} as q join {v_photos} as p on p.iid = q.pid % (select count(*) from supplier) + (select min(s_suppkey) from supplier)),
     m as (select ray_id, tid, bx - ax as e1x, by_ - ay as e1y, bz - az as e1z, cx - ax as e2x, cy - ay as e2y, cz - az as e2z, ox - ax as sx, oy - ay as sy, oz - az as sz, dx, dy, dz from ray, {v_triangles}),
     pq as (select *, dy * e2z - dz * e2y as px, dz * e2x - dx * e2z as py, dx * e2y - dy * e2x as pz, sy * e1z - sz * e1y as qx, sz * e1x - sx * e1z as qy, sx * e1y - sy * e1x as qz from m),
     k as (select ray_id, tid, e1x * px + e1y * py + e1z * pz as det, sx * px + sy * py + sz * pz as un, dx * qx + dy * qy + dz * qz as vn, e2x * qx + e2y * qy + e2z * qz as tn from pq),

@@ -21,11 +21,12 @@ VIEWS = {
        from (select o_custkey, o_orderkey, o_orderdate, lead(o_orderkey) over w as nk, lead(o_orderdate) over w as nd
              from {orders} window w as (partition by o_custkey order by o_orderdate, o_orderkey)) o
        where nk is not null and cast(nd as date) <= cast(o_orderdate as date) + interval 60 days""",
-    # features of two images with equal rank by response, as matches with coordinates
-    "v_matches": """select a.iid as iid_i, a.iid + 1 as iid_j, a.fid as fid_i, b.fid as fid_j, a.x as x1, a.y as y1, b.x as x2, b.y as y2, a.response + b.response as response
-       from (select *, row_number() over (partition by iid order by x, fid) as n from {v_features}) a
-       join (select *, row_number() over (partition by iid order by x, fid) as n from {v_features}) b on b.iid = a.iid + 1 and a.n = b.n
-       where a.iid % 2 = 0 and a.n <= 400""",
+    # the same features over 1024 images
+    "v_keypoints": "select cast(floor(fid / 8e0) as bigint) % 1024 as iid, fid, x, y, response from {v_features}",
+    # features of two neighbouring images with equal rank along x, as matches with coordinates
+    "v_matches": """select a.iid as iid_i, b.iid as iid_j, a.fid as fid_i, b.fid as fid_j, a.x as x1, a.y as y1, b.x as x2, b.y as y2, a.response + b.response as response
+       from (select *, row_number() over (partition by iid order by x, fid) as n from {v_keypoints}) a
+       join (select *, row_number() over (partition by iid order by x, fid) as n from {v_keypoints}) b on b.iid = a.iid + 1 and a.n = b.n""",
     "v_pixels": """select cast(0 as bigint) as image_id, cast(l_partkey % 64 as int) as r, cast(l_orderkey % 64 as int) as c, max(l_quantity) as dsm, min(l_quantity) as dem, count(*) as n
        from {lineitem} group by l_partkey % 64, l_orderkey % 64""",
     "v_photos": """select s_suppkey as iid, cast(s_nationkey as bigint) as cid, cast(s_suppkey * 13 % 101 - 50 as double) as cx, cast(s_suppkey * 29 % 101 - 50 as double) as cy,
