@@ -23,13 +23,11 @@ def _named(row: str, columns: list[str], changed: dict | None = None):
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the certified cutoffs of their language."""
-    labels = table(spark, sf_dir, "labels")
-    named = labels.filter("quality is not null and doc_id is not null").select("doc_id").distinct()
-    # cutoffs need the labelled documents alone; the counts of the others are made where they are judged
-    cutoffs = stage(quality.choose_cutoffs(quality.measure(docs.join(named, "doc_id", "left_semi")), labels), "pipeline-cutoffs")
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "lang", "text")
-    judged = quality.judge(quality.measure(packed, keep=("row", "lang")), cutoffs)
-    return judged.filter("kept").select(*_named("row", docs.columns))
+    # counted once: the cutoffs read the counts alone, the verdict reads them with the rows
+    measured = stage(quality.measure(packed, keep=("row", "doc_id", "lang")), "pipeline-measured")
+    cutoffs = quality.choose_cutoffs(measured.drop("row"), table(spark, sf_dir, "labels"))
+    return quality.judge(measured, cutoffs).filter("kept").select(*_named("row", docs.columns))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
