@@ -123,7 +123,9 @@ def score(described: DataFrame, model: RandomForestClassificationModel | None) -
 
 def scan(docs: DataFrame, path_col: str = "source") -> DataFrame:
     """Candidates of all documents, scored by a forest trained on their own sure findings."""
-    described = stage(describe(candidates(docs, path_col), stage(common_trigrams(docs), "secret-trigrams")), "secret-candidates")
+    # candidates are read twice below: once for their distinct values, once to be described
+    found = stage(candidates(docs, path_col), "secret-candidates")
+    described = stage(describe(found, stage(common_trigrams(docs), "secret-trigrams")), "secret-features")
     return score(described, fit(sure_findings(described)))
 
 
