@@ -55,7 +55,7 @@ def byte_symbols() -> dict[str, int]:
 class SpeculativeBPE:
     """Encoder and decoder for one byte-level BPE file of the tokenizers library."""
 
-    def __init__(self, path: str, memo_words: int = 1_500_000):
+    def __init__(self, path: str, memo_words: int = 500_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         symbols = byte_symbols()

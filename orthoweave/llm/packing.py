@@ -41,7 +41,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = 2048,
         tail = np.array([end_id], dtype="<u4")
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in bpe.chunks(texts, 1 << 22):
+            for a, b in bpe.chunks(texts, 1 << 21):
                 rows, held = [], []
                 for name, ids in zip(names[a:b], coder.encode(texts[a:b]), strict=True):
                     ids = np.concatenate((ids.astype("<u4"), tail))

@@ -13,6 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.cameras import small
+from ..session import stage
+
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 GAPS = " \t\n\x0b\f\r"
@@ -141,13 +144,14 @@ def choose_cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang"
     gain = F.col("bad_out") / F.greatest("n_bad", F.lit(1)) - F.col("good_out") / F.greatest("n_good", F.lit(1))
     certified = tests.filter(F.col("p_value") <= risk.delta / F.col("n_tests")).withColumn("gain", gain).filter(F.col("gain") > 0)
     ranked = certified.withColumn("rank", F.row_number().over(within.orderBy(F.desc("gain"), F.desc("cutoff"))))
-    return ranked.filter(F.col("rank") == 1).select("stratum", "rule", "cutoff")
+    return stage(ranked.filter(F.col("rank") == 1).select("stratum", "rule", "cutoff"), "quality-cutoffs")
 
 
 def judge(measured: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFrame:
     """Adds kept: false for rows that fail the base rules or lie above a cutoff of their stratum."""
     wide = cutoffs.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cuts"))
-    joined = measured.join(wide, F.coalesce(F.col(stratum).cast("string"), F.lit("")) == F.col("stratum"), "left")
+    # at most one row a stratum: sent to the rows, whose strata may be very unequal, where its size allows
+    joined = measured.join(small(wide), F.coalesce(F.col(stratum).cast("string"), F.lit("")) == F.col("stratum"), "left")
     above = F.lit(False)
     for r in RULES:
         above = above | F.coalesce(_value(r) > F.col("cuts")[r], F.lit(False))

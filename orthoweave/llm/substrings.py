@@ -55,7 +55,7 @@ def _first_in_batch(route, e, e2, doc, start, n, fp):
         yield _batch(kind=np.full(len(rows), INDEXED), route=route[rows], e=e[rows], e2=e2[rows], doc=doc[rows], start=start[rows], n=n[rows], src_doc=zero, src_start=zero, fp=fp[rows])
 
 
-def _sorted_texts(batches, limit: int = 2 << 20):
+def _sorted_texts(batches, limit: int = 1 << 20):
     """(ids, texts, fingerprints, extra) of about `limit` characters, in the order of ids; null ids come last."""
     for batch in batches:
         ids = np.array([_NONE if i is None else i for i in batch.column(0).to_pylist()], dtype=np.int64)

@@ -30,7 +30,7 @@ def encode_decode(docs: DataFrame, vocabulary: str | None = None, id_col: str =
         coder = bpe.load(path)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in bpe.chunks(texts, 1 << 22):
+            for a, b in bpe.chunks(texts, 1 << 21):
                 ids = coder.encode(texts[a:b])
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
                 values = pa.array(np.concatenate(ids), type=pa.int32())
