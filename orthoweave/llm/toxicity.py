@@ -1,7 +1,8 @@
 """Toxicity by a weighted lexicon, matched with an Aho-Corasick automaton.
 
 Text is folded first: homoglyphs to Latin letters, accents dropped, digits and signs that stand for
-letters inside words replaced, what is no letter turned into one blank. The lexicon is learned: words
+letters inside words replaced, what is no letter turned into one blank. Runs of digits and signs without
+any letter are numbers and prices, and no words. The lexicon is learned: words
 whose share of toxic labelled documents is far above their share of the others, with the log ratio as
 weight. Words beside a lexicon word make an exception phrase where the two together are no sign of
 toxicity. The score of a document is a logistic function of its matched weight per length.
@@ -74,12 +75,15 @@ def fold(text: str | None) -> str:
         points, folded = points[folded != 0], folded[folded != 0]
     spare = np.flatnonzero(stand[points])
     if len(spare):
-        letter = np.concatenate(([False], folded != _BLANK, [False]))
-        digit = np.concatenate(([False], (points >= 0x30) & (points <= 0x39), [False]))
-        # a sign stands for a letter before a letter, or before a digit; a digit also after a letter
-        before = letter[spare + 2] | (digit[spare + 2] & (letter[spare] | ~digit[spare + 1]))
-        use = before | (letter[spare] & digit[spare + 1])
-        spare = spare[use]
+        letter = folded != _BLANK
+        gaps = np.concatenate(([-1], np.flatnonzero(~letter & (stand[points] == 0)), [len(points)]))
+        letters = np.flatnonzero(letter)
+        firm = np.flatnonzero(letter | ((points >= 0x30) & (points <= 0x39)))
+        after = np.searchsorted(gaps, spare)
+        start, end = gaps[after - 1], gaps[after]
+        # a run of letters and substitutes is a word if it holds a letter; signs at its end are punctuation
+        word = np.searchsorted(letters, end) > np.searchsorted(letters, start)
+        spare = spare[word & (np.searchsorted(firm, end) > np.searchsorted(firm, spare))]
         folded[spare] = stand[points[spare]]
     blank = folded == _BLANK
     keep = ~(blank & np.concatenate(([True], blank[:-1])))

@@ -270,6 +270,11 @@ def test_folding():
     assert toxicity.fold(None) == toxicity.fold("") == " "
 
 
+def test_folding_of_runs_of_substitutes():
+    assert toxicity.fold("a$$hole a55 n1663r @$$h0le!!!") == " asshoie ass nigger asshoie "
+    assert toxicity.fold("wow!!! cash$$$ C++ 455 $5 5+5 100%") == " wow cash c "
+
+
 def test_toxicity_on_held_out_labels(spark):
     data = "/root/testdata/sf0.01"
     got = queries.op2_toxicity(spark, data).filter("held_out").join(spark.read.parquet(f"{data}/labels.parquet"), "doc_id").collect()
