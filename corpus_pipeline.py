@@ -31,11 +31,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each class of near duplicates; rows without an id stay."""
-    classes = jaccard.join_similar(docs)
-    least = classes.filter(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("kept_id")).distinct()
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("own_id"))
-    chosen = packed.join(least, F.col("own_id") == F.col("kept_id"), "left_semi").groupBy("own_id").agg(F.first("row").alias("row"))
+    """The row with the least id of each class of near duplicates; rows without an id stay.
+
+    Rows that share an id but hold different texts are told apart by their texts.
+    """
+    least = jaccard.first_of_each(docs).select(F.col("doc").alias("kept_id"), F.col("key").alias("kept_key"))
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("own_id"), jaccard.text_key(F.col("text")).alias("own_key"))
+    chosen = packed.join(least, (F.col("own_id") == F.col("kept_id")) & (F.col("own_key") == F.col("kept_key")), "left_semi").groupBy("own_id", "own_key").agg(F.first("row").alias("row"))
     return chosen.select("row").unionByName(packed.filter("own_id is null").select("row")).select(*_named("row", docs.columns))
 
 

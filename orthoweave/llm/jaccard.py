@@ -16,7 +16,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
@@ -24,7 +24,7 @@ from ..session import stage
 from .vectors import Texts, chunks, mix, span_hashes
 
 STEPS = 4
-_PROFILE = "doc long, s1 long, s2 long, sketch binary"
+_PROFILE = "doc long, s1 long, s2 long, sketch binary, key long"
 
 
 def runs_for(threshold: float, recall: float) -> int:
@@ -56,6 +56,16 @@ def _multipliers(n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
 
+def _fingerprints(words: Texts) -> list[np.ndarray]:
+    """The sequence of words of each text as a 128-bit fingerprint, in two columns."""
+    place = (np.arange(len(words.starts)) - np.repeat(words.first[:-1], np.diff(words.first))).astype(np.uint64)
+    prints = []
+    for h in words.hashes:
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h + place * np.uint64(0x9E3779B97F4A7C15)))))
+        prints.append((sums[words.first[1:]] - sums[words.first[:-1]]).view(np.int64))
+    return prints
+
+
 def _profiles(width: int, tokens: int):
     def run(batches):
         factors = _multipliers(tokens)
@@ -69,14 +79,9 @@ def _profiles(width: int, tokens: int):
                 if len(full):
                     for j, f in enumerate(factors):
                         sketch[full, j] = np.minimum.reduceat(((grams * f) >> np.uint64(32)).astype(np.uint32), begin[full])
-                # the sequence of words as a 128-bit fingerprint
-                place = (np.arange(len(words.starts)) - np.repeat(words.first[:-1], np.diff(words.first))).astype(np.uint64)
-                prints = []
-                for h in words.hashes:
-                    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h + place * np.uint64(0x9E3779B97F4A7C15)))))
-                    prints.append((sums[words.first[1:]] - sums[words.first[:-1]]).view(np.int64))
+                prints = _fingerprints(words)
                 rows = [r.tobytes() for r in sketch]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(prints[0]), pa.array(prints[1]), pa.array(rows, type=pa.binary())], names=["doc", "s1", "s2", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(prints[0]), pa.array(prints[1]), pa.array(rows, type=pa.binary()), batch.column(2).slice(a, b - a)], names=["doc", "s1", "s2", "sketch", "key"])
 
     return run
 
@@ -147,15 +152,16 @@ def _bucket_links(tokens: int, least: float):
 
 
 def _sets(width: int):
-    """The n-gram set of each text as sorted 64-bit hashes."""
+    """The fingerprint of each text and its n-gram set as sorted 64-bit hashes."""
 
     def run(batches):
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in chunks(texts, 1 << 20):
-                grams, _, begin = _ngrams(Texts(texts[a:b]), width)
+                words = Texts(texts[a:b], 2)
+                grams, _, begin = _ngrams(words, width)
                 rows = [np.unique(grams[i:j]).tobytes() for i, j in zip(begin[:-1], begin[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(rows, type=pa.binary())], names=["rep", "grams"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in _fingerprints(words)), pa.array(rows, type=pa.binary())], names=["s1", "s2", "grams"])
 
     return run
 
@@ -242,24 +248,23 @@ def _verify(threshold: float):
     return run
 
 
-def join_similar(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.9995, small: int = 64, block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, class_id and n_links of every document.
+def text_key(text: Column) -> Column:
+    """A hash of a whole text, which with the id tells rows of different texts apart."""
+    return F.xxhash64(text.cast("string"))
 
-    n_links: how many other documents have a Jaccard similarity >= threshold of word n-gram sets, equal
-    texts included. class_id: the least id of the documents that links join, directly or through others.
-    Words are runs of characters other than ASCII white space; a text of fewer than `width` words has
-    one n-gram. Texts without words (null, empty, blank) are copies of each other and of nothing else.
-    Rows with a null id take no part in classes of others: they get a null class and no links. Equal
-    rows count as copies of each other; an id is expected to have one text (rows with one id and
-    several texts share one class and the sum of their links).
+
+def _linked(known: DataFrame, threshold: float, width: int, recall: float, small: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Of rows doc, text, key (none null but text): profiles of the rows, the distinct texts, links and members.
+
+    texts: rep (a number of its own for each fingerprint s1, s2), copies, and `first`, the least (doc, key) of
+    its rows. links: rep, links. members: rep and component of each linked text.
     """
     runs = runs_for(threshold, recall)
     tokens = runs * STEPS
-    plain = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    known = plain.filter("doc is not null")
     profile = stage(known.mapInArrow(_profiles(width, tokens), _PROFILE), "jaccard-profiles")
-    by_text = profile.groupBy("s1", "s2").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch"))
-    reps = stage(by_text, "jaccard-texts")
+    by_text = profile.groupBy("s1", "s2").agg(F.min(F.struct("doc", "key")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch"))
+    # numbered before they are written, so the numbers stay
+    reps = stage(by_text.withColumn("rep", F.monotonically_increasing_id()), "jaccard-texts")
 
     # split on sampled tokens; buckets of more than `small` sets take one step more
     with_words = reps.filter("not (s1 = 0 and s2 = 0)")
@@ -284,18 +289,46 @@ def join_similar(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall
     # exact comparison: groups of more than `block` sets as pairs of blocks
     parts = groups.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
     placed = groups.join(parts, "grp").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    chosen = reps.select("rep", "copies", "s1", "s2").join(placed, "rep")
-    texts = known.join(chosen.select("rep").distinct(), F.col("doc") == F.col("rep"), "left_semi")
-    sets = texts.mapInArrow(_sets(width), "rep long, grams binary").groupBy("rep").agg(F.first("grams").alias("grams"))
+    chosen = reps.select("rep", "copies", "s1", "s2", F.col("first.doc").alias("least")).join(placed, "rep")
+    # the rows of a document may hold several texts; each set goes to the text with its fingerprint
+    texts = known.join(chosen.select("least").distinct(), F.col("doc") == F.col("least"), "left_semi")
+    sets = texts.mapInArrow(_sets(width), "s1 long, s2 long, grams binary").groupBy("s1", "s2").agg(F.first("grams").alias("grams"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least("part", q).alias("i"), F.greatest("part", q).alias("j"), (q < F.col("part")).cast("int").alias("side")))
-    dealt = chosen.join(sets, "rep").select("grp", F.explode(pairs).alias("p"), "rep", "copies", "grams").select("grp", "p.i", "p.j", "p.side", "rep", "copies", "grams")
+    dealt = chosen.join(sets, ["s1", "s2"]).select("grp", F.explode(pairs).alias("p"), "rep", "copies", "grams").select("grp", "p.i", "p.j", "p.side", "rep", "copies", "grams")
     dealt = dealt.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "side", "rep")
     found = stage(dealt.mapInArrow(_verify(threshold), "rep long, links long, target long"), "jaccard-links")
 
-    classes = connected_components(found.select(F.col("rep").alias("u"), F.col("target").alias("v"))).select(F.col("vertex").alias("rep"), F.col("component").alias("class_of"))
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    named = reps.select("s1", "s2", "rep", "copies").join(links, "rep", "left").join(classes, "rep", "left")
-    named = named.select("s1", "s2", F.coalesce("class_of", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    members = stage(connected_components(found.select(F.col("rep").alias("u"), F.col("target").alias("v"))).select(F.col("vertex").alias("rep"), "component"), "jaccard-members")
+    return profile, reps, found.groupBy("rep").agg(F.sum("links").alias("links")), members
+
+
+def join_similar(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.9995, small: int = 64, block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, class_id and n_links of every document.
+
+    n_links: how many other documents have a Jaccard similarity >= threshold of word n-gram sets, equal
+    texts included. class_id: the least id of the documents that links join, directly or through others.
+    Words are runs of characters other than ASCII white space; a text of fewer than `width` words has
+    one n-gram. Texts without words (null, empty, blank) are copies of each other and of nothing else.
+    Rows with a null id take no part in classes of others: they get a null class and no links. Every row
+    stands for itself: equal rows count as copies of each other, and rows with one id and different
+    texts each have the class and links of their text (classes that share their least id share class_id).
+    """
+    plain = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    known = plain.filter("doc is not null").withColumn("key", text_key(F.col("text")))
+    profile, reps, links, members = _linked(known, threshold, width, recall, small, block)
+    firsts = members.join(reps.select("rep", "first"), "rep").groupBy("component").agg(F.min("first.doc").alias("class_of"))
+    classes = members.join(firsts, "component").select("rep", "class_of")
+    named = reps.select("s1", "s2", "rep", "copies", "first").join(links, "rep", "left").join(classes, "rep", "left")
+    named = named.select("s1", "s2", F.coalesce("class_of", "first.doc").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     out = profile.select("doc", "s1", "s2").join(named, ["s1", "s2"]).select(F.col("doc").alias(id_col), "class_id", "n_links")
     nameless = plain.filter("doc is null").select(F.col("doc").alias(id_col), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return out.unionByName(nameless)
+
+
+def first_of_each(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.9995, small: int = 64, block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc and key (text_key) of one row of each class of join_similar(): the least; null ids are left out."""
+    known = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"), text_key(F.col(text_col)).alias("key")).filter("doc is not null")
+    _, reps, _, members = _linked(known, threshold, width, recall, small, block)
+    linked = reps.select("rep", "first").join(members, "rep")
+    alone = reps.select("rep", "first").join(members, "rep", "left_anti").select("first.doc", "first.key")
+    return alone.unionByName(linked.groupBy("component").agg(F.min("first").alias("first")).select("first.doc", "first.key"))

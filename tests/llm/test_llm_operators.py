@@ -209,6 +209,15 @@ def test_join_against_brute_force(spark):
     assert collected(jaccard.join_similar(df, small=4, block=16)) == brute_classes(rows)
 
 
+def test_join_of_rows_that_share_an_id(spark):
+    rng = np.random.default_rng(4)
+    base = [" ".join(f"t{k}" for k in rng.integers(0, 5000, 60)) for _ in range(4)]
+    rows = [(5, base[0]), (5, base[1]), (5, base[1]), (7, base[1] + " tail"), (7, base[2]), (3, base[2] + " tail"), (5, base[0] + " tail"), (9, base[3])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert collected(jaccard.join_similar(df)) == brute_classes(rows)
+    assert collected(jaccard.join_similar(df, small=1)) == brute_classes(rows)
+
+
 def test_join_odd_rows(odd_documents, no_documents):
     rows = [(r.doc_id, r.text) for r in odd_documents.collect() if r.doc_id is not None]
     got = jaccard.join_similar(odd_documents)

@@ -29,6 +29,14 @@ def test_no_near_duplicates_are_left(spark, documents):
     assert kept.count() == labels.select("class_id").distinct().count()
 
 
+def test_rows_that_share_an_id_are_kept_by_their_texts(spark):
+    texts = [" ".join(f"{w}{k}" for k in range(40)) for w in "abc"]
+    rows = [(1, texts[0], "en", "s", 1), (1, texts[1], "en", "s", 2), (1, texts[1], "en", "s", 2), (2, texts[1] + " end", "en", "s", 3), (2, texts[2], "en", "s", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = pipeline.keep_one_of_each(spark, docs, DATA).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(1, texts[0]), (1, texts[1]), (2, texts[2])])
+
+
 def test_odd_and_empty_documents(spark, odd_documents, no_documents):
     for docs in (odd_documents, no_documents):
         rows = docs
