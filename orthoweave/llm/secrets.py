@@ -1,6 +1,7 @@
 """Secret scans with a random forest that removes false positives; DataFrame and SQL operations only.
 
-Candidates are long runs of identifier characters. Each is described by its length, how often the class
+Candidates are long runs of identifier characters, and values of 6 or more characters other than blanks that
+are assigned to a credential keyword or stand as the password in a URL. Each is described by its length, how often the class
 of character changes, its share of digits, capitals and distinct characters, how much of it the letter
 trigrams of the corpus's common words cover, the path it was found in, and the words beside it. A
 random forest fitted on labelled findings gives each candidate a probability.
@@ -19,6 +20,11 @@ from ..session import stage
 CANDIDATE = r"[A-Za-z0-9+/_=.-]{16,}"
 # Words that name credentials, and path parts of code that only shows how.
 KEYWORDS = r"(?i)(token|secret|passw|passwd|pwd|credential|bearer|auth|api[_-]?key|access[_-]?key|private[_-]?key|apikey)"
+# A keyword, the rest of its name and a sign of assignment; the value may be quoted (groups 2, 3) or not (4).
+ASSIGN = KEYWORDS + r"[\w-]{0,40}[\"'`\])]?\s*(?:=>|[:=]{1,2})"
+ASSIGNED = ASSIGN + r"\s*(?:\"([^\"\s]{6,})|'([^'\s]{6,})|([^\s\"'][^\s]{5,}))"
+URL_USER = r"://[^/\s:@]*:"
+URL_PASSWORD = URL_USER + r"(\S{6,})@"
 SAMPLE_PATHS = r"(?i)(test|example|sample|mock|fixture|demo|doc)"
 
 FEATURES = ["length", "transitions", "digits", "capitals", "hexadecimal", "distinct", "coverage", "sample_path", "keyword_near", "keyword_before", "assigned", "quoted", "long_neighbour"]
@@ -42,20 +48,29 @@ def common_trigrams(docs: DataFrame, text_col: str = "text", least: int = 5, siz
 
 
 def candidates(docs: DataFrame, path_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, position (of the word), value, path, and the words around each candidate of every whole text.
+    """doc_id, text_key (a hash of the text), position (of the word), value, path, and the words around each candidate of every whole text.
 
     A word with several candidates gives each; null texts give none; null paths count as empty.
     """
     words = F.filter(F.split(F.col("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
     def around(w: Column) -> Column:
-        hits = F.filter(F.transform(w, lambda x, i: F.when(F.length(x) >= 16, F.when(x.rlike(CANDIDATE), i))), lambda i: i.isNotNull())
         before = lambda i, k: F.coalesce(F.get(w, i - k), F.lit(""))
+        line = lambda x, i: F.concat_ws(" ", before(i, 2), before(i, 1), x)
+        short = lambda x, i: x.rlike(URL_PASSWORD) | (line(x, i).rlike("[:=]") & line(x, i).rlike(ASSIGNED))
+        hit = lambda x, i: F.when(F.length(x) >= 6, F.when(((F.length(x) >= 16) & x.rlike(CANDIDATE)) | short(x, i), i))
+        hits = F.filter(F.transform(w, hit), lambda i: i.isNotNull())
         return F.transform(hits, lambda i: F.struct(i.alias("position"), F.get(w, i).alias("word"), before(i, 1).alias("p1"), before(i, 2).alias("p2"), before(i, 3).alias("p3"), F.coalesce(F.get(w, i + 1), F.lit("")).alias("n1")))
 
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), F.col(text_col).cast("string").alias("text"))
-    found = plain.filter(F.col("text").rlike(CANDIDATE)).select("doc_id", "path", F.explode(F.element_at(F.transform(F.array(words), around), 1)).alias("c"))
-    return found.select("doc_id", "path", "c.*", F.explode(F.array_distinct(F.regexp_extract_all("c.word", F.lit(CANDIDATE), F.lit(0)))).alias("value"))
+    may = F.col("text").rlike(CANDIDATE) | F.col("text").rlike(ASSIGNED) | F.col("text").rlike(URL_PASSWORD)
+    found = plain.filter(may).select("doc_id", F.xxhash64("text").alias("text_key"), "path", F.explode(F.element_at(F.transform(F.array(words), around), 1)).alias("c"))
+    every = lambda text, pattern, group: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    line = F.concat_ws(" ", "c.p2", "c.p1", "c.word")
+    bare = F.transform(every(line, ASSIGNED, 4), lambda v: F.regexp_replace(v, r"[\"'`,;.)\]}>]+$", ""))
+    short = F.filter(F.concat(every(line, ASSIGNED, 2), every(line, ASSIGNED, 3), bare), lambda v: (v != "") & F.contains(F.col("c.word"), v))
+    values = F.concat(every(F.col("c.word"), CANDIDATE, 0), short, every(F.col("c.word"), URL_PASSWORD, 1))
+    return found.select("doc_id", "text_key", "path", "c.*", F.explode(F.array_distinct(values)).alias("value"))
 
 
 def describe(found: DataFrame, trigrams: DataFrame) -> DataFrame:
@@ -69,7 +84,7 @@ def describe(found: DataFrame, trigrams: DataFrame) -> DataFrame:
     head = F.expr("substring_index(word, value, 1)")
     joined = found.join(spread, "value", "left")
     return joined.select(
-        "doc_id", "position", "value", "path",
+        "doc_id", "text_key", "position", "value", "path",
         F.length(value).cast("double").alias("length"),
         ((F.length(F.regexp_replace(kind, r"(.)\1+", "$1")) - 1) / F.length(value)).alias("transitions"),
         _share(value, "0123456789").alias("digits"),
@@ -79,7 +94,7 @@ def describe(found: DataFrame, trigrams: DataFrame) -> DataFrame:
         (F.coalesce("covered", F.lit(0)) / F.greatest(F.length(value) - 2, F.lit(1))).alias("coverage"),
         F.col("path").rlike(SAMPLE_PATHS).cast("double").alias("sample_path"),
         F.concat_ws(" ", context, head).rlike(KEYWORDS).cast("double").alias("keyword_near"),
-        F.concat_ws(" ", "p2", "p1", head).rlike(KEYWORDS + r"[\"']?\s*[:=]").cast("double").alias("keyword_before"),
+        (F.concat_ws(" ", "p2", "p1", head).rlike(ASSIGN) | head.rlike(URL_USER + "$")).cast("double").alias("keyword_before"),
         F.concat_ws(" ", "p1", head).rlike(r"[:=]\s*[\"']?$").cast("double").alias("assigned"),
         head.rlike(r"[\"'`]$").cast("double").alias("quoted"),
         F.greatest(F.length("p1"), F.length("n1")).cast("double").alias("long_neighbour"),
@@ -109,7 +124,7 @@ def fit(labelled: DataFrame, rows_per_label: int = 5000, trees: int = 24, depth:
 
 
 def score(described: DataFrame, model: RandomForestClassificationModel | None) -> DataFrame:
-    """doc_id, position, value, probability, is_secret of every candidate.
+    """doc_id, text_key, position, value, probability, is_secret of every candidate.
 
     Without a model a candidate counts if a credential keyword is assigned to it.
     """
@@ -118,7 +133,7 @@ def score(described: DataFrame, model: RandomForestClassificationModel | None) -
     else:
         assembled = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(described)
         scored = model.transform(assembled).withColumn("p", vector_to_array("probability")).drop("probability").withColumn("probability", F.col("p")[1])
-    return scored.select("doc_id", "position", "value", "probability", (F.col("probability") >= 0.5).alias("is_secret"))
+    return scored.select("doc_id", "text_key", "position", "value", "probability", (F.col("probability") >= 0.5).alias("is_secret"))
 
 
 def scan(docs: DataFrame, path_col: str = "source") -> DataFrame:
@@ -132,10 +147,15 @@ def scan(docs: DataFrame, path_col: str = "source") -> DataFrame:
 def redact(docs: DataFrame, findings: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """docs with the secrets of each document replaced by mask in its text; all columns stay.
 
-    Rows with a null id have no findings of their own and keep their text.
+    Findings of scan() hold for the rows with their id, null or not, and text; findings without text_key
+    for all rows with their id.
     """
-    per_doc = findings.filter("is_secret").groupBy(F.col("doc_id").alias("found_in")).agg(F.sort_array(F.collect_set("value"), asc=False).alias("found_values"))
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"))
-    joined = packed.join(per_doc, F.col("id") == F.col("found_in"), "left")
+    key = [F.col("text_key").alias("found_key")] if "text_key" in findings.columns else []
+    per_doc = findings.filter("is_secret").groupBy(F.col("doc_id").alias("found_in"), *key).agg(F.sort_array(F.collect_set("value"), asc=False).alias("found_values"))
+    # the longest first, so that no value is cut by one inside it
+    per_doc = per_doc.withColumn("found_values", F.array_sort("found_values", lambda a, b: F.length(b) - F.length(a)))
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("own_key"))
+    same = F.col("id").eqNullSafe(F.col("found_in"))
+    joined = packed.join(per_doc, same & (F.col("own_key") == F.col("found_key")) if key else same, "left")
     text = F.aggregate(F.coalesce("found_values", F.array().cast("array<string>")), F.col("row.text"), lambda t, v: F.replace(t, v, F.lit(mask)))
     return joined.select(*(text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))

@@ -376,6 +376,16 @@ def test_secrets(spark, documents, odd_documents, no_documents):
     assert masked.columns == odd_documents.columns and masked.count() == odd_documents.count()
 
 
+def test_short_and_signed_secrets(spark):
+    rows = [(1, 'the password = "Tr0ub4dor&3" here', "a"), (2, "db_password: p@ss:w0rd! and more", "a"), (3, "see postgres://bob:s3cr#t!9@host/db now", "a"), (None, "pwd=hunt3r!2, ok", "a"), (None, "nothing hunt3r!2", "a"), (4, "a plain sentence: without any", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = {'the password = "[SECRET]" here', "db_password: [SECRET] and more", "see postgres://bob:[SECRET]@host/db now", "pwd=[SECRET], ok", "nothing hunt3r!2", "a plain sentence: without any"}
+    found = secrets.scan(docs)
+    assert {r.value for r in found.collect()} >= {"Tr0ub4dor&3", "s3cr#t!9", "hunt3r!2"}
+    masked = {r.text for r in secrets.redact(docs, found).collect()}
+    assert masked == {t.replace("p@ss:w0rd!", "[SECRET]") for t in want}
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "key = abc123abc123abc123 abc123abc123abc123 end", "x"), (2, None, "y")], "doc_id long, text string, source string")
     findings = spark.createDataFrame([(1, 2, "abc123abc123abc123", 0.9, True)], "doc_id long, position int, value string, probability double, is_secret boolean")
