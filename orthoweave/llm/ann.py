@@ -103,20 +103,26 @@ def _top(similar: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def block_top(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> pd.DataFrame:
-    """Each query's k nearest in a block of candidates, without itself.
+    """Each query's k nearest distinct ids in a block of candidates, without itself.
 
     Equal vectors get the very same score, so that ties go by id: products are taken over distinct
     vectors, and the scores that are returned are summed pair by pair.
     """
     distinct, inverse = np.unique(c, axis=0, return_inverse=True)
     inverse = inverse.reshape(-1)
+    repeated = len(np.unique(c_ids)) < len(c_ids)
     rows: list[np.ndarray] = []
     found: list[np.ndarray] = []
     for a in range(0, len(q), 512):
         products = q[a : a + 512] @ distinct.T
         for i, row in enumerate(products, a):
             other = np.flatnonzero(c_ids != q_ids[i])
-            best = other[_top(row[inverse[other]], c_ids[other], k)]
+            similar, ids = row[inverse[other]], c_ids[other]
+            if repeated:  # of the rows of an id only the best
+                order = np.lexsort((-similar, ids))
+                order = order[np.concatenate(([True], ids[order][1:] != ids[order][:-1]))[: len(order)]]
+                other, similar, ids = other[order], similar[order], ids[order]
+            best = other[_top(similar, ids, k)]
             rows.append(np.full(len(best), i))
             found.append(best)
     r, f = np.concatenate(rows), np.concatenate(found)
@@ -126,14 +132,11 @@ def block_top(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray
 _HIT = "query_id long, vec_id long, score double"
 
 
-def nearest(hits: DataFrame, k: int, copies: int = 1) -> DataFrame:
-    """The k best distinct vec_id of each query; copies: how often one may occur."""
-    order = [F.desc("score"), F.asc("vec_id")]
-    by_query = Window.partitionBy("query_id").orderBy(*order)
-    if copies > 1:
-        hits = hits.withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= k * copies)
-        hits = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    ranked = hits.withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= k)
+def nearest(hits: DataFrame, k: int) -> DataFrame:
+    """The k best distinct vec_id of each query, with their best scores, however often they occur."""
+    by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
+    best = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    ranked = best.withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
@@ -244,4 +247,4 @@ def search(base: DataFrame, queries: DataFrame, index: Index, k: int = 20, block
         return block_top(q["id"].to_numpy(), np.stack(q["v"].to_list()), c["id"].to_numpy(), np.stack(c["v"].to_list()), k)
 
     hits = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(scored, _HIT)
-    return nearest(hits, k, family.tables)
+    return nearest(hits, k)

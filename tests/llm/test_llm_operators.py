@@ -355,6 +355,15 @@ def test_neighbours_of_odd_vectors(spark):
     assert ann.fit(base.filter("false"), base) is None
 
 
+def test_neighbours_of_repeated_rows(spark):
+    same = [0.6, 0.8, 0.0, 0.0]
+    rows = [(0, same)] * 2 + [(1, same)] * 80 + [(k, [0.6, 0.8, 0.001 * k, 0.0]) for k in range(2, 30) for _ in range(2)]
+    base = ann.valid(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).coalesce(1)
+    queries = base.filter("id = 0")
+    got = ann.search(base, queries, ann.fit(base, queries)).orderBy("rank").collect()
+    assert [(r.rank, r.vec_id) for r in got] == [(k, k) for k in range(1, 21)]
+
+
 def test_rotations_keep_lengths():
     v = np.random.default_rng(1).standard_normal((5, 6))
     f = ann.CrossPolytope(6, fine=2)
