@@ -26,6 +26,8 @@ LETTER, NUMBER, SPACE, OTHER, NONE = 1, 2, 3, 0, 4
 _NEVER = np.int64(1 << 62)
 #: words of at most so many bytes are merged together as rows of a matrix
 _SHORT = 32
+#: words of at most so many bytes are their own keys
+_PLAIN = 7
 _classes: np.ndarray | None = None
 
 
@@ -89,6 +91,7 @@ class SpeculativeBPE:
         #: pairs judged so far: key a * size + b, sorted, and the verdicts
         self.pair_keys = np.zeros(0, dtype=np.int64)
         self.pair_ok = np.zeros(0, dtype=bool)
+        self.pair_limit = 1 << 20
         self.memo_words = memo_words
         self._clear()
 
@@ -199,6 +202,9 @@ class SpeculativeBPE:
             at = np.minimum(np.searchsorted(self.pair_keys, new), len(self.pair_keys) - 1)
             new = new[self.pair_keys[at] != new]
         if len(new):
+            if len(self.pair_keys) > self.pair_limit:  # judged again where they come back
+                self.pair_keys, self.pair_ok = self.pair_keys[:0], self.pair_ok[:0]
+                new = np.unique(keys)
             pairs = [divmod(k, self.size) for k in new.tolist()]
             merged = self.merge_all([self.tokens[a] + self.tokens[b] for a, b in pairs])
             verdicts = np.fromiter((m == [*p] for m, p in zip(merged, pairs, strict=True)), dtype=bool, count=len(new))
@@ -262,12 +268,15 @@ class SpeculativeBPE:
 
     def _clear(self) -> None:
         self.memo: dict[int, int] = {}
+        #: the bytes of every word kept, to be compared whenever its hash is met
+        self.memo_data, self.memo_used = np.zeros(1 << 14, dtype=np.uint8), 0
+        self.memo_from, self.memo_len = np.zeros(1 << 12, dtype=np.int64), np.zeros(1 << 12, dtype=np.int64)
         self.memo_at = np.zeros(1 << 12, dtype=np.int64)
         self.memo_n = np.zeros(1 << 12, dtype=np.int64)
         self.flat = np.zeros(1 << 14, dtype=np.int32)
         self.used = 0
 
-    def _remember(self, keys: list[int], encoded: list[list[int]]) -> None:
+    def _remember(self, keys: list[int], words: list[bytes], encoded: list[list[int]]) -> None:
         def grown(a: np.ndarray, n: int) -> np.ndarray:
             return a if n <= len(a) else np.concatenate((a, np.zeros(max(n, 2 * len(a)) - len(a), dtype=a.dtype)))
 
@@ -281,6 +290,22 @@ class SpeculativeBPE:
         self.flat[self.used : self.used + total] = np.fromiter((t for e in encoded for t in e), dtype=np.int32, count=total)
         self.used += total
         self.memo.update(zip(keys, range(base, base + len(keys)), strict=True))
+        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        size = int(lengths.sum())
+        self.memo_from, self.memo_len = grown(self.memo_from, base + len(keys)), grown(self.memo_len, base + len(keys))
+        self.memo_data = grown(self.memo_data, self.memo_used + size)
+        self.memo_len[base : base + len(keys)] = lengths
+        self.memo_from[base : base + len(keys)] = self.memo_used + np.cumsum(lengths) - lengths
+        self.memo_data[self.memo_used : self.memo_used + size] = np.frombuffer(b"".join(words), dtype=np.uint8)
+        self.memo_used += size
+
+    @staticmethod
+    def _same(data: np.ndarray, at: np.ndarray, n: np.ndarray, other: np.ndarray, other_at: np.ndarray, other_n: np.ndarray) -> bool:
+        """Are data[at:at + n] and other[other_at:other_at + other_n] the same bytes, for all of them?"""
+        if (n != other_n).any():
+            return False
+        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        return bool((data[np.repeat(at, n) + inside] == other[np.repeat(other_at, n) + inside]).all())
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids (int32 arrays) of each text, as the tokenizers library gives them; null counts as empty."""
@@ -322,23 +347,8 @@ class SpeculativeBPE:
             width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
             at = (np.cumsum(width) - width)[words]
         ends = np.append(at[1:], len(data))
-        keys, first, inverse = np.unique(byte_span_hashes(data, at, ends), return_index=True, return_inverse=True)
-        memo, key_list = self.memo, keys.tolist()
-        index = [memo.get(k, -1) for k in key_list]
-        missing = [i for i, x in enumerate(index) if x < 0]
-        if missing:
-            spans = [raw[at[first[i]] : ends[first[i]]] for i in missing]
-            encoded = self.encode_words(spans)
-            if is_special and any(is_special):
-                encoded = [[self.special[s]] if (s := w.decode("utf-8", "replace")) in self.special else e for w, e in zip(spans, encoded, strict=True)]
-            base = len(memo)
-            self._remember([key_list[i] for i in missing], encoded)
-            for k, i in enumerate(missing):
-                index[i] = base + k
-        of_word = np.asarray(index, dtype=np.int64)[inverse]
-        counts = self.memo_n[of_word]
-        past = np.cumsum(counts)
-        ids = self.flat[np.arange(int(past[-1])) + np.repeat(self.memo_at[of_word] - (past - counts), counts)]
+        special = {} if not is_special else self.special
+        ids, past = self._known(raw, data, at, ends, special) or self._by_bytes(raw, at, ends, special)
         # the words of part i are those from the first that starts at firsts[i]
         edge = np.concatenate((np.searchsorted(words, firsts), [len(words)]))
         bounds = np.concatenate(([0], past))[edge]
@@ -347,6 +357,60 @@ class SpeculativeBPE:
         marks = np.searchsorted(np.asarray(of_text), np.arange(len(texts) + 1))
         return [ids[bounds[marks[i]] : bounds[marks[i + 1]]] for i in range(len(texts))]
 
+    def _new(self, words: list[bytes], special: dict[str, int]) -> list[list[int]]:
+        encoded = self.encode_words(words)
+        return [[special[s]] if special and (s := w.decode("utf-8", "replace")) in special else e for w, e in zip(words, encoded, strict=True)]
+
+    @staticmethod
+    def _keys(data: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A 64-bit key of each word, and which of them are hashes: up to 7 bytes are a key as they are."""
+        eight = np.ndarray(shape=(len(data),), dtype="<u8", buffer=np.concatenate((data, np.zeros(8, dtype=np.uint8))), strides=(1,))
+        short = np.minimum(n, _PLAIN).astype(np.uint64) << np.uint64(3)
+        keys = (eight[at] & ((np.uint64(1) << short) - np.uint64(1))) | (n.astype(np.uint64) << np.uint64(56))
+        hashed = np.flatnonzero(n > _PLAIN)
+        if len(hashed):
+            size = n[hashed]
+            past = np.cumsum(size)
+            inside = np.repeat(at[hashed] - (past - size), size) + np.arange(int(past[-1]))
+            keys[hashed] = byte_span_hashes(data[inside], past - size, past) | np.uint64(1 << 63)
+        return keys, hashed
+
+    def _known(self, raw: bytes, data: np.ndarray, at: np.ndarray, ends: np.ndarray, special: dict[str, int]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of the words of a batch, and how many there are up to each word, by keys.
+
+        Every hashed word is compared byte by byte with the one that stands for its key, in the batch
+        and in the memo; None if two words share a key.
+        """
+        n = ends - at
+        by_word, checked = self._keys(data, at, n)
+        keys, first, inverse = np.unique(by_word, return_index=True, return_inverse=True)
+        lead = first[inverse[checked]]
+        if not self._same(data, at[checked], n[checked], data, at[lead], n[lead]):
+            return None
+        memo, key_list = self.memo, keys.tolist()
+        index = np.fromiter((memo.get(k, -1) for k in key_list), dtype=np.int64, count=len(key_list))
+        hit = np.flatnonzero((index >= 0) & (n[first] > _PLAIN))
+        if not self._same(data, at[first[hit]], n[first[hit]], self.memo_data, self.memo_from[index[hit]], self.memo_len[index[hit]]):
+            return None
+        missing = np.flatnonzero(index < 0)
+        if len(missing):
+            spans = [raw[at[first[i]] : ends[first[i]]] for i in missing]
+            base = len(memo)
+            self._remember([key_list[i] for i in missing], spans, self._new(spans, special))
+            index[missing] = np.arange(base, base + len(missing))
+        of_word = index[inverse]
+        counts = self.memo_n[of_word]
+        past = np.cumsum(counts)
+        return self.flat[np.arange(int(past[-1])) + np.repeat(self.memo_at[of_word] - (past - counts), counts)], past
+
+    def _by_bytes(self, raw: bytes, at: np.ndarray, ends: np.ndarray, special: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """As _known, by the words themselves."""
+        words = [raw[a:b] for a, b in zip(at.tolist(), ends.tolist(), strict=True)]
+        distinct = list(dict.fromkeys(words))
+        ids = dict(zip(distinct, self._new(distinct, special), strict=True))
+        past = np.cumsum([len(ids[w]) for w in words])
+        return np.fromiter((t for w in words for t in ids[w]), dtype=np.int32, count=int(past[-1])), past
+
     # -- decoding -----------------------------------------------------------------------------
 
     def decode(self, ids: np.ndarray) -> str:

@@ -2,22 +2,49 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
-# Odd multipliers of the polynomial hashes; odd numbers have inverses modulo 2**64.
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: words of more bytes are hashed by BLAKE2b, so that the table of multipliers has a fixed size
+_LONG_WORD = 4096
+_PRIME = (1 << 61) - 1
+_P, _M31, _M30 = np.uint64(_PRIME), np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+_ONE, _B30, _B31, _B61 = np.uint64(1), np.uint64(30), np.uint64(31), np.uint64(61)
+# Bases of the polynomial hashes of spans of words, drawn once.
+_BASES = (0x0D1B54A32D192ED03 % _PRIME, 0x1A0761D6478BD642F % _PRIME)
 _powers: dict[tuple[int, int], np.ndarray] = {}
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo 2**61 - 1."""
+    x = (x & _P) + (x >> _B61)
+    return np.where(x >= _P, x - _P, x)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2**61 - 1 of numbers below it, by halves of 30 and 31 bits."""
+    au, ad, bu, bd = a >> _B31, a & _M31, b >> _B31, b & _M31
+    middle = ad * bu + au * bd
+    return _reduced(((au * bu) << _ONE) + (middle >> _B30) + ((middle & _M30) << _B31) + ad * bd)
+
+
+def _running(x: np.ndarray) -> np.ndarray:
+    """0 and the running sums of x modulo 2**61 - 1."""
+    out = np.zeros(len(x) + 1, dtype=np.uint64)
+    high = _reduced(np.cumsum(x >> _B31))
+    out[1:] = _reduced((((high << _B31) & _P) | (high >> _B30)) + _reduced(np.cumsum(x & _M31)))
+    return out
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept between calls and grown by doubling."""
+    """base**0 .. base**(n-1) modulo 2**61 - 1, kept between calls and grown by doubling."""
     for inverse in (0, 1):
-        have = _powers.get((base, inverse))
-        if have is None or len(have) < n:
-            b = base if not inverse else pow(base, -1, 1 << 64)
-            out = np.full(max(n, 1 << 16), b, dtype=np.uint64)
-            out[0] = 1
-            _powers[base, inverse] = np.multiply.accumulate(out)
+        have = _powers.get((base, inverse), np.ones(1, dtype=np.uint64))
+        step = base if not inverse else pow(base, -1, _PRIME)
+        while len(have) < n:
+            have = np.concatenate((have, _times(have, np.uint64(pow(step, len(have), _PRIME)))))
+        _powers[base, inverse] = have
     return _powers[base, 0]
 
 
@@ -30,24 +57,41 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+def _drawn(n: int, seed: int) -> np.ndarray:
+    return mix(mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + np.uint64(seed))
+
+
+_BYTE_CODES = [_drawn(256, 0x632BE59BD9B4E019 + k) for k in range(2)]
+_PLACE_CODES = [_drawn(_LONG_WORD, 0x2545F4914F6CDD1D + k) for k in range(2)]
 
 
 def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """64-bit hashes of codes[start:end] for all spans at once, by prefix sums of a polynomial."""
+    """64-bit hashes of codes[start:end] for all spans at once: a polynomial modulo the prime 2**61 - 1."""
     base = _BASES[which]
     n = len(codes)
     up = powers(base, n + 1)
-    down = _powers[base, 1]
-    sums = np.empty(n + 1, dtype=np.uint64)
-    sums[0] = 0
-    np.cumsum(codes * up[:n], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * down[starts]
+    sums = _running(_times(_reduced(codes), up[:n]))
+    h = _times(_reduced(sums[ends] + (_P - sums[starts])), _powers[base, 1][starts])
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def byte_span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    return span_hashes(_BYTE_CODES[data], starts, ends, which)
+    """64-bit hashes of data[start:end] for sorted spans that do not overlap.
+
+    Each place in a span has a multiplier of its own (a multilinear hash), so no pattern of bytes makes
+    sums equal; a polynomial modulo 2**64 would take regular words of 512 bytes for each other.
+    """
+    place = np.zeros(len(data), dtype=np.int64)
+    place[starts] = starts
+    place = np.arange(len(data)) - np.maximum.accumulate(place)
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE_CODES[which][data] * _PLACE_CODES[which][np.minimum(place, _LONG_WORD - 1)], out=sums[1:])
+    lengths = ends - starts
+    h = mix(sums[ends] - sums[starts] + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    for i in np.flatnonzero(lengths > _LONG_WORD).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, salt=bytes([which]))
+        h[i] = int.from_bytes(digest.digest(), "little")
+    return h
 
 
 def ascii_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
