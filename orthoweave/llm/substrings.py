@@ -3,15 +3,19 @@
 The reference is the corpus itself, each passage where it occurs first. It is indexed by anchors: of
 the n-grams in a window of `width` words the one with the least hash is the window's anchor, so equal
 windows have equal anchors at equal places. Consecutive windows with one anchor make a segment. The
-index is cut into blocks by anchor hash, and every document's segments are looked up in the blocks:
-
-* a segment that occurs earlier as a whole is one factor, copied from its first occurrence;
-* a segment whose anchor occurs elsewhere in another segment lies at a factor boundary; its windows
-  are looked up one by one (only at the first occurrence of the segment, the others are copies).
-
-Both lookups sort a block and stream through it, holding one row. Before a row is sent, each batch keeps
-the first of its equal segments only, so a passage that all documents share reaches a block once a
-batch. Factors of a document that continue in the same source are joined greedily, longest first.
+index is cut into blocks by segment hash and holds every distinct segment once, at its first
+occurrence, so a place of a document has one longest match in it:
+
+* seeds: a segment that occurs earlier as a whole is matched with its first occurrence;
+* boundaries: where a segment has no match as a whole but its anchor occurs in other segments, a match
+  begins or ends inside it; its windows are looked up one by one;
+* parse: seeds and windows that go on in the same source grow into matches as long as they go, and
+  each document is factored greedily: of the matches that cover the next repeated window the one that
+  reaches farthest becomes a factor, and the parse steps past it (parse()).
+
+Lookups sort a block and stream through it, holding one row. Before a row is sent, a task matches its own
+equal segments with the first of them, so a passage that all documents share reaches its block about once a
+task; such a match names that earlier place of the task as its source.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from .vectors import Texts, mix, span_hashes
 _NONE = 2**63 - 1
 _FACT = "kind int, route long, e long, e2 int, doc long, start int, n int, src_doc long, src_start int, fp int"
 _NAMES = [f.split()[0] for f in _FACT.split(", ")]
-SETTLED, INDEXED, NEEDED = 0, 1, 2
+SETTLED, INDEXED, FIRST = 0, 1, 2
 
 
 def _batch(**columns) -> pa.RecordBatch:
@@ -36,7 +40,32 @@ def _batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[k], type=kinds.get(k, pa.int64())) for k in _NAMES], names=_NAMES)
 
 
-def _first_in_batch(route, e, e2, doc, start, n, fp):
+class _Seen:
+    """Passages that a task has met more than once, with a place of each; emptied when full (results do not depend on it)."""
+
+    def __init__(self, limit: int = 1 << 16):
+        self.limit = limit
+        self.e = self.e2 = self.doc = self.start = np.zeros(0, dtype=np.int64)
+
+    def sources(self, e, e2, doc, start):
+        """For each passage whether it is known from an earlier place, and that place."""
+        if not len(self.e):
+            return np.zeros(len(e), dtype=bool), doc, start
+        at = np.minimum(np.searchsorted(self.e, e), len(self.e) - 1)
+        known = (self.e[at] == e) & (self.e2[at] == e2) & ((self.doc[at] < doc) | ((self.doc[at] == doc) & (self.start[at] < start)))
+        return known, self.doc[at], self.start[at]
+
+    def note(self, e, e2, doc, start):
+        """Keep these; of two with one hash the one with the earlier place."""
+        if len(self.e) + len(e) > self.limit:
+            self.__init__(self.limit)
+        e, e2, doc, start = (np.concatenate(x) for x in ((self.e, e), (self.e2, e2), (self.doc, doc), (self.start, start)))
+        order = np.lexsort((start, doc, e))
+        order = order[np.concatenate(([True], e[order][1:] != e[order][:-1]))[: len(order)]]
+        self.e, self.e2, self.doc, self.start = e[order], e2[order], doc[order], start[order]
+
+
+def _first_in_batch(seen: _Seen, route, e, e2, doc, start, n, fp):
     """Rows of a batch in (doc, start) order: the first of equal rows is INDEXED, the others are SETTLED as its copies."""
     order = np.argsort(e, kind="stable")
     same = np.zeros(len(order), dtype=bool)
@@ -45,14 +74,22 @@ def _first_in_batch(route, e, e2, doc, start, n, fp):
     rows, source = order[same], lead[same]
     earlier = (doc[source] != doc[rows]) | (start[source] != start[rows])
     rows, source = rows[earlier], source[earlier]
-    if len(rows):
-        spread = mix(doc[rows].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + start[rows].astype(np.uint64)).view(np.int64)
-        zero = np.zeros(len(rows), dtype=np.int64)
-        yield _batch(kind=np.full(len(rows), SETTLED), route=spread, e=zero, e2=zero, doc=doc[rows], start=start[rows], n=n[rows], src_doc=doc[source], src_start=start[source], fp=fp[rows])
-    rows = np.sort(order[~same])
-    if len(rows):
-        zero = np.zeros(len(rows), dtype=np.int64)
-        yield _batch(kind=np.full(len(rows), INDEXED), route=route[rows], e=e[rows], e2=e2[rows], doc=doc[rows], start=start[rows], n=n[rows], src_doc=zero, src_start=zero, fp=fp[rows])
+    firsts = np.sort(order[~same])
+    known, src_doc, src_start = seen.sources(e[firsts], e2[firsts], doc[firsts], start[firsts])
+    settled = np.concatenate((rows, firsts[known]))
+    if len(settled):
+        spread = mix(doc[settled].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + start[settled].astype(np.uint64)).view(np.int64)
+        zero = np.zeros(len(settled), dtype=np.int64)
+        yield _batch(
+            kind=np.full(len(settled), SETTLED), route=zero, e=spread, e2=zero, doc=doc[settled], start=start[settled], n=n[settled],
+            src_doc=np.concatenate((doc[source], src_doc[known])), src_start=np.concatenate((start[source], src_start[known])), fp=fp[settled],
+        )
+    indexed = firsts[~known]
+    if len(indexed):
+        zero = np.zeros(len(indexed), dtype=np.int64)
+        yield _batch(kind=np.full(len(indexed), INDEXED), route=route[indexed], e=e[indexed], e2=e2[indexed], doc=doc[indexed], start=start[indexed], n=n[indexed], src_doc=zero, src_start=zero, fp=fp[indexed])
+    repeated = np.unique(source)
+    seen.note(e[repeated], e2[repeated], doc[repeated], start[repeated])
 
 
 def _sorted_texts(batches, limit: int = 1 << 20):
@@ -102,6 +139,7 @@ def _segments(words: Texts, width: int, gram: int):
 
 def _index_rows(width: int, gram: int):
     def run(batches):
+        seen = _Seen()
         for ids, texts, prints, _ in _sorted_texts(batches):
             words = Texts(texts, 2)
             found = _segments(words, width, gram)
@@ -111,7 +149,7 @@ def _index_rows(width: int, gram: int):
             ends = at + n + width - 1
             e = span_hashes(words.hashes[0], at, ends).view(np.int64)
             e2 = (span_hashes(words.hashes[1], at, ends, 1) >> np.uint64(33)).astype(np.int64)
-            yield from _first_in_batch(anchors.view(np.int64), e, e2, ids[text], at - words.first[text], n, prints[text])
+            yield from _first_in_batch(seen, anchors.view(np.int64), e, e2, ids[text], at - words.first[text], n, prints[text])
 
     return run
 
@@ -120,6 +158,7 @@ def _window_rows(width: int):
     """Windows of the segments (start, n) that come with each text."""
 
     def run(batches):
+        seen = _Seen()
         for ids, texts, prints, wanted in _sorted_texts(batches):
             words = Texts(texts, 2)
             n = np.array([w["n"] for part in wanted for w in part], dtype=np.int64)
@@ -132,20 +171,19 @@ def _window_rows(width: int):
             at = place + words.first[text]
             e = span_hashes(words.hashes[0], at, at + width)
             e2 = (span_hashes(words.hashes[1], at, at + width, 1) >> np.uint64(33)).astype(np.int64)
-            yield from _first_in_batch(e.view(np.int64), e.view(np.int64), e2, ids[text], place, np.ones(len(at), dtype=np.int64), prints[text])
+            yield from _first_in_batch(seen, np.zeros(len(at), dtype=np.int64), e.view(np.int64), e2, ids[text], place, np.ones(len(at), dtype=np.int64), prints[text])
 
     return run
 
 
-def _look_up(with_needs: bool):
-    """Streams rows sorted by (kind, route, e, e2, doc, start): the first of equal rows is the source of the others.
+def _look_up(with_firsts: bool):
+    """Streams rows sorted by (kind, e, e2, doc, start): the first of equal rows is the source of the others.
 
-    with_needs: where an anchor has several different segments, their first occurrences come out as NEEDED.
+    with_firsts: the first rows come out too, as FIRST.
     """
 
     def run(batches):
         lead = None  # key and place of the current source
-        lone = None  # (route, doc, start, n, fp, how many different segments this anchor has had)
         for batch in batches:
             cols = {k: batch.column(i).to_numpy(zero_copy_only=False) for i, k in enumerate(_NAMES)}
             settled = cols["kind"] == SETTLED
@@ -156,8 +194,8 @@ def _look_up(with_needs: bool):
             if not rows:
                 continue
             new = np.ones(rows, dtype=bool)
-            new[1:] = (c["route"][1:] != c["route"][:-1]) | (c["e"][1:] != c["e"][:-1]) | (c["e2"][1:] != c["e2"][:-1])
-            new[0] = lead is None or lead[:3] != (c["route"][0], c["e"][0], c["e2"][0])
+            new[1:] = (c["e"][1:] != c["e"][:-1]) | (c["e2"][1:] != c["e2"][:-1])
+            new[0] = lead is None or lead[:2] != (c["e"][0], c["e2"][0])
             firsts = np.flatnonzero(new)
             at = np.cumsum(new) - 1  # -1: still the source of an earlier batch
             if len(firsts):
@@ -165,56 +203,63 @@ def _look_up(with_needs: bool):
             else:
                 src_doc, src_start = np.zeros(rows, dtype=np.int64), np.zeros(rows, dtype=np.int64)
             if lead is not None:
-                src_doc, src_start = np.where(at < 0, lead[3], src_doc), np.where(at < 0, lead[4], src_start)
+                src_doc, src_start = np.where(at < 0, lead[2], src_doc), np.where(at < 0, lead[3], src_start)
             copy = ~new & ((src_doc != c["doc"]) | (src_start != c["start"]))
             if copy.any():
                 zero = np.zeros(int(copy.sum()), dtype=np.int64)
                 yield _batch(kind=zero + SETTLED, route=zero, e=zero, e2=zero, doc=c["doc"][copy], start=c["start"][copy], n=c["n"][copy], src_doc=src_doc[copy], src_start=src_start[copy], fp=c["fp"][copy])
             if len(firsts):
                 i = firsts[-1]
-                lead = (c["route"][i], c["e"][i], c["e2"][i], c["doc"][i], c["start"][i])
-            if not with_needs or not len(firsts):
-                continue
-            routes = c["route"][firsts]
-            run_start = np.ones(len(firsts), dtype=bool)
-            run_start[1:] = routes[1:] != routes[:-1]
-            runs = np.flatnonzero(run_start)
-            length = np.diff(np.append(runs, len(firsts)))
-            total = length.copy()
-            goes_on = lone is not None and lone[0] == routes[0]
-            if goes_on:
-                total[0] += lone[5]
-            chosen = firsts[np.repeat(total > 1, length)]
-            doc, start, n, fp = (c[k][chosen] for k in ("doc", "start", "n", "fp"))
-            if goes_on and lone[5] == 1:
-                doc, start, n, fp = (np.append(x, y) for x, y in zip((doc, start, n, fp), lone[1:5], strict=True))
-            if len(doc):
-                zero = np.zeros(len(doc), dtype=np.int64)
-                yield _batch(kind=zero + NEEDED, route=zero, e=zero, e2=zero, doc=doc, start=start, n=n, src_doc=zero, src_start=zero, fp=fp)
-            i = firsts[runs[-1]]
-            lone = (routes[-1], c["doc"][i], c["start"][i], c["n"][i], c["fp"][i], int(total[-1]))
+                lead = (c["e"][i], c["e2"][i], c["doc"][i], c["start"][i])
+            if with_firsts and len(firsts):
+                zero = np.zeros(len(firsts), dtype=np.int64)
+                yield _batch(kind=zero + FIRST, route=c["route"][firsts], e=zero, e2=zero, doc=c["doc"][firsts], start=c["start"][firsts], n=c["n"][firsts], src_doc=zero, src_start=zero, fp=c["fp"][firsts])
 
     return run
 
 
-def _looked_up(rows: DataFrame, with_needs: bool) -> DataFrame:
-    dealt = rows.repartition("route").sortWithinPartitions("kind", "route", "e", "e2", "doc", "start")
-    return dealt.mapInArrow(_look_up(with_needs), _FACT)
+def _looked_up(rows: DataFrame, with_firsts: bool) -> DataFrame:
+    dealt = rows.repartition("e").sortWithinPartitions("kind", "e", "e2", "doc", "start")
+    return dealt.mapInArrow(_look_up(with_firsts), _FACT)
 
 
 _SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType()), T.StructField("src_doc", T.LongType()), T.StructField("src_start", T.IntegerType())])
 _RESULT = T.StructType([T.StructField("doc", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()), T.StructField("spans", T.ArrayType(_SPAN))])
 
 
-def join_factors(start: np.ndarray, n: np.ndarray, src_doc: np.ndarray, src_start: np.ndarray, width: int):
-    """Factors of one document joined where they go on in the same source: start, length in words, source."""
+def parse(start: np.ndarray, n: np.ndarray, src_doc: np.ndarray, src_start: np.ndarray, width: int):
+    """Greedy factors of one document, from its matches of n windows each: start, length in words, source.
+
+    Matches that go on in the same source are one match. The next factor is, of the matches that hold the
+    next window that no factor covers, the one that reaches farthest; where there is none the parse goes
+    on at the next match. Every matched window lies in a factor.
+    """
     order = np.lexsort((-n, start))
     start, n, src_doc, src_start = start[order], n[order], src_doc[order], src_start[order]
-    cut = np.ones(len(start), dtype=bool)
-    cut[1:] = (src_doc[1:] != src_doc[:-1]) | (np.diff(src_start) != np.diff(start)) | (start[1:] > start[:-1] + n[:-1])
-    heads = np.flatnonzero(cut)
-    ends = np.maximum.reduceat(start + n + width - 1, heads)
-    return start[heads], ends - start[heads], src_doc[heads], src_start[heads]
+    chains: dict[tuple[int, int], int] = {}  # (source, shift) -> its last match
+    first, last, source = [], [], []
+    for a, k, d, c in zip(start.tolist(), n.tolist(), src_doc.tolist(), src_start.tolist(), strict=True):
+        i = chains.get((d, c - a))
+        if i is not None and a <= last[i]:
+            last[i] = max(last[i], a + k)
+        else:
+            chains[d, c - a] = len(first)
+            first.append(a)
+            last.append(a + k)
+            source.append((d, c))
+    factors, at, i = [], -1, 0  # windows before `at` are done
+    while i < len(first):
+        at = max(at, first[i])
+        best = None
+        while i < len(first) and first[i] <= at:
+            if last[i] > at and (best is None or last[i] > last[best]):
+                best = i
+            i += 1
+        if best is not None:
+            factors.append(best)
+            at = last[best]  # no match passed over reaches farther
+    spans = np.array([(first[i], last[i] - first[i] + width - 1, *source[i]) for i in factors], dtype=np.int64).reshape(-1, 4)
+    return spans[:, 0], spans[:, 1], spans[:, 2], spans[:, 3]
 
 
 def _remove(width: int):
@@ -232,7 +277,7 @@ def _remove(width: int):
                     spans.append([])
                     continue
                 start, n, src_doc, src_start = (np.array([f[k] for f in facts], dtype=np.int64) for k in ("start", "n", "src_doc", "src_start"))
-                start, length, src_doc, src_start = join_factors(start, n, src_doc, src_start, width)
+                start, length, src_doc, src_start = parse(start, n, src_doc, src_start, width)
                 edge = np.zeros(len(words) + 1, dtype=np.int64)
                 np.add.at(edge, start, 1)
                 np.add.at(edge, start + length, -1)
@@ -251,12 +296,12 @@ def remove_repeats(docs: DataFrame, width: int = 20, gram: int = 8, id_col: str
 
     Words are runs of characters other than ASCII white space. A window of `width` words is repeated if
     its words also start earlier: in a document with a smaller id, or earlier in the same one; all its
-    words go. kept: the other words joined by blanks. spans: the factors (first word, number of words,
-    source document and word there), which may overlap.
+    words go. kept: the other words joined by blanks. spans: the factors of parse() (first word, number
+    of words, source document and word there); neighbours may overlap by words, never by all windows.
 
     Null texts have no words. Rows with one id count as one document each in the same place: a row
     does not make its own repetition repeated. Null ids come after all others and count as one id.
-    Windows are compared by 95-bit hashes. Texts shorter than a window are kept as they are.
+    Windows are compared by hashes of 64 and 31 bits (61 and 31 of them independent). Texts shorter than a window are kept as they are.
     carry: columns of docs that come along unchanged, in a struct column `row`.
     """
     doc, text = F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("doc"), F.col(text_col).cast("string").alias("text")
@@ -266,8 +311,11 @@ def remove_repeats(docs: DataFrame, width: int = 20, gram: int = 8, id_col: str
     # both joins below read this one exchange of the texts
     dealt = texts.repartition("doc", "fp")
     rest = ["row"] if carry else []
-    facts = stage(_looked_up(texts.select("doc", "text", "fp").mapInArrow(_index_rows(width, gram), _FACT), True), "substring-factors")
-    needs = facts.filter(F.col("kind") == NEEDED).groupBy("doc", "fp").agg(F.collect_set(F.struct("start", "n")).alias("wanted"))
+    facts = stage(_looked_up(texts.select("doc", "text", "fp").mapInArrow(_index_rows(width, gram), _FACT), True), "substring-seeds")
+    # anchors of two or more different segments: a match may begin or end inside these
+    firsts = facts.filter(F.col("kind") == FIRST).select("route", "doc", "start", "n", "fp")
+    shared = firsts.groupBy("route").agg(F.count(F.lit(1)).alias("segments")).filter("segments > 1").select("route")
+    needs = firsts.join(shared, "route", "left_semi").groupBy("doc", "fp").agg(F.collect_set(F.struct("start", "n")).alias("wanted"))
     windows = dealt.join(needs, ["doc", "fp"]).select("doc", "text", "fp", "wanted", *rest).mapInArrow(_window_rows(width), _FACT)
     factors = facts.filter(F.col("kind") == SETTLED).unionByName(_looked_up(windows, False))
     by_doc = factors.groupBy("doc", "fp").agg(F.collect_list(F.struct("start", "n", "src_doc", "src_start")).alias("facts"))

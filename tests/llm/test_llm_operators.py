@@ -147,6 +147,79 @@ def test_substrings_against_brute_force(spark):
     assert collected(got) == brute_repeats(rows)
 
 
+def morse(n):
+    """A word of a and b, and its complement: polynomial hashes modulo 2**64 take such pairs for each other."""
+    word, swap = "a", str.maketrans("ab", "ba")
+    while len(word) < n:
+        word += word.translate(swap)
+    return word, word.translate(swap)
+
+
+@pytest.mark.parametrize("n", [512, 1024, 2048, 8192])
+def test_regular_words_are_told_apart(spark, library, n):
+    x, y = morse(n)
+    common = [f"w{k}" for k in range(25)]
+    rows = [(1, " ".join([*common[:12], x, *common[12:]])), (2, " ".join([*common[:12], y, *common[12:]])), (3, x), (4, y)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert collected(substrings.remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept")) == brute_repeats(rows)
+    assert {r.doc_id: r.n_links for r in jaccard.join_similar(docs).collect()} == dict.fromkeys((1, 2, 3, 4), 0)
+    got = {r.doc_id: r for r in tokens.encode_decode(docs).collect()}
+    assert all(got[i].ids == library.encode(t, add_special_tokens=False).ids and got[i].decoded == t for i, t in rows)
+
+
+def test_words_with_one_key_are_compared(library, monkeypatch):
+    monkeypatch.setattr(bpe, "byte_span_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64))
+    coder = bpe.SpeculativeBPE(tokens.default_vocabulary())
+    for texts in (["remember yesterday tomorrow afternoon"], ["somewhere nonsense <|endoftext|> everywhere"], ["remember nonsense"]):
+        assert [g.tolist() for g in coder.encode(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_parse_takes_the_farthest_match_and_steps_past_it():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        m = int(rng.integers(1, 12))
+        start, n = rng.integers(0, 30, m), rng.integers(1, 8, m)
+        src_doc, shift = rng.integers(0, 3, m), rng.integers(100, 102, m)
+        spans = list(zip(*(x.tolist() for x in substrings.parse(start, n, src_doc, start + shift, 20)), strict=True))
+        # matches that go on in the same source count as one
+        runs = []
+        for key in set(zip(src_doc.tolist(), shift.tolist(), strict=True)):
+            windows = sorted({k for a, c, d, h in zip(start, n, src_doc, shift, strict=True) if (d, h) == key for k in range(a, a + c)})
+            for k in windows:
+                if runs and runs[-1][0] == key and runs[-1][2] == k:
+                    runs[-1][2] = k + 1
+                else:
+                    runs.append([key, k, k + 1])
+        want, at = [], -1
+        while rest := [(a, b, key) for key, a, b in runs if b > at]:
+            at = max(at, min(a for a, _, _ in rest))
+            end = max(b for a, b, _ in rest if a <= at)
+            want.append(end)
+            at = end
+        assert [a + length - 19 for a, length, _, _ in spans] == want
+        assert all(any(key == (d, c - a) and x <= a and a + length - 19 == y for key, x, y in runs) for a, length, d, c in spans)
+
+
+def test_factors_cover_the_repeated_windows(spark):
+    rng = np.random.default_rng(9)
+    blocks = [" ".join(rng.choice(list("abcdefgh"), n)) for n in (19, 22, 45, 80, 130)]
+    rows = [(i, " ".join(rng.choice(blocks + ["p q", "r s t"], rng.integers(0, 8)))) for i in range(80)]
+    words = {i: WORD.findall(t) for i, t in rows}
+    first = {}
+    for i, w in words.items():
+        for k in range(len(w) - 19):
+            first.setdefault(tuple(w[k : k + 20]), (i, k))
+    for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect():
+        w, covered, end = words[r.doc_id], set(), 0
+        for s in r.spans:
+            last = s.start + s.length - 19
+            assert last > end and (s.src_doc, s.src_start) < (r.doc_id, s.start)  # goes past the one before, and copies from before
+            assert w[s.start : s.start + s.length] == words[s.src_doc][s.src_start : s.src_start + s.length]
+            covered |= set(range(s.start, last))
+            end = last
+        assert covered == {k for k in range(len(w) - 19) if first[tuple(w[k : k + 20])] != (r.doc_id, k)}
+
+
 def test_substrings_odd_rows(odd_documents, no_documents):
     got = substrings.remove_repeats(odd_documents, carry=tuple(odd_documents.columns))
     assert collected(got.select("doc_id", "n_words", "n_removed", "kept")) == brute_repeats([(r.doc_id, r.text) for r in odd_documents.collect()])
