@@ -24,10 +24,9 @@ def encode_decode(docs: DataFrame, vocabulary: str | None = None, id_col: str =
     stands for itself, so repeated rows and null or repeated ids are kept; other columns are not read.
     There is no shuffle: a task holds one Arrow batch at a time.
     """
-    path = vocabulary or default_vocabulary()
 
     def run(batches):
-        coder = bpe.load(path)
+        coder = bpe.load(vocabulary or default_vocabulary())  # each machine has its own place for the file
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in bpe.chunks(texts, 1 << 21):

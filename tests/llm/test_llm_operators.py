@@ -101,17 +101,81 @@ def test_packing(spark, documents, library):
 
 def test_packing_over_a_deep_tree(spark, documents, library):
     items = packing.pieces(documents.repartition(23), capacity=512)
-    packed = packing.pack(items, 512, fan_in=2, carried=5).collect()
+    packed = packing.pack(items, 512, fan_in=2, rows_per_task=100).collect()
     check_packing(documents, packed, library, 512)
 
 
+def lengths_table(spark, lengths, capacity):
+    assert max(lengths) <= capacity
+    return spark.createDataFrame([(k, 0, 0, int(n), k % 97) for k, n in enumerate(lengths)], packing._PIECE)
+
+
+def sequences(packed, capacity, lengths):
+    """Checks places without gaps and gives the number of sequences."""
+    rows = packed.collect()
+    assert sorted((r.doc_id, r.length) for r in rows) == [(k, n) for k, n in enumerate(lengths)]
+    held = defaultdict(list)
+    for r in rows:
+        held[r.sequence_id].append((r.offset, r.length))
+    for places in held.values():
+        ends = [0, *np.cumsum([n for _, n in sorted(places)]).tolist()]
+        assert [o for o, _ in sorted(places)] == ends[:-1] and ends[-1] <= capacity
+    return len(held)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_bins_that_stay_behind_cost_no_sequence(spark, seed):
+    rng = np.random.default_rng(seed)
+    lengths = (rng.integers(1, 65, 900) if seed % 2 else rng.choice([7, 20, 33, 40, 51], 900)).tolist()
+    items = lengths_table(spark, lengths, 64)
+    used = [sequences(packing.pack(items, 64, nearly_full=1, fan_in=2, rows_per_task=40, hand_up=n), 64, lengths) for n in (None, 10**6)]
+    assert used[0] == used[1]
+
+
+def test_order_of_lengths_does_not_matter(spark):
+    rng = np.random.default_rng(1)
+    lengths = sorted(np.minimum(2048, 1 + rng.gamma(1.5, 500, 20_000).astype(int)).tolist())
+    used = sequences(packing.pack(lengths_table(spark, lengths, 2048), rows_per_task=2500), 2048, lengths)
+    assert used <= -(-sum(lengths) // 2048) * 1.02
+
+
+def least_sequences(lengths, capacity):
+    """The exact least number, by trying every bin for each item."""
+    best = [len(lengths)]
+
+    def put(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(lengths):
+            best[0] = len(bins)
+            return
+        for k in range(len(bins)):
+            if bins[k] + lengths[i] <= capacity and bins[k] not in bins[:k]:
+                put(i + 1, [*bins[:k], bins[k] + lengths[i], *bins[k + 1 :]])
+        put(i + 1, [*bins, lengths[i]])
+
+    put(0, [])
+    return best[0]
+
+
+def test_small_packings_against_the_exact_least_number(spark):
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        lengths = sorted(rng.integers(1, 11, 9).tolist(), reverse=True)
+        used = len(packing.best_fit(lengths, 10)[2])
+        assert least_sequences(lengths, 10) <= used <= least_sequences(lengths, 10) * 11 / 9 + 6 / 9
+    lengths = [5, 5, 6, 4, 7, 3, 8, 2, 9, 1]
+    assert sequences(packing.pack(lengths_table(spark, lengths, 10), 10), 10, lengths) == least_sequences(lengths, 10) == 5
+
+
 def test_packing_odd_rows(odd_documents, no_documents, library):
     check_packing(odd_documents, packing.pack_documents(odd_documents).collect(), library)
     assert packing.pack_documents(no_documents).count() == 0
 
 
 def test_best_fit_takes_the_fullest_bin():
-    assert packing.best_fit([6, 5, 4, 3, 2], 10) == [[0, 2], [1, 3, 4]]
+    bins, offsets, fills = packing.best_fit([6, 5, 4, 3, 2], 10)
+    assert (bins.tolist(), offsets.tolist(), fills.tolist()) == ([0, 1, 0, 1, 1], [0, 0, 6, 5, 8], [10, 10])
 
 
 # -- substrings ---------------------------------------------------------------------------------
