@@ -1,11 +1,12 @@
 """Approximate nearest neighbours by cross-polytope hashing with multiprobe tables.
 
 A unit vector is rotated by three rounds of random signs and a fast Hadamard transform; its hash is the
-nearest signed axis. Where the table is so large that 2 * dim buckets would hold more than
-`bucket_rows` each, a second rotation, read on its first axes only, refines the hash. Queries probe the
-buckets in the order of the rotated coordinates. How many they probe is measured: for a bounded sample
-of queries the true neighbours are found by one exact pass over all rows, and the least number of probes
-that would have found the target share of them is taken. Candidates are re-ranked exactly.
+nearest signed axis. In every table two such rotations are concatenated: the first hash is the bucket,
+the second the cell inside it. A query's score for a cell is the sum of its two rotated coordinates on
+these axes, and it probes the cells of all tables whose score reaches one threshold, so probes go where
+they are likeliest to pay, whatever the table. The threshold is measured: for a bounded sample of queries
+the true neighbours are found by one exact pass over all rows, and the greatest threshold that finds the
+target share of them is taken. Candidates are re-ranked exactly.
 """
 
 from __future__ import annotations
@@ -22,111 +23,118 @@ from ..session import stage
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
-    """Walsh-Hadamard transform of each row; the width is a power of two."""
+    """Walsh-Hadamard transform of each row, eight ways a step; the width is a power of two."""
     n, width = x.shape
-    half = 1
-    while half < width:
-        x = x.reshape(n, -1, 2, half)
-        x = np.stack((x[:, :, 0] + x[:, :, 1], x[:, :, 0] - x[:, :, 1]), axis=2)
-        half *= 2
-        x = x.reshape(n, width)
+    left = width
+    while left > 1:
+        ways = min(8, left)
+        small = np.array([[(-1.0) ** (i & j).bit_count() for j in range(ways)] for i in range(ways)])
+        # the last digit of the place is transformed and becomes the first
+        x = np.ascontiguousarray((x.reshape(-1, ways) @ small).reshape(n, width // ways, ways).transpose(0, 2, 1)).reshape(n, width)
+        left //= ways
     return x / np.sqrt(width)
 
 
 @dataclass(frozen=True)
 class CrossPolytope:
     dim: int
-    tables: int = 3
-    #: axes of the second hash; 0: one hash only
-    fine: int = 0
+    tables: int = 8
     seed: int = 17
 
     @property
     def width(self) -> int:
         return 1 << max(1, (self.dim - 1).bit_length())
 
-    @property
-    def buckets(self) -> int:
-        return 2 * self.width * max(1, 2 * self.fine)
-
-    def rotations(self, vectors: np.ndarray, table: int) -> list[np.ndarray]:
-        """Rotated coordinates for the coarse hash and, if any, the first axes for the fine one."""
-        padded = np.zeros((len(vectors), self.width))
-        padded[:, : self.dim] = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-        out = []
-        for part in range(2 if self.fine else 1):
-            rng = np.random.default_rng([self.seed, table, part])
-            y = padded
-            for _ in range(3):
-                y = hadamard(y * rng.choice((-1.0, 1.0), self.width))
-            out.append(y[:, : self.fine] if part else y)
-        return out
-
-    def hashes(self, vectors: np.ndarray, table: int) -> np.ndarray:
-        code = np.zeros(len(vectors), dtype=np.int64)
-        for y in self.rotations(vectors, table):
-            axis = np.abs(y).argmax(axis=1)
-            code = code * 2 * y.shape[1] + 2 * axis + (y[np.arange(len(y)), axis] < 0)
-        return code
-
-    def preferences(self, vectors: np.ndarray, table: int) -> np.ndarray:
-        """For each vector all buckets of a table, the likeliest first."""
-        scores = None
-        for y in self.rotations(vectors, table):
-            signed = np.stack((y, -y), axis=2).reshape(len(y), -1)
-            # distance from the vector to the axis: least where the coordinate is greatest
-            scores = signed if scores is None else (scores[:, :, None] + signed[:, None, :]).reshape(len(y), -1)
-        return np.argsort(-scores, axis=1, kind="stable")
+    def rotate(self, vectors: np.ndarray, table: int, part: int) -> np.ndarray:
+        """Unit vectors under the pseudo-rotation of one table and part (0 bucket, 1 cell)."""
+        y = np.zeros((len(vectors), self.width))
+        # scaled first, so that the norm of very long or short vectors is a number
+        y[:, : self.dim] = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+        y /= np.linalg.norm(y, axis=1, keepdims=True)
+        rng = np.random.default_rng([self.seed, table, part])
+        for _ in range(3):
+            y = hadamard(y * rng.choice((-1.0, 1.0), self.width))
+        return y
+
+    def hashes(self, vectors: np.ndarray, table: int, part: int) -> np.ndarray:
+        """Nearest signed axis of each vector: 2 * axis, and 1 more on its negative side."""
+        y = self.rotate(vectors, table, part)
+        axis = np.abs(y).argmax(axis=1)
+        return 2 * axis + (y[np.arange(len(y)), axis] < 0)
+
+    def scores(self, vectors: np.ndarray, table: int, part: int) -> np.ndarray:
+        """The coordinate of each vector on every signed axis: the greater, the likelier its neighbours hash there."""
+        y = self.rotate(vectors, table, part)
+        return np.stack((y, -y), axis=2).reshape(len(y), -1)
 
 
 def matrix(column, dim: int) -> np.ndarray:
-    """An Arrow list column without nulls as a matrix."""
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    """An Arrow list column without nulls as a matrix of doubles."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
 def valid(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """id and v of the rows that take part: an id, and a vector that is not null, zero or partly null or not finite."""
     v = F.col("v")
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    kept = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    element = vectors.schema[vector_col].dataType.elementType.simpleString()
+    kind = "array<float>" if element == "float" else "array<double>"  # floats stay floats until they are multiplied
+    kept = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("v"))
     return kept.filter(F.col("id").isNotNull() & v.isNotNull() & F.forall(v, finite) & F.exists(v, lambda x: x != 0))
 
 
-def _top(similar: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k greatest values of one row, ties to the smaller id."""
-    if len(similar) > k:
-        cut = np.partition(similar, len(similar) - k)[len(similar) - k]
-        over = np.flatnonzero(similar >= cut)
-    else:
-        over = np.arange(len(similar))
-    return over[np.lexsort((ids[over], -similar[over]))[:k]]
+def _hits(query: np.ndarray, found: np.ndarray, score: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"query_id": query.astype(np.int64), "vec_id": found.astype(np.int64), "score": score.astype(np.float64)})
 
 
-def block_top(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> pd.DataFrame:
+def block_top(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, cells: np.ndarray | None = None, probed: np.ndarray | None = None) -> pd.DataFrame:
     """Each query's k nearest distinct ids in a block of candidates, without itself.
 
-    Equal vectors get the very same score, so that ties go by id: products are taken over distinct
-    vectors, and the scores that are returned are summed pair by pair.
+    cells: the cell of each candidate; probed[i, cell]: does query i look there? Without them it looks
+    everywhere. Equal vectors get the very same score, so that ties go by id: products of matrices
+    only choose, with a margin, and the scores that are returned are summed pair by pair.
     """
-    distinct, inverse = np.unique(c, axis=0, return_inverse=True)
-    inverse = inverse.reshape(-1)
+    # columns in the order of cells, and of ids inside a cell
+    cells = np.zeros(len(c), dtype=np.int64) if cells is None else cells
+    order = np.lexsort((c_ids, cells))
+    c_ids, c, cells = c_ids[order], c[order], cells[order]
+    names, begin, sizes = np.unique(cells, return_index=True, return_counts=True)
     repeated = len(np.unique(c_ids)) < len(c_ids)
-    rows: list[np.ndarray] = []
-    found: list[np.ndarray] = []
-    for a in range(0, len(q), 512):
-        products = q[a : a + 512] @ distinct.T
-        for i, row in enumerate(products, a):
-            other = np.flatnonzero(c_ids != q_ids[i])
-            similar, ids = row[inverse[other]], c_ids[other]
-            if repeated:  # of the rows of an id only the best
-                order = np.lexsort((-similar, ids))
-                order = order[np.concatenate(([True], ids[order][1:] != ids[order][:-1]))[: len(order)]]
-                other, similar, ids = other[order], similar[order], ids[order]
-            best = other[_top(similar, ids, k)]
-            rows.append(np.full(len(best), i))
-            found.append(best)
-    r, f = np.concatenate(rows), np.concatenate(found)
-    return pd.DataFrame({"query_id": q_ids[r], "vec_id": c_ids[f], "score": (q[r] * c[f]).sum(axis=1)})
+    size = float((q * q).sum(axis=1).max() * (c * c).sum(axis=1).max()) if len(q) and len(c) else 0.0
+    margin = 1e-12 * np.sqrt(size)
+    out = [_hits(q_ids[:0], c_ids[:0], q[:0, 0])]
+    step = max(1, (1 << 21) // max(1, len(c)))
+    for first in range(0, len(q) if len(c) else 0, step):
+        part = np.arange(first, min(len(q), first + step))
+        looks = np.ones((len(part), 1), dtype=bool) if probed is None else probed[part[:, None], names[None, :]]
+        # all pairs of a query and a candidate, query by query
+        query, cell = np.nonzero(looks)
+        past = np.cumsum(sizes[cell])
+        place = np.zeros(looks.shape, dtype=np.int64)
+        place[query, cell] = past - sizes[cell]
+        r = np.repeat(query, sizes[cell])
+        if not len(r):
+            continue
+        f = np.arange(len(r)) - np.repeat(place[query, cell] - begin[cell], sizes[cell])
+        v = np.empty(len(r))
+        for j in range(len(names)):
+            who = np.flatnonzero(looks[:, j])
+            if len(who):
+                v[place[who, j][:, None] + np.arange(sizes[j])] = q[part[who]] @ c[begin[j] : begin[j] + sizes[j]].T
+        r, f, v = (x[q_ids[part[r]] != c_ids[f]] for x in (r, f, v))
+        lead = np.arange(len(r))
+        if repeated:  # an id counts by its best row
+            by_id = np.lexsort((-v, c_ids[f], r))
+            lead = by_id[np.concatenate(([True], (r[by_id][1:] != r[by_id][:-1]) | (c_ids[f][by_id][1:] != c_ids[f][by_id][:-1])))[: len(by_id)]]
+        # a query's k-th best id bounds what can be among its k best
+        count = np.bincount(r[lead], minlength=len(part))
+        wide = np.full((len(part), max(k, int(count.max(initial=0)))), -np.inf)
+        wide[r[lead], np.arange(len(lead)) - np.repeat(np.cumsum(count) - count, count)] = v[lead]
+        bound = np.partition(wide, wide.shape[1] - k, axis=1)[:, wide.shape[1] - k]
+        keep = v >= bound[r] - margin
+        r, f = part[r[keep]], f[keep]
+        out.append(_hits(q_ids[r], c_ids[f], (q[r] * c[f]).sum(axis=1)))
+    return pd.concat(out)
 
 
 _HIT = "query_id long, vec_id long, score double"
@@ -155,67 +163,69 @@ def brute_force(queries: list[tuple[int, list[float]]], base: DataFrame, dim: in
 
 @dataclass(frozen=True)
 class Index:
-    """What search() needs: the hash family and the number of buckets that a query probes in each table."""
+    """What search() needs: the hash family, and the score that a cell must have to be probed."""
 
     family: CrossPolytope
-    probes: int
-    #: share of the true neighbours of the sample that these probes find
+    threshold: float
+    #: share of the true neighbours of the sample that are found
     recall: float
+    #: share of a sample of rows that a query of the sample examines, rows in several tables counted each time
+    examined: float
+    #: how many rows there are
+    rows: int
 
 
-def fit(base: DataFrame, queries: DataFrame, k: int = 20, target: float = 0.95, tables: int = 3, sample: int = 200, bucket_rows: int = 2048, seed: int = 17) -> Index | None:
-    """Choose hash widths by the number of rows and probes by measured recall; None if no row takes part.
+def fit(base: DataFrame, queries: DataFrame, k: int = 20, target: float = 0.94, tables: int = 8, sample: int = 200, seed: int = 17) -> Index | None:
+    """Choose the threshold by measured recall; None if no row takes part.
 
     base and queries: id and v as valid() gives them. At most `sample` queries (those with the least
-    hashed ids) and their k true neighbours each come to the driver.
+    hashed ids), their k true neighbours each, and 5 * sample rows come to the driver.
     """
     sizes = base.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
     if not sizes:
         return None
-    dim, rows = sizes[0]["dim"], sizes[0]["count"]
-    coarse = CrossPolytope(dim, tables, 0, seed)
-    fine = 0
-    while rows > bucket_rows * coarse.buckets * max(1, 2 * fine) and 2 * fine <= coarse.width:
-        fine = 2 * fine or 1
-    family = CrossPolytope(dim, tables, fine, seed)
+    dim, n_rows = sizes[0]["dim"], sizes[0]["count"]
+    family = CrossPolytope(dim, tables, seed)
     base = base.filter(F.size("v") == dim)
-    chosen = [(r.id, r.v) for r in queries.filter(F.size("v") == dim).orderBy(F.xxhash64("id"), "id").limit(sample).collect()]
-    if not chosen:
-        return Index(family, 1, 1.0)
-    true = brute_force(chosen, base, dim, k).select("query_id", "vec_id").distinct()
-    # sample * k rows at most
-    pairs = true.join(base.select(F.col("id").alias("vec_id"), "v"), "vec_id").select("query_id", "v").collect()
+    least_hashed = lambda df, n: [(r.id, r.v) for r in df.orderBy(F.xxhash64("id"), "id").limit(n).collect()]
+    chosen = least_hashed(queries.filter(F.size("v") == dim), sample)
+    true = brute_force(chosen, base, dim, k).select("query_id", "vec_id").distinct() if chosen else None
+    # sample * k ids at most, of rows that may repeat; the best row of each
+    pairs = true.join(base.select(F.col("id").alias("vec_id"), "v"), "vec_id").groupBy("query_id", "vec_id").agg(F.min("v").alias("v")).collect() if chosen else []
     if not pairs:
-        return Index(family, 1, 1.0)
+        return Index(family, -np.inf, 1.0, 1.0, n_rows)
     at = {i: n for n, (i, _) in enumerate(chosen)}
     q = np.array([v for _, v in chosen])
-    who, v = np.array([at[r.query_id] for r in pairs]), np.array([r.v for r in pairs])
-    first = np.full(len(pairs), family.buckets)
+    who, near = np.array([at[r.query_id] for r in pairs]), np.array([r.v for r in pairs])
+    rows = np.array([v for _, v in least_hashed(base, 5 * sample)])
+    best, scores = np.full(len(pairs), -np.inf), []
     for t in range(tables):
-        order = family.preferences(q, t)
-        place = np.empty_like(order)
-        np.put_along_axis(place, order, np.arange(order.shape[1])[None, :].repeat(len(order), 0), axis=1)
-        first = np.minimum(first, place[who, family.hashes(v, t)])
-    probes = int(np.sort(first)[min(len(first) - 1, int(np.ceil(target * len(first))))]) + 1
-    return Index(family, probes, float((first < probes).mean()))
+        parts = [family.scores(q, t, p) for p in range(2)]
+        best = np.maximum(best, sum(s[who, family.hashes(near, t, p)] for p, s in enumerate(parts)))
+        scores.append(sum(s[:, family.hashes(rows, t, p)] for p, s in enumerate(parts)))
+    threshold = float(np.sort(best)[int((1 - target) * len(best))])
+    return Index(family, threshold, float((best >= threshold).mean()), float(sum((s >= threshold).mean() for s in scores)), n_rows)
 
 
-def search(base: DataFrame, queries: DataFrame, index: Index, k: int = 20, block: int = 256, query_block: int = 2048) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's k best candidates among the buckets that it probes.
+def search(base: DataFrame, queries: DataFrame, index: Index, k: int = 20, block: int = 4096, query_block: int = 2048) -> DataFrame:
+    """query_id, rank, vec_id, score: each query's k best candidates in the cells that it probes.
 
-    base and queries have id and v. A bucket is cut into blocks of about `block` rows and its queries
-    into blocks of query_block, so a task holds one block of each whatever the bucket; every block
-    returns its own k best of each query. A row's own id is no neighbour; of rows with the same id the best counts; fewer than k
-    candidates give fewer rows; an empty table gives none.
+    base and queries have id and v. Neighbouring buckets of a small table go to one task together; a
+    bucket of more than `block` rows is cut into blocks and its queries into blocks of query_block, so a
+    task holds about one block of each whatever the bucket; every block returns its own k best ids of each
+    query. A row's own id is no neighbour; of rows with the same id the best counts; equal rows are
+    one; fewer than k candidates give fewer rows; an empty table gives none.
     """
-    family, probes = index.family, index.probes
-    dim = family.dim
+    family, threshold = index.family, index.threshold
+    dim, axes = family.dim, 2 * family.width
+    together = int(np.clip(block * axes // max(1, index.rows), 1, axes))
 
     def hashed(batches):
         for batch in batches:
             v = matrix(batch.column(1), dim)
-            for t in range(family.tables):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), t, dtype=np.int32)), pa.array(family.hashes(v, t)), batch.column(0), batch.column(1)], names=["tab", "bucket", "id", "v"])
+            for t in range(family.tables if len(v) else 0):
+                bucket, cell = family.hashes(v, t, 0), family.hashes(v, t, 1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), t, dtype=np.int32)), pa.array(bucket // together), pa.array(bucket * axes + cell), *batch.columns], names=["tab", "grp", "cell", "id", "v"])
 
     def probed(batches):
         for batch in batches:
@@ -223,28 +233,34 @@ def search(base: DataFrame, queries: DataFrame, index: Index, k: int = 20, block
                 part = batch.slice(a, 512)
                 v = matrix(part.column(1), dim)
                 for t in range(family.tables):
-                    chosen = family.preferences(v, t)[:, :probes]
-                    rows = pa.array(np.repeat(np.arange(len(v)), chosen.shape[1]))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(chosen.size, t, dtype=np.int32)), pa.array(chosen.reshape(-1)), part.column(0).take(rows), part.column(1).take(rows)], names=["tab", "bucket", "id", "v"])
+                    # buckets with at least one cell to probe
+                    some = family.scores(v, t, 0) + family.scores(v, t, 1).max(axis=1, keepdims=True) >= threshold
+                    rows, grp = np.nonzero(np.logical_or.reduceat(some, np.arange(0, axes, together), axis=1))
+                    chosen = pa.array(rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), t, dtype=np.int32)), pa.array(grp), part.column(0).take(chosen), part.column(1).take(chosen)], names=["tab", "grp", "id", "v"])
 
-    schema = "tab int, bucket long, id long, v array<double>"
     fits = F.size("v") == dim
-    stored = base.filter(fits).mapInArrow(hashed, schema)
-    asked = queries.filter(fits).mapInArrow(probed, schema)
-    key = ["tab", "bucket"]
+    kind = base.schema["v"].dataType.simpleString()
+    stored = base.filter(fits).dropDuplicates(["id", "v"]).mapInArrow(hashed, f"tab int, grp long, cell long, id long, v {kind}")
+    asked = queries.filter(fits).dropDuplicates(["id", "v"]).mapInArrow(probed, f"tab int, grp long, id long, v {kind}")
+    key = ["tab", "grp"]
     rows = stored.groupBy(*key).agg(F.count(F.lit(1)).alias("n_rows"))
     asks = asked.groupBy(*key).agg(F.count(F.lit(1)).alias("n_asks"))
     cut = rows.join(asks, key).select(*key, F.ceil(F.col("n_rows") / block).cast("int").alias("parts"), F.ceil(F.col("n_asks") / query_block).cast("int").alias("q_parts"))
-    cut = stage(cut, "ann-buckets")
+    cut = stage(cut, "ann-buckets")  # at most tables * axes rows
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = stored.join(cut, key).select(*key, "id", "v", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), every("q_parts").alias("q_part"))
+    left = stored.join(cut, key).select(*key, "cell", "id", "v", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), every("q_parts").alias("q_part"))
     right = asked.join(cut, key).select(*key, "id", "v", every("parts").alias("part"), F.pmod(F.xxhash64("id"), F.col("q_parts")).cast("int").alias("q_part"))
     group = [*key, "part", "q_part"]
 
-    def scored(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+    def scored(key, c, q):
         if not len(c) or not len(q):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return block_top(q["id"].to_numpy(), np.stack(q["v"].to_list()), c["id"].to_numpy(), np.stack(c["v"].to_list()), k)
+            return _hits(*(np.zeros(0),) * 3)
+        q_vectors, c_vectors = (np.stack(x["v"].to_list()).astype(np.float64) for x in (q, c))
+        cells, at = np.unique(c["cell"].to_numpy(), return_inverse=True)
+        t = int(key[0])
+        looks = family.scores(q_vectors, t, 0)[:, cells // axes] + family.scores(q_vectors, t, 1)[:, cells % axes] >= threshold
+        return block_top(q["id"].to_numpy(), q_vectors, c["id"].to_numpy(), c_vectors, k, at, looks)
 
     hits = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(scored, _HIT)
     return nearest(hits, k)

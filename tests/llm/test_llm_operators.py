@@ -501,12 +501,37 @@ def test_neighbours_of_repeated_rows(spark):
     assert [(r.rank, r.vec_id) for r in got] == [(k, k) for k in range(1, 21)]
 
 
+def test_an_id_with_many_near_rows_takes_one_place(spark):
+    rows = [(0, [1.0, 0.0, 0.0, 0.0])] + [(5, [1.0, 1e-6 * k, 0.0, 0.0]) for k in range(100)] + [(k, [0.9, 0.01 * k, 0.1, 0.0]) for k in range(6, 36)]
+    base = ann.valid(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    queries = base.filter("id = 0")
+    for block in (2048, 16):
+        got = ann.search(base, queries, ann.fit(base, queries, target=1.0), block=block).orderBy("rank").collect()
+        assert [r.vec_id for r in got] == [5, *range(6, 25)] and got[0].score == 1.0
+
+
+def test_block_top_against_brute_force():
+    rng = np.random.default_rng(4)
+    c, ids = rng.integers(-2, 3, (300, 4)).astype(float), rng.integers(0, 150, 300)
+    q, q_ids = c[:40], ids[:40]
+    cells, probed = rng.integers(0, 9, 300), rng.random((40, 9)) < 0.5
+    found = ann.block_top(q_ids, q, ids, c, 7, cells, probed).groupby(["query_id", "vec_id"])["score"].max()
+    want = {}
+    for i in range(40):
+        for j in np.flatnonzero(probed[i, cells] & (ids != q_ids[i])):
+            key = (q_ids[i], ids[j])
+            want[key] = max(want.get(key, -1e9), float(q[i] @ c[j]))
+    for i in set(q_ids.tolist()):
+        best = sorted(((-s, v) for (w, v), s in want.items() if w == i))[:7]
+        have = sorted(((-s, v) for (w, v), s in found.items() if w == i))[:7]
+        assert have == best
+
+
 def test_rotations_keep_lengths():
     v = np.random.default_rng(1).standard_normal((5, 6))
-    f = ann.CrossPolytope(6, fine=2)
-    for y in f.rotations(v, 0)[:1]:
-        assert np.allclose(np.linalg.norm(y, axis=1), 1)
-    assert (f.preferences(v, 1)[:, 0] == f.hashes(v, 1)).all()
+    f = ann.CrossPolytope(6)
+    assert np.allclose(np.linalg.norm(f.rotate(v, 0, 1), axis=1), 1)
+    assert (f.scores(v, 1, 0).argmax(axis=1) == f.hashes(v, 1, 0)).all()
 
 
 # -- secrets ------------------------------------------------------------------------------------
