@@ -3,9 +3,11 @@
 Every text is a set of word n-grams; its sketch has one min-hash token for each step of each run. In a
 run, sets are split on sampled shared tokens: all sets take the token of the same step, and only sets
 that share it stay together. Two steps always; buckets that are still large are split further. Small
-buckets are brute-forced on the sketches with a wide margin; sets in a bucket that stays large after
-the last step are taken as candidates of each other. Runs repeat until the chance to miss a pair at the
-threshold is below 1 - recall. Candidates are gathered into groups (components), and within a group
+buckets are brute-forced on the sketches with a wide margin. A bucket that stays large after the last
+step is mostly one crowd of near copies: its sets are compared with its first one, and those that are
+not, by then, in the first one's group are brute-forced against the whole bucket in blocks. So every pair
+that meets in a run is either compared or already in one group. Runs repeat until the chance to miss a
+pair at the threshold is below 1 - recall. Candidates are gathered into groups (components), and within a group
 every pair of sets is compared exactly, by products of incidence matrices in blocks. Equal texts are
 joined first and stand for one set; pairs are counted where they are found and never listed.
 """
@@ -24,7 +26,9 @@ from ..session import stage
 from .vectors import Texts, chunks, mix, span_hashes
 
 STEPS = 4
-_PROFILE = "doc long, s1 long, s2 long, sketch binary, key long"
+_PROFILE = "doc long, s1 long, s2 long, sketch binary, size long, key long"
+#: n-grams of one block of a group: 32 MB
+_BLOCK_GRAMS = 1 << 22
 
 
 def runs_for(threshold: float, recall: float) -> int:
@@ -81,7 +85,7 @@ def _profiles(width: int, tokens: int):
                         sketch[full, j] = np.minimum.reduceat(((grams * f) >> np.uint64(32)).astype(np.uint32), begin[full])
                 prints = _fingerprints(words)
                 rows = [r.tobytes() for r in sketch]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(prints[0]), pa.array(prints[1]), pa.array(rows, type=pa.binary()), batch.column(2).slice(a, b - a)], names=["doc", "s1", "s2", "sketch", "key"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(prints[0]), pa.array(prints[1]), pa.array(rows, type=pa.binary()), pa.array(np.diff(begin).astype(np.int64)), batch.column(2).slice(a, b - a)], names=["doc", "s1", "s2", "sketch", "size", "key"])
 
     return run
 
@@ -151,6 +155,54 @@ def _bucket_links(tokens: int, least: float):
     return run
 
 
+def _matrix(column, tokens: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, tokens)
+
+
+def _alike_first(tokens: int, least: float):
+    """Links of sets that may reach the threshold with the first set of their bucket: rows rep, sketch, least, its sketch."""
+
+    def run(batches):
+        for batch in batches:
+            alike = (_matrix(batch.column(1), tokens) == _matrix(batch.column(3), tokens)).mean(axis=1) >= least
+            keep = pa.array(alike)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(2).filter(keep)], names=["u", "v"])
+
+    return run
+
+
+def _block_links(tokens: int, least: float):
+    """Brute force on sketches of a block of some sets (side 0) with a block of their bucket: rows (leaf, i, j, side, rep, sketch) sorted by them.
+
+    Each set of side 1 is linked once: links that join what is alike, never all pairs.
+    """
+
+    def run(batches):
+        for batch in _whole_groups(batches, [0, 1, 2]):
+            keys = [batch.column(k).to_numpy() for k in range(3)]
+            side, rep, sketch = batch.column(3).to_numpy(), batch.column(4).to_numpy(), _matrix(batch.column(5), tokens)
+            new = np.ones(batch.num_rows, dtype=bool)
+            new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+            starts = np.append(np.flatnonzero(new), batch.num_rows)
+            us, vs = [rep[:0]], [rep[:0]]
+            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                m = a + int((side[a:b] == 0).sum())
+                parent = np.arange(b - m)  # of side 1, joined through the sets of side 0
+                for i in range(a, m):
+                    at = np.flatnonzero((sketch[m:b] == sketch[i]).mean(axis=1) >= least)
+                    at = at[rep[m:b][at] != rep[i]]
+                    if len(at):
+                        us.append(np.full(1, rep[i]))
+                        vs.append(rep[m + at[:1]])
+                        fresh = at[np.isin(parent[at], parent[at[0]], invert=True)]
+                        parent[np.isin(parent, parent[fresh])] = parent[at[0]]
+                        us.append(rep[m + fresh])
+                        vs.append(np.full(len(fresh), rep[m + at[0]]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
+
+    return run
+
+
 def _sets(width: int):
     """The fingerprint of each text and its n-gram set as sorted 64-bit hashes."""
 
@@ -262,7 +314,7 @@ def _linked(known: DataFrame, threshold: float, width: int, recall: float, small
     runs = runs_for(threshold, recall)
     tokens = runs * STEPS
     profile = stage(known.mapInArrow(_profiles(width, tokens), _PROFILE), "jaccard-profiles")
-    by_text = profile.groupBy("s1", "s2").agg(F.min(F.struct("doc", "key")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch"))
+    by_text = profile.groupBy("s1", "s2").agg(F.min(F.struct("doc", "key")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch"), F.max("size").alias("size"))
     # numbered before they are written, so the numbers stay
     reps = stage(by_text.withColumn("rep", F.monotonically_increasing_id()), "jaccard-texts")
 
@@ -283,11 +335,29 @@ def _linked(known: DataFrame, threshold: float, width: int, recall: float, small
     margin = max(0.0, threshold - 4 * math.sqrt(threshold * (1 - threshold) / tokens))
     sketched = met.filter(F.col("n") <= small).select("leaf", "rep").join(reps.select("rep", "sketch"), "rep").select("leaf", "rep", "sketch")
     close = sketched.repartition("leaf").sortWithinPartitions("leaf", "rep").mapInArrow(_bucket_links(tokens, margin), "u long, v long")
-    star = met.filter((F.col("n") > small) & (F.col("rep") != F.col("least"))).select(F.col("rep").alias("u"), F.col("least").alias("v"))
-    groups = stage(connected_components(close.unionByName(star)).select(F.col("vertex").alias("rep"), F.col("component").alias("grp")), "jaccard-groups")
-
-    # exact comparison: groups of more than `block` sets as pairs of blocks
-    parts = groups.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+    # large leaves: every set with the first one, then what is not in its group yet with all, in blocks
+    large_leaves = met.filter(F.col("n") > small)
+    sketches = reps.select("rep", "sketch")
+    first_ones = large_leaves.filter("rep = least").select("leaf", "least").join(sketches.withColumnRenamed("sketch", "first_sketch"), F.col("least") == F.col("rep")).select("leaf", "least", "first_sketch")
+    beside = large_leaves.filter("rep <> least").select("leaf", "rep").join(sketches, "rep").join(first_ones, "leaf").select("rep", "sketch", "least", "first_sketch")
+    seen = beside.mapInArrow(_alike_first(tokens, margin), "u long, v long").distinct()
+    so_far = stage(connected_components(close.unionByName(seen)), "jaccard-groups")
+    in_group = large_leaves.select("leaf", "rep", "least").join(so_far.withColumnRenamed("vertex", "rep"), "rep", "left").join(so_far.select(F.col("vertex").alias("least"), F.col("component").alias("of_least")), "least", "left")
+    crowd = stage(in_group.select("leaf", "rep", (F.coalesce("component", "rep") != F.coalesce("of_least", "least")).alias("apart")), "jaccard-crowds")
+    cuts = crowd.groupBy("leaf").agg(F.ceil(F.count_if("apart") / block).cast("int").alias("n_i"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n_j")).filter("n_i > 0")
+    spot = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    over = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cornered = crowd.join(cuts, "leaf")
+    sides = cornered.filter("apart").select("leaf", spot("n_i").alias("i"), over("n_j").alias("j"), F.lit(0).alias("side"), "rep").unionByName(cornered.select("leaf", over("n_i").alias("i"), spot("n_j").alias("j"), F.lit(1).alias("side"), "rep"))
+    met_late = sides.join(sketches, "rep").select("leaf", "i", "j", "side", "rep", "sketch").repartition("leaf", "i", "j").sortWithinPartitions("leaf", "i", "j", "side", "rep").mapInArrow(_block_links(tokens, margin), "u long, v long")
+    late = stage(met_late, "jaccard-late")
+    if not late.isEmpty():
+        so_far = stage(connected_components(late.unionByName(so_far.select(F.col("vertex").alias("u"), F.col("component").alias("v")))), "jaccard-groups")
+    groups = so_far.select(F.col("vertex").alias("rep"), F.col("component").alias("grp"))
+
+    # exact comparison: groups of more than `block` sets, or of more n-grams than a block holds, as pairs of blocks
+    by_count, by_size = F.count(F.lit(1)) / block, F.sum("size") / _BLOCK_GRAMS
+    parts = groups.join(reps.select("rep", "size"), "rep").groupBy("grp").agg(F.ceil(F.greatest(by_count, by_size)).cast("int").alias("parts"))
     placed = groups.join(parts, "grp").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     chosen = reps.select("rep", "copies", "s1", "s2", F.col("first.doc").alias("least")).join(placed, "rep")
     # the rows of a document may hold several texts; each set goes to the text with its fingerprint

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -346,6 +347,33 @@ def test_join_against_brute_force(spark):
     assert collected(jaccard.join_similar(df, small=4, block=16)) == brute_classes(rows)
 
 
+def test_links_of_a_block_join_what_is_alike():
+    rng = np.random.default_rng(6)
+    sketch = rng.integers(0, 2, (30, 16)).astype(np.uint32)
+    rows = [(1, 0, 0, 0, k, sketch[k].tobytes()) for k in range(8)] + [(1, 0, 0, 1, k, sketch[k].tobytes()) for k in range(30)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["leaf", "i", "j", "side", "rep", "sketch"])
+    links = [(u, v) for b in jaccard._block_links(16, 0.7)([batch]) for u, v in zip(b["u"].to_pylist(), b["v"].to_pylist(), strict=True)]
+    close = [(i, j) for i in range(8) for j in range(30) if i != j and (sketch[i] == sketch[j]).mean() >= 0.7]
+
+    def classes(pairs):
+        label = list(range(30))
+        for _ in range(30):
+            for u, v in pairs:
+                label[u] = label[v] = min(label[u], label[v])
+        return label
+
+    assert close and len(links) <= 38 + 8 and classes(links) == classes(close)
+
+
+def test_join_of_texts_that_share_much(spark):
+    """Crowded buckets of texts below the threshold: half of each text is common to all."""
+    rng = np.random.default_rng(11)
+    common = [f"c{k}" for k in range(60)]
+    rows = [(d, " ".join(common + [f"u{d % 40}_{k}" for k in range(int(rng.integers(12, 30)))])) for d in range(160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert collected(jaccard.join_similar(df, small=3, block=16)) == brute_classes(rows)
+
+
 def test_join_of_rows_that_share_an_id(spark):
     rng = np.random.default_rng(4)
     base = [" ".join(f"t{k}" for k in rng.integers(0, 5000, 60)) for _ in range(4)]
