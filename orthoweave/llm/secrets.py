@@ -5,6 +5,11 @@ are assigned to a credential keyword or stand as the password in a URL. Each is
 of character changes, its share of digits, capitals and distinct characters, how much of it the letter
 trigrams of the corpus's common words cover, the path it was found in, and the words beside it. A
 random forest fitted on labelled findings gives each candidate a probability.
+
+Labelled findings may be given. Where none are, they are made from one view and learned from another: a
+candidate that a credential keyword stands before counts as a finding, one without a keyword near it
+does not, and the forest sees nothing of that context: only the value, its path and whether the words
+beside it are words. Keyword findings that look like the values of no credential are thereby removed.
 """
 
 from __future__ import annotations
@@ -27,7 +32,10 @@ URL_USER = r"://[^/\s:@]*:"
 URL_PASSWORD = URL_USER + r"(\S{6,})@"
 SAMPLE_PATHS = r"(?i)(test|example|sample|mock|fixture|demo|doc)"
 
-FEATURES = ["length", "transitions", "digits", "capitals", "hexadecimal", "distinct", "coverage", "sample_path", "keyword_near", "keyword_before", "assigned", "quoted", "long_neighbour"]
+#: what the labels of self_labelled() are made of, or goes along with it
+CONTEXT = ["keyword_near", "keyword_before", "assigned", "quoted"]
+SHAPE = ["length", "transitions", "digits", "capitals", "hexadecimal", "distinct", "coverage", "sample_path", "long_neighbour", "plain_neighbours"]
+FEATURES = SHAPE + CONTEXT
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -48,9 +56,9 @@ def common_trigrams(docs: DataFrame, text_col: str = "text", least: int = 5, siz
 
 
 def candidates(docs: DataFrame, path_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_key (a hash of the text), position (of the word), value, path, and the words around each candidate of every whole text.
+    """rid, doc_id, text_key (a hash of the text), position (of the word), value, path, and the words around each candidate of every whole text.
 
-    A word with several candidates gives each; null texts give none; null paths count as empty.
+    rid numbers the rows; it lasts once they are written. A word with several candidates gives each; null texts give none; null paths count as empty.
     """
     words = F.filter(F.split(F.col("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
@@ -70,19 +78,19 @@ def candidates(docs: DataFrame, path_col: str = "source", id_col: str = "doc_id"
     bare = F.transform(every(line, ASSIGNED, 4), lambda v: F.regexp_replace(v, r"[\"'`,;.)\]}>]+$", ""))
     short = F.filter(F.concat(every(line, ASSIGNED, 2), every(line, ASSIGNED, 3), bare), lambda v: (v != "") & F.contains(F.col("c.word"), v))
     values = F.concat(every(F.col("c.word"), CANDIDATE, 0), short, every(F.col("c.word"), URL_PASSWORD, 1))
-    return found.select("doc_id", "text_key", "path", "c.*", F.explode(F.array_distinct(values)).alias("value"))
+    return found.select("doc_id", "text_key", "path", "c.*", F.explode(F.array_distinct(values)).alias("value")).withColumn("rid", F.monotonically_increasing_id())
 
 
 def describe(found: DataFrame, trigrams: DataFrame) -> DataFrame:
-    """Adds FEATURES to candidates()."""
+    """FEATURES of the written rows of candidates(): each row by itself, so a value that occurs everywhere is no hot key."""
     value, lower = F.col("value"), F.lower(F.col("value"))
     kind = F.translate(value, _LOWER + _LOWER.upper() + "0123456789", "a" * 26 + "A" * 26 + "0" * 10)
     grams = F.filter(F.transform(F.sequence(F.lit(1), F.length("value") - 2), lambda i: F.substring(lower, i, F.lit(3))), lambda g: g.rlike("^[a-zß-ÿ]{3}$"))
-    values = found.select("value").distinct()
-    spread = values.select("value", F.explode(grams).alias("gram")).join(F.broadcast(trigrams), "gram").groupBy("value").agg(F.count(F.lit(1)).alias("covered"))
+    spread = found.select("rid", F.explode(grams).alias("gram")).join(F.broadcast(trigrams), "gram").groupBy("rid").agg(F.count(F.lit(1)).alias("covered"))
     context = F.concat_ws(" ", "p3", "p2", "p1")
     head = F.expr("substring_index(word, value, 1)")
-    joined = found.join(spread, "value", "left")
+    joined = found.join(spread, "rid", "left")
+    plain = lambda w: F.col(w).rlike(r"^[a-zA-Zß-ÿÀ-Þ]{2,20}[.,;:!?]?$").cast("double")
     return joined.select(
         "doc_id", "text_key", "position", "value", "path",
         F.length(value).cast("double").alias("length"),
@@ -97,51 +105,67 @@ def describe(found: DataFrame, trigrams: DataFrame) -> DataFrame:
         (F.concat_ws(" ", "p2", "p1", head).rlike(ASSIGN) | head.rlike(URL_USER + "$")).cast("double").alias("keyword_before"),
         F.concat_ws(" ", "p1", head).rlike(r"[:=]\s*[\"']?$").cast("double").alias("assigned"),
         head.rlike(r"[\"'`]$").cast("double").alias("quoted"),
-        F.greatest(F.length("p1"), F.length("n1")).cast("double").alias("long_neighbour"),
+        # the words next before it are part of the context
+        F.length("n1").cast("double").alias("long_neighbour"),
+        (plain("p3") + plain("n1")).alias("plain_neighbours"),
     )
 
 
-def sure_findings(described: DataFrame) -> DataFrame:
-    """Labelled findings where no labels are given: label 1 for a value with digits that is assigned to a
-    credential keyword, 0 for one without any digit and without a keyword; others are left out."""
-    label = F.when((F.col("keyword_before") > 0) & (F.col("digits") > 0) & (F.col("sample_path") == 0), 1.0).when((F.col("digits") == 0) & (F.col("keyword_near") == 0), 0.0)
+def self_labelled(described: DataFrame) -> DataFrame:
+    """Labelled findings where none are given: label 1 for a value that a credential keyword stands before,
+    0 for one without any keyword near; others are left out. To be learned from SHAPE alone."""
+    label = F.when(F.col("keyword_before") > 0, 1.0).when(F.col("keyword_near") == 0, 0.0)
     return described.withColumn("label", label).filter(F.col("label").isNotNull())
 
 
-def fit(labelled: DataFrame, rows_per_label: int = 5000, trees: int = 24, depth: int = 5, seed: int = 11) -> RandomForestClassificationModel | None:
+def labelled_by(described: DataFrame, labels: DataFrame) -> DataFrame:
+    """described with the given labels: rows doc_id, value, label (0 or 1; null or several different ones: not used)."""
+    one = labels.groupBy("doc_id", "value").agg(F.min("label").alias("label"), F.max("label").alias("most")).filter("label = most").select("doc_id", "value", F.col("label").cast("double").alias("label"))
+    return described.join(one, ["doc_id", "value"])
+
+
+def fit(labelled: DataFrame, features: list[str] = FEATURES, rows_per_label: int = 5000, trees: int = 24, depth: int = 5, seed: int = 11) -> RandomForestClassificationModel | None:
     """A forest fitted on at most rows_per_label findings of each label (least hashed place first).
 
-    labelled has FEATURES and label (0 or 1; null: not used). None if a label is missing.
+    labelled has the features and label (0 or 1; null: not used). None if a label is missing.
     """
     order = [F.xxhash64("doc_id", "position", "value"), F.col("doc_id"), F.col("position"), F.col("value")]
     parts = [labelled.filter(F.col("label") == v).orderBy(*order).limit(rows_per_label) for v in (0.0, 1.0)]
-    sample = parts[0].unionByName(parts[1]).select(*FEATURES, "label")
+    sample = parts[0].unionByName(parts[1]).select(*features, "label")
     sample = stage(sample, "secret-findings").coalesce(1)
     if sample.select("label").distinct().count() < 2:
         return None
-    assembled = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(sample)
+    assembled = VectorAssembler(inputCols=features, outputCol="features").transform(sample)
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featuresCol="features", labelCol="label").fit(assembled)
 
 
-def score(described: DataFrame, model: RandomForestClassificationModel | None) -> DataFrame:
-    """doc_id, text_key, position, value, probability, is_secret of every candidate.
+def score(described: DataFrame, model: RandomForestClassificationModel | None, features: list[str] = FEATURES) -> DataFrame:
+    """doc_id, text_key, position, value, probability, is_secret, status of every candidate.
 
-    Without a model a candidate counts if a credential keyword is assigned to it.
+    status: forest, or no_model where no forest could be fitted; then the probability is null, nothing
+    is removed, and every candidate that a credential keyword stands before is a secret.
     """
+    out = ["doc_id", "text_key", "position", "value"]
     if model is None:
-        scored = described.withColumn("probability", F.col("keyword_before"))
-    else:
-        assembled = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(described)
-        scored = model.transform(assembled).withColumn("p", vector_to_array("probability")).drop("probability").withColumn("probability", F.col("p")[1])
-    return scored.select("doc_id", "text_key", "position", "value", "probability", (F.col("probability") >= 0.5).alias("is_secret"))
+        return described.select(*out, F.lit(None).cast("double").alias("probability"), (F.col("keyword_before") > 0).alias("is_secret"), F.lit("no_model").alias("status"))
+    assembled = VectorAssembler(inputCols=features, outputCol="features").transform(described)
+    scored = model.transform(assembled).withColumn("p", vector_to_array("probability")[1])
+    return scored.select(*out, F.col("p").alias("probability"), (F.col("p") >= 0.5).alias("is_secret"), F.lit("forest").alias("status"))
 
 
-def scan(docs: DataFrame, path_col: str = "source") -> DataFrame:
-    """Candidates of all documents, scored by a forest trained on their own sure findings."""
-    # candidates are read twice below: once for their distinct values, once to be described
+def scan(docs: DataFrame, path_col: str = "source", labels: DataFrame | None = None) -> DataFrame:
+    """Candidates of all documents, scored by a forest.
+
+    labels: labelled findings (doc_id, value, label) to learn from, with all features; None: self_labelled()
+    ones, from SHAPE alone. Equal rows give equal candidates each; null ids are ids like others; null
+    texts and empty tables give none.
+    """
+    # candidates are read twice below: once for their trigrams, once to be described
     found = stage(candidates(docs, path_col), "secret-candidates")
     described = stage(describe(found, stage(common_trigrams(docs), "secret-trigrams")), "secret-features")
-    return score(described, fit(sure_findings(described)))
+    features = SHAPE if labels is None else FEATURES
+    model = fit(self_labelled(described) if labels is None else labelled_by(described, labels), features)
+    return score(described, model, features)
 
 
 def redact(docs: DataFrame, findings: DataFrame, mask: str = "[SECRET]") -> DataFrame:

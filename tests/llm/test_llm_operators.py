@@ -457,8 +457,8 @@ def test_toxicity_on_held_out_labels(spark):
 
 
 def test_toxicity_exceptions_and_odd_rows(spark, odd_documents, no_documents):
-    rows = [(k, "what a grubby fool you are" if k % 2 else "a kind word for all of you", k % 2) for k in range(400)]
-    rows += [(1000 + k, "april fool is a day of fun", 0) for k in range(400)]
+    rows = [(k, f"what a grubby fool you are number{k}" if k % 2 else f"a kind word for all of you number{k}", k % 2) for k in range(400)]
+    rows += [(1000 + k, f"april fool is a day of fun number{k}", 0) for k in range(400)]
     model = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string, toxic int"), least_ratio=1.2)
     assert "foog" not in model.lexicon and toxicity.fold("fool").strip() in model.lexicon
     assert toxicity.fold("april fool").strip() in model.exceptions
@@ -575,6 +575,63 @@ def test_secrets(spark, documents, odd_documents, no_documents):
     assert masked.columns == odd_documents.columns and masked.count() == odd_documents.count()
 
 
+def findings_to_label(spark):
+    """Credentials and look-alikes, all behind the same keywords, in documents of common words."""
+    rng = np.random.default_rng(21)
+    common = ["river", "stone", "garden", "market", "winter", "letter", "window", "paper", "orange", "silver", "forest", "summer"]
+    alphabet = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    rows, labels = [], []
+    for d in range(800):
+        secret = d % 2 == 0
+        value = "".join(rng.choice(alphabet if d % 4 else list("0123456789abcdef"), rng.integers(20, 41))) if secret else rng.choice(["-", "_", "."]).join(rng.choice(common, rng.integers(3, 6)))
+        lead = rng.choice(["token =", "password:", "api_key ="])
+        rows.append((d, f'{" ".join(rng.choice(common, 30))} {lead} "{value}" {" ".join(rng.choice(common, 30))}', "src" if d % 3 else "docs/example"))
+        labels.append((d, str(value), int(secret)))
+    return spark.createDataFrame(rows, "doc_id long, text string, source string"), labels
+
+
+def test_forest_removes_false_findings_of_held_out_documents(spark):
+    docs, labels = findings_to_label(spark)
+    learn = spark.createDataFrame([r for r in labels if r[0] % 5], "doc_id long, value string, label int")
+    found = {(r.doc_id, r.value): r for r in secrets.scan(docs, labels=learn).collect()}
+    held_out = [(found[d, v].is_secret, label) for d, v, label in labels if d % 5 == 0]
+    hits = sum(1 for p, label in held_out if p and label)
+    assert all(found[d, v].status == "forest" for d, v, _ in labels)
+    assert hits / sum(p for p, _ in held_out) >= 0.97 and hits / sum(label for _, label in held_out) >= 0.97
+
+
+def test_self_labels_are_not_what_the_forest_sees(spark):
+    assert not set(secrets.SHAPE) & set(secrets.CONTEXT)
+    docs, labels = findings_to_label(spark)
+    # unlabelled text gives long words without any keyword; findings that look like them are removed
+    words = [t.split()[:8] for t, in docs.select("text").collect()]
+    plain = [(10_000 + d, " ".join([*words[d], v, *words[d - 1], v, *words[d - 2], v, *words[d - 3]]), "src" if d % 3 else "docs/example") for d, v, label in labels if not label]
+    plain = spark.createDataFrame(plain, "doc_id long, text string, source string")
+    found = {(r.doc_id, r.value): r.is_secret for r in secrets.scan(docs.unionByName(plain)).collect()}
+    assert np.mean([found[d, v] for d, v, label in labels if label]) >= 0.97
+    assert np.mean([found[d, v] for d, v, label in labels if not label]) <= 0.1
+
+
+def test_labels_of_findings_with_ties_and_nulls(spark):
+    docs, labels = findings_to_label(spark)
+    doubtful = [(d, v, 1 - label) for d, v, label in labels[:40]] + [(None, None, 1), (3, "x", None)] + labels
+    found = secrets.scan(docs, labels=spark.createDataFrame(doubtful, "doc_id long, value string, label int"))
+    assert found.filter("status = 'forest'").count() == found.count() >= len(labels)
+    none = secrets.scan(docs, labels=spark.createDataFrame([], "doc_id long, value string, label int"))
+    assert none.filter("status = 'no_model' and probability is null and is_secret").count() >= len(labels)
+
+
+def test_secrets_of_odd_rows(spark, odd_documents):
+    row = (5, 'token = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda" ok', "en", "s", 5)
+    more = spark.createDataFrame([row, row, (None, *row[1:]), (6, row[1] * 2000, "en", None, 1)], "doc_id long, text string, lang string, source string, n_chars long").withColumns({"n_words": F.lit("clash"), "row": F.lit(1), "doc": F.lit(2), "score": F.lit(0.5)})
+    docs = odd_documents.unionByName(more)
+    found = secrets.scan(docs)
+    assert Counter(r.doc_id for r in found.filter("is_secret").collect()) == {5: 2, None: 1, 6: 2000}
+    masked = secrets.redact(docs, found)
+    assert masked.columns == docs.columns and masked.count() == docs.count()
+    assert masked.filter("contains(text, 'f3ef4d6b')").count() == 0 and masked.filter("contains(text, '[SECRET]')").count() == 4
+
+
 def test_short_and_signed_secrets(spark):
     rows = [(1, 'the password = "Tr0ub4dor&3" here', "a"), (2, "db_password: p@ss:w0rd! and more", "a"), (3, "see postgres://bob:s3cr#t!9@host/db now", "a"), (None, "pwd=hunt3r!2, ok", "a"), (None, "nothing hunt3r!2", "a"), (4, "a plain sentence: without any", "a")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
