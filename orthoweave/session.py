@@ -16,31 +16,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, which all executors see.
 
-    Where the setting is absent (tests on one machine) a fresh temporary folder is used and
-    remembered in the session.
+    Where the setting is absent a fresh temporary folder is used and remembered in the session, on one
+    machine only; on a cluster that is an error, since executors would write where no other can read.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("orthoweave.stage.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("orthoweave.stage.dir", folder)
     return folder.rstrip("/")
 
 
+#: paths of the tables staged by this driver, in order
+_staged: list[str] = []
+
+
 def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
     Cuts the lineage: what follows re-reads the table when an executor is lost, and Python work
-    upstream runs once however often the result is used.
+    upstream runs once however often the result is used. Row groups are small, so that a task that
+    writes long texts holds little.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
+    writer = df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20)
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
+    _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged() -> int:
+    """How many tables have been staged and not been discarded."""
+    return len(_staged)
+
+
+def discard(spark: SparkSession, since: int) -> None:
+    """Delete the tables staged after the first `since`, but for the last one, which must not depend on them any more."""
+    for path in _staged[since:-1]:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    del _staged[since:-1]
+
+
 def size_in_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of df, an upper bound for scans and filters of files."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
