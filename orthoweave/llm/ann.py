@@ -103,10 +103,11 @@ def block_top(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray
     size = float((q * q).sum(axis=1).max() * (c * c).sum(axis=1).max()) if len(q) and len(c) else 0.0
     margin = 1e-12 * np.sqrt(size)
     out = [_hits(q_ids[:0], c_ids[:0], q[:0, 0])]
-    step = max(1, (1 << 21) // max(1, len(c)))
-    for first in range(0, len(q) if len(c) else 0, step):
-        part = np.arange(first, min(len(q), first + step))
-        looks = np.ones((len(part), 1), dtype=bool) if probed is None else probed[part[:, None], names[None, :]]
+    looks_all = np.ones((len(q), len(names)), dtype=bool) if probed is None else probed[:, names]
+    # queries in chunks of about two million pairs
+    chunk = np.cumsum(looks_all @ sizes) // (1 << 21)
+    for first, last in zip(*(np.searchsorted(chunk, np.unique(chunk), side=side) for side in ("left", "right")), strict=True):
+        part, looks = np.arange(first, last), looks_all[first:last]
         # all pairs of a query and a candidate, query by query
         query, cell = np.nonzero(looks)
         past = np.cumsum(sizes[cell])
@@ -127,10 +128,11 @@ def block_top(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray
             by_id = np.lexsort((-v, c_ids[f], r))
             lead = by_id[np.concatenate(([True], (r[by_id][1:] != r[by_id][:-1]) | (c_ids[f][by_id][1:] != c_ids[f][by_id][:-1])))[: len(by_id)]]
         # a query's k-th best id bounds what can be among its k best
+        lead = lead[np.lexsort((-v[lead], r[lead]))]
         count = np.bincount(r[lead], minlength=len(part))
-        wide = np.full((len(part), max(k, int(count.max(initial=0)))), -np.inf)
-        wide[r[lead], np.arange(len(lead)) - np.repeat(np.cumsum(count) - count, count)] = v[lead]
-        bound = np.partition(wide, wide.shape[1] - k, axis=1)[:, wide.shape[1] - k]
+        full = count >= k
+        bound = np.full(len(part), -np.inf)
+        bound[full] = v[lead[(np.cumsum(count) - count)[full] + k - 1]]
         keep = v >= bound[r] - margin
         r, f = part[r[keep]], f[keep]
         out.append(_hits(q_ids[r], c_ids[f], (q[r] * c[f]).sum(axis=1)))
@@ -171,8 +173,6 @@ class Index:
     recall: float
     #: share of a sample of rows that a query of the sample examines, rows in several tables counted each time
     examined: float
-    #: how many rows there are
-    rows: int
 
 
 def fit(base: DataFrame, queries: DataFrame, k: int = 20, target: float = 0.94, tables: int = 8, sample: int = 200, seed: int = 17) -> Index | None:
@@ -184,7 +184,7 @@ def fit(base: DataFrame, queries: DataFrame, k: int = 20, target: float = 0.94,
     sizes = base.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
     if not sizes:
         return None
-    dim, n_rows = sizes[0]["dim"], sizes[0]["count"]
+    dim = sizes[0]["dim"]
     family = CrossPolytope(dim, tables, seed)
     base = base.filter(F.size("v") == dim)
     least_hashed = lambda df, n: [(r.id, r.v) for r in df.orderBy(F.xxhash64("id"), "id").limit(n).collect()]
@@ -193,7 +193,7 @@ def fit(base: DataFrame, queries: DataFrame, k: int = 20, target: float = 0.94,
     # sample * k ids at most, of rows that may repeat; the best row of each
     pairs = true.join(base.select(F.col("id").alias("vec_id"), "v"), "vec_id").groupBy("query_id", "vec_id").agg(F.min("v").alias("v")).collect() if chosen else []
     if not pairs:
-        return Index(family, -np.inf, 1.0, 1.0, n_rows)
+        return Index(family, -np.inf, 1.0, 1.0)
     at = {i: n for n, (i, _) in enumerate(chosen)}
     q = np.array([v for _, v in chosen])
     who, near = np.array([at[r.query_id] for r in pairs]), np.array([r.v for r in pairs])
@@ -204,21 +204,23 @@ def fit(base: DataFrame, queries: DataFrame, k: int = 20, target: float = 0.94,
         best = np.maximum(best, sum(s[who, family.hashes(near, t, p)] for p, s in enumerate(parts)))
         scores.append(sum(s[:, family.hashes(rows, t, p)] for p, s in enumerate(parts)))
     threshold = float(np.sort(best)[int((1 - target) * len(best))])
-    return Index(family, threshold, float((best >= threshold).mean()), float(sum((s >= threshold).mean() for s in scores)), n_rows)
+    return Index(family, threshold, float((best >= threshold).mean()), float(sum((s >= threshold).mean() for s in scores)))
 
 
-def search(base: DataFrame, queries: DataFrame, index: Index, k: int = 20, block: int = 4096, query_block: int = 2048) -> DataFrame:
+def search(base: DataFrame, queries: DataFrame, index: Index, k: int = 20, groups: int = 8, block: int | None = None, query_block: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best candidates in the cells that it probes.
 
-    base and queries have id and v. Neighbouring buckets of a small table go to one task together; a
-    bucket of more than `block` rows is cut into blocks and its queries into blocks of query_block, so a
-    task holds about one block of each whatever the bucket; every block returns its own k best ids of each
+    base and queries have id and v. The buckets of a table go to `groups` groups, so that a query gets k
+    rows from each of few groups whatever the number of buckets. A group of more than `block` rows (None:
+    16 MB of vectors) is cut into blocks and its queries into blocks of query_block, so a task holds one
+    block of each however crowded a bucket is; every block returns its own k best ids of each
     query. A row's own id is no neighbour; of rows with the same id the best counts; equal rows are
     one; fewer than k candidates give fewer rows; an empty table gives none.
     """
     family, threshold = index.family, index.threshold
     dim, axes = family.dim, 2 * family.width
-    together = int(np.clip(block * axes // max(1, index.rows), 1, axes))
+    together = -(-axes // groups)
+    block = block or max(1024, (1 << 21) // dim)
 
     def hashed(batches):
         for batch in batches:
@@ -247,7 +249,7 @@ def search(base: DataFrame, queries: DataFrame, index: Index, k: int = 20, block
     rows = stored.groupBy(*key).agg(F.count(F.lit(1)).alias("n_rows"))
     asks = asked.groupBy(*key).agg(F.count(F.lit(1)).alias("n_asks"))
     cut = rows.join(asks, key).select(*key, F.ceil(F.col("n_rows") / block).cast("int").alias("parts"), F.ceil(F.col("n_asks") / query_block).cast("int").alias("q_parts"))
-    cut = stage(cut, "ann-buckets")  # at most tables * axes rows
+    cut = stage(cut, "ann-buckets")  # at most tables * groups rows
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = stored.join(cut, key).select(*key, "cell", "id", "v", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), every("q_parts").alias("q_part"))
     right = asked.join(cut, key).select(*key, "id", "v", every("parts").alias("part"), F.pmod(F.xxhash64("id"), F.col("q_parts")).cast("int").alias("q_part"))
