@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.cameras import small
 from ..session import stage
 from .vectors import Texts, mix, span_hashes
 
@@ -314,8 +315,8 @@ def remove_repeats(docs: DataFrame, width: int = 20, gram: int = 8, id_col: str
     facts = stage(_looked_up(texts.select("doc", "text", "fp").mapInArrow(_index_rows(width, gram), _FACT), True), "substring-seeds")
     # anchors of two or more different segments: a match may begin or end inside these
     firsts = facts.filter(F.col("kind") == FIRST).select("route", "doc", "start", "n", "fp")
-    shared = firsts.groupBy("route").agg(F.count(F.lit(1)).alias("segments")).filter("segments > 1").select("route")
-    needs = firsts.join(shared, "route", "left_semi").groupBy("doc", "fp").agg(F.collect_set(F.struct("start", "n")).alias("wanted"))
+    shared = stage(firsts.groupBy("route").agg(F.count(F.lit(1)).alias("segments")).filter("segments > 1").select("route"), "substring-anchors")
+    needs = firsts.join(small(shared), "route", "left_semi").groupBy("doc", "fp").agg(F.collect_set(F.struct("start", "n")).alias("wanted"))
     windows = dealt.join(needs, ["doc", "fp"]).select("doc", "text", "fp", "wanted", *rest).mapInArrow(_window_rows(width), _FACT)
     factors = facts.filter(F.col("kind") == SETTLED).unionByName(_looked_up(windows, False))
     by_doc = factors.groupBy("doc", "fp").agg(F.collect_list(F.struct("start", "n", "src_doc", "src_start")).alias("facts"))
