@@ -172,10 +172,14 @@ def visible_cameras(patches: DataFrame, photos: DataFrame, degrees: float = 60.0
 
 def in_frame(visible: DataFrame, corners: DataFrame, photos: DataFrame, cameras: DataFrame) -> DataFrame:
     """pid, iid where all corners (pid, corner, x, y, z) of the patch fall inside the image."""
-    j = corners.join(visible, "pid").join(small(views(photos, cameras)), "iid")
-    u, v = pixel_of(F.col("x"), F.col("y"), F.col("z"))
-    inside = F.coalesce(bbox_contains(u, v, F.lit(0.0), F.lit(0.0), F.col("width") - 1, F.col("height") - 1), F.lit(False))
-    return j.groupBy("pid", "iid").agg(F.bool_and(inside).alias("inside")).filter("inside").select("pid", "iid")
+    patch = corners.groupBy("pid").agg(F.collect_list(F.struct("x", "y", "z")).alias("corners"))
+    j = patch.join(visible, "pid").join(small(views(photos, cameras)), "iid")
+
+    def inside(p: Column) -> Column:
+        u, v = pixel_of(p["x"], p["y"], p["z"])
+        return F.coalesce(bbox_contains(u, v, F.lit(0.0), F.lit(0.0), F.col("width") - 1, F.col("height") - 1), F.lit(False))
+
+    return j.filter(F.forall("corners", inside)).select("pid", "iid").distinct()
 
 
 def reconcile_names(photos: DataFrame, merged: DataFrame) -> DataFrame:

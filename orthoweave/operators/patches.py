@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,29 +48,37 @@ def ncc_match(templates: DataFrame, searches: DataFrame, threshold: float = 0.6)
     """pid, r, c, score: where a template (pid, r, c, v) correlates best in its search window, zero-mean and normalised.
 
     r, c: offset of the template's corner in the window; ties to the least r, then c. A flat template or
-    window has score 0. One pair is bounded by the two patch sizes and handled in one piece.
+    window has score 0. A pair is one row of two arrays, bounded by the patch sizes.
     """
 
-    def match(key, t: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        if not len(t) or not len(s):
-            return pd.DataFrame({"pid": [], "r": [], "c": [], "score": []})
-        a, b = (np.zeros((f["r"].max() + 1, f["c"].max() + 1)) for f in (t, s))
-        a[t["r"], t["c"]] = t["v"]
-        b[s["r"], s["c"]] = s["v"]
-        if a.shape[0] > b.shape[0] or a.shape[1] > b.shape[1]:
-            return pd.DataFrame({"pid": [], "r": [], "c": [], "score": []})
-        w = np.lib.stride_tricks.sliding_window_view(b, a.shape)
-        a = a - a.mean()
-        w = w - w.mean(axis=(2, 3), keepdims=True)
-        scale = np.sqrt((a * a).sum() * (w * w).sum(axis=(2, 3)))
-        score = np.round(np.where(scale > 1e-12, (w * a).sum(axis=(2, 3)) / np.maximum(scale, 1e-12), 0.0), 9)
-        r, c = np.unravel_index(int(score.argmax()), score.shape)
-        return pd.DataFrame({"pid": [key[0]], "r": [int(r)], "c": [int(c)], "score": [float(score[r, c])]})
-
-    left = templates.select(F.col("pid").alias("pid"), F.col("r").alias("r"), F.col("c").alias("c"), F.col("v").alias("v"))
-    right = searches.select(F.col("pid").alias("pid"), F.col("r").alias("r"), F.col("c").alias("c"), F.col("v").alias("v"))
-    found = left.groupBy("pid").cogroup(right.groupBy("pid")).applyInPandas(match, "pid long, r int, c int, score double")
-    return found.filter(F.col("score") >= threshold)
+    def grid(cells) -> np.ndarray:
+        r, c, v = (cells.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+        out = np.zeros((r.max() + 1, c.max() + 1))
+        out[r, c] = v
+        return out
+
+    def match(batches):
+        for batch in batches:
+            found = []
+            for n, pid in enumerate(batch.column(0).to_pylist()):
+                a, b = (grid(batch.column(k)[n].values) for k in (1, 2))
+                if a.shape[0] > b.shape[0] or a.shape[1] > b.shape[1]:
+                    continue
+                w = np.lib.stride_tricks.sliding_window_view(b, a.shape)
+                a = a - a.mean()
+                # sums over windows: the template has mean zero, so the windows' means drop out of the product
+                products = np.einsum("ijkl,kl->ij", w, a)
+                spread = np.einsum("ijkl,ijkl->ij", w, w) - w.sum(axis=(2, 3)) ** 2 / a.size
+                scale = np.sqrt((a * a).sum() * np.maximum(spread, 0))
+                score = np.round(np.where(scale > 1e-9, products / np.maximum(scale, 1e-9), 0.0), 9)
+                r, c = np.unravel_index(int(score.argmax()), score.shape)
+                found.append((pid, int(r), int(c), float(score[r, c])))
+            columns = list(zip(*found, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.float64()), strict=True)], names=["pid", "r", "c", "score"])
+
+    whole = lambda df, name: df.groupBy("pid").agg(F.collect_list(F.struct(F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.col("v").cast("double").alias("v"))).alias(name))
+    both = whole(templates, "t").join(whole(searches, "s"), "pid").select("pid", "t", "s")
+    return both.mapInArrow(match, "pid long, r int, c int, score double").filter(F.col("score") >= threshold)
 
 
 def refine_point(df: DataFrame, h: list, into: tuple[str, str] = ("x", "y")) -> DataFrame:
@@ -102,17 +111,15 @@ def refine_affine(templates: DataFrame, pixels: DataFrame, init: DataFrame, iter
 
     def solve(frames):
         for f in frames:
-            a = np.stack(f["a"].to_list()) if len(f) else np.zeros((0, 6))
-            out, done = a.copy(), np.zeros(len(f), dtype=bool)
-            for n in range(len(f)):
-                m = np.array([[f[f"h{min(p, q)}{max(p, q)}"].iloc[n] for q in range(6)] for p in range(6)])
-                b = np.array([f[f"b{p}"].iloc[n] for p in range(6)])
-                if np.isfinite(m).all() and np.linalg.matrix_rank(m) == 6:
-                    step = np.linalg.solve(m, -b)
-                    out[n] += step
-                    done[n] = np.abs(step).max() < tolerance
-                else:
-                    done[n] = True
+            out = np.stack(f["a"].to_list()) if len(f) else np.zeros((0, 6))
+            m = np.stack([np.stack([f[f"h{min(p, q)}{max(p, q)}"].to_numpy(dtype=float) for q in range(6)], -1) for p in range(6)], -2)
+            b = np.stack([f[f"b{p}"].to_numpy(dtype=float) for p in range(6)], -1)
+            fine = np.isfinite(m).all(axis=(1, 2)) & np.isfinite(b).all(axis=1)
+            fine[fine] = np.linalg.matrix_rank(m[fine]) == 6
+            done = ~fine
+            step = np.linalg.solve(m[fine], -b[fine][..., None])[..., 0]
+            out[fine] += step
+            done[fine] = np.abs(step).max(axis=1, initial=0) < tolerance
             yield pd.DataFrame({"pid": f["pid"], "a": list(out), "done": done, "rms": f["rms"]})
 
     for _ in range(iterations):

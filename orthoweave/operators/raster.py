@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip
+from .cameras import small
 
 CELL = ["image_id", "r", "c"]
 
@@ -129,7 +130,7 @@ def percent_clip(pixels: DataFrame, percent: float = 2.0, by: list[str] = ["imag
     """lo, hi: left edges of the first histogram bins whose cumulated share exceeds percent and 100 - percent."""
     box = pixels.groupBy(*by).agg(F.min("v").alias("v0"), ((F.max("v") - F.min("v")) / bins).alias("step"), F.count("v").alias("total"))
     b = F.when(F.col("step") > 0, F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("v0")) / F.col("step")))).otherwise(0)
-    counted = pixels.filter("v is not null").join(F.broadcast(box) if by == ["image_id"] else box, by).groupBy(*by, b.alias("bin"), "v0", "step", "total").agg(F.count(F.lit(1)).alias("n"))
+    counted = pixels.filter("v is not null").join(small(box), by).groupBy(*by, b.alias("bin"), "v0", "step", "total").agg(F.count(F.lit(1)).alias("n"))
     share = F.sum("n").over(Window.partitionBy(*by).orderBy("bin")) * 100.0 / F.col("total")
     edge = F.col("v0") + F.col("step") * F.col("bin")
     cumulated = counted.withColumn("share", share).withColumn("edge", edge)
@@ -138,7 +139,7 @@ def percent_clip(pixels: DataFrame, percent: float = 2.0, by: list[str] = ["imag
 
 def stretch_8u(pixels: DataFrame, limits: DataFrame) -> DataFrame:
     """v to 1..255 between lo and hi of its image, clipped; null (no data) becomes 0."""
-    j = pixels.join(F.broadcast(limits), "image_id")  # one row an image of the batch
+    j = pixels.join(small(limits), "image_id")
     scaled = F.round(1 + (F.col("v") - F.col("lo")) * F.try_divide(F.lit(254.0), F.col("hi") - F.col("lo")))
     return j.withColumn("u8", F.coalesce(clip(scaled, 1.0, 255.0), F.lit(0.0)).cast("int")).drop("lo", "hi")
 
@@ -234,20 +235,24 @@ def sample_bilinear(points: DataFrame, pixels: DataFrame, keep: list[str], value
     """keep and the bilinear value at (px, py) of image_id; border: replicate the edge, else null outside.
 
     Each point asks for four cells; the cells meet in one equi-join and are summed by weight. A missing
-    cell makes the value null.
+    cell makes the value null. Repeated points give a row each. pixels have one band.
     """
     ends = pixels.groupBy("image_id").agg(F.max("r").alias("r_max"), F.max("c").alias("c_max"))
-    p = points.join(F.broadcast(ends), "image_id")  # one row an image
+    p = points.join(small(ends), "image_id")
     x, y = (clip(F.col("px"), 0.0, 1e18), clip(F.col("py"), 0.0, 1e18)) if border else (F.col("px"), F.col("py"))
     x, y = (F.least(x, F.col("c_max").cast("double")), F.least(y, F.col("r_max").cast("double"))) if border else (x, y)
     p = p.withColumn("bx", x).withColumn("by", y).withColumn("c0", F.floor("bx")).withColumn("r0", F.floor("by"))
     p = p.withColumn("fx", F.col("bx") - F.col("c0")).withColumn("fy", F.col("by") - F.col("r0"))
     corners = [(0, 0, (1 - F.col("fx")) * (1 - F.col("fy"))), (0, 1, F.col("fx") * (1 - F.col("fy"))), (1, 0, (1 - F.col("fx")) * F.col("fy")), (1, 1, F.col("fx") * F.col("fy"))]
     four = F.array(*(F.struct((F.col("r0") + dr).cast("int").alias("r"), (F.col("c0") + dc).cast("int").alias("c"), w.alias("w")) for dr, dc, w in corners))
-    asked = p.select(F.struct(*keep).alias("keep"), "image_id", F.explode(F.filter(four, lambda s: s["w"] > 0)).alias("q")).select("keep", "image_id", "q.r", "q.c", "q.w")
-    met = asked.join(pixels.select(*CELL, F.col("v").cast("double").alias("pv")), CELL, "left").select("keep.*", "w", "pv")
-    out = met.groupBy(*keep).agg(F.sum(F.col("w") * F.col("pv")).alias("s"), F.count_if(F.col("pv").isNull()).alias("missing"))
-    return out.select(*keep, F.when(F.col("missing") == 0, F.col("s")).alias(value))
+    weighty = F.filter(four, lambda s: s["w"] > 0)
+    asked = p.select(F.struct(*keep).alias("keep"), "image_id", "px", "py", F.size(weighty).alias("cells"), F.explode(weighty).alias("q")).select("keep", "image_id", "px", "py", "cells", "q.r", "q.c", "q.w")
+    met = asked.join(pixels.select(*CELL, F.col("v").cast("double").alias("pv")), CELL, "left")
+    out = met.groupBy("keep", "image_id", "px", "py", "cells").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("w") * F.col("pv")).alias("s"), F.count_if(F.col("pv").isNull()).alias("missing"))
+    # equal points meet in one group and come out as often as they went in
+    times = (F.col("rows") / F.col("cells")).cast("int")
+    one = F.when(F.col("missing") == 0, F.col("s") / times)
+    return out.select("keep", F.explode(F.array_repeat(F.struct(one.alias("value")), times)).alias("o")).select("keep.*", F.col("o.value").alias(value))
 
 
 def remap(pixels: DataFrame, coordinates: DataFrame, interpolation: str = "linear") -> DataFrame:

@@ -115,7 +115,7 @@ def sample_hypotheses(matches: DataFrame, m: int, draws: int = 1024, seed: int =
     sizes = rows.groupBy(*PAIR).agg(F.max("n_all").alias("n_all")).filter(F.col("n_all") >= m)
     drawn = sizes.select(*PAIR, "n_all", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
     first = F.pmod(F.xxhash64(*PAIR, "draw", F.lit(seed)), F.col("n_all"))
-    # a stride coprime to nothing in particular: slots that collide are moved on by the next free place
+    # slots lie in disjoint stretches of n_all / m places, so the matches of a draw differ
     pick = drawn.select(*PAIR, "draw", "n_all", first.alias("first"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("slot"))
     spaced = F.pmod(F.col("first") + F.col("slot") * F.greatest(F.lit(1), F.floor(F.col("n_all") / m)) + F.when(F.col("n_all") >= 2 * m, F.pmod(F.xxhash64(*PAIR, "draw", "slot", F.lit(seed + 1)), F.floor(F.col("n_all") / m))).otherwise(0), F.col("n_all"))
     return pick.withColumn("n", spaced).drop("first", "n_all").join(rows.select(*PAIR, "n", "fid_i", "fid_j", *_XY), [*PAIR, "n"])
@@ -184,7 +184,7 @@ def every_translation(matches: DataFrame) -> DataFrame:
 
 def score(matches: DataFrame, hypotheses: DataFrame, model: str) -> DataFrame:
     """Every match of a pair under every hypothesis of the pair, with its squared residual."""
-    kind = {"fundamental": "epipolar", "affine": None}.get(model, model)
+    kind = {"fundamental": "symmetric_epipolar", "affine": None}.get(model, model)
     joined = matches.select(*PAIR, "fid_i", "fid_j", *_XY).join(hypotheses, PAIR)
     size = {"translation": 2, "affine": 6}.get(model, 9)
     m = [F.col("model")[k] for k in range(size)]
@@ -203,10 +203,12 @@ def ransac(matches: DataFrame, hypotheses: DataFrame, model: str, threshold: flo
     return scored.join(best, [*PAIR, "draw", "root"]).select(*PAIR, "fid_i", "fid_j", "draw", "inliers")
 
 
-def log_factorials(spark, n: int) -> DataFrame:
-    """k, lf = log10(k!) for 0..n; n is bounded by the match cap of a pair."""
-    values = np.concatenate(([0.0], np.cumsum(np.log10(np.arange(1, n + 1)))))
-    return spark.createDataFrame(pd.DataFrame({"k": np.arange(n + 1), "lf": values}), "k long, lf double")
+def log10_factorial(n: Column) -> Column:
+    """log10(n!) of a whole number: exact below 16, beyond it Stirling's series to within 1e-11."""
+    exact = F.array(*(F.lit(math.log10(math.factorial(k))) for k in range(16)))
+    x = n.cast("double")
+    series = x * F.log(x) - x + 0.5 * F.log(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+    return F.when(n < 16, F.get(exact, n.cast("int"))).otherwise(series / math.log(10))
 
 
 def ac_ransac(matches: DataFrame, hypotheses: DataFrame, model: str, width: int, height: int, threshold: float = 5.0) -> DataFrame:
@@ -225,17 +227,32 @@ def ac_ransac(matches: DataFrame, hypotheses: DataFrame, model: str, width: int,
     w = Window.partitionBy(*PAIR, "draw", "root")
     ranked = scored.withColumn("k", F.row_number().over(w.orderBy("e", "fid_i", "fid_j")).cast("long")).withColumn("n", F.count(F.lit(1)).over(w))
     usable = ranked.filter((F.col("k") > s) & (F.col("n") > s) & (F.col("error") <= threshold * threshold))
-    top = matches.groupBy(*PAIR).count().agg(F.max("count")).first()[0] or 0
-    lf = F.broadcast(log_factorials(matches.sparkSession, top + 1))  # one row for each size up to the largest pair
-    named = lambda name, key: lf.select(F.col("k").alias(key), F.col("lf").alias(name))
-    terms = usable.join(named("lf_n", "n"), "n").join(named("lf_k", "k"), "k").withColumn("rest", F.col("n") - F.col("k")).join(named("lf_rest", "rest"), "rest").withColumn("over", F.col("k") - s).join(named("lf_over", "over"), "over")
+    n, k = F.col("n"), F.col("k")
     log_s = sum(math.log10(x) for x in range(1, s + 1))
-    nfa = F.log10(roots * (F.col("n") - s)) + (F.col("k") - s) * (alpha + mult * F.log10(F.col("e") + 1e-30)) + F.col("lf_n") - F.col("lf_rest") - F.lit(log_s) - F.col("lf_over")
-    best = terms.withColumn("nfa", nfa).groupBy(*PAIR).agg(F.min(F.struct(F.round("nfa", 9).alias("nfa"), "draw", "root", F.col("k").alias("upto"))).alias("b")).filter("b.nfa < 0")
+    choices = log10_factorial(n) - log10_factorial(n - k) - F.lit(log_s) - log10_factorial(k - s)
+    nfa = F.log10(roots * (n - s)) + (k - s) * (alpha + mult * F.log10(F.col("e") + 1e-30)) + choices
+    best = usable.withColumn("nfa", nfa).groupBy(*PAIR).agg(F.min(F.struct(F.round("nfa", 9).alias("nfa"), "draw", "root", F.col("k").alias("upto"))).alias("b")).filter("b.nfa < 0")
     chosen = best.select(*PAIR, "b.draw", "b.root", "b.upto", "b.nfa")
     return ranked.join(chosen, [*PAIR, "draw", "root"]).filter(F.col("k") <= F.col("upto")).select(*PAIR, "fid_i", "fid_j", "draw", "nfa")
 
 
+def ac_ransac_reserved(matches: DataFrame, model: str, width: int, height: int, threshold: float = 5.0, draws: int = 1024, reserve: float = 0.1, seed: int = 0) -> DataFrame:
+    """ac_ransac() on sampled hypotheses, a share `reserve` of the draws kept for samples among the inliers of the best.
+
+    The first draws are spread over all matches; the reserved ones are taken from the inliers they
+    select, pair by pair, and compete with the best first one. Pairs without inliers have none.
+    """
+    from ..session import stage
+
+    m, later = SAMPLE[model], int(draws * reserve)
+    first = stage(fit_minimal(sample_hypotheses(matches, m, draws - later, seed), model), "ransac-hypotheses")
+    chosen = stage(ac_ransac(matches, first, model, width, height, threshold), "ransac-inliers")
+    inliers = matches.join(chosen.select(*PAIR, "fid_i", "fid_j"), [*PAIR, "fid_i", "fid_j"], "left_semi")
+    more = fit_minimal(sample_hypotheses(inliers, m, later, seed + 1), model).withColumn("draw", F.col("draw") + draws)
+    winners = first.join(chosen.select(*PAIR, "draw").distinct(), [*PAIR, "draw"], "left_semi")
+    return ac_ransac(matches, stage(winners.unionByName(more), "ransac-reserve"), model, width, height, threshold)
+
+
 # -- exact solves -------------------------------------------------------------------------------
 
 

@@ -217,8 +217,11 @@ def hit_columns() -> tuple[Column, Column, Column, Column]:
     return F.coalesce(hit, F.lit(False)), t, u, v
 
 
+RAY = ["ray_id", "ox", "oy", "oz", "dx", "dy", "dz", "tnear", "tfar"]
+
+
 def _candidates(rays: DataFrame, triangles: DataFrame, cell: float) -> DataFrame:
-    """Rays and triangles that share a voxel.
+    """Rays and triangles that share a voxel, with their geometry; once for each voxel and piece they share.
 
     A ray [tnear, tfar] is cut into pieces no longer than a voxel in each axis; the voxels of the box of
     each piece are a cover of the segment, so no hit is lost.
@@ -235,11 +238,10 @@ def _candidates(rays: DataFrame, triangles: DataFrame, cell: float) -> DataFrame
 
     eps = 1e-9
     ray_spans = [(F.least(end(o, d, 0), end(o, d, 1)) - eps, F.greatest(end(o, d, 0), end(o, d, 1)) + eps) for o, d in (("ox", "dx"), ("oy", "dy"), ("oz", "dz"))]
-    r = spread(pieces, ["ray_id"], ray_spans).distinct()
+    r = spread(pieces, RAY, ray_spans)
     tri_spans = [(F.least(*p), F.greatest(*p)) for p in (("ax", "bx", "cx"), ("ay", "by_", "cy"), ("az", "bz", "cz"))]
-    t = spread(triangles, ["tid"], tri_spans)
-    pairs = r.join(t, ["gx", "gy", "gz"]).select("ray_id", "tid").distinct()
-    return pairs.join(rays, "ray_id").join(triangles.select("tid", *TRI), "tid")
+    t = spread(triangles, ["tid", *TRI], tri_spans)
+    return r.join(t, ["gx", "gy", "gz"])
 
 
 def ray_hits(rays: DataFrame, triangles: DataFrame, cell: float) -> DataFrame:

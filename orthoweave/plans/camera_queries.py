@@ -156,7 +156,7 @@ def _(i):
     return i.v_matches.select("iid_i", "fid_i", R6(h[0], "hx"), R6(h[1], "hy"), R6(a[0], "ax"), R6(a[1], "ay"))
 
 
-@query("P27_normalize_points", """select iid_i, fid_i, round((x1 - 2000) / sqrt(12000000), 6) as sx, round((x1 - avg(x1) over w) * sqrt(2.0 / var_pop(x1) over w), 6) as nx, round((y1 - avg(y1) over w) * sqrt(2.0 / var_pop(y1) over w), 6) as ny
+@query("P27_normalize_points", """select iid_i, fid_i, round((x1 - 2000) / sqrt(12000000), 6) as sx, round(case when var_pop(x1) over w < 1e-8 then x1 - 1 else (x1 - avg(x1) over w) * sqrt(2.0 / var_pop(x1) over w) end, 6) as nx, round(case when var_pop(y1) over w < 1e-8 then y1 - 1 else (y1 - avg(y1) over w) * sqrt(2.0 / var_pop(y1) over w) end, 6) as ny
     from {v_matches} window w as (partition by iid_i, iid_j)""")
 def _(i):
     m = i.v_matches.withColumns({"sx": F.col("x1"), "sy": F.col("y1"), "nx": F.col("x1"), "ny": F.col("y1")})
@@ -185,11 +185,32 @@ def _(i):
     return R.sample_hypotheses(i.v_matches, 4, 64, 3)
 
 
+@query("R1_draw_counts", "select iid_i, iid_j, 64::bigint as draws, true as distinct_matches from {v_matches} group by iid_i, iid_j having count(*) >= 4")
+def _(i):
+    draws = R.sample_hypotheses(i.v_matches, 4, 64, 3).groupBy("iid_i", "iid_j", "draw").agg(F.count_distinct("fid_i", "fid_j").alias("n"))
+    return draws.groupBy("iid_i", "iid_j").agg(F.count(F.lit(1)).alias("draws"), F.every(F.col("n") == 4).alias("distinct_matches"))
+
+
 @query("R2_fit_minimal")
 def _(i):
     return R.fit_minimal(R.sample_hypotheses(i.v_matches, 7, 64, 3), "fundamental")
 
 
+# the seven sampled matches lie on the model that is fitted through them, whatever the sample
+@query("R2_fit_residuals", "select iid_i, iid_j, true as through_all from {v_matches} group by iid_i, iid_j having count(*) >= 7")
+def _(i):
+    samples = R.sample_hypotheses(i.v_matches, 7, 64, 3)
+    models = R.fit_minimal(samples, "fundamental").filter("root = 0")
+    on = samples.join(models, ["iid_i", "iid_j", "draw"])
+    e = R.residual(on, [F.col("model")[k] for k in range(9)], "symmetric_epipolar")
+    return e.groupBy("iid_i", "iid_j").agg((F.percentile("error", 0.5) < 1e-6).alias("through_all"))
+
+
+@query("R2_fit_translation", "select iid_i, iid_j, row_number() over (partition by iid_i, iid_j order by fid_i, fid_j) - 1 as draw, round(x2 - x1, 6) as tx, round(y2 - y1, 6) as ty from {v_matches}")
+def _(i):
+    return R.every_translation(i.v_matches).select("iid_i", "iid_j", F.col("draw").cast("long").alias("draw"), R6(F.col("model")[0], "tx"), R6(F.col("model")[1], "ty"))
+
+
 def _shifted(i):
     """Matches of which two thirds follow one shift of whole pixels, and the rest do not."""
     good = F.col("fid_i") % 3 != 0
@@ -197,7 +218,7 @@ def _shifted(i):
 
 
 _SHIFT = "(select iid_i, iid_j, fid_i, fid_j, x1, y1, case when fid_i % 3 <> 0 then x1 + 30 + fid_i % 4 else x2 end as x2, case when fid_i % 3 <> 0 then y1 - 20 else y2 end as y2 from {v_matches})"
-_HYP = f"m as (select *, row_number() over (partition by iid_i, iid_j order by fid_i, fid_j) - 1 as n, count(*) over (partition by iid_i, iid_j) as n_all from {_SHIFT}), s as (select a.iid_i, a.iid_j, a.fid_i, a.fid_j, a.n_all, h.n as draw, (a.x2 - a.x1 - (h.x2 - h.x1)) ** 2 + (a.y2 - a.y1 - (h.y2 - h.y1)) ** 2 as e from m a join m h on a.iid_i = h.iid_i and a.iid_j = h.iid_j)"
+_HYP = f"m as materialized (select *, row_number() over (partition by iid_i, iid_j order by fid_i, fid_j) - 1 as n, count(*) over (partition by iid_i, iid_j) as n_all from {_SHIFT}), s as materialized (select a.iid_i, a.iid_j, a.fid_i, a.fid_j, a.n_all, h.n as draw, (a.x2 - a.x1 - (h.x2 - h.x1)) ** 2 + (a.y2 - a.y1 - (h.y2 - h.y1)) ** 2 as e from m a join m h on a.iid_i = h.iid_i and a.iid_j = h.iid_j)"
 
 
 @query("R4_ransac_translation", f"""with {_HYP}, d as (select s.iid_i, s.iid_j, s.draw, count(*) as inliers from s where e < 6.25 group by s.iid_i, s.iid_j, s.draw), c as (select *, row_number() over (partition by iid_i, iid_j order by inliers desc, draw) as rank from d)
@@ -207,7 +228,7 @@ def _(i):
     return R.ransac(m, R.every_translation(m), "translation", 2.5).select("iid_i", "fid_i", "fid_j", F.col("draw").cast("long").alias("draw"), "inliers")
 
 
-@query("R3_ac_ransac_translation", f"""with {_HYP}, k as (select *, row_number() over (partition by iid_i, draw order by e, fid_i, fid_j) as k from s),
+@query("R3_ac_ransac_translation", f"""with {_HYP}, k as materialized (select *, row_number() over (partition by iid_i, draw order by e, fid_i, fid_j) as k from s),
     v as (select *, round(log10(n_all - 1) + (k - 1) * (log10(pi()) + log10(e / 12000000.0 + 1e-30)) + (lgamma(n_all + 1) - lgamma(n_all - k + 1) - lgamma(k)) / ln(10), 6) as nfa from k where k > 1 and e <= 25),
     b as (select iid_i, draw, k as upto, row_number() over (partition by iid_i order by nfa, draw, k) as rank from v where nfa < 0)
     select k.iid_i, k.fid_i, k.fid_j from k join b on k.iid_i = b.iid_i and k.draw = b.draw and b.rank = 1 where k.k <= b.upto""")
@@ -216,10 +237,10 @@ def _(i):
     return R.ac_ransac(m, R.every_translation(m), "translation", 4000, 3000).select("iid_i", "fid_i", "fid_j")
 
 
-@query("R5_homography4")
+@query("R5_homography4", "select iid_i, fid_i, 1.1::double as h0, 0.0::double as h1, round(-1.1 * (x1 % 7) + 3 + y1 % 5, 4) as h2, 0.0::double as h3, 0.9::double as h4, -2.0::double as h5, 0.0::double as h6, 0.0::double as h7 from {v_matches}")
 def _(i):
     pts = F.array(*(F.struct((F.lit(float(a)) + F.col("x1") % 7).alias("x1"), F.lit(float(b)).alias("y1"), (F.lit(a * 1.1 + 3) + F.col("y1") % 5).alias("x2"), F.lit(b * 0.9 - 2).alias("y2")) for a, b in ((0, 0), (100, 0), (100, 80), (0, 80))))
-    return R.homography4(i.v_matches.select("iid_i", "fid_i", pts.alias("pts")))
+    return R.homography4(i.v_matches.select("iid_i", "fid_i", pts.alias("pts"))).select("iid_i", "fid_i", *((F.round(F.col("model")[k], 4) + 0.0).alias(f"h{k}") for k in range(8)))
 
 
 @query("R5_affine3", "select iid_i, fid_i, 1.1e0 as a, round(-1.1 * (x1 % 7) + 3 + y1 % 5, 6) as c from {v_matches}")
@@ -228,11 +249,11 @@ def _(i):
     return R.affine3(i.v_matches.select("iid_i", "fid_i", pts.alias("pts"))).select("iid_i", "fid_i", R6(F.col("model")[0], "a"), R6(F.col("model")[2], "c"))
 
 
-@query("W6_patch_normal")
+@query("W6_patch_normal", "select pid, round(nx, 5) as nx, 0.0::double as ny, round(nz, 5) as nz from {v_points3d}")
 def _(i):
     from ..operators.patches import patch_normal
 
     q = F.explode(F.sequence(F.lit(0), F.lit(3)))
     k = i.v_points3d.select("pid", q.alias("corner"), "x", "y", "z", "nx", "nz").withColumn("dx", F.col("corner") % 2).withColumn("y", F.col("y") + F.floor(F.col("corner") / 2))
     k = k.withColumn("x", F.col("x") + F.col("dx") * F.col("nz")).withColumn("z", F.col("z") - F.col("dx") * F.col("nx"))
-    return patch_normal(k.select("pid", "x", "y", "z"))
+    return patch_normal(k.select("pid", "x", "y", "z")).select("pid", *((F.round(c, 5) + 0.0).alias(c) for c in ("nx", "ny", "nz")))

@@ -78,7 +78,7 @@ def _(i):
 # -- nearest neighbours -------------------------------------------------------------------------
 
 _DIST = "list_sum([(a.vec[k]::double - b.vec[k]::double) * (a.vec[k]::double - b.vec[k]::double) for k in range(1, 65)])"
-_KNN = f"""knn as (select * from (select a.iid as iid_i, a.fid as fid_i, b.iid as iid_j, b.fid as fid_j, d as dist, row_number() over (partition by a.iid, a.fid, b.iid order by d, b.fid) as rank
+_KNN = f"""knn as materialized (select * from (select a.iid as iid_i, a.fid as fid_i, b.iid as iid_j, b.fid as fid_j, d as dist, row_number() over (partition by a.iid, a.fid, b.iid order by d, b.fid) as rank
     from (select a.iid, a.fid, b.iid as biid, b.fid as bfid, array_distance(a.vec::double[64], b.vec::double[64]) ** 2 as d from {{v_desc}} as a join {{v_desc}} as b on a.iid < b.iid) a, lateral (select a.biid as iid, a.bfid as fid) b) where rank <= 2)"""
 _BACK = _KNN.replace("knn as", "back as").replace("a.iid < b.iid", "a.iid > b.iid")
 
@@ -103,6 +103,14 @@ def _(i):
     return K.ann_join(i.v_desc, P.image_pairs(i.v_desc), 2)
 
 
+@query("J2_ann_recall", f"with {_KNN} select count(*) as n_exact, true as nine_tenths_found from knn")
+def _(i):
+    key = ["iid_i", "fid_i", "iid_j", "fid_j"]
+    found = K.ann_join(i.v_desc, P.image_pairs(i.v_desc), 2).select(*key, F.lit(1).alias("hit"))
+    both = _knn(i).select(*key).join(found, key, "left").agg(F.count(F.lit(1)).alias("n_exact"), F.count("hit").alias("hits"))
+    return both.select("n_exact", (F.col("hits") >= 0.9 * F.col("n_exact")).alias("nine_tenths_found"))
+
+
 @query("P6_ratio_test", f"with {_KNN} select a.iid_i, a.fid_i, a.iid_j, a.fid_j, round(a.dist, 6) as dist from knn a join knn b using (iid_i, fid_i, iid_j) where a.rank = 1 and b.rank = 2 and a.dist < 0.9 * b.dist")
 def _(i):
     return K.ratio_test(_knn(i), 0.9).withColumn("dist", R6(F.col("dist")))
@@ -177,7 +185,7 @@ def _(i):
     return M.retain_best_matches(i.v_matches, 60).select("iid_i", "fid_i", "fid_j")
 
 
-@query("T4_sample_n")
+@query("T4_sample_n", "select iid_i, fid_i, fid_j from (select *, row_number() over (partition by iid_i order by md5('7|' || fid_i || '|' || fid_j), fid_i, fid_j) as n from {v_matches}) where n <= 20")
 def _(i):
     return M.sample_n(i.v_matches, ["iid_i"], ["fid_i", "fid_j"], 20, 7).select("iid_i", "fid_i", "fid_j")
 

@@ -24,14 +24,24 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def _decoded(spark: SparkSession, path: str, decode, schema: str) -> DataFrame:
+def _decoded(files: DataFrame, decode, schema: str) -> DataFrame:
     def run(frames):
         for f in frames:
             parts = [d for p, c in zip(f["path"], f["content"], strict=True) if len(d := decode(p, bytes(c)))]
             if parts:
                 yield pd.concat(parts, ignore_index=True)
 
-    return _files(spark, path).mapInPandas(run, schema)
+    return files.select("path", "content").mapInPandas(run, schema)
+
+
+def _encoded(groups: DataFrame, encode) -> DataFrame:
+    """path, content of groups (path, rows)."""
+
+    def run(frames):
+        for f in frames:
+            yield pd.DataFrame({"path": f["path"], "content": [encode(r) for r in f["rows"]]})
+
+    return groups.mapInPandas(run, "path string, content binary")
 
 
 def _count(path: str, content: bytes, at: int = 0) -> int:
@@ -47,6 +57,24 @@ def _records(path: str, content: bytes, dtype, count: int, at: int) -> np.ndarra
 
 
 def load_sift_dir(spark: SparkSession, path: str) -> DataFrame:
+    """Keypoints of the files in a folder, as decode_sift() gives them."""
+    return decode_sift(_files(spark, path))
+
+
+def encode_sift(features: DataFrame) -> DataFrame:
+    """path, content: one file for each path of features (path, fid, x, y, size, angle, response, desc), in the order of fid."""
+    rows = features.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("fid", "x", "y", "size", "angle", "response", "desc"))).alias("rows"))
+
+    def encode(rows) -> bytes:
+        k = np.zeros(len(rows), dtype=KEYPOINT)
+        for c in ("x", "y", "size", "angle", "response"):
+            k[c] = [r[c] for r in rows]
+        return np.int32(len(rows)).tobytes() + k.tobytes() + np.array([r["desc"] for r in rows], dtype=np.uint8).tobytes()
+
+    return _encoded(rows, encode)
+
+
+def decode_sift(files: DataFrame) -> DataFrame:
     """path, fid, x, y, size, angle, response, desc of every keypoint in files of: n, n keypoints, n x 128 bytes."""
 
     def decode(p: str, c: bytes) -> pd.DataFrame:
@@ -55,10 +83,27 @@ def load_sift_dir(spark: SparkSession, path: str) -> DataFrame:
         d = _records(p, c, np.uint8, n * DESCRIPTOR, 4 + k.nbytes).reshape(n, DESCRIPTOR)
         return pd.DataFrame({"path": p, "fid": np.arange(n), **{f: k[f].astype(float) for f in ("x", "y", "size", "angle", "response")}, "desc": list(d.astype(np.int32))})
 
-    return _decoded(spark, path, decode, "path string, fid long, x double, y double, size double, angle double, response double, desc array<int>")
+    return _decoded(files, decode, "path string, fid long, x double, y double, size double, angle double, response double, desc array<int>")
 
 
 def load_feature_dir(spark: SparkSession, path: str, with_desc: bool = True) -> DataFrame:
+    """Points of the files in a folder, as decode_features() gives them."""
+    return decode_features(_files(spark, path), with_desc)
+
+
+def encode_features(features: DataFrame) -> DataFrame:
+    """path, content: one file for each path of features (path, fid, x, y, desc), in the order of fid; descriptors where all have one."""
+    rows = features.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("fid", "x", "y", "desc"))).alias("rows"))
+
+    def encode(rows) -> bytes:
+        xy = np.array([(r["x"], r["y"]) for r in rows], dtype="<f4")
+        desc = b"" if any(r["desc"] is None for r in rows) else np.array([r["desc"] for r in rows], dtype=np.uint8).tobytes()
+        return np.array([len(rows), len(desc) // DESCRIPTOR], dtype="<i4").tobytes() + xy.tobytes() + desc
+
+    return _encoded(rows, encode)
+
+
+def decode_features(files: DataFrame, with_desc: bool = True) -> DataFrame:
     """path, fid, x, y, desc of files of: n, number of descriptors, n x 2 floats, descriptors (null where there are none)."""
 
     def decode(p: str, c: bytes) -> pd.DataFrame:
@@ -69,17 +114,36 @@ def load_feature_dir(spark: SparkSession, path: str, with_desc: bool = True) ->
             desc = list(_records(p, c, np.uint8, nd * DESCRIPTOR, 8 + 8 * n).reshape(nd, DESCRIPTOR).astype(np.int32)) + [None] * (n - nd)
         return pd.DataFrame({"path": p, "fid": np.arange(n), "x": xy[:, 0], "y": xy[:, 1], "desc": desc[:n]})
 
-    return _decoded(spark, path, decode, "path string, fid long, x double, y double, desc array<int>")
+    return _decoded(files, decode, "path string, fid long, x double, y double, desc array<int>")
 
 
 def load_match_dir(spark: SparkSession, path: str, scored: bool = False) -> DataFrame:
+    """Matches of the files in a folder, as decode_matches() gives them."""
+    return decode_matches(_files(spark, path), scored)
+
+
+def encode_matches(matches: DataFrame, scored: bool = False) -> DataFrame:
+    """path, content: one file for each path of matches (path, fid_i, fid_j; scored: dist), in the order of the ids."""
+    columns = ["fid_i", "fid_j", *(["dist"] if scored else [])]
+    rows = matches.groupBy("path").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("rows"))
+
+    def encode(rows) -> bytes:
+        r = np.zeros(len(rows), dtype=SCORED_PAIR if scored else PAIR)
+        for field, c in (("i", "fid_i"), ("j", "fid_j"), *([("dist", "dist")] if scored else [])):
+            r[field] = [x[c] for x in rows]
+        return np.int32(len(rows)).tobytes() + r.tobytes()
+
+    return _encoded(rows, encode)
+
+
+def decode_matches(files: DataFrame, scored: bool = False) -> DataFrame:
     """path, fid_i, fid_j, dist of files of: n, n index pairs; scored: with image and distance."""
 
     def decode(p: str, c: bytes) -> pd.DataFrame:
         r = _records(p, c, SCORED_PAIR if scored else PAIR, _count(p, c), 4)
         return pd.DataFrame({"path": p, "fid_i": r["i"].astype(np.int64), "fid_j": r["j"].astype(np.int64), "dist": r["dist"].astype(float) if scored else np.full(len(r), np.nan)})
 
-    return _decoded(spark, path, decode, "path string, fid_i long, fid_j long, dist double").withColumn("dist", F.nanvl("dist", F.lit(None).cast("double")))
+    return _decoded(files, decode, "path string, fid_i long, fid_j long, dist double").withColumn("dist", F.nanvl("dist", F.lit(None).cast("double")))
 
 
 def save_matches(matches: DataFrame, path: str) -> None:
