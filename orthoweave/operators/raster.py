@@ -38,6 +38,13 @@ def raster_meta(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("image_id").agg((F.max("r") + 1).alias("rows"), (F.max("c") + 1).alias("cols"), F.count_distinct("band").alias("bands"))
 
 
+def create_rasters(headers: DataFrame) -> DataFrame:
+    """image_id, r, c of every cell of the images of a header table (image_id, rows, cols); images without cells give none."""
+    sized = headers.filter((F.col("rows") > 0) & (F.col("cols") > 0))
+    lines = sized.select("image_id", "cols", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("r"))
+    return lines.select("image_id", "r", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("c"))
+
+
 def create_raster(spark, image_id: int, rows: int, cols: int, value: float | None = None) -> DataFrame:
     at = spark.range(rows * cols)
     return at.select(F.lit(image_id).cast("long").alias("image_id"), F.floor(F.col("id") / cols).cast("int").alias("r"), (F.col("id") % cols).cast("int").alias("c"), F.lit(0).alias("band"), F.lit(value).cast("double").alias("v"))

@@ -57,9 +57,10 @@ def _(i):
     return R.fill_value(_px(i), 7.0).select("r", "c", "v")
 
 
-@query("S22_create_raster", "select least(64, (select count(*) from nation))::bigint as image_id, (k // 30)::int as r, (k % 30)::int as c from (select unnest(range((select count(*) from supplier) * 30)) as k)")
+@query("S22_create_raster", "select s_suppkey as image_id, (k // (5 + s_nationkey % 7))::int as r, (k % (5 + s_nationkey % 7))::int as c from (select s_suppkey, s_nationkey, unnest(range((3 + s_suppkey % 11) * (5 + s_nationkey % 7))) as k from supplier)")
 def _(i):
-    return R.create_raster(i.spark, min(64, i.nation.count()), i.supplier.count(), 30).select("image_id", "r", "c")
+    headers = i.supplier.select(F.col("s_suppkey").cast("long").alias("image_id"), (F.col("s_suppkey") % 11 + 3).cast("int").alias("rows"), (F.col("s_nationkey") % 7 + 5).cast("int").alias("cols"))
+    return R.create_rasters(headers)
 
 
 @query("P17_affine", "select pid, round(2 * x + 0.1 * y + 10, 6) as wx, round(-0.2 * x - 3 * y + 20, 6) as wy, x as bx, y as by_, 11.05 as cx from (select pid, x, y from {v_points3d})".replace("11.05 as cx", "11.05::double as cx"))
