@@ -71,13 +71,13 @@ def _(i):
     return v.select("iid", "dx", "dy", "dz", *(R6(F.col(c) + 0.0, c) for c in ("tx", "ty", "tz", "ux", "uy", "uz")), R6(F.col("fov_y"), "fov"))
 
 
-@query("P15_depth_to_xyz", """select r, c, round(case when abs(d - 1) > 1e-4 then (2.0 * (2 * (c + 0.5) / 64 - 1) + 1) / (0.5 * (2 * d - 1) + 2) end, 6) as x, round(case when abs(d - 1) > 1e-4 then (3.0 * (1 - 2 * (r + 0.5) / 64)) / (0.5 * (2 * d - 1) + 2) end, 6) as y,
-    round(case when abs(d - 1) > 1e-4 then (2 * d - 1) / (0.5 * (2 * d - 1) + 2) end, 6) as z from (select r, c, case when n % 5 = 0 then 1.0 else dsm / 60.0 end as d from {v_pixels})""")
+@query("P15_depth_to_xyz", """select image_id, r, c, round(case when abs(d - 1) > 1e-4 then (2.0 * (2 * (c + 0.5) / 64 - 1) + 1) / (0.5 * (2 * d - 1) + 2) end, 6) as x, round(case when abs(d - 1) > 1e-4 then (3.0 * (1 - 2 * (r + 0.5) / 64)) / (0.5 * (2 * d - 1) + 2) end, 6) as y,
+    round(case when abs(d - 1) > 1e-4 then (2 * d - 1) / (0.5 * (2 * d - 1) + 2) end, 6) as z from (select image_id, r, c, case when n % 5 = 0 then 1.0 else dsm / 60.0 end as d from {v_pixels})""")
 def _(i):
     m = [2, 0, 0, 1, 0, 3, 0, 0, 0, 0, 1, 0, 0, 0, 0.5, 2]
-    mats = i.spark.createDataFrame([(0, *map(float, m))], "image_id long, " + ", ".join(f"m{k} double" for k in range(16)))
+    mats = i.v_pixels.select("image_id").distinct().select("image_id", *(F.lit(float(x)).alias(f"m{k}") for k, x in enumerate(m)))
     px = i.v_pixels.select("image_id", "r", "c", F.when(F.col("n") % 5 == 0, 1.0).otherwise(F.col("dsm") / 60.0).alias("depth"), F.lit(64).alias("width"), F.lit(64).alias("height"))
-    return C.depth_to_xyz(px, mats).select("r", "c", *(R6(F.col(k), k) for k in "xyz"))
+    return C.depth_to_xyz(px, mats).select("image_id", "r", "c", *(R6(F.col(k), k) for k in "xyz"))
 
 
 @query("P16_undistort_block", "select iid, p.cid, 1999.5 as u0, 1499.5 as v0, 0.0 as k1, 'out/img' || iid::varchar || '.jpg' as path from {v_photos} as p join {v_cameras} as c on p.cid = c.cid")

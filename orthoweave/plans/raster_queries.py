@@ -1,4 +1,4 @@
-"""Queries for rasters and patches, over a 64 x 64 grid made of order lines."""
+"""Queries for rasters and patches. Order lines make the images: five suppliers give one of 64 x 64 cells, so images grow with the data."""
 
 from __future__ import annotations
 
@@ -11,14 +11,20 @@ from .base import query
 
 R6 = lambda c, n="v": F.round(c, 6).alias(n)
 N = 64
-# the full grid: cells without lines get a value from their place
-_GRID = "(select 0::bigint as image_id, g.r::int as r, g.c::int as c, coalesce(p.dsm, (g.r * 7 + g.c * 3) % 50)::double as v, coalesce(p.dem, (g.r + g.c) % 9)::double as dem, coalesce(p.n, 0) as n from (select a.r, b.c from (select unnest(range(64)) as r) a, (select unnest(range(64)) as c) b) g left join {v_pixels} as p on p.r = g.r and p.c = g.c)"
+# the full grid of every image: cells without lines get a value from their place
+_GRID = "(select im.image_id, a.r::int as r, b.c::int as c, coalesce(p.dsm, (a.r * 7 + b.c * 3 + im.image_id) % 50)::double as v, coalesce(p.dem, (a.r + b.c) % 9)::double as dem, coalesce(p.n, 0) as n from (select distinct image_id from {v_pixels}) im cross join (select unnest(range(64)) as r) a cross join (select unnest(range(64)) as c) b left join {v_pixels} as p on p.image_id = im.image_id and p.r = a.r and p.c = b.c)"
+
+
+_own = lambda: F.floor(F.col("pid") / 100).alias("image_id")  # noqa: E731  100 parts, as five suppliers, to an image
+
+
+def _headers(i, rows=N, cols=N):
+    return i.v_pixels.select("image_id").distinct().select("image_id", F.lit(rows).alias("rows"), F.lit(cols).alias("cols"))
 
 
 def _grid(i):
-    full = R.create_raster(i.spark, 0, N, N).select("image_id", "r", "c")
-    g = full.join(i.v_pixels, ["image_id", "r", "c"], "left")
-    return g.select("image_id", "r", "c", F.lit(0).alias("band"), F.coalesce("dsm", (F.col("r") * 7 + F.col("c") * 3) % 50).cast("double").alias("v"), F.coalesce("dem", (F.col("r") + F.col("c")) % 9).cast("double").alias("dem"), F.coalesce("n", F.lit(0)).alias("n"))
+    g = R.create_rasters(_headers(i)).join(i.v_pixels, ["image_id", "r", "c"], "left")
+    return g.select("image_id", "r", "c", F.lit(0).alias("band"), F.coalesce("dsm", (F.col("r") * 7 + F.col("c") * 3 + F.col("image_id")) % 50).cast("double").alias("v"), F.coalesce("dem", (F.col("r") + F.col("c")) % 9).cast("double").alias("dem"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def _px(i):
@@ -33,28 +39,31 @@ def _(i):
 
 
 @query("S18_read_patch", f"""with rois(roi_id, r0, c0, h, w, oh, ow) as (values (1, 3, 5, 20, 30, 10, 10), (2, 0, 0, 64, 64, 16, 32), (3, 40, 40, 24, 24, 24, 24)), g as (select roi_id, i, j, least(r0 + h - 1, r0 + floor((i + 0.5) * h / oh)) as r, least(c0 + w - 1, c0 + floor((j + 0.5) * w / ow)) as c
-    from rois, (select unnest(range(64)) as i), (select unnest(range(64)) as j) where i < oh and j < ow) select roi_id::bigint as roi_id, g.i::int as r, g.j::int as c, p.v from g join {_GRID} p on p.r = g.r and p.c = g.c""")
+    from rois, (select unnest(range(64)) as i), (select unnest(range(64)) as j) where i < oh and j < ow) select p.image_id * 4 + roi_id as roi_id, g.i::int as r, g.j::int as c, p.v from g join {_GRID} p on p.r = g.r and p.c = g.c""")
 def _(i):
-    rois = i.spark.createDataFrame([(1, 0, 3, 5, 20, 30, 10, 10), (2, 0, 0, 0, 64, 64, 16, 32), (3, 0, 40, 40, 24, 24, 24, 24), (4, 0, 60, 0, 10, 10, 5, 5)], "roi_id long, image_id long, r0 int, c0 int, rows int, cols int, out_rows int, out_cols int")
+    names = ("r0", "c0", "rows", "cols", "out_rows", "out_cols")
+    fixed = [(1, 3, 5, 20, 30, 10, 10), (2, 0, 0, 64, 64, 16, 32), (3, 40, 40, 24, 24, 24, 24), (4, 60, 0, 10, 10, 5, 5)]
+    four = F.array(*(F.struct(F.lit(k[0]).alias("k"), *(F.lit(x).alias(n) for n, x in zip(names, k[1:], strict=True))) for k in fixed))
+    rois = _headers(i).select("image_id", F.explode(four).alias("roi")).select((F.col("image_id") * 4 + F.col("roi.k")).alias("roi_id"), "image_id", *("roi." + n for n in names))
     p = _px(i)
     return R.read_patch(p, rois, R.raster_meta(p)).select("roi_id", "r", "c", "v")
 
 
-@query("S19_read_image", f"select i.i::int as r, j.j::int as c, p.v from (select unnest(range(20)) as i) i, (select unnest(range(24)) as j) j, {_GRID} p where p.r = least(63, floor((i.i + 0.5) * 64 / 20)) and p.c = least(63, floor((j.j + 0.5) * 64 / 24))")
+@query("S19_read_image", f"select p.image_id, i.i::int as r, j.j::int as c, p.v from (select unnest(range(20)) as i) i, (select unnest(range(24)) as j) j, {_GRID} p where p.r = least(63, floor((i.i + 0.5) * 64 / 20)) and p.c = least(63, floor((j.j + 0.5) * 64 / 24))")
 def _(i):
     p = _px(i)
-    return R.read_image(p, R.raster_meta(p), 20, 24).select("r", "c", "v")
+    return R.read_image(p, R.raster_meta(p), 20, 24).select(F.col("roi_id").alias("image_id"), "r", "c", "v")
 
 
-@query("S20_write_patch", f"select r, c, case when r between 10 and 29 and c between 50 and 63 then (r - 10) * 100.0 + c - 50 else v end as v from {_GRID}")
+@query("S20_write_patch", f"select image_id, r, c, case when r between 10 and 29 and c between 50 and 63 then (r - 10) * 100.0 + c - 50 else v end as v from {_GRID}")
 def _(i):
-    patch = R.create_raster(i.spark, 0, 20, 20).withColumn("v", F.col("r") * 100.0 + F.col("c"))
-    return R.write_patch(_px(i), patch, 10, 50).select("r", "c", "v")
+    patch = R.create_rasters(_headers(i, 20, 20)).select("*", F.lit(0).alias("band"), (F.col("r") * 100.0 + F.col("c")).alias("v"))
+    return R.write_patch(_px(i), patch, 10, 50).select("image_id", "r", "c", "v")
 
 
-@query("S21_fill_value", f"select r, c, 7.0 as v from {_GRID}".replace("7.0", "7.0::double"))
+@query("S21_fill_value", f"select image_id, r, c, 7.0 as v from {_GRID}".replace("7.0", "7.0::double"))
 def _(i):
-    return R.fill_value(_px(i), 7.0).select("r", "c", "v")
+    return R.fill_value(_px(i), 7.0).select("image_id", "r", "c", "v")
 
 
 @query("S22_create_raster", "select s_suppkey as image_id, (k // (5 + s_nationkey % 7))::int as r, (k % (5 + s_nationkey % 7))::int as c from (select s_suppkey, s_nationkey, unnest(range((3 + s_suppkey % 11) * (5 + s_nationkey % 7))) as k from supplier)")
@@ -88,54 +97,55 @@ def _(i):
     return R.raster_stats(_px(i)).select("image_id", "lo", "hi", R6(F.col("mean"), "mean"), R6(F.col("std"), "std"))
 
 
-_CLIP = "(select v0 + step * min(bin) filter (share > 2) as lo, v0 + step * min(bin) filter (share > 98) as hi from (select bin, v0, step, sum(count(*)) over (order by bin) * 100.0 / {T} as share from (select least(255, floor((v - v0) / step)) as bin, v0, step from (select v + dem * 0.37 as v from {G}), (select min(v + dem * 0.37) as v0, (max(v + dem * 0.37) - min(v + dem * 0.37)) / 256 as step from {G})) group by bin, v0, step) group by v0, step)".replace("{T}", "4096").replace("{G}", _GRID)
+_CLIP = """(select image_id, v0 + step * min(bin) filter (share > 2) as lo, v0 + step * min(bin) filter (share > 98) as hi from (select image_id, bin, v0, step, sum(count(*)) over (partition by image_id order by bin) * 100.0 / 4096 as share
+    from (select image_id, least(255, floor((v - v0) / step)) as bin, v0, step from (select image_id, v + dem * 0.37 as v from {G}) join (select image_id, min(v + dem * 0.37) as v0, (max(v + dem * 0.37) - min(v + dem * 0.37)) / 256 as step from {G} group by image_id) using (image_id)) group by image_id, bin, v0, step) group by image_id, v0, step)""".replace("{G}", _GRID)
 
 
 def _mixed(i):
     return _grid(i).withColumn("v", F.col("v") + F.col("dem") * 0.37)
 
 
-@query("A10_percent_clip", f"select 0::bigint as image_id, round(lo, 6) as lo, round(hi, 6) as hi from {_CLIP}")
+@query("A10_percent_clip", f"select image_id, round(lo, 6) as lo, round(hi, 6) as hi from {_CLIP}")
 def _(i):
     return R.percent_clip(_mixed(i)).select("image_id", R6(F.col("lo"), "lo"), R6(F.col("hi"), "hi"))
 
 
-@query("P21_stretch_8u", f"select r, c, case when n % 5 = 0 then 0 else greatest(1, least(255, round(1 + (v - 5) * (254.0 / 37)))) end::int as u8 from {_GRID}")
+@query("P21_stretch_8u", f"select image_id, r, c, case when n % 5 = 0 then 0 else greatest(1, least(255, round(1 + (v - (5 + image_id % 3)) * (254.0 / (37 - image_id % 3))))) end::int as u8 from {_GRID}")
 def _(i):
-    limits = i.spark.createDataFrame([(0, 5.0, 42.0)], "image_id long, lo double, hi double")
-    return R.stretch_8u(_grid(i).withColumn("v", F.when(F.col("n") % 5 != 0, F.col("v"))), limits).select("r", "c", "u8")
+    limits = _headers(i).select("image_id", (F.col("image_id") % 3 + 5.0).alias("lo"), F.lit(42.0).alias("hi"))
+    return R.stretch_8u(_grid(i).withColumn("v", F.when(F.col("n") % 5 != 0, F.col("v"))), limits).select("image_id", "r", "c", "u8")
 
 
-@query("P22_apply_lut", f"select r, c, floor(greatest(0, least(1, (v * 1000 - 3000) / 40000.0)) * 255 + 0.5)::int as u8 from {_GRID}")
+@query("P22_apply_lut", f"select image_id, r, c, floor(greatest(0, least(1, (v * 1000 - 3000) / 40000.0)) * 255 + 0.5)::int as u8 from {_GRID}")
 def _(i):
-    return R.apply_lut(_px(i).withColumn("v", F.col("v") * 1000), R.lut_table(i.spark, 3000, 43000)).select("r", "c", "u8")
+    return R.apply_lut(_px(i).withColumn("v", F.col("v") * 1000), R.lut_table(i.spark, 3000, 43000)).select("image_id", "r", "c", "u8")
 
 
-@query("P23_copy_channel", f"select r, c, case when n % 5 = 0 then dem else v end as v from {_GRID}")
+@query("P23_copy_channel", f"select image_id, r, c, case when n % 5 = 0 then dem else v end as v from {_GRID}")
 def _(i):
     g = _grid(i)
     two = g.select("image_id", "r", "c", F.lit(0).alias("band"), "v").unionByName(g.select("image_id", "r", "c", F.lit(1).alias("band"), F.col("dem").alias("v")))
-    return R.copy_channel(R.extract_channel(two, 0), R.extract_channel(two, 1).withColumn("band", F.lit(0)), g.filter("n % 5 = 0")).select("r", "c", "v")
+    return R.copy_channel(R.extract_channel(two, 0), R.extract_channel(two, 1).withColumn("band", F.lit(0)), g.filter("n % 5 = 0")).select("image_id", "r", "c", "v")
 
 
 _RAMP = [(0, 0.0, 0.0, 0.5), (1, 0.0, 0.5, 1.0), (2, 0.5, 1.0, 0.5), (3, 1.0, 0.5, 0.0), (4, 0.5, 0.0, 0.0)]
 
 
-@query("P24_colorize", f"""with ramp(idx, red, green, blue) as (values {", ".join(map(str, _RAMP)).replace(".0", ".0::double").replace(".5", ".5::double")}), p as (select r, c, greatest(0, least(1, (v - 3) / 44.0)) * 4 as t from {_GRID})
-    select r, c, floor((b.red + (a.red - b.red) * (t - floor(t))) * 255)::int as red, floor((b.green + (a.green - b.green) * (t - floor(t))) * 255)::int as green, floor((b.blue + (a.blue - b.blue) * (t - floor(t))) * 255)::int as blue
+@query("P24_colorize", f"""with ramp(idx, red, green, blue) as (values {", ".join(map(str, _RAMP)).replace(".0", ".0::double").replace(".5", ".5::double")}), p as (select image_id, r, c, greatest(0, least(1, (v - 3) / 44.0)) * 4 as t from {_GRID})
+    select image_id, r, c, floor((b.red + (a.red - b.red) * (t - floor(t))) * 255)::int as red, floor((b.green + (a.green - b.green) * (t - floor(t))) * 255)::int as green, floor((b.blue + (a.blue - b.blue) * (t - floor(t))) * 255)::int as blue
     from p join ramp b on b.idx = floor(t) join ramp a on a.idx = ceil(t)""")
 def _(i):
     ramp = i.spark.createDataFrame(_RAMP, "idx int, red double, green double, blue double")
-    return R.colorize(_px(i), ramp, 5, 3.0, 47.0).select("r", "c", "red", "green", "blue")
+    return R.colorize(_px(i), ramp, 5, 3.0, 47.0).select("image_id", "r", "c", "red", "green", "blue")
 
 
-@query("J19_raster_sub", f"select r, c, v - dem as v from {_GRID}")
+@query("J19_raster_sub", f"select image_id, r, c, v - dem as v from {_GRID}")
 def _(i):
     g = _grid(i)
-    return R.raster_sub(g.select("image_id", "r", "c", "v"), g.select("image_id", "r", "c", F.col("dem").alias("v"))).select("r", "c", "v")
+    return R.raster_sub(g.select("image_id", "r", "c", "v"), g.select("image_id", "r", "c", F.col("dem").alias("v"))).select("image_id", "r", "c", "v")
 
 
-@query("A12_symmetric_range", f"with m as (select min(v - dem - 20) as lo, max(v - dem) as hi from {_GRID}), e as (select lo, hi, (greatest(1, ceil(sqrt(lo * lo + hi * hi) / 10)) * 10 - sqrt(lo * lo + hi * hi)) / 2 as x from m) select 0::bigint as image_id, round(-greatest(abs(lo - x), abs(hi + x)), 6) as lo, round(greatest(abs(lo - x), abs(hi + x)), 6) as hi from e")
+@query("A12_symmetric_range", f"with m as (select image_id, min(v - dem - 20) as lo, max(v - dem) as hi from {_GRID} group by image_id), e as (select image_id, lo, hi, (greatest(1, ceil(sqrt(lo * lo + hi * hi) / 10)) * 10 - sqrt(lo * lo + hi * hi)) / 2 as x from m) select image_id, round(-greatest(abs(lo - x), abs(hi + x)), 6) as lo, round(greatest(abs(lo - x), abs(hi + x)), 6) as hi from e")
 def _(i):
     g = _grid(i).select("image_id", (F.col("v") - F.col("dem")).alias("d"))
     limits = g.groupBy("image_id").agg(F.min(F.col("d") - 20).alias("lo"), F.max("d").alias("hi"))
@@ -147,118 +157,119 @@ def _(i):
     return R.minmax_overview(_px(i), R.overview_level(N, N, 16), [50, 1])
 
 
-@query("A20_smooth_resize", f"""select i.i::int as r, j.j::int as c, round(avg(p.v), 6) as v from (select unnest(range(16)) as i) i, (select unnest(range(13)) as j) j, {_GRID} p
-    where p.r between greatest(0, floor((i.i + 0.5) * 64 / 16) - 2) and least(63, floor((i.i + 0.5) * 64 / 16) + 1) and p.c between greatest(0, floor((j.j + 0.5) * 64 / 13) - 2) and least(63, floor((j.j + 0.5) * 64 / 13) + 2) group by 1, 2""")
+@query("A20_smooth_resize", f"""select p.image_id, i.i::int as r, j.j::int as c, round(avg(p.v), 6) as v from (select unnest(range(16)) as i) i, (select unnest(range(13)) as j) j, {_GRID} p
+    where p.r between greatest(0, floor((i.i + 0.5) * 64 / 16) - 2) and least(63, floor((i.i + 0.5) * 64 / 16) + 1) and p.c between greatest(0, floor((j.j + 0.5) * 64 / 13) - 2) and least(63, floor((j.j + 0.5) * 64 / 13) + 2) group by 1, 2, 3""")
 def _(i):
-    return R.smooth_resize(_px(i), N, N, 16, 13).select("r", "c", R6(F.col("v")))
+    return R.smooth_resize(_px(i), N, N, 16, 13).select("image_id", "r", "c", R6(F.col("v")))
 
 
-@query("J16_sample_nearest", f"select pid, p.v from (select pid, greatest(0, least(63, trunc(y * 0.7 + 20.3 + 0.5))) as r, greatest(0, least(63, trunc(x * 0.7 + 30.2 + 0.5))) as c from {{v_points3d}}) q join {_GRID} p on p.r = q.r and p.c = q.c")
+@query("J16_sample_nearest", f"select pid, p.v from (select pid, pid // 100 as image_id, greatest(0, least(63, trunc(y * 0.7 + 20.3 + 0.5))) as r, greatest(0, least(63, trunc(x * 0.7 + 30.2 + 0.5))) as c from {{v_points3d}}) q left join {_GRID} p on p.image_id = q.image_id and p.r = q.r and p.c = q.c")
 def _(i):
-    pts = i.v_points3d.select("pid", F.lit(0).cast("long").alias("image_id"), (F.col("x") * 0.7 + 30.2).alias("x"), (F.col("y") * 0.7 + 20.3).alias("y"))
+    pts = i.v_points3d.select("pid", _own(), (F.col("x") * 0.7 + 30.2).alias("x"), (F.col("y") * 0.7 + 20.3).alias("y"))
     return R.sample_nearest(pts, _px(i), N, N).select("pid", "v")
 
 
-_BI = f"""g as (select r, c, v from {_GRID}), b as (select *, floor(x) as c0, floor(y) as r0, x - floor(x) as fx, y - floor(y) as fy from q)"""
+_BI = f"""g as (select image_id, r, c, v from {_GRID}), b as (select *, floor(x) as c0, floor(y) as r0, x - floor(x) as fx, y - floor(y) as fy from q)"""
 _FOUR = "(1 - fx) * (1 - fy) * a.v + case when fx > 0 then fx * (1 - fy) * e.v else 0 end + case when fy > 0 then (1 - fx) * fy * f.v else 0 end + case when fx > 0 and fy > 0 then fx * fy * h.v else 0 end"
-_JOINS = "from b left join g a on a.r = r0 and a.c = c0 left join g e on e.r = r0 and e.c = c0 + 1 left join g f on f.r = r0 + 1 and f.c = c0 left join g h on h.r = r0 + 1 and h.c = c0 + 1"
+_JOINS = "from b left join g a on a.image_id = b.image_id and a.r = r0 and a.c = c0 left join g e on e.image_id = b.image_id and e.r = r0 and e.c = c0 + 1 left join g f on f.image_id = b.image_id and f.r = r0 + 1 and f.c = c0 left join g h on h.image_id = b.image_id and h.r = r0 + 1 and h.c = c0 + 1"
 
 
-@query("J17_sample_bilinear", f"with q as (select pid, greatest(0, least(63, x * 0.7 + 30.2)) as x, greatest(0, least(63, y * 0.7 + 20.3)) as y from {{v_points3d}}), {_BI} select pid, round({_FOUR}, 6) as v {_JOINS}")
+@query("J17_sample_bilinear", f"with q as (select pid, pid // 100 as image_id, greatest(0, least(63, x * 0.7 + 30.2)) as x, greatest(0, least(63, y * 0.7 + 20.3)) as y from {{v_points3d}}), {_BI} select pid, round({_FOUR}, 6) as v {_JOINS}")
 def _(i):
-    pts = i.v_points3d.select("pid", F.lit(0).cast("long").alias("image_id"), (F.col("x") * 0.7 + 30.2).alias("px"), (F.col("y") * 0.7 + 20.3).alias("py"))
+    pts = i.v_points3d.select("pid", _own(), (F.col("x") * 0.7 + 30.2).alias("px"), (F.col("y") * 0.7 + 20.3).alias("py"))
     return R.sample_bilinear(pts, _px(i), ["pid"]).select("pid", R6(F.col("v")))
 
 
-@query("J18_remap", f"with q as (select r::int as r_, c::int as c_, c * 0.9 + r * 0.05 + 1.3 as x, r * 0.85 + 2.1 as y from {_GRID}), {_BI} select r_ as r, c_ as c, round({_FOUR}, 6) as v {_JOINS}")
+@query("J18_remap", f"with q as (select image_id, r::int as r_, c::int as c_, c * 0.9 + r * 0.05 + 1.3 as x, r * 0.85 + 2.1 as y from {_GRID}), {_BI} select b.image_id, r_ as r, c_ as c, round({_FOUR}, 6) as v {_JOINS}")
 def _(i):
     m = _px(i).select("image_id", "r", "c", (F.col("c") * 0.9 + F.col("r") * 0.05 + 1.3).alias("px"), (F.col("r") * 0.85 + 2.1).alias("py"))
-    return R.remap(_px(i), m).select("r", "c", R6(F.col("v")))
+    return R.remap(_px(i), m).select("image_id", "r", "c", R6(F.col("v")))
 
 
 _REF = "case when {0} < 0 then -({0}) when {0} > 63 then 126 - ({0}) else {0} end"
-_WIN = f"nb as (select a.r, a.c, dr, dc, p.v from {_GRID} a, (select unnest(range(-{{k}}, {{k}} + 1)) as dr), (select unnest(range(-{{k}}, {{k}} + 1)) as dc), {_GRID} p where p.r = {_REF.format('(a.r + dr)')} and p.c = {_REF.format('(a.c + dc)')})"
+_WIN = f"""around as materialized (select a.image_id, a.r, a.c, dr, dc, {_REF.format('(a.r + dr)')} as at_r, {_REF.format('(a.c + dc)')} as at_c from {_GRID} a, (select unnest(range(-{{k}}, {{k}} + 1)) as dr), (select unnest(range(-{{k}}, {{k}} + 1)) as dc)),
+    nb as (select a.image_id, a.r, a.c, dr, dc, p.v from around a join {_GRID} p on p.image_id = a.image_id and p.r = a.at_r and p.c = a.at_c)"""
 
 
-@query("W5_erode", f"with {_WIN.replace('{k}', '1').replace('p.v from', '(p.n % 5 <> 0)::int as v from')} select r, c, min(v)::int as v from nb group by r, c")
+@query("W5_erode", f"with {_WIN.replace('{k}', '1').replace('p.v from', '(p.n % 5 <> 0)::int as v from')} select image_id, r, c, min(v)::int as v from nb group by image_id, r, c")
 def _(i):
-    return R.erode(_grid(i).withColumn("v", (F.col("n") % 5 != 0).cast("int")), N, N).select("r", "c", "v")
+    return R.erode(_grid(i).withColumn("v", (F.col("n") % 5 != 0).cast("int")), N, N).select("image_id", "r", "c", "v")
 
 
-_SHADE = f"""{_WIN.replace('{k}', '1')}, s as (select r, c, sum(v * dc * (2 - abs(dr))) / 16 as sx, sum(v * dr * (2 - abs(dc))) / 16 as sy from nb group by r, c),
-    t as (select r, c, atan(1.5 * sqrt(sx * sx + sy * sy)) as sl, case when sx <> 0 then case when atan2(sy, -sx) < 0 then atan2(sy, -sx) + 2 * pi() else atan2(sy, -sx) end when sy >= 0 then pi() / 2 else 3 * pi() / 2 end as asp from s),
-    h as (select r, c, greatest(0, least(1, cos(radians(45)) * cos(sl) + sin(radians(45)) * sin(sl) * cos(radians(135) - asp))) as shade from t)"""
+_SHADE = f"""{_WIN.replace('{k}', '1')}, s as (select image_id, r, c, sum(v * dc * (2 - abs(dr))) / 16 as sx, sum(v * dr * (2 - abs(dc))) / 16 as sy from nb group by image_id, r, c),
+    t as (select image_id, r, c, atan(1.5 * sqrt(sx * sx + sy * sy)) as sl, case when sx <> 0 then case when atan2(sy, -sx) < 0 then atan2(sy, -sx) + 2 * pi() else atan2(sy, -sx) end when sy >= 0 then pi() / 2 else 3 * pi() / 2 end as asp from s),
+    h as (select image_id, r, c, greatest(0, least(1, cos(radians(45)) * cos(sl) + sin(radians(45)) * sin(sl) * cos(radians(135) - asp))) as shade from t)"""
 
 
 def _shade(i, p=None):
     return R.hillshade(p if p is not None else _px(i), N, N, 2.0, 1.5)
 
 
-@query("W4_hillshade", f"with {_SHADE} select r, c, round(shade, 6) as shade from h")
+@query("W4_hillshade", f"with {_SHADE} select image_id, r, c, round(shade, 6) as shade from h")
 def _(i):
-    return _shade(i).select("r", "c", R6(F.col("shade"), "shade"))
+    return _shade(i).select("image_id", "r", "c", R6(F.col("shade"), "shade"))
 
 
-@query("W4_shade_scale", f"with {_SHADE} select 0::bigint as image_id, round(1 / avg(shade), 6) as scale from h")
+@query("W4_shade_scale", f"with {_SHADE} select image_id, round(1 / avg(shade), 6) as scale from h group by image_id")
 def _(i):
     return R.shade_scale(_shade(i)).select("image_id", R6(F.col("scale"), "scale"))
 
 
-@query("F15_slope_aspect", f"""with {_WIN.replace('{k}', '1')}, s as (select r, c, sum(v * dc * (2 - abs(dr))) / 8 as sx, sum(v * dr * (2 - abs(dc))) / 8 as sy from nb group by r, c)
-    select r, c, round(atan(sqrt(sx * sx + sy * sy)), 6) as slope, round(case when sx <> 0 then case when atan2(sy, -sx) < 0 then atan2(sy, -sx) + 2 * pi() else atan2(sy, -sx) end when sy >= 0 then pi() / 2 else 3 * pi() / 2 end, 6) as aspect from s""")
+@query("F15_slope_aspect", f"""with {_WIN.replace('{k}', '1')}, s as (select image_id, r, c, sum(v * dc * (2 - abs(dr))) / 8 as sx, sum(v * dr * (2 - abs(dc))) / 8 as sy from nb group by image_id, r, c)
+    select image_id, r, c, round(atan(sqrt(sx * sx + sy * sy)), 6) as slope, round(case when sx <> 0 then case when atan2(sy, -sx) < 0 then atan2(sy, -sx) + 2 * pi() else atan2(sy, -sx) end when sy >= 0 then pi() / 2 else 3 * pi() / 2 end, 6) as aspect from s""")
 def _(i):
     near = R.neighbourhood(_px(i), 1, N, N)
-    s = near.groupBy("r", "c").agg((F.sum(F.col("v") * F.col("dc") * (2 - F.abs("dr"))) / 8).alias("sx"), (F.sum(F.col("v") * F.col("dr") * (2 - F.abs("dc"))) / 8).alias("sy"))
-    return s.select("r", "c", R6(R.slope_of(F.col("sx"), F.col("sy")), "slope"), R6(R.aspect_of(F.col("sx"), F.col("sy")), "aspect"))
+    s = near.groupBy("image_id", "r", "c").agg((F.sum(F.col("v") * F.col("dc") * (2 - F.abs("dr"))) / 8).alias("sx"), (F.sum(F.col("v") * F.col("dr") * (2 - F.abs("dc"))) / 8).alias("sy"))
+    return s.select("image_id", "r", "c", R6(R.slope_of(F.col("sx"), F.col("sy")), "slope"), R6(R.aspect_of(F.col("sx"), F.col("sy")), "aspect"))
 
 
 _K = "([1, 4, 6, 4, 1][(dr + 3)::int] * [1, 4, 6, 4, 1][(dc + 3)::int])"
 
 
-@query("W7_pyramid_gauss", f"with {_WIN.replace('{k}', '2')} select 0 as level, r, c, round(v, 6) as v from {_GRID} union all select 1, (r // 2)::int, (c // 2)::int, round(sum(v * {_K}) / 256.0, 6) from nb where r % 2 = 0 and c % 2 = 0 group by r, c")
+@query("W7_pyramid_gauss", f"with {_WIN.replace('{k}', '2')} select image_id, 0 as level, r, c, round(v, 6) as v from {_GRID} union all select image_id, 1, (r // 2)::int, (c // 2)::int, round(sum(v * {_K}) / 256.0, 6) from nb where r % 2 = 0 and c % 2 = 0 group by image_id, r, c")
 def _(i):
-    return R.build_pyramid(_px(i), N, N, 32).select("level", "r", "c", R6(F.col("v")))
+    return R.build_pyramid(_px(i), N, N, 32).select("image_id", "level", "r", "c", R6(F.col("v")))
 
 
-@query("W7_pyramid_nearest", f"select 0 as level, r, c, v from {_GRID} union all select 1, (r // 2)::int, (c // 2)::int, v from {_GRID} where r % 2 = 0 and c % 2 = 0 union all select 2, (r // 4)::int, (c // 4)::int, v from {_GRID} where r % 4 = 0 and c % 4 = 0")
+@query("W7_pyramid_nearest", f"select image_id, 0 as level, r, c, v from {_GRID} union all select image_id, 1, (r // 2)::int, (c // 2)::int, v from {_GRID} where r % 2 = 0 and c % 2 = 0 union all select image_id, 2, (r // 4)::int, (c // 4)::int, v from {_GRID} where r % 4 = 0 and c % 4 = 0")
 def _(i):
-    return R.build_pyramid(_px(i), N, N, 16, "nearest").select("level", "r", "c", "v")
+    return R.build_pyramid(_px(i), N, N, 16, "nearest").select("image_id", "level", "r", "c", "v")
 
 
-# a changed rectangle: shading recomputed there must equal the full recompute
-@query("I2_recompute_region", f"with {_SHADE.replace('p.v from', 'case when p.r between 20 and 30 and p.c between 40 and 50 then p.v + 5 else p.v end as v from')} select r, c, round(shade, 6) as shade from h")
+# a changed rectangle of every second image: shading recomputed there must equal the full recompute
+@query("I2_recompute_region", f"with {_SHADE.replace('p.v from', 'case when p.image_id % 2 = 0 and p.r between 20 and 30 and p.c between 40 and 50 then p.v + 5 else p.v end as v from')} select image_id, r, c, round(shade, 6) as shade from h")
 def _(i):
     p = _px(i)
-    spot = F.col("r").between(20, 30) & F.col("c").between(40, 50)
+    spot = (F.col("image_id") % 2 == 0) & F.col("r").between(20, 30) & F.col("c").between(40, 50)
     new = p.withColumn("v", F.when(spot, F.col("v") + 5).otherwise(F.col("v")))
     out = recompute_region(_shade(i), new.filter(spot), lambda cells: _shade(i, cells), new, 1)
-    return out.select("r", "c", R6(F.col("shade"), "shade"))
+    return out.select("image_id", "r", "c", R6(F.col("shade"), "shade"))
 
 
 # -- patches ------------------------------------------------------------------------------------
 
-_PT = "pt as (select pid, 8 + pid % 45 as c, 8 + (pid * 7) % 45 as r, 3 + pid % 4 as dc, 1 + pid % 5 as dr from {v_points3d})"
+_PT = "pt as (select pid, pid // 100 as image_id, 8 + pid % 45 as c, 8 + (pid * 7) % 45 as r, 3 + pid % 4 as dc, 1 + pid % 5 as dr from {v_points3d})"
 
 
 def _points(i):
-    return i.v_points3d.select("pid", (F.col("pid") % 45 + 8).alias("c0"), (F.col("pid") * 7 % 45 + 8).alias("r0"), (F.col("pid") % 4 + 3).alias("dc0"), (F.col("pid") % 5 + 1).alias("dr0"))
+    return i.v_points3d.select("pid", _own(), (F.col("pid") % 45 + 8).alias("c0"), (F.col("pid") * 7 % 45 + 8).alias("r0"), (F.col("pid") % 4 + 3).alias("dc0"), (F.col("pid") % 5 + 1).alias("dr0"))
 
 
-@query("R8_extract_patch", f"""with pt as (select pid, 5 + pid % 60 + 0.25 as x, 3 + (pid * 7) % 60 + 0.5 as y from {{v_points3d}}), q as (select pid, dr, dc, x + dc as x, y + dr as y from pt, (select unnest(range(-2, 3)) as dr), (select unnest(range(-2, 3)) as dc)), {_BI},
+@query("R8_extract_patch", f"""with pt as (select pid, pid // 100 as image_id, 5 + pid % 60 + 0.25 as x, 3 + (pid * 7) % 60 + 0.5 as y from {{v_points3d}}), q as (select pid, image_id, dr, dc, x + dc as x, y + dr as y from pt, (select unnest(range(-2, 3)) as dr), (select unnest(range(-2, 3)) as dc)), {_BI},
     s as (select pid, dr::int as dr, dc::int as dc, round({_FOUR}, 6) as v {_JOINS}) select * from s where pid in (select pid from s group by pid having count(v) = 25)""")
 def _(i):
-    pts = i.v_points3d.select("pid", F.lit(0).cast("long").alias("image_id"), (F.col("pid") % 60 + 5.25).alias("x"), (F.col("pid") * 7 % 60 + 3.5).alias("y"))
+    pts = i.v_points3d.select("pid", _own(), (F.col("pid") % 60 + 5.25).alias("x"), (F.col("pid") * 7 % 60 + 3.5).alias("y"))
     return T.extract_patch(pts, _px(i), 5).withColumn("v", F.round("v", 6))
 
 
-@query("R6_ncc_match", f"""with {_PT}, t as (select pid, tr, tc, p.v from pt, (select unnest(range(5)) as tr), (select unnest(range(5)) as tc), {_GRID} p where p.r = pt.r + pt.dr - 2 + tr and p.c = pt.c + pt.dc - 5 + tc),
-    w as (select pid, o_r, o_c, tr, tc, p.v from pt, (select unnest(range(7)) as o_r), (select unnest(range(7)) as o_c), (select unnest(range(5)) as tr), (select unnest(range(5)) as tc), {_GRID} p where p.r = pt.r - 5 + o_r + tr and p.c = pt.c - 5 + o_c + tc),
+@query("R6_ncc_match", f"""with {_PT}, ta as materialized (select pid, image_id, tr, tc, r + dr - 2 + tr as at_r, c + dc - 5 + tc as at_c from pt, (select unnest(range(5)) as tr), (select unnest(range(5)) as tc)), t as (select pid, tr, tc, p.v from ta join {_GRID} p on p.image_id = ta.image_id and p.r = at_r and p.c = at_c),
+    wa as materialized (select pid, image_id, o_r, o_c, tr, tc, r - 5 + o_r + tr as at_r, c - 5 + o_c + tc as at_c from pt, (select unnest(range(7)) as o_r), (select unnest(range(7)) as o_c), (select unnest(range(5)) as tr), (select unnest(range(5)) as tc)), w as (select pid, o_r, o_c, tr, tc, p.v from wa join {_GRID} p on p.image_id = wa.image_id and p.r = at_r and p.c = at_c),
     s as (select pid, o_r, o_c, count(*) as n, sum(w.v) as sw, sum(t.v) as st, sum(w.v * w.v) as sww, sum(t.v * t.v) as stt, sum(w.v * t.v) as swt from w join t using (pid, tr, tc) group by all),
     k as (select pid, o_r, o_c, round(case when (sww - sw * sw / n) * (stt - st * st / n) > 1e-9 then (swt - sw * st / n) / sqrt((sww - sw * sw / n) * (stt - st * st / n)) else 0 end, 6) as score from s)
     select pid, o_r::int as r, o_c::int as c, score from (select *, row_number() over (partition by pid order by score desc, o_r, o_c) as rank from k) where rank = 1 and score >= 0.6""")
 def _(i):
     g, p = _px(i), _points(i)
-    cut = lambda size, r0, c0: p.select("pid", r0.alias("ra"), c0.alias("ca"), F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("pr")).select("*", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("pc")).join(g, (F.col("r") == F.col("ra") + F.col("pr")) & (F.col("c") == F.col("ca") + F.col("pc"))).select("pid", F.col("pr").alias("r"), F.col("pc").alias("c"), "v")
+    cut = lambda size, r0, c0: p.select("pid", F.col("image_id").alias("own"), r0.alias("ra"), c0.alias("ca"), F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("pr")).select("*", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("pc")).join(g, (F.col("image_id") == F.col("own")) & (F.col("r") == F.col("ra") + F.col("pr")) & (F.col("c") == F.col("ca") + F.col("pc"))).select("pid", F.col("pr").alias("r"), F.col("pc").alias("c"), "v")
     t = cut(5, F.col("r0") + F.col("dr0") - 2, F.col("c0") + F.col("dc0") - 5)
     return T.ncc_match(t, cut(11, F.col("r0") - 5, F.col("c0") - 5)).withColumn("score", F.round("score", 6))
 
@@ -270,23 +281,21 @@ def _(i):
 
 
 def _smooth(i):
-    """A smooth raster whose phase depends on the data, so that gradients exist everywhere."""
-    return _grid(i).withColumn("v", 100 + 40 * F.sin(F.col("r") * 0.21) + 30 * F.cos(F.col("c") * 0.17) + F.col("dem") * 0.01).select("image_id", "r", "c", "v")
+    """Smooth rasters with some of the data on them, so that gradients exist everywhere; the next image is moved by part of a cell."""
+    return _grid(i).withColumn("v", 100 + 40 * F.sin(F.col("r") * 0.21 + F.col("image_id") % 7 * 0.05) + 30 * F.cos(F.col("c") * 0.17) + F.col("dem") * 0.01).select("image_id", "r", "c", "v")
 
 
 @query("A21_refine_affine")
 def _(i):
     smooth, p = _smooth(i), _points(i)
     steps = F.sequence(F.lit(-7), F.lit(7))
-    t = p.select("pid", "r0", "c0", F.explode(steps).alias("y")).select("*", F.explode(steps).alias("x")).join(smooth, (F.col("r") == F.col("r0") + F.col("y")) & (F.col("c") == F.col("c0") + F.col("x"))).select("pid", "image_id", "x", "y", "v")
+    t = p.select("pid", F.col("image_id").alias("own"), "r0", "c0", F.explode(steps).alias("y")).select("*", F.explode(steps).alias("x")).join(smooth, (F.col("image_id") == F.col("own")) & (F.col("r") == F.col("r0") + F.col("y")) & (F.col("c") == F.col("c0") + F.col("x"))).select("pid", "image_id", "x", "y", "v")
     init = p.select("pid", F.array(F.lit(1.0), F.lit(0.0), F.col("c0") + 0.4, F.lit(0.0), F.lit(1.0), F.col("r0") - 0.3).alias("a"))
     return T.refine_affine(t, smooth, init).select("pid", F.col("a")[2].alias("x"), F.col("a")[5].alias("y"), "rms")
 
 
 @query("R9_propagate")
 def _(i):
-    smooth = _smooth(i)
-    two = smooth.unionByName(smooth.withColumn("image_id", F.col("image_id") + 1))
-    p = _points(i).select("pid", F.lit(0).cast("long").alias("image_id"), F.col("c0").cast("double").alias("x"), F.col("r0").cast("double").alias("y"))
-    targets = p.select("pid", F.lit(1).cast("long").alias("target_id"), (F.col("x") + 2).alias("px"), (F.col("y") - 1).alias("py"))
-    return T.propagate(p, two, targets, 11, 9)
+    p = _points(i).select("pid", "image_id", F.col("c0").cast("double").alias("x"), F.col("r0").cast("double").alias("y"))
+    targets = p.select("pid", (F.col("image_id") + 1).alias("target_id"), (F.col("x") + 2).alias("px"), (F.col("y") - 1).alias("py"))
+    return T.propagate(p, _smooth(i), targets, 11, 9)

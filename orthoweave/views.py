@@ -27,8 +27,8 @@ VIEWS = {
     "v_matches": """select a.iid as iid_i, b.iid as iid_j, a.fid as fid_i, b.fid as fid_j, a.x as x1, a.y as y1, b.x as x2, b.y as y2, a.response + b.response as response
        from (select *, row_number() over (partition by iid order by x, fid) as n from {v_keypoints}) a
        join (select *, row_number() over (partition by iid order by x, fid) as n from {v_keypoints}) b on b.iid = a.iid + 1 and a.n = b.n""",
-    "v_pixels": """select cast(0 as bigint) as image_id, cast(l_partkey % 64 as int) as r, cast(l_orderkey % 64 as int) as c, max(l_quantity) as dsm, min(l_quantity) as dem, count(*) as n
-       from {lineitem} group by l_partkey % 64, l_orderkey % 64""",
+    "v_pixels": """select cast(floor(l_suppkey / 5e0) as bigint) as image_id, cast(l_partkey % 64 as int) as r, cast(l_orderkey % 64 as int) as c, max(l_quantity) as dsm, min(l_quantity) as dem, count(*) as n
+       from {lineitem} group by floor(l_suppkey / 5e0), l_partkey % 64, l_orderkey % 64""",
     "v_photos": """select s_suppkey as iid, cast(s_nationkey as bigint) as cid, cast(s_suppkey * 13 % 101 - 50 as double) as cx, cast(s_suppkey * 29 % 101 - 50 as double) as cy,
        40.0e0 + (s_acctbal % 20) as cz, cos(s_suppkey * 0.1e0) as r00, sin(s_suppkey * 0.1e0) as r01, 0.0e0 as r02,
        sin(s_suppkey * 0.1e0) as r10, -cos(s_suppkey * 0.1e0) as r11, 0.0e0 as r12, 0.0e0 as r20, 0.0e0 as r21, -1.0e0 as r22 from {supplier}""",
