@@ -55,6 +55,7 @@ def test_knn_blocks_equal_columns_and_clamp(spark):
     pairs = P.image_pairs(f)
     cols = ["iid_i", "fid_i", "iid_j", "fid_j", "rank"]
     assert rows(K.knn_join(f, pairs, 2, query_block=7), *cols) == rows(K.knn_join_columns(f, pairs, 2), *cols)
+    assert rows(K.knn_join(f, pairs, 2, query_block=7, train_block=5), *cols) == rows(K.knn_join_columns(f, pairs, 2), *cols)
     with pytest.raises(ValueError):
         K.knn_join(f, pairs, 2, "cosine")
 
