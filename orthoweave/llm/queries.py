@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stage, table
-from . import ann, jaccard, language, packing, quality, secrets, substrings, tokens, toxicity, warc
+from . import ann, jaccard, language, packing, quality, rounds, secrets, spelling, substrings, tokens, toxicity, warc, whitening
 
 
 def split_of(id_col: str, folds: int):
@@ -78,4 +78,20 @@ def op10_cross_polytope_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(base, queries, index)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_derivatives, op2_toxicity, op3_substring_dedup, op4_best_fit_packing, op5_ngram_jaccard_join, op6_bpe_encode_decode, op7_secret_scan, op8_language_id, op9_quality_rules, op10_cross_polytope_ann)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the vocabulary of `documents`, its near words, form and root."""
+    return spelling.variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_round_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every whole text of `documents`, and of the bytes decoded from its ids."""
+    return rounds.digests(rounds.encode_decode(table(spark, sf_dir, "documents")))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whitened rows of `embeddings`, one row a component; deviation is null where it exceeds a long."""
+    made = whitening.whiten(table(spark, sf_dir, "embeddings"), components=32)
+    return made.select("vec_id", "component", "n", F.expr("try_cast(deviation as bigint)").alias("deviation"), "whitened", "explained", "identity_error")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_derivatives, op2_toxicity, op3_substring_dedup, op4_best_fit_packing, op5_ngram_jaccard_join, op6_bpe_encode_decode, op7_secret_scan, op8_language_id, op9_quality_rules, op10_cross_polytope_ann, op11_spelling_variants, op12_round_bpe, op13_embedding_whitening)}
