@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -158,30 +156,6 @@ def bbox_contains(x, y, x0, y0, x1, y1) -> Column:
     return (x >= x0) & (x <= x1) & (y >= y0) & (y <= y1)
 
 
-def visible_cameras(patches: DataFrame, photos: DataFrame, degrees: float = 60.0, own: str | None = None) -> DataFrame:
-    """pid, iid of photos within `degrees` of the patch normal; own: column with the patch's own photo, left out.
-
-    A theta join: photos are few (a block), and are sent to the patches where their size allows.
-    """
-    p = patches.select("pid", "x", "y", "z", "nx", "ny", "nz", *([F.col(own).alias("own_iid")] if own else []))
-    j = p.join(small(photos.select("iid", "cx", "cy", "cz")), F.col("iid") != F.col("own_iid") if own else F.lit(True))
-    d = [F.col("cx") - F.col("x"), F.col("cy") - F.col("y"), F.col("cz") - F.col("z")]
-    n = [F.col("nx"), F.col("ny"), F.col("nz")]
-    return j.filter(S.dot(d, n) >= math.cos(math.radians(degrees)) * S.norm(d)).select("pid", "iid")
-
-
-def in_frame(visible: DataFrame, corners: DataFrame, photos: DataFrame, cameras: DataFrame) -> DataFrame:
-    """pid, iid where all corners (pid, corner, x, y, z) of the patch fall inside the image."""
-    patch = corners.groupBy("pid").agg(F.collect_list(F.struct("x", "y", "z")).alias("corners"))
-    j = patch.join(visible, "pid").join(small(views(photos, cameras)), "iid")
-
-    def inside(p: Column) -> Column:
-        u, v = pixel_of(p["x"], p["y"], p["z"])
-        return F.coalesce(bbox_contains(u, v, F.lit(0.0), F.lit(0.0), F.col("width") - 1, F.col("height") - 1), F.lit(False))
-
-    return j.filter(F.forall("corners", inside)).select("pid", "iid").distinct()
-
-
 def reconcile_names(photos: DataFrame, merged: DataFrame) -> DataFrame:
     """photos with merged_iid: the least id of merged whose lower-case base name is the same; null if none."""
     key = lambda c: F.lower(S.base_name(F.col(c)))

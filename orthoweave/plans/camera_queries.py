@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import cameras as C
 from ..operators import robust as R
+from ..operators import visibility as V
 from .base import query
 
 R6 = lambda c, n=None: F.round(c, 6).alias(n or "v")
@@ -106,12 +107,12 @@ _VIS = "((cx - x) * nx + (cy - y) * ny + (cz - z) * nz) >= cos(radians(60)) * sq
 
 @query("J7_visible_cameras", f"select pid, iid from {{v_points3d}}, {{v_photos}} where {_VIS}")
 def _(i):
-    return C.visible_cameras(i.v_points3d, i.v_photos)
+    return V.visible_cameras(i.v_points3d, i.v_photos)
 
 
 @query("J9_not_own", f"select pid, iid from {{v_points3d}}, {{v_photos}} where iid <> pid % 10 + 1 and {_VIS}")
 def _(i):
-    return C.visible_cameras(i.v_points3d.withColumn("own", F.col("pid") % 10 + 1), i.v_photos, 60.0, "own")
+    return V.visible_cameras(i.v_points3d.withColumn("own", F.col("pid") % 10 + 1), i.v_photos, 60.0, "own")
 
 
 @query("J8_in_frame", f"""with k as (select pid, pid * 4 + q as cid4, x + (q % 2) * 0.5 as x, y + (q // 2) * 0.5 as y, z from {{v_points3d}}, (select unnest(range(4)) as q)),
@@ -120,7 +121,7 @@ def _(i):
 def _(i):
     q = F.explode(F.sequence(F.lit(0), F.lit(3)))
     k = i.v_points3d.select("pid", q.alias("corner"), "x", "y", "z").withColumn("x", F.col("x") + F.col("corner") % 2 * 0.5).withColumn("y", F.col("y") + F.floor(F.col("corner") / 2) * 0.5)
-    return C.in_frame(C.visible_cameras(i.v_points3d, i.v_photos), k, i.v_photos, i.v_cameras)
+    return V.visible_in_frame(i.v_points3d, k, i.v_photos, i.v_cameras)
 
 
 @query("J10_reconcile_names", "select page_id, (select min(m.page_id) from {v_names} as m where m.page_id % 3 <> 0 and m.page_id % 50 = v_names.page_id % 50) as merged_iid from {v_names}")
