@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,13 +31,13 @@ from ..session import stage
 from .vectors import Texts, mix, span_hashes
 
 _NONE = 2**63 - 1
-_FACT = "kind int, route long, e long, e2 int, doc long, start int, n int, src_doc long, src_start int, fp int"
+_FACT = "kind int, route long, e long, e2 int, doc long, start int, n int, src_doc long, src_start int, fp long"
 _NAMES = [f.split()[0] for f in _FACT.split(", ")]
 SETTLED, INDEXED, FIRST = 0, 1, 2
 
 
 def _batch(**columns) -> pa.RecordBatch:
-    kinds = {"kind": pa.int32(), "e2": pa.int32(), "start": pa.int32(), "n": pa.int32(), "src_start": pa.int32(), "fp": pa.int32()}
+    kinds = {"kind": pa.int32(), "e2": pa.int32(), "start": pa.int32(), "n": pa.int32(), "src_start": pa.int32()}
     return pa.RecordBatch.from_arrays([pa.array(columns[k], type=kinds.get(k, pa.int64())) for k in _NAMES], names=_NAMES)
 
 
@@ -263,7 +263,7 @@ def parse(start: np.ndarray, n: np.ndarray, src_doc: np.ndarray, src_start: np.n
     return spans[:, 0], spans[:, 1], spans[:, 2], spans[:, 3]
 
 
-def _remove(width: int):
+def _remove(width: int, verbatim: bool):
     def run(batches):
         for batch in batches:
             docs, spans_in = batch.column(0), batch.column(2).to_pylist()
@@ -274,7 +274,7 @@ def _remove(width: int):
                 n_words.append(len(words))
                 if not facts:
                     n_removed.append(0)
-                    kept.append(b" ".join(words).decode("utf-8", "replace"))
+                    kept.append(text if verbatim else b" ".join(words).decode("utf-8", "replace"))
                     spans.append([])
                     continue
                 start, n, src_doc, src_start = (np.array([f[k] for f in facts], dtype=np.int64) for k in ("start", "n", "src_doc", "src_start"))
@@ -292,7 +292,26 @@ def _remove(width: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, width: int = 20, gram: int = 8, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def _told_apart(texts: DataFrame) -> DataFrame:
+    """texts(doc, text, ...) with fp, which differs between rows with one doc and different texts (by their 128-bit digests).
+
+    fp is a 32-bit hash of the text; of texts with one doc and one hash each gets a number of its own on top. Those
+    are few: they are found from digests alone, and are sent to the rows where their size is bounded.
+    """
+    hashed = F.hash("text").cast("long")
+    digests = texts.select("doc", hashed.alias("h"), F.coalesce(F.md5("text"), F.lit("")).alias("digest"))
+    clashes = digests.groupBy("doc", "h").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high").select("doc", "h")
+    clashes = stage(clashes, "substring-clashes")
+    if clashes.isEmpty():
+        return texts.withColumn("fp", hashed)
+    each = digests.join(small(clashes), ["doc", "h"], "left_semi").distinct()
+    number = F.row_number().over(Window.partitionBy("doc", "h").orderBy("digest"))
+    each = stage(each.withColumn("number", number), "substring-numbers").withColumnsRenamed({"doc": "doc_", "h": "h_"})
+    same = (F.col("doc") == F.col("doc_")) & (hashed == F.col("h_")) & (F.coalesce(F.md5("text"), F.lit("")) == F.col("digest"))
+    return texts.join(small(each), same, "left").withColumn("fp", hashed + F.coalesce(F.col("number").cast("long") * (1 << 32), F.lit(0))).drop("doc_", "h_", "digest", "number")
+
+
+def remove_repeats(docs: DataFrame, width: int = 20, gram: int = 8, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), verbatim: bool = False) -> DataFrame:
     """id, n_words, n_removed, kept, spans: every document without the words of repeated windows.
 
     Words are runs of characters other than ASCII white space. A window of `width` words is repeated if
@@ -301,14 +320,14 @@ def remove_repeats(docs: DataFrame, width: int = 20, gram: int = 8, id_col: str
     of words, source document and word there); neighbours may overlap by words, never by all windows.
 
     Null texts have no words. Rows with one id count as one document each in the same place: a row
-    does not make its own repetition repeated. Null ids come after all others and count as one id.
+    does not make its own repetition repeated; they are told apart by 128-bit digests of their texts. Null ids come after all others and count as one id.
     Windows are compared by hashes of 64 and 31 bits (61 and 31 of them independent). Texts shorter than a window are kept as they are.
-    carry: columns of docs that come along unchanged, in a struct column `row`.
+    carry: columns of docs that come along unchanged, in a struct column `row`; the text need not be one of
+    them. verbatim: kept is the text as it was, null or not, where no word goes.
     """
     doc, text = F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("doc"), F.col(text_col).cast("string").alias("text")
     row = [F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row")] if carry else []
-    # rows with one id and different texts are told apart by a hash of the text
-    texts = docs.select(doc, text, *row).withColumn("fp", F.hash("text"))
+    texts = _told_apart(docs.select(doc, text, *row))
     # both joins below read this one exchange of the texts
     dealt = texts.repartition("doc", "fp")
     rest = ["row"] if carry else []
@@ -322,5 +341,5 @@ def remove_repeats(docs: DataFrame, width: int = 20, gram: int = 8, id_col: str
     by_doc = factors.groupBy("doc", "fp").agg(F.collect_list(F.struct("start", "n", "src_doc", "src_start")).alias("facts"))
     joined = dealt.join(by_doc, ["doc", "fp"], "left").select("doc", "text", "facts", *rest)
     schema = T.StructType([*_RESULT.fields, *(f for f in joined.schema.fields if f.name == "row")])
-    done = joined.mapInArrow(_remove(width), schema)
+    done = joined.mapInArrow(_remove(width, verbatim), schema)
     return done.select(F.when(F.col("doc") != _NONE, F.col("doc")).alias(id_col), "n_words", "n_removed", "kept", "spans", *rest)
