@@ -43,10 +43,12 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that occur earlier; texts without such a passage stay as they are."""
-    parsed = substrings.remove_repeats(docs, carry=tuple(docs.columns))
-    text = F.when(F.col("n_removed") == 0, F.col("row.text")).otherwise(F.col("kept"))
-    changed = {"text": text} | ({"n_chars": F.coalesce(F.length(text), F.lit(0)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return parsed.select(*_named("row", docs.columns, changed))
+    others = [c for c in docs.columns if c != "text"]
+    parsed = substrings.remove_repeats(docs, carry=tuple(others), verbatim=True)  # the text travels once
+    text = F.col("kept")
+    changed = {"n_chars": F.coalesce(F.length(text), F.lit(0)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in others else {}
+    columns = dict(zip(others, _named("row", others, changed), strict=True)) | {"text": text.alias("text")}
+    return parsed.select(*(columns[c] for c in docs.columns))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
