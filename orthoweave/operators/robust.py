@@ -121,35 +121,91 @@ def sample_hypotheses(matches: DataFrame, m: int, draws: int = 1024, seed: int =
     return pick.withColumn("n", spaced).drop("first", "n_all").join(rows.select(*PAIR, "n", "fid_i", "fid_j", *_XY), [*PAIR, "n"])
 
 
-def homography_from(p: np.ndarray) -> np.ndarray | None:
-    """3 x 3 from rows (x1, y1, x2, y2) by the null vector of the linear system; None if degenerate."""
-    rows = []
-    for x, y, u, v in p:
-        rows += [[x, y, 1, 0, 0, 0, -u * x, -u * y, -u], [0, 0, 0, x, y, 1, -v * x, -v * y, -v]]
-    _, s, vt = np.linalg.svd(np.array(rows, dtype=float))
-    h = vt[-1]
-    return h / h[8] if s[min(7, len(s) - 1)] > 1e-12 * max(s[0], 1) and abs(h[8]) > 1e-14 else None
-
-
-def affine_from(p: np.ndarray) -> np.ndarray | None:
-    a = np.column_stack((p[:, :2], np.ones(len(p))))
-    if np.linalg.matrix_rank(a) < 3:
-        return None
-    return np.linalg.lstsq(a, p[:, 2:], rcond=None)[0].T.ravel()
-
-
-def fundamental_from(p: np.ndarray) -> list[np.ndarray]:
-    """One to three matrices from 7 matches (det = 0 along the null pencil), one with rank 2 from 8 or more."""
-    x1, y1, x2, y2 = p.T
-    a = np.column_stack((x2 * x1, x2 * y1, x2, y2 * x1, y2 * y1, y2, x1, y1, np.ones(len(p))))
-    _, _, vt = np.linalg.svd(a)
-    if len(p) >= 8:
-        u, s, v = np.linalg.svd(vt[-1].reshape(3, 3))
-        return [(u @ np.diag([s[0], s[1], 0]) @ v).ravel()]
-    f, g = vt[-1].reshape(3, 3), vt[-2].reshape(3, 3)
+def _conditioned(xy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Point sets (sets, points, 2) moved and scaled to mean 0 and mean distance sqrt 2, and the 3 x 3 maps that do it."""
+    mean = xy.mean(axis=1, keepdims=True)
+    spread = np.linalg.norm(xy - mean, axis=2).mean(axis=1)
+    scale = math.sqrt(2) / np.where(spread > 0, spread, 1.0)
+    t = np.zeros((len(xy), 3, 3))
+    t[:, 0, 0] = t[:, 1, 1] = scale
+    t[:, :2, 2] = -scale[:, None] * mean[:, 0]
+    t[:, 2, 2] = 1
+    return (xy - mean) * scale[:, None, None], t
+
+
+def homographies(p: np.ndarray) -> np.ndarray:
+    """3 x 3 matrices (flat, last entry 1) of point sets (sets, points >= 4, x1 y1 x2 y2), by one stacked SVD; NaN where degenerate."""
+    (a, ta), (b, tb) = _conditioned(p[:, :, :2]), _conditioned(p[:, :, 2:])
+    x, y, u, v = a[..., 0], a[..., 1], b[..., 0], b[..., 1]
+    one, zero = np.ones_like(x), np.zeros_like(x)
+    rows = np.concatenate((np.stack((x, y, one, zero, zero, zero, -u * x, -u * y, -u), -1), np.stack((zero, zero, zero, x, y, one, -v * x, -v * y, -v), -1)), axis=1)
+    _, s, vt = np.linalg.svd(rows)
+    h = np.linalg.solve(tb, vt[:, -1].reshape(-1, 3, 3)) @ ta
+    last = h[:, 2, 2]
+    sound = (s[:, 7] > 1e-10 * s[:, 0]) & (np.abs(last) > 1e-14 * np.abs(h).max(axis=(1, 2)))
+    return np.where(sound[:, None], h.reshape(-1, 9) / np.where(sound, last, 1.0)[:, None], np.nan)
+
+
+def affines(p: np.ndarray) -> np.ndarray:
+    """2 x 3 matrices (flat) of point sets (sets, points >= 3, 4), least squares by stacked normal equations; NaN where degenerate."""
+    a, t = _conditioned(p[:, :, :2])
+    left = np.concatenate((a, np.ones((*a.shape[:2], 1))), axis=2)
+    normal = left.transpose(0, 2, 1) @ left
+    sound = np.linalg.cond(normal) < 1e18
+    m = np.linalg.solve(np.where(sound[:, None, None], normal, np.eye(3)), left.transpose(0, 2, 1) @ p[:, :, 2:]).transpose(0, 2, 1) @ t
+    return np.where(sound[:, None], m.reshape(-1, 6), np.nan)
+
+
+def _cubic_roots(c: np.ndarray) -> np.ndarray:
+    """Real roots, rising and then NaN, of c0 + c1 t + c2 t^2 + c3 t^3, by stacked companion matrices."""
+    out = np.full((len(c), 3), np.nan)
+    size = np.abs(c).max(axis=1)
+    full = np.abs(c[:, 3]) > 1e-12 * size
+    companion = np.zeros((int(full.sum()), 3, 3))
+    companion[:, 1, 0] = companion[:, 2, 1] = 1
+    companion[:, :, 2] = -c[full, :3] / c[full, 3:]
+    roots = np.linalg.eigvals(companion)
+    out[full] = np.sort(np.where(np.abs(roots.imag) < 1e-9 * (1 + np.abs(roots)), roots.real, np.nan), axis=1)
+    for i in np.flatnonzero(~full):  # the cubic term vanishes: a rare sample
+        found = np.polynomial.Polynomial(c[i]).trim(1e-12 * size[i]).roots() if size[i] > 0 else np.zeros(0)
+        real = np.sort(found[np.abs(np.imag(found)) < 1e-9].real)
+        out[i, : len(real)] = real
+    return out
+
+
+def fundamentals(p: np.ndarray) -> np.ndarray:
+    """(sets, 3, 9): up to three matrices of each set of 7 matches (det = 0 along the null pencil), one of rank 2 of 8 or more; the rest NaN."""
+    (a, ta), (b, tb) = _conditioned(p[:, :, :2]), _conditioned(p[:, :, 2:])
+    x1, y1, x2, y2 = a[..., 0], a[..., 1], b[..., 0], b[..., 1]
+    _, _, vt = np.linalg.svd(np.stack((x2 * x1, x2 * y1, x2, y2 * x1, y2 * y1, y2, x1, y1, np.ones_like(x1)), -1))
+    back = lambda f: tb.transpose(0, 2, 1) @ f @ ta
+    out = np.full((len(p), 3, 9), np.nan)
+    if p.shape[1] >= 8:
+        u, s, v = np.linalg.svd(vt[:, -1].reshape(-1, 3, 3))
+        s[:, 2] = 0
+        out[:, 0] = back(u * s[:, None, :] @ v).reshape(-1, 9)
+        return out
+    f, g = vt[:, -1].reshape(-1, 3, 3), vt[:, -2].reshape(-1, 3, 3)
     at = np.array([0.0, 1.0, -1.0, 2.0])
-    cubic = np.polynomial.polynomial.Polynomial(np.linalg.solve(np.vander(at, 4, increasing=True), [np.linalg.det(t * f + (1 - t) * g) for t in at]))
-    return [((r.real * f + (1 - r.real) * g)).ravel() for r in cubic.roots() if abs(r.imag) < 1e-9]
+    values = np.stack([np.linalg.det(t * f + (1 - t) * g) for t in at], axis=1)
+    roots = _cubic_roots(np.linalg.solve(np.vander(at, 4, increasing=True), values.T).T)
+    for k in range(3):
+        r = roots[:, k, None, None]
+        m = back(r * f + (1 - r) * g).reshape(-1, 9)
+        out[:, k] = m / np.linalg.norm(m, axis=1, keepdims=True)
+    return out
+
+
+SOLVERS = {"homography": homographies, "affine": affines, "fundamental": fundamentals}
+
+
+def _stacks(points: list):
+    """(places, array of their point sets) for the sets of equal size among lists of points."""
+    sets = [np.array([[q[c] for c in _XY] for q in pts], dtype=float) if pts is not None else np.zeros((0, 4)) for pts in points]
+    sizes = np.array([len(s) for s in sets])
+    for n in np.unique(sizes).tolist():
+        places = np.flatnonzero(sizes == n)
+        yield n, places, np.stack([sets[i] for i in places])
 
 
 def fit_minimal(samples: DataFrame, model: str) -> DataFrame:
@@ -163,16 +219,15 @@ def fit_minimal(samples: DataFrame, model: str) -> DataFrame:
 
     def solve(frames):
         for f in frames:
-            out = []
-            for i, j, d, pts in zip(f["iid_i"], f["iid_j"], f["draw"], f["pts"], strict=True):
-                p = np.array([[q[c] for c in _XY] for q in pts])
-                if model == "fundamental":
-                    found = fundamental_from(p)
-                else:
-                    one = homography_from(p) if model == "homography" else affine_from(p)
-                    found = [] if one is None else [one]
-                out += [(i, j, d, k, m.tolist()) for k, m in enumerate(found) if np.isfinite(m).all()]
-            yield pd.DataFrame(out, columns=[*PAIR, "draw", "root", "model"])
+            if not len(f):
+                continue
+            for n, places, sets in _stacks(f["pts"].tolist()):
+                if n < SAMPLE[model]:
+                    continue
+                found = SOLVERS[model](sets).reshape(len(sets), -1, 9 if model != "affine" else 6)
+                row, root = np.nonzero(np.isfinite(found).all(axis=2))
+                part = f.iloc[places[row]]
+                yield pd.DataFrame({"iid_i": part["iid_i"].to_numpy(), "iid_j": part["iid_j"].to_numpy(), "draw": part["draw"].to_numpy(), "root": root, "model": list(found[row, root])})
 
     return groups.mapInPandas(solve, "iid_i long, iid_j long, draw int, root int, model array<double>")
 
@@ -194,13 +249,84 @@ def score(matches: DataFrame, hypotheses: DataFrame, model: str) -> DataFrame:
     return residual(joined, m, kind)
 
 
+#: hypotheses in one task; matches of a pair that are scored there, beyond them a pair is scored row by row
+_HYPOTHESES, _MATCHES = 128, 1 << 16
+
+
+def squared_errors(model: str, h: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Squared residuals of matches m (n, 4) under models h (k, size): k x n, infinite where undefined."""
+    x1, y1, x2, y2 = m.T
+    one = np.ones_like(x1)
+    with np.errstate(all="ignore"):
+        if model == "translation":
+            e = (x2 - x1 - h[:, :1]) ** 2 + (y2 - y1 - h[:, 1:2]) ** 2
+        elif model == "affine":
+            u, v = h[:, :3] @ np.stack((x1, y1, one)), h[:, 3:6] @ np.stack((x1, y1, one))
+            e = (x2 - u) ** 2 + (y2 - v) ** 2
+        elif model == "homography":
+            u, v, w = (h[:, k : k + 3] @ np.stack((x1, y1, one)) for k in (0, 3, 6))
+            e = (x2 - u / w) ** 2 + (y2 - v / w) ** 2
+        else:
+            a, b, c = (h[:, k : k + 3] @ np.stack((x1, y1, one)) for k in (0, 3, 6))
+            ta, tb = h[:, [0, 3, 6]] @ np.stack((x2, y2, one)), h[:, [1, 4, 7]] @ np.stack((x2, y2, one))
+            d = (x2 * a + y2 * b + c) ** 2
+            e = d / (a * a + b * b) / 4 + d / (ta * ta + tb * tb) / 4
+    return np.where(np.isfinite(e), e, np.inf)
+
+
+def _best_in_blocks(matches: DataFrame, hypotheses: DataFrame, model: str, judge) -> DataFrame:
+    """PAIR, draw, root, value double, upto long: of each pair the hypothesis of least (value, draw, root).
+
+    A task holds the matches of one pair and a block of its hypotheses and returns the best of the block. judge(errors,
+    sorted by row) gives for each hypothesis its value and upto; infinite values are no candidates. matches are
+    of pairs of at most _MATCHES.
+    """
+    n = F.count(F.lit(1))
+    blocks = hypotheses.groupBy(*PAIR).agg(F.ceil(n / _HYPOTHESES).cast("int").alias("blocks"))
+    given = hypotheses.join(blocks, PAIR).select(*PAIR, "draw", "root", "model", F.pmod(F.xxhash64("draw", "root"), F.col("blocks")).cast("int").alias("block"))
+    sent = matches.join(blocks, PAIR).select(*PAIR, *_XY, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    own = lambda df, side: df.withColumnsRenamed({c: c + side for c in (*PAIR, "block")})
+    given, sent = own(given, "_h"), own(sent, "_m")
+    schema = "iid_i long, iid_j long, draw int, root int, value double, upto long"
+
+    def run(key, h: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+        if not len(h) or not len(m):
+            return none
+        h = h.sort_values(["draw", "root"], kind="stable")
+        errors = np.sort(squared_errors(model, np.stack(h["model"].to_list()), m[_XY].to_numpy(dtype=float)), axis=1)
+        value, upto = judge(errors)
+        at = int(np.argmin(np.round(value, 9)))  # ties: the first, which has the least draw and root
+        if not np.isfinite(value[at]):
+            return none
+        return pd.DataFrame({"iid_i": [key[0]], "iid_j": [key[1]], "draw": [h["draw"].iloc[at]], "root": [h["root"].iloc[at]], "value": [round(float(value[at]), 9)], "upto": [int(upto[at])]})
+
+    found = given.groupBy("iid_i_h", "iid_j_h", "block_h").cogroup(sent.groupBy("iid_i_m", "iid_j_m", "block_m")).applyInPandas(run, schema)
+    best = found.groupBy(*PAIR).agg(F.min(F.struct("value", "draw", "root", "upto")).alias("b"))
+    return best.select(*PAIR, "b.draw", "b.root", "b.value", "b.upto")
+
+
+def _by_size(matches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The matches of pairs that fit a task, and those of larger pairs."""
+    sizes = matches.groupBy(*PAIR).agg((F.count(F.lit(1)) > _MATCHES).alias("large"))
+    marked = matches.join(sizes, PAIR)
+    return marked.filter("not large").drop("large"), marked.filter("large").drop("large")
+
+
 def ransac(matches: DataFrame, hypotheses: DataFrame, model: str, threshold: float) -> DataFrame:
     """Matches of each pair within the threshold of the hypothesis that has the most; ties to the least draw."""
-    scored = score(matches, hypotheses, model).filter(F.col("error") < threshold * threshold)
-    counts = scored.groupBy(*PAIR, "draw", "root").agg(F.count(F.lit(1)).alias("inliers"))
-    w = Window.partitionBy(*PAIR).orderBy(F.desc("inliers"), "draw", "root")
-    best = counts.withColumn("rank", F.row_number().over(w)).filter("rank = 1").select(*PAIR, "draw", "root", "inliers")
-    return scored.join(best, [*PAIR, "draw", "root"]).select(*PAIR, "fid_i", "fid_j", "draw", "inliers")
+    few, many = _by_size(matches)
+
+    def counted(errors: np.ndarray):
+        inliers = (errors < threshold * threshold).sum(axis=1)
+        return np.where(inliers > 0, -inliers.astype(float), np.inf), inliers
+
+    best = _best_in_blocks(few, hypotheses, model, counted).select(*PAIR, "draw", "root", F.col("upto").alias("inliers"))
+    counts = score(many, hypotheses, model).filter(F.col("error") < threshold * threshold).groupBy(*PAIR, "draw", "root").agg(F.count(F.lit(1)).alias("inliers"))
+    most = counts.groupBy(*PAIR).agg(F.min(F.struct((-F.col("inliers")).alias("minus"), "draw", "root", "inliers")).alias("b"))
+    best = best.unionByName(most.select(*PAIR, "b.draw", "b.root", "b.inliers"))
+    chosen = hypotheses.join(best, [*PAIR, "draw", "root"])
+    return score(matches, chosen, model).filter(F.col("error") < threshold * threshold).select(*PAIR, "fid_i", "fid_j", "draw", "inliers")
 
 
 def log10_factorial(n: Column) -> Column:
@@ -223,17 +349,40 @@ def ac_ransac(matches: DataFrame, hypotheses: DataFrame, model: str, width: int,
     unit = 1 / (width * height)  # squared scale of the conditioning
     alpha = math.log10(2.0 * math.hypot(width, height) / (width * height) * math.sqrt(width * height)) if line else math.log10(math.pi)
     mult = 0.5 if line else 1.0
-    scored = score(matches, hypotheses, model).withColumn("e", F.col("error") * unit)
-    w = Window.partitionBy(*PAIR, "draw", "root")
-    ranked = scored.withColumn("k", F.row_number().over(w.orderBy("e", "fid_i", "fid_j")).cast("long")).withColumn("n", F.count(F.lit(1)).over(w))
+    log_s = sum(math.log10(x) for x in range(1, s + 1))
+    few, many = _by_size(matches)
+
+    def least(errors: np.ndarray):
+        n = errors.shape[1]
+        if n <= s:
+            return np.full(len(errors), np.inf), np.zeros(len(errors), dtype=int)
+        logs = np.concatenate(([0.0], np.cumsum(np.log10(np.arange(1, n + 1)))))  # log10 of factorials
+        k = np.arange(s + 1, n + 1)
+        choices = logs[n] - logs[n - k] - log_s - logs[k - s]
+        e = errors[:, s:]
+        nfa = math.log10(roots * (n - s)) + (k - s) * (alpha + mult * np.log10(e * unit + 1e-30)) + choices
+        nfa = np.where(e <= threshold * threshold, nfa, np.inf)
+        at = np.round(nfa, 9).argmin(axis=1)
+        value = nfa[np.arange(len(nfa)), at]
+        return np.where(value < 0, value, np.inf), k[at]
+
+    best = _best_in_blocks(few, hypotheses, model, least).select(*PAIR, "draw", "root", F.col("value").alias("nfa"), "upto")
+    ranked = _ranked(score(many, hypotheses, model), unit)
     usable = ranked.filter((F.col("k") > s) & (F.col("n") > s) & (F.col("error") <= threshold * threshold))
     n, k = F.col("n"), F.col("k")
-    log_s = sum(math.log10(x) for x in range(1, s + 1))
     choices = log10_factorial(n) - log10_factorial(n - k) - F.lit(log_s) - log10_factorial(k - s)
     nfa = F.log10(roots * (n - s)) + (k - s) * (alpha + mult * F.log10(F.col("e") + 1e-30)) + choices
-    best = usable.withColumn("nfa", nfa).groupBy(*PAIR).agg(F.min(F.struct(F.round("nfa", 9).alias("nfa"), "draw", "root", F.col("k").alias("upto"))).alias("b")).filter("b.nfa < 0")
-    chosen = best.select(*PAIR, "b.draw", "b.root", "b.upto", "b.nfa")
-    return ranked.join(chosen, [*PAIR, "draw", "root"]).filter(F.col("k") <= F.col("upto")).select(*PAIR, "fid_i", "fid_j", "draw", "nfa")
+    least_of = usable.withColumn("nfa", nfa).groupBy(*PAIR).agg(F.min(F.struct(F.round("nfa", 9).alias("nfa"), "draw", "root", F.col("k").alias("upto"))).alias("b")).filter("b.nfa < 0")
+    best = best.unionByName(least_of.select(*PAIR, "b.draw", "b.root", "b.nfa", "b.upto"))
+    chosen = hypotheses.join(best, [*PAIR, "draw", "root"])
+    return _ranked(score(matches, chosen, model), unit).filter(F.col("k") <= F.col("upto")).select(*PAIR, "fid_i", "fid_j", "draw", "nfa")
+
+
+def _ranked(scored: DataFrame, unit: float) -> DataFrame:
+    """Scored matches with e, their place k by it under their hypothesis, and the number n of matches there."""
+    w = Window.partitionBy(*PAIR, "draw", "root")
+    with_e = scored.withColumn("e", F.col("error") * unit)
+    return with_e.withColumn("k", F.row_number().over(w.orderBy(F.expr("coalesce(e, double('infinity'))"), "fid_i", "fid_j")).cast("long")).withColumn("n", F.count(F.lit(1)).over(w))
 
 
 def ac_ransac_reserved(matches: DataFrame, model: str, width: int, height: int, threshold: float = 5.0, draws: int = 1024, reserve: float = 0.1, seed: int = 0) -> DataFrame:
@@ -256,15 +405,19 @@ def ac_ransac_reserved(matches: DataFrame, model: str, width: int, height: int,
 # -- exact solves -------------------------------------------------------------------------------
 
 
-def _solved(df: DataFrame, solve, size: int) -> DataFrame:
-    """Adds model, solved from the array column pts of (x1, y1, x2, y2); null where degenerate."""
+def _solved(df: DataFrame, model: str) -> DataFrame:
+    """Adds model, solved from the array column pts of (x1, y1, x2, y2), all sets of a batch at once; null where degenerate or too few."""
     from pyspark.sql import types as T
 
     def run(frames):
         for f in frames:
-            found = [solve(np.array([[q[c] for c in _XY] for q in pts])) for pts in f["pts"]]
+            models: list = [None] * len(f)
+            for n, places, sets in _stacks(f["pts"].tolist()):
+                if n >= SAMPLE[model]:
+                    for i, m in zip(places.tolist(), SOLVERS[model](sets), strict=True):
+                        models[i] = m.tolist() if np.isfinite(m).all() else None
             f = f.drop(columns=["pts"])
-            f["model"] = [None if m is None else m.tolist() for m in found]
+            f["model"] = models
             yield f
 
     schema = T.StructType([*(x for x in df.schema.fields if x.name != "pts"), T.StructField("model", T.ArrayType(T.DoubleType()))])
@@ -273,9 +426,9 @@ def _solved(df: DataFrame, solve, size: int) -> DataFrame:
 
 def homography4(df: DataFrame) -> DataFrame:
     """Homography through four point pairs."""
-    return _solved(df, homography_from, 9)
+    return _solved(df, "homography")
 
 
 def affine3(df: DataFrame) -> DataFrame:
     """Affine map through three point pairs."""
-    return _solved(df, affine_from, 6)
+    return _solved(df, "affine")
