@@ -17,6 +17,7 @@ def split_of(id_col: str, folds: int):
 
 
 def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of every row of `pages`, two a page; a null html is an empty page. Repeated pages come out each."""
     made = warc.derivatives(warc.responses_from_pages(table(spark, sf_dir, "pages")), keep=("page_id",))
     source = F.col("headers")
     return made.select(
@@ -26,6 +27,7 @@ def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and prediction of every whole text of `documents`; lexicon and calibration from labelled rows outside the held-out fifth. Null and empty texts are scored as texts without a word."""
     docs = table(spark, sf_dir, "documents")
     labels = toxicity.sample_labels(table(spark, sf_dir, "labels").filter(split_of("doc_id", 5) != 0))
     # ids and labels of a sample of fixed size, sent to the texts
@@ -35,34 +37,41 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document, how many go because their window starts earlier, and the digest of the rest. Rows that share an id or have none come out each."""
     parsed = substrings.remove_repeats(table(spark, sf_dir, "documents"))
     return parsed.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence and place; a null text has the separator alone."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document: its class of near duplicates and the number of its links. Rows that share an id are told apart by their texts."""
     return jaccard.join_similar(table(spark, sf_dir, "documents"))
 
 
 def op6_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every whole text of `documents`, and of the text decoded from its ids; null counts as empty."""
     return tokens.digests(tokens.encode_decode(table(spark, sf_dir, "documents")))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of every whole text with the forest's probability and verdict. Documents without a candidate have no row."""
     found = secrets.scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "position", F.length("value").alias("length"), F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"), F.round("probability", 6).alias("probability"), "is_secret")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and score of every whole text; `und` for a null text or one without a letter."""
     docs = table(spark, sf_dir, "documents")
     model = language.fit(docs.filter(split_of("doc_id", 4) != 2))
     return language.predict(docs, model)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every whole text; a null text has no words and fails the base rule."""
     measured = stage(quality.measure(table(spark, sf_dir, "documents")), "quality-measured")
     cutoffs = quality.choose_cutoffs(measured, table(spark, sf_dir, "labels"))
     judged = quality.judge(measured, cutoffs)
@@ -70,6 +79,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_cross_polytope_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows found for every row whose id is divisible by 20. Without a usable vector the result is empty."""
     base = ann.valid(table(spark, sf_dir, "embeddings"))
     queries = base.filter(F.col("id") % 20 == 0)
     index = ann.fit(base, queries)
