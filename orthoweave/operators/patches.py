@@ -88,7 +88,7 @@ def refine_point(df: DataFrame, h: list, into: tuple[str, str] = ("x", "y")) ->
 
 
 def refine_affine(templates: DataFrame, pixels: DataFrame, init: DataFrame, iterations: int = 5, tolerance: float = 1e-2) -> DataFrame:
-    """pid, a (6 doubles), rms: Gauss-Newton refinement of x' = a0 x + a1 y + a2, y' = a3 x + a4 y + a5.
+    """pid, a (6 doubles), rms, settled: Gauss-Newton refinement of x' = a0 x + a1 y + a2, y' = a3 x + a4 y + a5.
 
     templates: pid, image_id, x, y, v (template coordinates and values); init: pid, a. The residual is
     I'(x', y') - v, the Jacobian uses Sobel gradients of the template. The sums of the normal equations
@@ -130,7 +130,7 @@ def refine_affine(templates: DataFrame, pixels: DataFrame, init: DataFrame, iter
         sums = sampled.groupBy("pid").agg(*(F.sum(F.expr(f"({j[p]}) * ({j[q]})")).alias(f"h{p}{q}") for p in range(6) for q in range(p, 6)), *(F.sum(F.expr(f"({j[p]}) * e")).alias(f"b{p}") for p in range(6)), F.sqrt(F.avg(F.expr("e * e"))).alias("rms"))
         solved = moving.drop("rms").join(sums, "pid").mapInPandas(solve, "pid long, a array<double>, done boolean, rms double")
         state = stage(state.join(solved.select("pid"), "pid", "left_anti").unionByName(solved), "affine-state")
-    return state.select("pid", "a", "rms")
+    return state.select("pid", "a", "rms", (F.col("done") & F.col("rms").isNotNull()).alias("settled"))
 
 
 def propagate(points: DataFrame, pixels: DataFrame, targets: DataFrame, template: int = 41, search: int = 21, threshold: float = 0.6) -> DataFrame:
@@ -150,3 +150,96 @@ def propagate(points: DataFrame, pixels: DataFrame, targets: DataFrame, template
     found = hits.select(F.col("pid").alias("point_id"), F.lit("aerials").alias("role"), F.col("target_id").alias("iid"), (F.col("px") + F.col("c") + half).alias("x"), (F.col("py") + F.col("r") + half).alias("y"))
     source = points.join(found.select(F.col("point_id").alias("pid")).distinct(), "pid", "left_semi").select(F.col("pid").alias("point_id"), F.lit("ground").alias("role"), F.col("image_id").alias("iid"), "x", "y")
     return source.unionByName(found)
+
+
+# -- propagation through a rendered view --------------------------------------------------------
+
+
+def rendered_planes(points: DataFrame, surface: DataFrame, photos: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """The surface patch under each point of a rendered view: patches(pid, image_id, px, py, pz, x, y, z, nx, ny, nz), corners(pid, corner, x, y, z).
+
+    points: pid, image_id, rx, ry (place in the rendered view of image_id); surface: image_id, r, c, x, y, z of
+    the rendered pixels (depth_to_xyz(); null where there is background). A patch spans size pixels about the
+    nearest pixel; its four corners and its centre must show a surface. px, py, pz is the point, x, y, z the
+    mean of the corners; the normal is turned towards the centre of the point's own photo.
+    """
+    from .cameras import orient_normal, small
+
+    half = size // 2
+    at = points.select("pid", "image_id", F.floor(F.col("rx") + 0.5).cast("int").alias("c0"), F.floor(F.col("ry") + 0.5).cast("int").alias("r0"))
+    # corners in the order of a grid: along the row first
+    places = [(0, -half, -half), (1, -half, half + 1), (2, half + 1, -half), (3, half + 1, half + 1), (4, 0, 0)]
+    asked = at.select("pid", "image_id", F.explode(F.array(*(F.struct(F.lit(k).alias("corner"), (F.col("r0") + dr).alias("r"), (F.col("c0") + dc).alias("c")) for k, dr, dc in places))).alias("q")).select("pid", "image_id", "q.*")
+    found = asked.join(surface.filter("x is not null and y is not null and z is not null"), ["image_id", "r", "c"])
+    whole = found.groupBy("pid", "image_id").agg(F.count(F.lit(1)).alias("n"), *(F.max(F.when(F.col("corner") == 4, F.col(a))).alias("p" + a) for a in "xyz"), *(F.avg(F.when(F.col("corner") < 4, F.col(a))).alias(a) for a in "xyz")).filter("n = 5").drop("n")
+    corners = found.filter("corner < 4").join(whole.select("pid"), "pid", "left_semi").select("pid", "corner", "x", "y", "z")
+    own = whole.join(patch_normal(corners.select("pid", "x", "y", "z")), "pid").join(small(photos.select(F.col("iid").alias("image_id"), "cx", "cy", "cz")), "image_id")
+    return orient_normal(own).drop("cx", "cy", "cz"), corners
+
+
+def warped_patches(seen: DataFrame, corners: DataFrame, photos: DataFrame, cameras: DataFrame, pixels: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """Patches of photos warped to the view of the point: homographies(key, pid, iid, model) and patches(key, r, c, v).
+
+    seen: pid, iid. The corners of the surface patch, projected into the photo, and those of a size x size
+    patch give the homography from patch to photo; the photo is sampled through it. Patches with a place
+    outside of the photo are left out.
+    """
+    from .cameras import project
+    from .raster import sample_bilinear
+    from .robust import homography4
+
+    projected = project(seen.join(corners, "pid").select(F.struct("pid", "corner").alias("pid"), "iid", "x", "y", "z"), photos, cameras)
+    flat = projected.select("pid.pid", "iid", "pid.corner", "u", "v")
+    point = F.struct(((F.col("corner") % 2) * float(size)).alias("x1"), (F.floor(F.col("corner") / 2) * float(size)).alias("y1"), F.col("u").alias("x2"), F.col("v").alias("y2"))
+    four = flat.filter("u is not null and v is not null").groupBy("pid", "iid").agg(F.sort_array(F.collect_list(F.struct("corner", point.alias("p")))).alias("c")).filter(F.size("c") == 4)
+    solved = homography4(four.select(F.xxhash64("pid", "iid").alias("key"), "pid", "iid", F.transform("c", lambda q: q["p"]).alias("pts"))).filter("model is not null")
+    steps = F.sequence(F.lit(0), F.lit(size - 1))
+    grid = solved.select("key", "iid", "model", F.explode(steps).alias("r")).select("*", F.explode(steps).alias("c"))
+    px, py = apply_homography([F.col("model")[k] for k in range(9)], F.col("c").cast("double"), F.col("r").cast("double"))
+    sampled = sample_bilinear(grid.select("key", "r", "c", F.col("iid").alias("image_id"), px.alias("px"), py.alias("py")), pixels, ["key", "r", "c"], border=False)
+    whole = sampled.groupBy("key").agg(F.count("v").alias("n")).filter(F.col("n") == size * size).select("key")
+    return solved, sampled.join(whole, "key", "left_semi")
+
+
+def propagate_views(
+    matches: DataFrame, pixels: DataFrame, surface: DataFrame, photos: DataFrame, cameras: DataFrame, template: int = 41, search: int = 21,
+    threshold: float = 0.6, degrees: float = 60.0, per_image: int = 20, refine: bool = False, seed: int = 0,
+) -> DataFrame:
+    """Tie points from matches between photos and their rendered views: point_id, role, iid, u, v, x, y, z.
+
+    matches: pid, image_id, gx, gy (in the photo), rx, ry (in its rendered view); pixels: image_id, r, c, v of all
+    photos; surface: as in rendered_planes(); photos carry a column role, `aerial` or `ground`. Of each image at most
+    per_image matches go on, chosen by a seeded digest of pid. For each: the template about the place in
+    its photo; the plane under it in the rendered view; the photos that see the plane and hold all of it (a ground
+    match does not go back into its own photo); the photo warped to the view of the template; the best
+    correlation, from the threshold on; with refine an affine refinement, which must settle; and the
+    place in the photo through the homography. Points without a match in an aerial and in another ground
+    photo are left out. The match's own photo has the role `source`.
+    """
+    from .matches import sample_n
+    from .visibility import visible_in_frame
+    from ..session import stage
+
+    size = (template // 2 + search // 2) * 2 + 1
+    chosen = stage(sample_n(matches, ["image_id"], ["pid"], per_image, seed), "propagated")
+    planes, corners = (stage(t, "planes") for t in rendered_planes(chosen.select("pid", "image_id", "rx", "ry"), surface, photos, size))
+    seen = visible_in_frame(planes.select("pid", "x", "y", "z", "nx", "ny", "nz"), corners, photos, cameras, degrees)
+    others = seen.join(planes.select("pid", F.col("image_id").alias("own")), "pid").filter("iid <> own").select("pid", "iid")
+    solved, windows = warped_patches(stage(others, "seen"), corners, photos, cameras, pixels, size)
+    solved, windows = stage(solved, "homographies"), stage(windows, "warped")
+    t = stage(extract_patch(chosen.select("pid", "image_id", F.col("gx").alias("x"), F.col("gy").alias("y")), pixels, template), "templates")
+    reach = template // 2
+    many = solved.select("key", "pid").join(t, "pid").select("key", (F.col("dr") + reach).alias("r"), (F.col("dc") + reach).alias("c"), "v")
+    named = lambda df: df.withColumnRenamed("key", "pid")
+    hits = ncc_match(named(many), named(windows), threshold).withColumnRenamed("pid", "key").select("key", (F.col("c") + reach).cast("double").alias("c"), (F.col("r") + reach).cast("double").alias("r"), "score")
+    if refine:
+        init = hits.select(F.col("key").alias("pid"), F.array(F.lit(1.0), F.lit(0.0), F.col("c"), F.lit(0.0), F.lit(1.0), F.col("r")).alias("a"))
+        centred = many.select(F.col("key").alias("pid"), F.col("key").alias("image_id"), (F.col("c") - reach).alias("x"), (F.col("r") - reach).alias("y"), "v")
+        fine = refine_affine(centred, windows.select(F.col("key").alias("image_id"), "r", "c", "v"), init).filter("settled")
+        hits = hits.drop("c", "r").join(fine.select(F.col("pid").alias("key"), F.col("a")[2].alias("c"), F.col("a")[5].alias("r")), "key")
+    placed = refine_point(hits.join(solved, "key"), [F.col("model")[k] for k in range(9)], ("u", "v"))
+    roles = placed.join(photos.select("iid", "role"), "iid").select("pid", "role", "iid", "u", "v")
+    both = roles.groupBy("pid").agg(F.count_if(F.col("role") == "aerial").alias("a"), F.count_if(F.col("role") == "ground").alias("g")).filter("a > 0 and g > 0").select("pid")
+    source = chosen.select("pid", F.lit("source").alias("role"), F.col("image_id").alias("iid"), F.col("gx").alias("u"), F.col("gy").alias("v"))
+    kept = roles.unionByName(source).join(both, "pid", "left_semi")
+    return kept.join(planes.select("pid", F.col("px").alias("x"), F.col("py").alias("y"), F.col("pz").alias("z")), "pid").withColumnRenamed("pid", "point_id")

@@ -1,4 +1,4 @@
-"""Raster tables. pixels(image_id, r, c, band, v) in long form; tiles hold arrays of pixels by level and place."""
+"""Raster tables in long form: pixels(image_id, r, c, band, v). Tiles and stencils are in tiles.py."""
 
 from __future__ import annotations
 
@@ -12,25 +12,7 @@ from .cameras import small
 
 CELL = ["image_id", "r", "c"]
 
-# -- tiles and pixels ---------------------------------------------------------------------------
-
-
-def to_tiles(pixels: DataFrame, tile: int = 256) -> DataFrame:
-    """image_id, level, tile_r, tile_c, band, data: half-open tiles, row-major; absent pixels are null."""
-    placed = pixels.withColumn("level", F.lit(0)) if "level" not in pixels.columns else pixels
-    at = F.pmod("r", F.lit(tile)) * tile + F.pmod("c", F.lit(tile))
-    cells = placed.select("image_id", "level", "band", F.floor(F.col("r") / tile).cast("int").alias("tile_r"), F.floor(F.col("c") / tile).cast("int").alias("tile_c"), at.cast("int").alias("at"), "v")
-    values = F.map_from_entries(F.collect_list(F.struct("at", F.col("v").cast("float").alias("v"))))
-    return cells.groupBy("image_id", "level", "tile_r", "tile_c", "band").agg(F.transform(F.sequence(F.lit(0), F.lit(tile * tile - 1)), lambda i: F.lit(None).cast("float")).alias("empty"), values.alias("m")).select(
-        "image_id", "level", "tile_r", "tile_c", "band", F.transform(F.sequence(F.lit(0), F.lit(tile * tile - 1)), lambda i: F.element_at("m", i)).alias("data")
-    )
-
-
-def to_pixels(tiles: DataFrame, tile: int = 256) -> DataFrame:
-    """Pixels of tiles; null cells are left out."""
-    return tiles.select("image_id", "level", "band", "tile_r", "tile_c", F.posexplode("data").alias("at", "v")).filter("v is not null").select(
-        "image_id", "level", (F.col("tile_r") * tile + F.floor(F.col("at") / tile)).cast("int").alias("r"), (F.col("tile_c") * tile + F.col("at") % tile).cast("int").alias("c"), "band", F.col("v").cast("double").alias("v")
-    )
+# -- images ------------------------------------------------------------------------------------
 
 
 def raster_meta(pixels: DataFrame) -> DataFrame:
@@ -112,8 +94,10 @@ def get_cell(p: Column) -> Column:
 
 
 def get_cell_bounded(p: Column, n: Column | int) -> Column:
+    """The cell, clamped to the image; null stays null."""
+    cell = get_cell(p)
     top = n - 1 if isinstance(n, Column) else F.lit(n - 1)
-    return F.greatest(F.lit(0), F.least(top, get_cell(p)))
+    return F.when(cell.isNotNull(), F.greatest(F.lit(0), F.least(top, cell)))
 
 
 def point_in_bound(x: Column, y: Column, rows: int, cols: int) -> Column:
@@ -215,25 +199,11 @@ def minmax_overview(pixels: DataFrame, level: int, nodata: list[float]) -> DataF
     return raster_minmax(pixels.filter((F.col("r") % step == 0) & (F.col("c") % step == 0) & ~F.col("v").isin([float(x) for x in nodata])))
 
 
-def smooth_resize(pixels: DataFrame, rows: int, cols: int, out_rows: int, out_cols: int) -> DataFrame:
-    """Box filter of round(scale) pixels, read at the nearest pixel of each target centre; windows are cut at the image edge."""
-    kr, kc = max(1, round(rows / out_rows)), max(1, round(cols / out_cols))
-
-    def window(k: str, n: int, out: int, size: int) -> Column:
-        centre = F.floor((F.col(k) + 0.5) * n / out).cast("int")
-        return F.sequence(F.greatest(F.lit(0), centre - size // 2), F.least(F.lit(n - 1), centre - size // 2 + size - 1))
-
-    images = pixels.select("image_id", "band").distinct()
-    grid = images.select("*", F.explode(F.sequence(F.lit(0), F.lit(out_rows - 1))).alias("i")).select("*", F.explode(F.sequence(F.lit(0), F.lit(out_cols - 1))).alias("j"))
-    wanted = grid.select("*", F.explode(window("i", rows, out_rows, kr)).alias("r")).select("*", F.explode(window("j", cols, out_cols, kc)).alias("c"))
-    return wanted.join(pixels, [*CELL, "band"]).groupBy("image_id", "band", F.col("i").alias("r"), F.col("j").alias("c")).agg(F.avg("v").alias("v"))
-
-
 # -- sampling -----------------------------------------------------------------------------------
 
 
 def sample_nearest(points: DataFrame, pixels: DataFrame, rows: int, cols: int) -> DataFrame:
-    """points (image_id, x, y) with the value of their cell, clamped to the image."""
+    """points (image_id, x, y) with the value of their cell, clamped to the image; null for a null coordinate or an unknown image."""
     placed = points.withColumn("r", get_cell_bounded(F.col("y"), rows)).withColumn("c", get_cell_bounded(F.col("x"), cols))
     return placed.join(pixels.select(*CELL, "v"), CELL, "left").drop("r", "c")
 
@@ -242,18 +212,20 @@ def sample_bilinear(points: DataFrame, pixels: DataFrame, keep: list[str], value
     """keep and the bilinear value at (px, py) of image_id; border: replicate the edge, else null outside.
 
     Each point asks for four cells; the cells meet in one equi-join and are summed by weight. A missing
-    cell makes the value null. Repeated points give a row each. pixels have one band.
+    cell, a null coordinate or an unknown image makes the value null; the point stays. Repeated points give a
+    row each. pixels have one band.
     """
     ends = pixels.groupBy("image_id").agg(F.max("r").alias("r_max"), F.max("c").alias("c_max"))
-    p = points.join(small(ends), "image_id")
+    p = points.join(small(ends), "image_id", "left")
     x, y = (clip(F.col("px"), 0.0, 1e18), clip(F.col("py"), 0.0, 1e18)) if border else (F.col("px"), F.col("py"))
-    x, y = (F.least(x, F.col("c_max").cast("double")), F.least(y, F.col("r_max").cast("double"))) if border else (x, y)
+    at_most = lambda v, top: F.when(v.isNotNull() & F.col(top).isNotNull(), F.least(v, F.col(top).cast("double")))
+    x, y = (at_most(x, "c_max"), at_most(y, "r_max")) if border else (x, y)
     p = p.withColumn("bx", x).withColumn("by", y).withColumn("c0", F.floor("bx")).withColumn("r0", F.floor("by"))
     p = p.withColumn("fx", F.col("bx") - F.col("c0")).withColumn("fy", F.col("by") - F.col("r0"))
     corners = [(0, 0, (1 - F.col("fx")) * (1 - F.col("fy"))), (0, 1, F.col("fx") * (1 - F.col("fy"))), (1, 0, (1 - F.col("fx")) * F.col("fy")), (1, 1, F.col("fx") * F.col("fy"))]
     four = F.array(*(F.struct((F.col("r0") + dr).cast("int").alias("r"), (F.col("c0") + dc).cast("int").alias("c"), w.alias("w")) for dr, dc, w in corners))
     weighty = F.filter(four, lambda s: s["w"] > 0)
-    asked = p.select(F.struct(*keep).alias("keep"), "image_id", "px", "py", F.size(weighty).alias("cells"), F.explode(weighty).alias("q")).select("keep", "image_id", "px", "py", "cells", "q.r", "q.c", "q.w")
+    asked = p.select(F.struct(*keep).alias("keep"), "image_id", "px", "py", F.greatest(F.size(weighty), F.lit(1)).alias("cells"), F.explode_outer(weighty).alias("q")).select("keep", "image_id", "px", "py", "cells", "q.r", "q.c", "q.w")
     met = asked.join(pixels.select(*CELL, F.col("v").cast("double").alias("pv")), CELL, "left")
     out = met.groupBy("keep", "image_id", "px", "py", "cells").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("w") * F.col("pv")).alias("s"), F.count_if(F.col("pv").isNull()).alias("missing"))
     # equal points meet in one group and come out as often as they went in
@@ -272,39 +244,7 @@ def remap(pixels: DataFrame, coordinates: DataFrame, interpolation: str = "linea
     return asked.join(pixels.select(*CELL, "v"), CELL, "left").select("image_id", F.col("out_r").alias("r"), F.col("out_c").alias("c"), "v")
 
 
-# -- neighbourhoods -----------------------------------------------------------------------------
-
-
-def reflect(i: Column, n: int) -> Column:
-    """Index mirrored at the border without repeating the edge."""
-    return F.when(i < 0, -i).when(i > n - 1, 2 * (n - 1) - i).otherwise(i)
-
-
-def neighbourhood(pixels: DataFrame, reach: int, rows: int, cols: int) -> DataFrame:
-    """Each pixel sent to the cells whose window (mirrored at the border) holds it: image_id, r, c, dr, dc, v."""
-    steps = F.sequence(F.lit(-reach), F.lit(reach))
-    sides = lambda v, n: F.array_distinct(F.array(v, -v, 2 * (n - 1) - v))  # noqa: E731  places whose mirror image is v
-    spread = pixels.select("image_id", F.explode(sides(F.col("r"), rows)).alias("vr"), "c", "v").select("image_id", "vr", F.explode(sides(F.col("c"), cols)).alias("vc"), "v")
-    near = spread.filter((F.col("vr") >= -reach) & (F.col("vr") < rows + reach) & (F.col("vc") >= -reach) & (F.col("vc") < cols + reach))
-    sent = near.select("image_id", "vr", "vc", "v", F.explode(steps).alias("dr")).select("*", F.explode(steps).alias("dc"))
-    return sent.select("image_id", (F.col("vr") - F.col("dr")).alias("r"), (F.col("vc") - F.col("dc")).alias("c"), "dr", "dc", "v").filter((F.col("r") >= 0) & (F.col("r") < rows) & (F.col("c") >= 0) & (F.col("c") < cols))
-
-
-def erode(mask: DataFrame, rows: int, cols: int) -> DataFrame:
-    """3 x 3 binary erosion of v (0 or 1); outside counts as 1."""
-    return neighbourhood(mask, 1, rows, cols).groupBy(*CELL).agg(F.min("v").alias("v"))
-
-
-def hillshade(pixels: DataFrame, rows: int, cols: int, cell: float = 1.0, z_scale: float = 1.0, azimuth: float = 315.0, altitude: float = 45.0) -> DataFrame:
-    """image_id, r, c, shade: illumination clipped to 0..1 from 3 x 3 Sobel gradients (1/8, per cell size), mirrored border."""
-    near = neighbourhood(pixels, 1, rows, cols)
-    wx, wy = F.col("dc") * (2 - F.abs("dr")), F.col("dr") * (2 - F.abs("dc"))
-    slopes = near.groupBy(*CELL).agg((F.sum(F.col("v") * wx) / (8 * cell)).alias("sx"), (F.sum(F.col("v") * wy) / (8 * cell)).alias("sy"))
-    turned = math.radians((360.0 - azimuth + 90.0) % 360.0)
-    zenith = math.radians(90.0 - altitude)
-    slope, aspect = slope_of(F.col("sx"), F.col("sy"), z_scale), aspect_of(F.col("sx"), F.col("sy"))
-    shade = math.cos(zenith) * F.cos(slope) + math.sin(zenith) * F.sin(slope) * F.cos(turned - aspect)
-    return slopes.select(*CELL, clip(shade, 0.0, 1.0).alias("shade"))
+# -- slopes -------------------------------------------------------------------------------------
 
 
 def slope_of(sx: Column, sy: Column, z_scale: float = 1.0) -> Column:
@@ -320,31 +260,3 @@ def aspect_of(sx: Column, sy: Column) -> Column:
 def shade_scale(shaded: DataFrame) -> DataFrame:
     """One over the mean shade of each image."""
     return shaded.groupBy("image_id").agg(F.try_divide(F.lit(1.0), F.avg("shade")).alias("scale"))
-
-
-_GAUSS = (1, 4, 6, 4, 1)
-
-
-def pyramid_step(pixels: DataFrame, rows: int, cols: int, kernel: str = "gauss") -> DataFrame:
-    """The next level: even pixels after a 5-tap Gaussian (mirrored border), or as they are (nearest)."""
-    even = (F.col("r") % 2 == 0) & (F.col("c") % 2 == 0)
-    half = lambda df: df.withColumns({"r": F.floor(F.col("r") / 2).cast("int"), "c": F.floor(F.col("c") / 2).cast("int")})
-    if kernel == "nearest":
-        return half(pixels.filter(even).select(*CELL, "v"))
-    taps = F.array(*map(F.lit, _GAUSS))
-    weight = taps[F.col("dr") + 2] * taps[F.col("dc") + 2]
-    near = neighbourhood(pixels, 2, rows, cols).filter(even)
-    return half(near.groupBy(*CELL).agg((F.sum(F.col("v") * weight) / 256.0).alias("v")))
-
-
-def build_pyramid(pixels: DataFrame, rows: int, cols: int, smallest: int = 256, kernel: str = "gauss") -> DataFrame:
-    """image_id, level, r, c, v: level 0 always, then halves until both sides are at most `smallest`."""
-    from ..session import stage
-
-    level, current = 0, pixels.select(*CELL, "v")
-    out = current.withColumn("level", F.lit(0))
-    while max(rows, cols) > smallest:
-        current = stage(pyramid_step(current, rows, cols, kernel), "pyramid-level")
-        rows, cols, level = -(-rows // 2), -(-cols // 2), level + 1
-        out = out.unionByName(current.withColumn("level", F.lit(level)))
-    return out

@@ -223,25 +223,35 @@ RAY = ["ray_id", "ox", "oy", "oz", "dx", "dy", "dz", "tnear", "tfar"]
 def _candidates(rays: DataFrame, triangles: DataFrame, cell: float) -> DataFrame:
     """Rays and triangles that share a voxel, with their geometry; once for each voxel and piece they share.
 
-    A ray [tnear, tfar] is cut into pieces no longer than a voxel in each axis; the voxels of the box of
-    each piece are a cover of the segment, so no hit is lost.
+    Voxels are cell * 2^level wide. A triangle lies at the level whose voxels are at least as wide as its box, so
+    it is in at most eight of them, whatever its size. A ray [tnear, tfar] visits the levels that hold a triangle:
+    there it is cut into pieces no longer than a voxel in each axis, and the voxels of the box of each
+    piece are a cover of the segment, so no hit is lost. Wider levels have fewer pieces, so that all
+    levels together have at most about twice those of the finest.
     """
+    tri_spans = [(F.least(*p), F.greatest(*p)) for p in (("ax", "bx", "cx"), ("ay", "by_", "cy"), ("az", "bz", "cz"))]
+    size = F.greatest(*(hi - lo for lo, hi in tri_spans))
+    level = F.least(F.lit(62), F.greatest(F.lit(0), F.coalesce(F.ceil(F.log2(size / cell)), F.lit(0)))).cast("int")
+    levelled = triangles.withColumn("level", level)
+    present = sorted(r.level for r in levelled.select("level").distinct().collect())  # 63 at most
+    wide = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("level"))
     longest = F.greatest(*(F.abs(c) for c in ("dx", "dy", "dz"))) * (F.col("tfar") - F.col("tnear"))
-    pieces = rays.withColumn("k", F.greatest(F.lit(1), F.ceil(longest / cell)).cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"))
+    visits = rays.select(*RAY, F.explode(F.array(*(F.lit(n) for n in present)).cast("array<int>")).alias("level"))
+    pieces = visits.withColumn("k", F.greatest(F.lit(1), F.ceil(longest / wide)).cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"))
     end = lambda o, d, n: F.col(o) + F.col(d) * (F.col("tnear") + (F.col("tfar") - F.col("tnear")) * (F.col("i") + n) / F.col("k"))
 
     def cells(lo: Column, hi: Column) -> Column:
-        return F.sequence(F.floor(lo / cell).cast("int"), F.floor(hi / cell).cast("int"))
+        return F.sequence(F.floor(lo / wide).cast("long"), F.floor(hi / wide).cast("long"))
 
     def spread(df: DataFrame, keep: list[str], spans: list[tuple[Column, Column]]) -> DataFrame:
+        keep = [*keep, "level"]
         return df.select(*keep, *(cells(*s).alias(f"s{n}") for n, s in enumerate(spans))).select(*keep, F.explode("s0").alias("gx"), "s1", "s2").select(*keep, "gx", F.explode("s1").alias("gy"), "s2").select(*keep, "gx", "gy", F.explode("s2").alias("gz"))
 
     eps = 1e-9
     ray_spans = [(F.least(end(o, d, 0), end(o, d, 1)) - eps, F.greatest(end(o, d, 0), end(o, d, 1)) + eps) for o, d in (("ox", "dx"), ("oy", "dy"), ("oz", "dz"))]
     r = spread(pieces, RAY, ray_spans)
-    tri_spans = [(F.least(*p), F.greatest(*p)) for p in (("ax", "bx", "cx"), ("ay", "by_", "cy"), ("az", "bz", "cz"))]
-    t = spread(triangles, ["tid", *TRI], tri_spans)
-    return r.join(t, ["gx", "gy", "gz"])
+    t = spread(levelled, ["tid", *TRI], tri_spans)
+    return r.join(t, ["level", "gx", "gy", "gz"])
 
 
 def ray_hits(rays: DataFrame, triangles: DataFrame, cell: float) -> DataFrame:

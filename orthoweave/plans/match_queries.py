@@ -222,6 +222,23 @@ def _(i):
     return M.guided_match(c, _H, _F, 400.0, 90000.0).withColumn("dist", R6(F.col("dist")))
 
 
+# a homography and a fundamental matrix for each pair of neighbouring images; pairs of images divisible by 5 have no fundamental matrix
+_PX, _PY = "((1.05 * a.x + 0.02 * a.y - 40 - a.iid % 7) / (0.00001 * a.x - 0.00002 * a.y + 1))", "((-0.01 * a.x + 0.98 * a.y + 25 + a.iid % 3) / (0.00001 * a.x - 0.00002 * a.y + 1))"
+_PL = [s.replace("x1", "a.x").replace("y1", "a.y").replace("x2", "b.x").replace("y2", "b.y") for s in _L]
+_PS = f"(b.x * {_PL[0]} + b.y * {_PL[1]} + {_PL[2]}) ** 2 / ({_PL[0]} ** 2 + {_PL[1]} ** 2 + {_PL[3]} ** 2 + {_PL[4]} ** 2)"
+
+
+@query("J4_guided_join", f"""with k as materialized (select * from {{v_keypoints}}), c as (select a.iid as iid_i, b.iid as iid_j, a.fid as fid_i, b.fid as fid_j, (a.response - b.response) ** 2 + (a.fid % 101 - b.fid % 101) ** 2 as dist from k a join k b on b.iid = a.iid + 1
+    where abs({_PX} - b.x) <= 250 and abs({_PY} - b.y) <= 250 and (a.iid % 5 = 0 or {_PS} <= 40000)), g as (select *, row_number() over w as n, lead(dist) over w as second from c window w as (partition by iid_i, iid_j, fid_i order by dist, fid_j))
+    select iid_i, iid_j, fid_i, fid_j, round(dist, 6) as dist from g where n = 1 and (second is null or dist < 0.8 * second)""")
+def _(i):
+    f = i.v_keypoints.select("iid", "fid", "x", "y", F.array(F.col("response").cast("double"), (F.col("fid") % 101).cast("double")).alias("vec"))
+    iid = F.col("iid_i")
+    h = F.array(F.lit(1.05), F.lit(0.02), -40.0 - iid % 7, F.lit(-0.01), F.lit(0.98), 25.0 + iid % 3, F.lit(0.00001), F.lit(-0.00002), F.lit(1.0))
+    models = i.v_keypoints.select(F.col("iid").alias("iid_i")).distinct().select("iid_i", (iid + 1).alias("iid_j"), h.alias("h"), F.when(iid % 5 != 0, F.array(*map(F.lit, _F))).alias("f"))
+    return M.guided_join(f, models, 250.0, 40000.0).withColumn("dist", R6(F.col("dist")))
+
+
 # -- tracks -------------------------------------------------------------------------------------
 
 # a chain of orders is a component: islands of consecutive orders at most 60 days apart

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from ..operators import patches as T
 from ..operators import raster as R
-from ..streaming.incremental import recompute_region
+from ..operators import tiles as L
+from ..streaming.incremental import recompute_range, recompute_region
 from .base import query
 
 R6 = lambda c, n="v": F.round(c, 6).alias(n)
 N = 64
+TILE = 24  # smaller than the images, so that stencils cross borders between tiles
 # the full grid of every image: cells without lines get a value from their place
 _GRID = "(select im.image_id, a.r::int as r, b.c::int as c, coalesce(p.dsm, (a.r * 7 + b.c * 3 + im.image_id) % 50)::double as v, coalesce(p.dem, (a.r + b.c) % 9)::double as dem, coalesce(p.n, 0) as n from (select distinct image_id from {v_pixels}) im cross join (select unnest(range(64)) as r) a cross join (select unnest(range(64)) as c) b left join {v_pixels} as p on p.image_id = im.image_id and p.r = a.r and p.c = b.c)"
 
@@ -35,7 +37,7 @@ def _px(i):
 def _(i):
     p = i.v_pixels
     both = p.select("image_id", "r", "c", F.lit(0).alias("band"), F.col("dsm").alias("v")).unionByName(p.select("image_id", "r", "c", F.lit(1).alias("band"), F.col("dem").alias("v")))
-    return R.raster_meta(R.to_pixels(R.to_tiles(both, 16), 16))
+    return R.raster_meta(L.to_pixels(L.to_tiles(both, 16), 16))
 
 
 @query("S18_read_patch", f"""with rois(roi_id, r0, c0, h, w, oh, ow) as (values (1, 3, 5, 20, 30, 10, 10), (2, 0, 0, 64, 64, 16, 32), (3, 40, 40, 24, 24, 24, 24)), g as (select roi_id, i, j, least(r0 + h - 1, r0 + floor((i + 0.5) * h / oh)) as r, least(c0 + w - 1, c0 + floor((j + 0.5) * w / ow)) as c
@@ -160,7 +162,7 @@ def _(i):
 @query("A20_smooth_resize", f"""select p.image_id, i.i::int as r, j.j::int as c, round(avg(p.v), 6) as v from (select unnest(range(16)) as i) i, (select unnest(range(13)) as j) j, {_GRID} p
     where p.r between greatest(0, floor((i.i + 0.5) * 64 / 16) - 2) and least(63, floor((i.i + 0.5) * 64 / 16) + 1) and p.c between greatest(0, floor((j.j + 0.5) * 64 / 13) - 2) and least(63, floor((j.j + 0.5) * 64 / 13) + 2) group by 1, 2, 3""")
 def _(i):
-    return R.smooth_resize(_px(i), N, N, 16, 13).select("image_id", "r", "c", R6(F.col("v")))
+    return L.smooth_resize(_px(i), N, N, 16, 13, TILE).select("image_id", "r", "c", R6(F.col("v")))
 
 
 @query("J16_sample_nearest", f"select pid, p.v from (select pid, pid // 100 as image_id, greatest(0, least(63, trunc(y * 0.7 + 20.3 + 0.5))) as r, greatest(0, least(63, trunc(x * 0.7 + 30.2 + 0.5))) as c from {{v_points3d}}) q left join {_GRID} p on p.image_id = q.image_id and p.r = q.r and p.c = q.c")
@@ -169,7 +171,7 @@ def _(i):
     return R.sample_nearest(pts, _px(i), N, N).select("pid", "v")
 
 
-_BI = f"""g as (select image_id, r, c, v from {_GRID}), b as (select *, floor(x) as c0, floor(y) as r0, x - floor(x) as fx, y - floor(y) as fy from q)"""
+_BI = f"""g as materialized (select image_id, r, c, v from {_GRID}), b as (select *, floor(x) as c0, floor(y) as r0, x - floor(x) as fx, y - floor(y) as fy from q)"""
 _FOUR = "(1 - fx) * (1 - fy) * a.v + case when fx > 0 then fx * (1 - fy) * e.v else 0 end + case when fy > 0 then (1 - fx) * fy * f.v else 0 end + case when fx > 0 and fy > 0 then fx * fy * h.v else 0 end"
 _JOINS = "from b left join g a on a.image_id = b.image_id and a.r = r0 and a.c = c0 left join g e on e.image_id = b.image_id and e.r = r0 and e.c = c0 + 1 left join g f on f.image_id = b.image_id and f.r = r0 + 1 and f.c = c0 left join g h on h.image_id = b.image_id and h.r = r0 + 1 and h.c = c0 + 1"
 
@@ -193,7 +195,7 @@ _WIN = f"""around as materialized (select a.image_id, a.r, a.c, dr, dc, {_REF.fo
 
 @query("W5_erode", f"with {_WIN.replace('{k}', '1').replace('p.v from', '(p.n % 5 <> 0)::int as v from')} select image_id, r, c, min(v)::int as v from nb group by image_id, r, c")
 def _(i):
-    return R.erode(_grid(i).withColumn("v", (F.col("n") % 5 != 0).cast("int")), N, N).select("image_id", "r", "c", "v")
+    return L.erode(_grid(i).withColumn("v", (F.col("n") % 5 != 0).cast("int")), N, N, TILE).select("image_id", "r", "c", "v")
 
 
 _SHADE = f"""{_WIN.replace('{k}', '1')}, s as (select image_id, r, c, sum(v * dc * (2 - abs(dr))) / 16 as sx, sum(v * dr * (2 - abs(dc))) / 16 as sy from nb group by image_id, r, c),
@@ -202,7 +204,7 @@ _SHADE = f"""{_WIN.replace('{k}', '1')}, s as (select image_id, r, c, sum(v * dc
 
 
 def _shade(i, p=None):
-    return R.hillshade(p if p is not None else _px(i), N, N, 2.0, 1.5)
+    return L.hillshade(p if p is not None else _px(i), N, N, 2.0, 1.5, tile=TILE)
 
 
 @query("W4_hillshade", f"with {_SHADE} select image_id, r, c, round(shade, 6) as shade from h")
@@ -218,8 +220,7 @@ def _(i):
 @query("F15_slope_aspect", f"""with {_WIN.replace('{k}', '1')}, s as (select image_id, r, c, sum(v * dc * (2 - abs(dr))) / 8 as sx, sum(v * dr * (2 - abs(dc))) / 8 as sy from nb group by image_id, r, c)
     select image_id, r, c, round(atan(sqrt(sx * sx + sy * sy)), 6) as slope, round(case when sx <> 0 then case when atan2(sy, -sx) < 0 then atan2(sy, -sx) + 2 * pi() else atan2(sy, -sx) end when sy >= 0 then pi() / 2 else 3 * pi() / 2 end, 6) as aspect from s""")
 def _(i):
-    near = R.neighbourhood(_px(i), 1, N, N)
-    s = near.groupBy("image_id", "r", "c").agg((F.sum(F.col("v") * F.col("dc") * (2 - F.abs("dr"))) / 8).alias("sx"), (F.sum(F.col("v") * F.col("dr") * (2 - F.abs("dc"))) / 8).alias("sy"))
+    s = L.sobel(_px(i), N, N, tile=TILE)
     return s.select("image_id", "r", "c", R6(R.slope_of(F.col("sx"), F.col("sy")), "slope"), R6(R.aspect_of(F.col("sx"), F.col("sy")), "aspect"))
 
 
@@ -228,12 +229,79 @@ _K = "([1, 4, 6, 4, 1][(dr + 3)::int] * [1, 4, 6, 4, 1][(dc + 3)::int])"
 
 @query("W7_pyramid_gauss", f"with {_WIN.replace('{k}', '2')} select image_id, 0 as level, r, c, round(v, 6) as v from {_GRID} union all select image_id, 1, (r // 2)::int, (c // 2)::int, round(sum(v * {_K}) / 256.0, 6) from nb where r % 2 = 0 and c % 2 = 0 group by image_id, r, c")
 def _(i):
-    return R.build_pyramid(_px(i), N, N, 32).select("image_id", "level", "r", "c", R6(F.col("v")))
+    return L.build_pyramid(_px(i), N, N, 32, tile=TILE).select("image_id", "level", "r", "c", R6(F.col("v")))
 
 
 @query("W7_pyramid_nearest", f"select image_id, 0 as level, r, c, v from {_GRID} union all select image_id, 1, (r // 2)::int, (c // 2)::int, v from {_GRID} where r % 2 = 0 and c % 2 = 0 union all select image_id, 2, (r // 4)::int, (c // 4)::int, v from {_GRID} where r % 4 = 0 and c % 4 = 0")
 def _(i):
-    return R.build_pyramid(_px(i), N, N, 16, "nearest").select("image_id", "level", "r", "c", "v")
+    return L.build_pyramid(_px(i), N, N, 16, "nearest").select("image_id", "level", "r", "c", "v")
+
+
+# all images side by side, eight in a row, are one image that grows with the data
+_MOSAIC = f"(select 0::bigint as image_id, (image_id // 8 * 64 + r)::int as r, (image_id % 8 * 64 + c)::int as c, v, dem, n from {_GRID})"
+_M_ROWS = "(select (max(image_id) // 8 + 1) * 64 from {v_pixels})"
+_M_REF = "case when {0} < 0 then -({0}) when {0} > {1} - 1 then 2 * ({1} - 1) - ({0}) else {0} end"
+_M_WIN = f"""m as materialized (select * from {_MOSAIC}), size as materialized (select {_M_ROWS} as rows), around as materialized (select a.r, a.c, dr, dc, {_M_REF.format('(a.r + dr)', 'size.rows')} as at_r, {_M_REF.format('(a.c + dc)', '512')} as at_c from m a, size, (select unnest(range(-{{k}}, {{k}} + 1)) as dr), (select unnest(range(-{{k}}, {{k}} + 1)) as dc)),
+    nb as (select 0::bigint as image_id, a.r, a.c, dr, dc, p.v from around a join m p on p.r = a.at_r and p.c = a.at_c)"""
+
+
+def _mosaic(i):
+    """The mosaic's pixels and its header; images that are not there leave holes."""
+    p = _px(i).select(F.lit(0).cast("long").alias("image_id"), (F.floor(F.col("image_id") / 8) * N + F.col("r")).cast("int").alias("r"), (F.col("image_id") % 8 * N + F.col("c")).cast("int").alias("c"), "band", "v")
+    rows = ((F.floor(F.max("image_id") / 8) + 1) * N).cast("int")
+    return p, i.v_pixels.agg(rows.alias("rows")).select(F.lit(0).cast("long").alias("image_id"), "rows", F.lit(8 * N).alias("cols")).filter("rows is not null")
+
+
+@query("W4_mosaic_slopes", f"""with {_M_WIN.replace('{k}', '1')} select image_id, r, c, round(sum(v * dc * (2 - abs(dr))) / 16, 6) as sx, round(sum(v * dr * (2 - abs(dc))) / 16, 6) as sy from nb group by image_id, r, c""")
+def _(i):
+    p, headers = _mosaic(i)
+    return L.sobel(p, headers, None, 2.0, 256).select("image_id", "r", "c", R6(F.col("sx"), "sx"), R6(F.col("sy"), "sy"))
+
+
+@query("W7_mosaic_halved", f"with {_M_WIN.replace('{k}', '2')} select image_id, (r // 2)::int as r, (c // 2)::int as c, round(sum(v * {_K}) / 256.0, 6) as v from nb where r % 2 = 0 and c % 2 = 0 group by image_id, r, c")
+def _(i):
+    p, headers = _mosaic(i)
+    return L.halved(p, headers, None, "gauss", 256).select("image_id", "r", "c", R6(F.col("v")))
+
+
+def _stored(i, levels):
+    """The mosaic as stored tiles of 256 and its header, in a folder of its own."""
+    import uuid
+
+    from ..session import shared_folder
+
+    p, headers = _mosaic(i)
+    path = f"{shared_folder(i.spark)}/tiles-{uuid.uuid4().hex}"
+    L.write_tiles(p, headers, path, 256, levels)
+    return path, headers
+
+
+# regions of the mosaic: whole, at half size, and across tiles; the level follows from the target size
+_ROIS = [(1, 10, 200, 40, 100, 40, 100), (2, 0, 0, 64, 512, 32, 256), (3, 3, 250, 60, 12, 15, 3), (4, 60, 500, 10, 20, 5, 5)]
+
+
+@query("S18_stored_tiles", f"""with rois(roi_id, r0, c0, h, w, oh, ow) as (values {", ".join(map(str, _ROIS[:3]))}), g as (select roi_id, i, j, greatest(0, least(2, floor(log2(least(h / oh, w / ow)) + 1e-9)))::int as level, least(r0 + h - 1, r0 + floor((i + 0.5) * h / oh))::int as r, least(c0 + w - 1, c0 + floor((j + 0.5) * w / ow))::int as c
+    from rois, (select unnest(range(64)) as i), (select unnest(range(512)) as j) where i < oh and j < ow), m as materialized (select * from {_MOSAIC})
+    select roi_id, level, i::int as r, j::int as c, m.v from g join m on m.r = (g.r >> level) << level and m.c = (g.c >> level) << level""")
+def _(i):
+    path, headers = _stored(i, 3)
+    names = ("r0", "c0", "rows", "cols", "out_rows", "out_cols")
+    four = F.array(*(F.struct(F.lit(k[0]).alias("roi_id"), *(F.lit(x).alias(n) for n, x in zip(names, k[1:], strict=True))) for k in _ROIS))
+    rois = headers.select("image_id", F.explode(four).alias("roi")).select("image_id", "roi.*")  # the fourth leaves the image, or is empty space of it
+    return L.read_patches(i.spark, path, rois.filter("roi_id < 4")).select("roi_id", "level", "r", "c", "v")
+
+
+_IN_PATCH = "r between 20 and 49 and c between 240 and 279"
+
+
+@query("S20_stored_tiles", f"""with p as (select r::int as r, c::int as c, ((r - 20) * 100 + c - 240)::double as v from (select unnest(range(20, 50)) as r), (select unnest(range(240, 280)) as c)), m as (select r, c, v from {_MOSAIC} where not ({_IN_PATCH}) union all select * from p)
+    select 0 as level, r, c, v from m union all select 1, (r // 2)::int, (c // 2)::int, v from m where r % 2 = 0 and c % 2 = 0""")
+def _(i):
+    path, headers = _stored(i, 2)
+    rois = headers.select(F.lit(1).alias("roi_id"), "image_id", F.lit(20).alias("r0"), F.lit(240).alias("c0"), F.lit(30).alias("rows"), F.lit(40).alias("cols"))
+    patch = R.create_rasters(rois).select(F.lit(1).alias("roi_id"), "r", "c", F.lit(0).alias("band"), (F.col("r") * 100.0 + F.col("c")).alias("v"))
+    L.write_patches(i.spark, path, patch, rois)
+    return L.to_pixels(i.spark.read.parquet(f"{path}/tiles"), 256).select("level", "r", "c", "v")
 
 
 # a changed rectangle of every second image: shading recomputed there must equal the full recompute
@@ -246,6 +314,24 @@ def _(i):
     return out.select("image_id", "r", "c", R6(F.col("shade"), "shade"))
 
 
+# a changed rectangle: every third image goes beyond its range and is coloured as a whole, the others only there
+_NEW_V = "case when r between 20 and 30 and c between 40 and 50 then case when image_id % 3 = 0 then v + 100 else least(v, 30) end else v end"
+
+
+@query("I2_recompute_range", f"""with g as materialized (select image_id, r, c, v as was, {_NEW_V} as v from {_GRID}), o as (select image_id, min(was) as lo, max(was) as hi from g group by image_id), n as (select image_id, min(v) as lo, max(v) as hi from g where r between 20 and 30 and c between 40 and 50 group by image_id),
+    e as (select o.image_id, case when n.lo < o.lo or n.hi > o.hi then floor(least(n.lo, o.lo)) - 1 else o.lo end as lo, case when n.lo < o.lo or n.hi > o.hi then ceil(greatest(n.hi, o.hi)) + 1 else o.hi end as hi from o join n using (image_id))
+    select image_id, r, c, round((v - lo) / (hi - lo), 6) as shade from g join e using (image_id)""")
+def _(i):
+    p = _px(i)
+    spot = F.col("r").between(20, 30) & F.col("c").between(40, 50)
+    new = p.withColumn("v", F.when(spot & (F.col("image_id") % 3 == 0), F.col("v") + 100).when(spot, F.least(F.col("v"), F.lit(30.0))).otherwise(F.col("v"))).select("image_id", "r", "c", "v")
+    color = lambda cells: cells.select("image_id", "r", "c", ((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("shade"))
+    was = R.raster_minmax(p)
+    old = color(p.join(was, "image_id"))
+    widen = lambda ranges: ranges.withColumns({"lo": (F.floor("lo") - 1).cast("double"), "hi": (F.ceil("hi") + 1).cast("double")})
+    return recompute_range(old, was, new.filter(spot), new, color, widen)[0].select("image_id", "r", "c", R6(F.col("shade"), "shade"))
+
+
 # -- patches ------------------------------------------------------------------------------------
 
 _PT = "pt as (select pid, pid // 100 as image_id, 8 + pid % 45 as c, 8 + (pid * 7) % 45 as r, 3 + pid % 4 as dc, 1 + pid % 5 as dr from {v_points3d})"
@@ -285,8 +371,20 @@ def _smooth(i):
     return _grid(i).withColumn("v", 100 + 40 * F.sin(F.col("r") * 0.21 + F.col("image_id") % 7 * 0.05) + 30 * F.cos(F.col("c") * 0.17) + F.col("dem") * 0.01).select("image_id", "r", "c", "v")
 
 
+# the template comes from the image itself, so the refinement ends where it was cut
+@query("A21_refined_places", "select p_partkey as pid, true as within_a_fifth from part")
+def _(i):
+    p = _points(i)
+    near = lambda got, want: F.coalesce(F.abs(F.col(got) - F.col(want)) < 0.2, F.lit(False))
+    return _refined(i).join(p, "pid", "right").select("pid", (near("x", "c0") & near("y", "r0")).alias("within_a_fifth"))
+
+
 @query("A21_refine_affine")
 def _(i):
+    return _refined(i)
+
+
+def _refined(i):
     smooth, p = _smooth(i), _points(i)
     steps = F.sequence(F.lit(-7), F.lit(7))
     t = p.select("pid", F.col("image_id").alias("own"), "r0", "c0", F.explode(steps).alias("y")).select("*", F.explode(steps).alias("x")).join(smooth, (F.col("image_id") == F.col("own")) & (F.col("r") == F.col("r0") + F.col("y")) & (F.col("c") == F.col("c0") + F.col("x"))).select("pid", "image_id", "x", "y", "v")
@@ -299,3 +397,42 @@ def _(i):
     p = _points(i).select("pid", "image_id", F.col("c0").cast("double").alias("x"), F.col("r0").cast("double").alias("y"))
     targets = p.select("pid", (F.col("image_id") + 1).alias("target_id"), (F.col("x") + 2).alias("px"), (F.col("y") - 1).alias("py"))
     return T.propagate(p, _smooth(i), targets, 11, 9)
+
+
+# Photos of 64 x 64 pixels look straight down on a textured plane from places of a grid, two heights in turn: where a
+# point comes out in another photo follows from the cameras. Photos are suppliers, points are parts.
+_FLAT_PHOTOS = "(select s_suppkey as iid, 0::bigint as cid, (s_suppkey % 8) * 6.1::double as cx, (s_suppkey // 8) * 6.1::double as cy, case when s_suppkey % 2 = 0 then 40.0 else 51.3 end::double as cz, case when s_suppkey % 2 = 0 then 'ground' else 'aerial' end as role from supplier)"
+_FLAT_POINTS = "(select p.p_partkey as pid, h.iid as image_id, 14 + p.p_partkey % 36 as c, 14 + p.p_partkey * 7 % 36 as r, h.cx, h.cy, h.cz from part p join {h} h on h.iid = p.p_partkey % (select count(*) from supplier) + 1 and h.role = 'ground')".replace("{h}", _FLAT_PHOTOS)
+
+
+def _flat_photos(i):
+    even = F.col("s_suppkey") % 2 == 0
+    turned = {"r00": 1.0, "r01": 0.0, "r02": 0.0, "r10": 0.0, "r11": -1.0, "r12": 0.0, "r20": 0.0, "r21": 0.0, "r22": -1.0}
+    return i.supplier.select(F.col("s_suppkey").alias("iid"), F.lit(0).cast("long").alias("cid"), (F.col("s_suppkey") % 8 * 6.1).alias("cx"), (F.floor(F.col("s_suppkey") / 8) * 6.1).alias("cy"), F.when(even, 40.0).otherwise(51.3).alias("cz"), F.when(even, "ground").otherwise("aerial").alias("role"), *(F.lit(v).alias(k) for k, v in turned.items()))
+
+
+def _flat_scene(i):
+    """Photos, camera, pixels and surface points of the plane z = 0."""
+    photos = _flat_photos(i)
+    cameras = i.spark.createDataFrame([(0, 64, 64, 100.0, 32.0, 32.0, 0.0, 0.0, 0.0, 0.0, 0.0)], "cid long, width int, height int, f double, u0 double, v0 double, k1 double, k2 double, k3 double, p1 double, p2 double")
+    cells = R.create_rasters(photos.select(F.col("iid").alias("image_id"), F.lit(64).alias("rows"), F.lit(64).alias("cols"))).join(photos.select(F.col("iid").alias("image_id"), "cx", "cy", "cz"), "image_id")
+    surface = cells.select("image_id", "r", "c", (F.col("cx") + (F.col("c") - 32) * F.col("cz") / 100).alias("x"), (F.col("cy") - (F.col("r") - 32) * F.col("cz") / 100).alias("y"), F.lit(0.0).alias("z"))
+    x, y = F.col("x"), F.col("y")
+    texture = 100 + 40 * F.sin(0.9 * x + 0.3 * y) + 30 * F.cos(0.7 * y - 0.2 * x) + 20 * F.sin(0.37 * x - 0.53 * y)
+    return photos, cameras, surface.select("image_id", "r", "c", texture.alias("v")), surface
+
+
+@query("R9_propagate_views", f"""with h as materialized (select * from {_FLAT_PHOTOS}), p as materialized (select * from (select *, row_number() over (partition by image_id order by md5('0|' || pid), pid) as n from {_FLAT_POINTS}) where n <= 5),
+    w as (select pid, image_id, c, r, cx + (c - 32) * cz / 100 as x, cy - (r - 32) * cz / 100 as y, cz from p),
+    s as (select w.pid, w.image_id, w.c, w.r, h.iid, h.role, w.x, w.y, 100 * (w.x - h.cx) / h.cz + 32 as u, 32 - 100 * (w.y - h.cy) / h.cz as v, w.cz / h.cz as k from w join h on h.iid <> w.image_id),
+    f as (select * from s where u - 9 * k >= 0 and v - 9 * k >= 0 and u + 10 * k <= 63 and v + 10 * k <= 63), b as (select pid from f group by pid having count(*) filter (role = 'aerial') > 0 and count(*) filter (role = 'ground') > 0),
+    every as (select pid, role, iid, u, v, x, y from f union all select pid, 'source', image_id, c, r, x, y from w)
+    select pid as point_id, role, iid, round(u, 3) as u, round(v, 3) as v, round(x, 4) as x, round(y, 4) as y from every where pid in (select pid from b)""")
+def _(i):
+    photos, cameras, pixels, surface = _flat_scene(i)
+    ground = photos.filter("role = 'ground'").select("iid")
+    n = i.supplier.count()
+    pts = i.part.select(F.col("p_partkey").alias("pid"), (F.col("p_partkey") % n + 1).alias("iid"), (F.col("p_partkey") % 36 + 14).alias("gx"), (F.col("p_partkey") * 7 % 36 + 14).alias("gy")).join(ground, "iid", "left_semi")
+    matches = pts.select("pid", F.col("iid").alias("image_id"), *(F.col(c).cast("double").alias(c) for c in ("gx", "gy")), F.col("gx").cast("double").alias("rx"), F.col("gy").cast("double").alias("ry"))
+    found = T.propagate_views(matches, pixels, surface, photos, cameras, 11, 9, per_image=5)
+    return found.select("point_id", "role", "iid", F.round("u", 3).alias("u"), F.round("v", 3).alias("v"), F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))

@@ -121,7 +121,7 @@ def _(i):
     return load_or_compute(i.spark, p, compute)
 
 
-# -- feature and match files: to bytes and back -------------------------------------------------
+# -- feature and match files: written by tasks, scanned again -------------------------------------------------
 
 _BYTES = "[((fid * 7 + k * 13) % 256)::int for k in range(128)]"
 
@@ -131,21 +131,33 @@ def _keypoints(i):
     return i.v_keypoints.select(F.concat(F.lit("image"), F.col("iid").cast("string"), F.lit(".bin")).alias("path"), "fid", "x", "y", (F.col("fid") % 5 + 1.5).alias("size"), (F.col("fid") % 360).cast("double").alias("angle"), F.col("response").cast("double").alias("response"), desc.alias("desc"))
 
 
+def _named(rows):
+    """Rows with the name of their file for its path."""
+    return rows.withColumn("path", F.regexp_extract("path", "[^/]+$", 0))
+
+
 @query("S6_feature_files", f"select 'image' || iid || '.bin' as path, row_number() over (partition by iid order by fid) - 1 as fid, x::float::double as x, y::float::double as y, (fid % 5 + 1.5)::double as size, (fid % 360)::double as angle, response::float::double as response, {_BYTES} as desc from {{v_keypoints}}")
 def _(i):
-    return files.decode_sift(files.encode_sift(_keypoints(i)))
+    p = _path(i, "keypoints")
+    files.write_files(files.encode_sift(_keypoints(i)), p)
+    return _named(files.load_sift_dir(i.spark, p, "*.bin"))
 
 
 @query("S7_point_files", f"""select 'image' || iid || '.bin' as path, row_number() over (partition by iid order by fid) - 1 as fid, x::float::double as x, y::float::double as y, case when iid % 2 = 0 then {_BYTES} end as desc from {{v_keypoints}}""")
 def _(i):
     even = F.regexp_extract("path", "[0-9]+", 0).cast("long") % 2 == 0
-    return files.decode_features(files.encode_features(_keypoints(i).withColumn("desc", F.when(even, F.col("desc")))))
+    p = _path(i, "points")
+    files.write_files(files.encode_features(_keypoints(i).withColumn("desc", F.when(even, F.col("desc")))), p)
+    return _named(files.load_feature_dir(i.spark, p))
 
 
 @query("S8_match_files", "select iid_i || '_' || iid_j as path, fid_i, fid_j, null::double as dist from {v_match_chain} union all select iid_i || '-' || iid_j, fid_i, fid_j, ((fid_i + fid_j) % 97 / 4.0)::double from {v_match_chain}")
 def _(i):
     m = i.v_match_chain
     name = lambda sign: F.concat(F.col("iid_i").cast("string"), F.lit(sign), F.col("iid_j").cast("string")).alias("path")
-    plain = files.decode_matches(files.encode_matches(m.select(name("_"), "fid_i", "fid_j")))
+    p = _path(i, "matches")
+    files.write_files(files.encode_matches(m.select(name("_"), "fid_i", "fid_j")), p)
     scored = files.encode_matches(m.select(name("-"), "fid_i", "fid_j", ((F.col("fid_i") + F.col("fid_j")) % 97 / 4.0).alias("dist")), scored=True)
-    return plain.unionByName(files.decode_matches(scored, scored=True))
+    files.write_files(scored, p)
+    # two kinds of files in one folder, told apart by their names
+    return _named(files.load_match_dir(i.spark, p, pattern="[0-9]*_[0-9]*").unionByName(files.load_match_dir(i.spark, p, scored=True, pattern="[0-9]*-[0-9]*")))

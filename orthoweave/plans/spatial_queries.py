@@ -111,6 +111,32 @@ def _(i):
     return full.select(F.round(X.tri_area(), 6).alias("area")).groupBy("area").agg(F.count(F.lit(1)).alias("n"))
 
 
+# five rounds on a sheet whose triangles share edges: parts are its vertices, twenty in a row
+_SHEET = "v as materialized (select p_partkey as k, ((p_partkey % 20) * 10)::double as x, ((p_partkey // 20) * 10)::double as y, (p_size % 20)::double as z from part)"
+
+
+@query("U7_five_rounds", f"""with recursive {_SHEET}, q as materialized (select a.x as ax, a.y as ay, a.z as az, b.x as bx, b.y as by_, b.z as bz, c.x as cx, c.y as cy, c.z as cz, d.x as dx, d.y as dy, d.z as dz from v a join v b on b.k = a.k + 1 and a.k % 20 < 19 join v c on c.k = a.k + 20 join v d on d.k = a.k + 21),
+    t(n, ax, ay, az, bx, by_, bz, cx, cy, cz) as (select 0, ax, ay, az, bx, by_, bz, cx, cy, cz from q union all select 0, bx, by_, bz, dx, dy, dz, cx, cy, cz from q
+    union all select n + 1, case k when 0 then ax when 1 then (ax + bx) / 2 when 2 then (ax + cx) / 2 else (ax + bx) / 2 end, case k when 0 then ay when 1 then (ay + by_) / 2 when 2 then (ay + cy) / 2 else (ay + by_) / 2 end, case k when 0 then az when 1 then (az + bz) / 2 when 2 then (az + cz) / 2 else (az + bz) / 2 end,
+    case k when 0 then (ax + bx) / 2 when 1 then bx when 2 then (bx + cx) / 2 else (bx + cx) / 2 end, case k when 0 then (ay + by_) / 2 when 1 then by_ when 2 then (by_ + cy) / 2 else (by_ + cy) / 2 end, case k when 0 then (az + bz) / 2 when 1 then bz when 2 then (bz + cz) / 2 else (bz + cz) / 2 end,
+    case k when 0 then (ax + cx) / 2 when 1 then (bx + cx) / 2 when 2 then cx else (ax + cx) / 2 end, case k when 0 then (ay + cy) / 2 when 1 then (by_ + cy) / 2 when 2 then cy else (ay + cy) / 2 end, case k when 0 then (az + cz) / 2 when 1 then (bz + cz) / 2 when 2 then cz else (az + cz) / 2 end
+    from t, (select unnest(range(4)) as k) where n < 5 and {_AREA} > 8), done as materialized (select * from t where n = 5 or {_AREA} <= 8)
+    select 'area' as kind, round({_AREA}, 4) as value, count(*) as n from done group by 2 union all select 'vertices', 0, count(*) from (select ax, ay, az from done union select bx, by_, bz from done union select cx, cy, cz from done)""")
+def _(i):
+    k, row = F.col("p_partkey"), F.floor(F.col("p_partkey") / 20)
+    v = i.part.select(k.cast("long").alias("vid"), (k % 20 * 10.0).alias("x"), (row * 10.0).alias("y"), (F.col("p_size") % 20).cast("double").alias("z"))
+    ids = v.select("vid")
+    has = lambda df, n: df.join(ids.select((F.col("vid") - n).alias("a")), "a", "left_semi")
+    cells = has(has(has(ids.select(F.col("vid").alias("a")).filter("a % 20 < 19"), 1), 20), 21)
+    two = F.array(*(F.struct(F.lit(m).alias("m"), *((F.col("a") + d).alias(f"v{j}") for j, d in enumerate(way))) for m, way in enumerate(((0, 1, 20), (1, 21, 20)))))
+    f = cells.select("a", F.explode(two).alias("t")).select((F.col("a") * 2 + F.col("t.m")).alias("tid"), "t.v0", "t.v1", "t.v2")
+    v, f = X.subdivide(v, f, 4.0, 5)
+    at = lambda key, n: v.select(F.col("vid").alias(key), *(F.col(c).alias(m) for c, m in zip("xyz", n, strict=True)))
+    full = f.join(at("v0", X.TRI[:3]), "v0").join(at("v1", X.TRI[3:6]), "v1").join(at("v2", X.TRI[6:]), "v2")
+    areas = full.select(F.lit("area").alias("kind"), F.round(X.tri_area(), 4).alias("value")).groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"))
+    return areas.unionByName(X.drop_isolated(v, f).agg(F.count(F.lit(1)).alias("n")).select(F.lit("vertices").alias("kind"), F.lit(0.0).alias("value"), "n"))
+
+
 # each point is looked at by one photo
 def _rays(i):
     p, h = i.v_points3d, i.v_photos

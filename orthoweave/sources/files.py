@@ -6,6 +6,8 @@ tasks; a decoded file is bounded by the detector's cap.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -20,16 +22,45 @@ SCORED_PAIR = np.dtype([("i", "<i4"), ("j", "<i4"), ("image", "<i4"), ("dist", "
 DESCRIPTOR = 128
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path", "content")
+def _files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    reader = spark.read.format("binaryFile")
+    return (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path).select("path", "content")
+
+
+def write_files(files: DataFrame, folder: str) -> int:
+    """Writes files(path, content) into a folder, one binary file a row, from the tasks; returns how many.
+
+    path is the name below the folder. The folder is opened through pyarrow's file systems (file://, hdfs://, s3://,
+    gs://) and must be one that all executors share. A file is written under a name of its own and then
+    moved to its place, so a task that runs twice leaves one whole file. Rows without path or content are left out.
+    """
+    from pyarrow import fs
+
+    def run(frames):
+        store, root = fs.FileSystem.from_uri(folder)
+        for f in frames:
+            for name, content in zip(f["path"], f["content"], strict=True):
+                place = f"{root}/{name}"
+                store.create_dir(place.rpartition("/")[0], recursive=True)
+                part = f"{place.rpartition('/')[0]}/_{uuid.uuid4().hex}"  # names that begin so are not read
+                with store.open_output_stream(part) as out:
+                    out.write(bytes(content))
+                store.move(part, place)
+            yield pd.DataFrame({"n": [len(f)]})
+
+    known = files.filter(F.col("path").isNotNull() & F.col("content").isNotNull()).select("path", "content")
+    return known.mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+
 
+def _decoded(files: DataFrame, decode, schema: str, rows: int = 8192) -> DataFrame:
+    """What decode() makes of each file, at most `rows` rows at a time."""
 
-def _decoded(files: DataFrame, decode, schema: str) -> DataFrame:
     def run(frames):
         for f in frames:
-            parts = [d for p, c in zip(f["path"], f["content"], strict=True) if len(d := decode(p, bytes(c)))]
-            if parts:
-                yield pd.concat(parts, ignore_index=True)
+            for p, c in zip(f["path"], f["content"], strict=True):
+                d = decode(p, bytes(c))
+                for a in range(0, len(d), rows):
+                    yield d.iloc[a : a + rows]
 
     return files.select("path", "content").mapInPandas(run, schema)
 
@@ -56,9 +87,9 @@ def _records(path: str, content: bytes, dtype, count: int, at: int) -> np.ndarra
     return np.frombuffer(content, dtype, count, at)
 
 
-def load_sift_dir(spark: SparkSession, path: str) -> DataFrame:
-    """Keypoints of the files in a folder, as decode_sift() gives them."""
-    return decode_sift(_files(spark, path))
+def load_sift_dir(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """Keypoints of the files in a folder (pattern: of these names only), as decode_sift() gives them."""
+    return decode_sift(_files(spark, path, pattern))
 
 
 def encode_sift(features: DataFrame) -> DataFrame:
@@ -86,9 +117,9 @@ def decode_sift(files: DataFrame) -> DataFrame:
     return _decoded(files, decode, "path string, fid long, x double, y double, size double, angle double, response double, desc array<int>")
 
 
-def load_feature_dir(spark: SparkSession, path: str, with_desc: bool = True) -> DataFrame:
-    """Points of the files in a folder, as decode_features() gives them."""
-    return decode_features(_files(spark, path), with_desc)
+def load_feature_dir(spark: SparkSession, path: str, with_desc: bool = True, pattern: str | None = None) -> DataFrame:
+    """Points of the files in a folder (pattern: of these names only), as decode_features() gives them."""
+    return decode_features(_files(spark, path, pattern), with_desc)
 
 
 def encode_features(features: DataFrame) -> DataFrame:
@@ -117,9 +148,9 @@ def decode_features(files: DataFrame, with_desc: bool = True) -> DataFrame:
     return _decoded(files, decode, "path string, fid long, x double, y double, desc array<int>")
 
 
-def load_match_dir(spark: SparkSession, path: str, scored: bool = False) -> DataFrame:
-    """Matches of the files in a folder, as decode_matches() gives them."""
-    return decode_matches(_files(spark, path), scored)
+def load_match_dir(spark: SparkSession, path: str, scored: bool = False, pattern: str | None = None) -> DataFrame:
+    """Matches of the files in a folder (pattern: of these names only), as decode_matches() gives them."""
+    return decode_matches(_files(spark, path, pattern), scored)
 
 
 def encode_matches(matches: DataFrame, scored: bool = False) -> DataFrame:

@@ -36,3 +36,25 @@ def recompute_region(old: DataFrame, changed: DataFrame, compute: Callable[[Data
     target = spread(halo)
     fresh = compute(inputs.join(spread(2 * halo), key, "left_semi")).join(target, key, "left_semi")
     return old.join(target, key, "left_anti").unionByName(fresh)
+
+
+def recompute_range(old: DataFrame, old_range: DataFrame, changed: DataFrame, inputs: DataFrame, color: Callable[[DataFrame], DataFrame], widen: Callable[[DataFrame], DataFrame], key: list[str] = ["image_id", "r", "c"]) -> tuple[DataFrame, DataFrame]:
+    """The coloured cells of all images after a change, and the range of each image.
+
+    old: coloured cells; old_range(image_id, lo, hi); changed: the cells that changed; inputs(image_id, r, c, v): all values as
+    they are now. An image whose changed values stay within its range is coloured anew at the changed cells
+    only; where they leave it (after widen(), which makes a range of the least and greatest values) the range
+    grows and the whole image is computed again. Which it is is decided by one aggregate an image inside
+    the plan. color(cells with lo and hi) gives the coloured cells. An image without an old range is new: all of it
+    is computed. Null values do not move the range.
+    """
+    fresh = inputs.join(changed.select(*key).distinct(), key, "left_semi")
+    seen = fresh.groupBy(key[0]).agg(F.min("v").alias("new_lo"), F.max("v").alias("new_hi"))
+    # widen() sees the least and greatest of the old range and the new values
+    both = seen.join(old_range, key[0], "full").select(key[0], F.least("new_lo", "lo").alias("lo"), F.greatest("new_hi", "hi").alias("hi"), F.col("lo").alias("was_lo"), F.col("hi").alias("was_hi"), F.coalesce(F.col("new_lo") < F.col("lo"), F.lit(False)).alias("below"), F.coalesce(F.col("new_hi") > F.col("hi"), F.lit(False)).alias("over"))
+    grown = both.withColumn("grows", F.col("below") | F.col("over") | F.col("was_lo").isNull())
+    ranges = widen(grown.filter("grows").select(key[0], "lo", "hi")).withColumn("grows", F.lit(True)).unionByName(grown.filter("not grows").select(key[0], F.col("was_lo").alias("lo"), F.col("was_hi").alias("hi"), F.lit(False).alias("grows")))
+    whole = inputs.join(ranges.filter("grows").select(key[0], "lo", "hi"), key[0])
+    part = fresh.join(ranges.filter("not grows").select(key[0], "lo", "hi"), key[0])
+    kept = old.join(ranges.filter("grows").select(key[0]), key[0], "left_anti").join(changed.select(*key), key, "left_anti")
+    return kept.unionByName(color(whole.unionByName(part))), ranges.select(key[0], "lo", "hi")

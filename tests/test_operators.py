@@ -15,6 +15,7 @@ from orthoweave.operators import knn as K
 from orthoweave.operators import matches as M
 from orthoweave.operators import patches as T
 from orthoweave.operators import raster as R
+from orthoweave.operators import tiles as L
 from orthoweave.operators import robust as B
 from orthoweave.operators import spatial as X
 from orthoweave.plans import registry
@@ -225,7 +226,7 @@ def test_propagation_finds_the_same_place(spark):
 @pytest.mark.parametrize(("rows_", "cols"), [(1, 1), (5, 7), (16, 16), (17, 15)])
 def test_tiles_lose_no_pixel(spark, rows_, cols):
     p = R.create_raster(spark, 3, rows_, cols).withColumn("v", F.col("r") * 100.0 + F.col("c"))
-    back = R.to_pixels(R.to_tiles(p, 8), 8)
+    back = L.to_pixels(L.to_tiles(p, 8), 8)
     assert rows(back, "r", "c", "v") == rows(p, "r", "c", "v")
 
 
@@ -244,7 +245,7 @@ def test_stretch_maps_nodata_to_zero(spark):
 
 def test_pyramid_always_has_level_zero(spark):
     p = R.create_raster(spark, 0, 3, 3, 1.0)
-    assert R.build_pyramid(p, 3, 3, 256).select("level").distinct().collect()[0].level == 0
+    assert L.build_pyramid(p, 3, 3, 256).select("level").distinct().collect()[0].level == 0
 
 
 # -- spatial ------------------------------------------------------------------------------------
