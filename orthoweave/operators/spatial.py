@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..session import stage
 
 # -- polygons: rings array<array<struct<x, y>>>, ring 0 outer, integer coordinates -----------------
 
@@ -107,6 +108,26 @@ def obb_contains(x: Column, y: Column, z: Column) -> Column:
     return inside
 
 
+def points_in_boxes(points: DataFrame, boxes: DataFrame, at: list[Column], cell: float) -> DataFrame:
+    """Rows of points beside the boxes (columns of obb()) that hold the place `at` (three columns of points), closed.
+
+    Voxels are cell * 2^level wide; a box lies at the lowest level at which it meets at most eight of them, and a point
+    asks one voxel of each level that holds a box: an equi-join.
+    """
+    reach = [sum((F.abs(F.col(f"a{i}{k}")) * F.col(f"h{i}") for i in range(1, 3)), F.abs(F.col(f"a0{k}")) * F.col("h0")) * (1 + 1e-12) + 1e-12 for k in range(3)]
+    levelled = stage(boxes.withColumn("_level", _voxel_level([(F.col(f"c{k}") - reach[k], F.col(f"c{k}") + reach[k]) for k in range(3)], cell)), "voxel-levels")
+    present = sorted(r._level for r in levelled.select("_level").distinct().collect())  # 63 at most
+    wide = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("_level"))
+    voxel = lambda v: F.floor(v / wide).cast("long")
+    put = levelled
+    for k in range(3):
+        put = put.withColumn(f"_g{k}", F.explode(F.sequence(voxel(F.col(f"c{k}") - reach[k]), voxel(F.col(f"c{k}") + reach[k]))))
+    asked = points.withColumns({f"_p{k}": v for k, v in enumerate(at)}).withColumn("_level", F.explode(F.array(*(F.lit(n) for n in present)).cast("array<int>")))
+    asked = asked.withColumns({f"_g{k}": voxel(F.col(f"_p{k}")) for k in range(3)})
+    key = ["_level", "_g0", "_g1", "_g2"]
+    return asked.join(put, key).filter(obb_contains(*(F.col(f"_p{k}") for k in range(3)))).drop(*key, "_p0", "_p1", "_p2")
+
+
 def obb_edges(box: DataFrame, by: list[str]) -> DataFrame:
     """The twelve edges of each box: edge, x0, y0, z0, x1, y1, z1."""
     signs = [(1 if n & 4 else -1, 1 if n & 2 else -1, 1 if n & 1 else -1) for n in range(8)]
@@ -137,11 +158,10 @@ def tri_area() -> Column:
     return S.norm(S.cross(minus(b, a), minus(c, a))) / 2
 
 
-def clip_mesh(triangles: DataFrame, box: DataFrame) -> DataFrame:
-    """Triangles whose barycentre lies in one of the boxes (obb() columns; boxes are few)."""
-    from .cameras import small
-
-    return triangles.join(small(box), obb_contains(*barycenter()), "left_semi")
+def clip_mesh(triangles: DataFrame, box: DataFrame, cell: float = 8.0) -> DataFrame:
+    """Triangles (tid and corners) whose barycentre lies in one of the boxes (obb() columns)."""
+    inside = points_in_boxes(triangles.select("tid", *(m.alias(f"m{k}") for k, m in enumerate(barycenter()))), box, [F.col(f"m{k}") for k in range(3)], cell)
+    return triangles.join(inside.select("tid").distinct(), "tid", "left_semi")
 
 
 def remove_by_bbox(triangles: DataFrame, lo: tuple[float, float, float], hi: tuple[float, float, float]) -> DataFrame:
@@ -171,8 +191,6 @@ def subdivide(vertices: DataFrame, tri: DataFrame, max_len: float, iterations: i
 
     Shared edges share the new vertex (its id follows from the edge); neighbours that stay keep a T-junction.
     """
-    from ..session import stage
-
     for _ in range(iterations):
         at = lambda k, n: vertices.select(F.col("vid").alias(k), *(F.col(c).alias(c + n) for c in "xyz"))
         full = tri.join(at("v0", "0"), "v0").join(at("v1", "1"), "v1").join(at("v2", "2"), "v2")
@@ -202,37 +220,38 @@ def subdivide(vertices: DataFrame, tri: DataFrame, max_len: float, iterations: i
 # -- rays ---------------------------------------------------------------------------------------
 
 
-def hit_columns() -> tuple[Column, Column, Column, Column]:
-    """Moeller-Trumbore on columns ox..oz, dx..dz and a triangle: hit (boolean), t, u, v."""
-    a, b, c = corners()
-    minus = lambda p, q: [x - y for x, y in zip(p, q, strict=True)]
-    o, d = [F.col(k) for k in ("ox", "oy", "oz")], [F.col(k) for k in ("dx", "dy", "dz")]
-    e1, e2 = minus(b, a), minus(c, a)
-    p = S.cross(d, e2)
-    det = S.dot(e1, p)
-    s = minus(o, a)
-    q = S.cross(s, e1)
-    u, v, t = (F.try_divide(x, det) for x in (S.dot(s, p), S.dot(d, q), S.dot(e2, q)))
-    hit = (F.abs(det) > 1e-12) & (u >= 0) & (v >= 0) & (u + v <= 1) & (t >= F.col("tnear")) & (t <= F.col("tfar"))
-    return F.coalesce(hit, F.lit(False)), t, u, v
+RAY = ["ray_id", "ox", "oy", "oz", "dx", "dy", "dz", "tnear", "tfar"]
 
 
-RAY = ["ray_id", "ox", "oy", "oz", "dx", "dy", "dz", "tnear", "tfar"]
+def _voxel_level(spans: list[tuple[Column, Column]], cell: float) -> Column:
+    """The lowest level, voxels being cell * 2^level wide, at which a box meets at most eight voxels.
+
+    Where voxels are as wide as the box it meets two at most along each axis; up to four levels below are tried.
+    """
+    size = F.greatest(*(hi - lo for lo, hi in spans))
+    wide = F.least(F.lit(62), F.greatest(F.lit(0), F.coalesce(F.ceil(F.log2(size / cell)), F.lit(0)))).cast("int")
+
+    def met(level: Column) -> Column:
+        w = F.lit(float(cell)) * F.pow(F.lit(2.0), level)
+        n = [F.floor(hi / w) - F.floor(lo / w) + 1 for lo, hi in spans]
+        return n[0].cast("double") * n[1] * n[2]
+
+    lower = [F.when((wide >= k) & (met(wide - k) <= 8), wide - k) for k in (4, 3, 2, 1)]
+    return F.coalesce(*lower, wide)
 
 
 def _candidates(rays: DataFrame, triangles: DataFrame, cell: float) -> DataFrame:
     """Rays and triangles that share a voxel, with their geometry; once for each voxel and piece they share.
 
-    Voxels are cell * 2^level wide. A triangle lies at the level whose voxels are at least as wide as its box, so
-    it is in at most eight of them, whatever its size. A ray [tnear, tfar] visits the levels that hold a triangle:
-    there it is cut into pieces no longer than a voxel in each axis, and the voxels of the box of each
-    piece are a cover of the segment, so no hit is lost. Wider levels have fewer pieces, so that all
-    levels together have at most about twice those of the finest.
+    Voxels are cell * 2^level wide. A triangle lies at the lowest level at which its box meets at most eight of
+    them, whatever its size. A ray [tnear, tfar] visits the levels that hold a triangle: there it is cut into
+    pieces no longer than a voxel in each axis, and the voxels of the box of each piece are a cover of
+    the segment, so no hit is lost. Wider levels have fewer pieces, so that all levels together have at
+    most about twice those of the finest.
     """
     tri_spans = [(F.least(*p), F.greatest(*p)) for p in (("ax", "bx", "cx"), ("ay", "by_", "cy"), ("az", "bz", "cz"))]
-    size = F.greatest(*(hi - lo for lo, hi in tri_spans))
-    level = F.least(F.lit(62), F.greatest(F.lit(0), F.coalesce(F.ceil(F.log2(size / cell)), F.lit(0)))).cast("int")
-    levelled = triangles.withColumn("level", level)
+    # written once: the levels are read from it, and then the triangles
+    levelled = stage(triangles.select("tid", *TRI, _voxel_level(tri_spans, cell).alias("level")), "voxel-levels")
     present = sorted(r.level for r in levelled.select("level").distinct().collect())  # 63 at most
     wide = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("level"))
     longest = F.greatest(*(F.abs(c) for c in ("dx", "dy", "dz"))) * (F.col("tfar") - F.col("tnear"))
@@ -254,13 +273,31 @@ def _candidates(rays: DataFrame, triangles: DataFrame, cell: float) -> DataFrame
     return r.join(t, ["level", "gx", "gy", "gz"])
 
 
+def _met(candidates: DataFrame) -> DataFrame:
+    """ray_id, tid, t, u, v of the candidates that meet (Moeller-Trumbore), each part a column of its own and so computed once."""
+    from .visibility import kept
+
+    a, b, c = corners()
+    minus = lambda p, q: [x - y for x, y in zip(p, q, strict=True)]
+    named = lambda name, v: [x.alias(f"{name}{k}") for k, x in enumerate(v)]
+    col = lambda name: [F.col(f"{name}{k}") for k in range(3)]
+    d = [F.col(k) for k in ("dx", "dy", "dz")]
+    base = ["ray_id", "tid", "tnear", "tfar"]
+    parts = candidates.select(*base, *named("d", d), *named("e", minus(b, a)), *named("f", minus(c, a)), *named("s", minus([F.col(k) for k in ("ox", "oy", "oz")], a)))
+    parts = parts.select(*base, *(x for k in "defs" for x in col(k)), *named("p", S.cross(col("d"), col("f"))), *named("q", S.cross(col("s"), col("e"))))
+    parts = parts.select(*base, S.dot(col("e"), col("p")).alias("det"), S.dot(col("s"), col("p")).alias("un"), S.dot(col("d"), col("q")).alias("vn"), S.dot(col("f"), col("q")).alias("tn"))
+    det = F.when(F.abs("det") > 1e-12, F.col("det"))
+    parts = parts.select(*base, *((F.col(k + "n") / det).alias(k) for k in "uvt"))
+    hit = (F.col("u") >= 0) & (F.col("v") >= 0) & (F.col("u") + F.col("v") <= 1) & (F.col("t") >= F.col("tnear")) & (F.col("t") <= F.col("tfar"))
+    return kept(parts, F.coalesce(hit, F.lit(False)), "ray_id", "tid", "t", "u", "v")
+
+
 def ray_hits(rays: DataFrame, triangles: DataFrame, cell: float) -> DataFrame:
     """ray_id, tid, t, u, v: the nearest triangle that each ray meets within [tnear, tfar]; ties to the smaller tid."""
-    hit, t, u, v = hit_columns()
-    met = _candidates(rays, triangles, cell).filter(hit).select("ray_id", F.struct(F.round(t, 9).alias("t"), F.col("tid"), u.alias("u"), v.alias("v")).alias("h"))
+    met = _met(_candidates(rays, triangles, cell)).select("ray_id", F.struct(F.round("t", 9).alias("t"), "tid", "u", "v").alias("h"))
     return met.groupBy("ray_id").agg(F.min("h").alias("h")).select("ray_id", "h.tid", "h.t", "h.u", "h.v")
 
 
 def occluded(rays: DataFrame, triangles: DataFrame, cell: float) -> DataFrame:
     """Rays that meet any triangle."""
-    return rays.join(_candidates(rays, triangles, cell).filter(hit_columns()[0]).select("ray_id").distinct(), "ray_id", "left_semi")
+    return rays.join(_met(_candidates(rays, triangles, cell)).select("ray_id").distinct(), "ray_id", "left_semi")

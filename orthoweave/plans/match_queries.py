@@ -94,8 +94,8 @@ def _(i):
 
 @query("W1_best_and_second", f"with {_KNN} select iid_i, fid_i, iid_j, fid_j, rank, round(dist, 6) as dist from knn")
 def _(i):
-    f = i.v_desc
-    return K.knn_join_columns(f, P.image_pairs(f), 2).withColumn("dist", R6(F.col("dist")))
+    near = K.knn_join(i.v_desc, P.image_pairs(i.v_desc), 5).drop("rank")
+    return K.k_best(near, ["iid_i", "fid_i", "iid_j"], ["dist", "fid_j"], 2).withColumn("dist", R6(F.col("dist")))
 
 
 @query("J2_ann_join")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import spatial as X
-from ..operators.cameras import small
 from .base import query
 
 R6 = lambda c, n: F.round(c, 6).alias(n)
@@ -57,7 +56,7 @@ def _(i):
 
 @query("A15_obb_contains", f"with {_OBB} select pid, g from {{v_points3d}}, b where abs(0.6 * x + 0.8 * y - (l0 + u0) / 2) <= (u0 - l0) * 0.2437 and abs(-0.8 * x + 0.6 * y - (l1 + u1) / 2) <= (u1 - l1) * 0.2437 and abs(z - (l2 + u2) / 2) <= (u2 - l2) * 0.2437")
 def _(i):
-    return i.v_points3d.join(small(X.obb_scale(_obb(i), 0.4874)), X.obb_contains(F.col("x"), F.col("y"), F.col("z"))).select("pid", "g")
+    return X.points_in_boxes(i.v_points3d, X.obb_scale(_obb(i), 0.4874), [F.col(k) for k in "xyz"], 8.0).select("pid", "g")
 
 
 @query("A15_obb_edges", f"with {_OBB} select g, count(*) * 12 as n, round(4 * (any_value(u0) - any_value(l0)) + 4 * (any_value(u1) - any_value(l1)) + 4 * (any_value(u2) - any_value(l2)), 4) as total from b group by g")

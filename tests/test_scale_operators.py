@@ -336,6 +336,23 @@ def test_rays_meet_triangles_of_all_sizes(spark):
     assert {x.ray_id for x in X.occluded(r, t, 1.0).collect()} == set(want)
 
 
+def test_points_meet_boxes_of_all_sizes(spark):
+    rng = np.random.default_rng(11)
+    pts = rng.uniform(-100, 100, (300, 3))
+    p = spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(pts)] + [(900, None, 1.0, 1.0)], "pid long, x double, y double, z double")
+    boxes = []
+    for k in range(25):
+        axes = rotation(rng)
+        boxes.append((k, *map(float, rng.uniform(-80, 80, 3)), *map(float, 10.0 ** rng.uniform(-1, 2.3, 3)), *map(float, axes.ravel())))
+    names = "g long, c0 double, c1 double, c2 double, h0 double, h1 double, h2 double, " + ", ".join(f"a{i}{k} double" for i in range(3) for k in range(3))
+    got = X.points_in_boxes(p, spark.createDataFrame(boxes, names), [F.col(k) for k in "xyz"], 4.0)
+    want = sorted((k, b[0]) for k, v in enumerate(pts) for b in boxes if (np.abs(np.array(b[7:]).reshape(3, 3) @ (v - np.array(b[1:4]))) <= np.array(b[4:7])).all())
+    assert len(want) > 50
+    assert sorted((r.pid, r.g) for r in got.collect()) == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 # -- ranges and files ---------------------------------------------------------------------------
 
 
