@@ -10,6 +10,7 @@ order up to its norm, so scoring a batch is one matrix product an order: presenc
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.cameras import small
+from ..session import stage
 from .bpe import LETTER, character_classes
 from .vectors import chunks, mix
 
@@ -93,14 +96,19 @@ class LanguageModel:
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_language: int = 256, landmarks: int = 192, ridge: float = 1e-3, spectrum: Spectrum = Spectrum()) -> LanguageModel:
-    """Fit on a bounded sample: of each language the `per_language` rows with the least hashed id.
+    """Fit on a bounded sample: of each language the `per_language` rows with the least hashed id and text.
 
-    Rows with a null label or text take no part. Presence vectors are computed by tasks and come to the
-    driver as bits (orders * 2**bits / 8 bytes a row). Without any labelled row every text is `und`.
+    Rows with a null label or text take no part; rows equal in id, label and text are one, and rows that share
+    an id otherwise are told apart by a hash of their text. Presence vectors are computed by tasks and come to the
+    driver as bits (orders * 2**bits / 8 bytes a row). There are `landmarks` landmarks, and at least one of each
+    language. Without any labelled row every text is `und`.
     """
     rows = labelled.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    order = [F.xxhash64(F.col(id_col)), F.col(id_col)]
-    ranked = rows.select(F.col(id_col).alias("sample_id"), F.col(label_col).alias("sample_label"), F.row_number().over(Window.partitionBy(label_col).orderBy(*order)).alias("rank")).filter(F.col("rank") <= per_language)
+    keyed = rows.select(F.col(id_col).cast("long").alias("sample_id"), F.col(text_col).alias("text"), F.col(label_col).alias("label"), F.xxhash64(F.col(text_col)).alias("print"))
+    order = [F.xxhash64("sample_id", "print"), F.col("sample_id"), F.col("print")]
+    distinct = keyed.select("sample_id", "label", "print").distinct()
+    ranked = distinct.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy(*order))).filter(F.col("rank") <= per_language)
+    ranked = stage(ranked.select(F.col("sample_id").alias("own_id"), F.col("label").alias("own_label"), F.col("print").alias("own_print")), "language-sample")
 
     def features(batches):
         for batch in batches:
@@ -110,10 +118,11 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
                 bits = np.packbits(present.transpose(1, 0, 2).reshape(present.shape[1], -1), axis=1)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 32), batch.column(2).slice(a, 32), pa.array([r.tobytes() for r in bits], type=pa.binary())], names=["sample_id", "label", "bits"])
 
-    # at most per_language ids a language: small enough to send to every task
-    chosen = rows.join(F.broadcast(ranked), F.col(id_col) == F.col("sample_id"), "left_semi")
-    got = chosen.select(F.col(id_col).alias("sample_id"), F.col(text_col).alias("text"), F.col(label_col).alias("label")).mapInArrow(features, "sample_id long, label string, bits binary").collect()
-    got.sort(key=lambda r: (r.sample_id is None, r.sample_id, r.label))
+    # at most per_language rows a language, sent to the tasks where their size is bounded
+    same = F.col("sample_id").eqNullSafe(F.col("own_id")) & (F.col("label") == F.col("own_label")) & (F.col("print") == F.col("own_print"))
+    chosen = keyed.join(small(ranked), same, "left_semi").dropDuplicates(["sample_id", "label", "print"])
+    got = chosen.select("sample_id", "text", "label").mapInArrow(features, "sample_id long, label string, bits binary").collect()
+    got.sort(key=lambda r: (r.sample_id is None, r.sample_id, r.label, r.bits))
     languages = sorted({r.label for r in got})
     if not got:
         return LanguageModel(spectrum, ["und"], np.zeros((spectrum.orders, spectrum.buckets, 1), dtype=np.float32))
@@ -121,8 +130,11 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     x = x.reshape(len(got), spectrum.orders, spectrum.buckets)
     y = np.array([[r.label == c for c in languages] for r in got], dtype=np.float64)
     # landmarks: the languages in turn, so that each has its share
-    turn = np.lexsort((np.arange(len(got)), [sum(q.label == r.label for q in got[:i]) for i, r in enumerate(got)]))
-    marks = turn[: min(landmarks, len(got))]
+    nth, met = [], Counter()
+    for r in got:
+        nth.append(met[r.label])
+        met[r.label] += 1
+    marks = np.lexsort((np.arange(len(got)), nth))[: min(max(landmarks, len(languages)), len(got))]
     norms = np.sqrt(np.maximum(x.sum(axis=2, dtype=np.int64), 1))
     kernel = np.zeros((len(got), len(marks)))
     for n in range(spectrum.orders):

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orthoweave.llm import queries, rounds, spelling, substrings, whitening
+from orthoweave.llm import language, queries, rounds, spelling, substrings, whitening
 
 DATA = "/root/testdata/sf0.001"
 WORDS = "doc_id long, text string"
@@ -339,3 +339,46 @@ def test_texts_stay_verbatim_where_nothing_goes(spark):
     docs = spark.createDataFrame([(1, "a  b\n c "), (2, None), (3, "")], WORDS)
     assert {(r.doc_id, r.kept) for r in substrings.remove_repeats(docs, verbatim=True).collect()} == {(1, "a  b\n c "), (2, None), (3, "")}
     assert {(r.doc_id, r.kept) for r in substrings.remove_repeats(docs).collect()} == {(1, "a b c"), (2, ""), (3, "")}
+
+
+# -- language: kernels and scores by sets of n-grams --------------------------------------------
+
+
+def grams(text, n):
+    folded = re.sub(r"[^a-z]+", " ", text.lower())
+    return {folded[k : k + n] for k in range(len(folded) - n + 1)}
+
+
+def kernel(a, b):
+    return sum(len(grams(a, n) & grams(b, n)) / math.sqrt(max(len(grams(a, n)), 1) * max(len(grams(b, n)), 1)) for n in (1, 2, 3)) / 3
+
+
+def test_language_scores_equal_the_kernel_expansion(spark):
+    texts = [("the cat sat on the mat", "en"), ("a dog and the old house", "en"), ("der hund und das alte haus", "de"), ("die katze sitzt auf der matte", "de"), ("le chat est sur la table", "fr")]
+    labelled = spark.createDataFrame([(k, t, c) for k, (t, c) in enumerate(texts)] + [(0, *texts[0]), (9, None, "en"), (10, "no label", None)], "doc_id long, text string, lang string")
+    model = language.fit(labelled)
+    assert model.languages == ["de", "en", "fr"]
+    k = np.array([[kernel(a, b) for b, _ in texts] for a, _ in texts])
+    values, vectors = np.linalg.eigh(k + 1e-6 * np.eye(5))
+    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
+    y = np.array([[c == x for x in model.languages] for _, c in texts], dtype=float)
+    weight = (y / y.sum(axis=0)).sum(axis=1)
+    mapped = k @ root
+    coefficients = root @ np.linalg.solve(mapped.T @ (mapped * weight[:, None]) + 1e-3 * np.eye(5), mapped.T @ (y * weight[:, None]))
+    asked = ["the mat and the cat", "das haus", "la table est vieille", "zzz", "123"]
+    want = np.array([[kernel(t, b) for b, _ in texts] for t in asked]) @ coefficients
+    names, scores = model.score(asked)
+    assert names[4] == "und" and scores[4] == 0
+    for n, s, w in zip(names[:4], scores[:4], want[:4], strict=True):
+        assert n == model.languages[int(w.argmax())] and abs(s - min(max(w.max(), 0), 1)) < 1e-3
+
+
+def test_language_sample_is_bounded_and_told_apart_by_text(spark):
+    rows = [(7, f"english words number {k} of the house", "en") for k in range(40)] + [(7, "deutsche worte und das haus", "de")] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs, per_language=5)
+    assert model.languages == ["de", "en"]
+    got = language.predict(docs, model).groupBy("lang_pred").count().collect()
+    assert {(r.lang_pred, r["count"]) for r in got} == {("en", 40), ("de", 40)}
+    many = spark.createDataFrame([(k, chr(97 + k // 9) * 3 + chr(97 + k % 9) * 4, f"l{k:03d}") for k in range(200)], "doc_id long, text string, lang string")
+    assert len(language.fit(many, landmarks=10).languages) == 200
