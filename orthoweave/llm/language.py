@@ -55,12 +55,13 @@ class Spectrum:
     def presence(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """uint8 array (order, text, bucket), and which texts have a letter."""
         out = np.zeros((self.orders, len(texts), self.buckets), dtype=np.uint8)
-        joined = " ".join(t or "" for t in texts)
+        # every text ends with a blank and starts behind one, wherever it stands in the batch
+        joined = "".join((t or "") + " " for t in texts)
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        rows = np.repeat(np.arange(len(texts)), [len(t or "") + 1 for t in texts])[: len(points)]
+        rows = np.repeat(np.arange(len(texts)), [len(t or "") + 1 for t in texts])
         folded = _fold_table()[points]
         blank = folded == BLANK
-        keep = ~(blank & np.concatenate(([False], blank[:-1])))
+        keep = ~(blank & np.concatenate(([True], blank[:-1])))
         folded, rows = folded[keep].astype(np.uint64), rows[keep]
         lettered = np.zeros(len(texts), dtype=bool)
         lettered[rows[folded != BLANK]] = True

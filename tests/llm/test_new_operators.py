@@ -345,7 +345,7 @@ def test_texts_stay_verbatim_where_nothing_goes(spark):
 
 
 def grams(text, n):
-    folded = re.sub(r"[^a-z]+", " ", text.lower())
+    folded = re.sub(r"[^a-z]+", " ", text.lower()).strip() + " "
     return {folded[k : k + n] for k in range(len(folded) - n + 1)}
 
 
@@ -368,6 +368,7 @@ def test_language_scores_equal_the_kernel_expansion(spark):
     asked = ["the mat and the cat", "das haus", "la table est vieille", "zzz", "123"]
     want = np.array([[kernel(t, b) for b, _ in texts] for t in asked]) @ coefficients
     names, scores = model.score(asked)
+    assert all(abs(model.score([t])[1][0] - s) < 1e-6 for t, s in zip(asked, scores, strict=True))  # wherever it stands in a batch
     assert names[4] == "und" and scores[4] == 0
     for n, s, w in zip(names[:4], scores[:4], want[:4], strict=True):
         assert n == model.languages[int(w.argmax())] and abs(s - min(max(w.max(), 0), 1)) < 1e-3
