@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orthoweave.llm import jaccard, packing, quality, secrets, substrings
-from orthoweave.session import discard, stage, staged, table
+from orthoweave.session import discard, stage, staging, table
 
 ORACLE_SQL = None
 
@@ -78,9 +78,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Once a stage is written, the tables it was made from are deleted.
     """
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, step in STAGES[:-1]:
-        since = staged() - (name != STAGES[0][0])  # with the output of the stage before
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
-        discard(spark, since)
+        with staging() as made:
+            docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(spark, [*before, *made[:-1]])
+        before = made[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)

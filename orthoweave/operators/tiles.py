@@ -16,7 +16,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clip
 from .cameras import small
 
 KEY = ["image_id", "tile_r", "tile_c"]

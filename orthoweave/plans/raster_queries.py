@@ -422,7 +422,7 @@ def _flat_scene(i):
     return photos, cameras, surface.select("image_id", "r", "c", texture.alias("v")), surface
 
 
-@query("R9_propagate_views", f"""with h as materialized (select * from {_FLAT_PHOTOS}), p as materialized (select * from (select *, row_number() over (partition by image_id order by md5('0|' || pid), pid) as n from {_FLAT_POINTS}) where n <= 5),
+@query("R9_propagate_views", f"""with h as materialized (select * from {_FLAT_PHOTOS}), p as materialized (select * from (select *, row_number() over (partition by image_id order by md5('0|' || pid), pid) as n from {_FLAT_POINTS}) where n <= 2),
     w as (select pid, image_id, c, r, cx + (c - 32) * cz / 100 as x, cy - (r - 32) * cz / 100 as y, cz from p),
     s as (select w.pid, w.image_id, w.c, w.r, h.iid, h.role, w.x, w.y, 100 * (w.x - h.cx) / h.cz + 32 as u, 32 - 100 * (w.y - h.cy) / h.cz as v, w.cz / h.cz as k from w join h on h.iid <> w.image_id),
     f as (select * from s where u - 9 * k >= 0 and v - 9 * k >= 0 and u + 10 * k <= 63 and v + 10 * k <= 63), b as (select pid from f group by pid having count(*) filter (role = 'aerial') > 0 and count(*) filter (role = 'ground') > 0),
@@ -434,5 +434,5 @@ def _(i):
     n = i.supplier.count()
     pts = i.part.select(F.col("p_partkey").alias("pid"), (F.col("p_partkey") % n + 1).alias("iid"), (F.col("p_partkey") % 36 + 14).alias("gx"), (F.col("p_partkey") * 7 % 36 + 14).alias("gy")).join(ground, "iid", "left_semi")
     matches = pts.select("pid", F.col("iid").alias("image_id"), *(F.col(c).cast("double").alias(c) for c in ("gx", "gy")), F.col("gx").cast("double").alias("rx"), F.col("gy").cast("double").alias("ry"))
-    found = T.propagate_views(matches, pixels, surface, photos, cameras, 11, 9, per_image=5)
+    found = T.propagate_views(matches, pixels, surface, photos, cameras, 11, 9, per_image=2)
     return found.select("point_id", "role", "iid", F.round("u", 3).alias("u"), F.round("v", 3).alias("v"), F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,8 +30,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-#: paths of the tables staged by this driver, in order
-_staged: list[str] = []
+#: paths of the tables staged since the innermost staging() of this thread began
+_staged: ContextVar[list[str] | None] = ContextVar("staged", default=None)
+
+
+@contextmanager
+def staging():
+    """The paths of the tables that this thread stages inside the block, in order; other queries of the driver have lists of their own."""
+    paths: list[str] = []
+    outer = _staged.set(paths)
+    try:
+        yield paths
+    finally:
+        _staged.reset(outer)
 
 
 def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
@@ -45,21 +58,16 @@ def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFram
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    _staged.append(path)
+    if (paths := _staged.get()) is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def staged() -> int:
-    """How many tables have been staged and not been discarded."""
-    return len(_staged)
-
-
-def discard(spark: SparkSession, since: int) -> None:
-    """Delete the tables staged after the first `since`, but for the last one, which must not depend on them any more."""
-    for path in _staged[since:-1]:
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for path in paths:
         place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-    del _staged[since:-1]
 
 
 def size_in_bytes(df: DataFrame) -> int:

@@ -380,3 +380,29 @@ def test_files_written_by_tasks(spark, tmp_path):
     assert files.write_files(df, folder) == 2 and files.write_files(df, folder) == 2  # again over the same files
     assert (tmp_path / "out/a.bin").read_bytes() == b"one" and (tmp_path / "out/sub/b.bin").read_bytes() == b""
     assert sorted(p.name for p in (tmp_path / "out").rglob("*") if p.is_file()) == ["a.bin", "b.bin"]
+
+
+def test_queries_of_one_driver_keep_their_own_lists(spark):
+    import threading
+
+    from orthoweave.session import discard, stage, staging
+
+    made, gate = {}, threading.Barrier(2, timeout=60)
+
+    def work(name):
+        with staging() as paths:
+            gate.wait()
+            stage(spark.range(3).toDF(name), name)
+            gate.wait()
+            made[name] = list(paths)
+
+    threads = [threading.Thread(target=work, args=(n,)) for n in ("one", "two")]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert {k: [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in v] for k, v in made.items()} == {"one": ["one"], "two": ["two"]}
+    discard(spark, made["one"])
+    assert spark.read.parquet(made["two"][0]).count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(made["one"][0])
