@@ -146,8 +146,8 @@ def one_edit(a: np.ndarray, a_len: np.ndarray, b: np.ndarray, b_len: np.ndarray)
     return replaced | inserted
 
 
-def near_pairs(own: list[str], others: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the pairs one edit apart: of two own words (the first is the smaller place), and of own words with others.
+def near_pairs(own: list[str], others: list[str], among_own: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs one edit apart: of two own words (the first is the smaller place; not unless among_own), and of own words with others.
 
     Others are numbered on behind the own words. They are as long as the own words or longer by one.
     """
@@ -161,7 +161,7 @@ def near_pairs(own: list[str], others: list[str]) -> tuple[np.ndarray, np.ndarra
     step = 2048
     for a in range(0, n_own, step):
         a_end = min(a + step, n_own)
-        for b in range(a, n_all, step):
+        for b in range(a if among_own else n_own, n_all, step):
             b_end = min(b + step, n_all)
             squared = norms[a:a_end, None] + norms[None, b:b_end] - 2 * (counts[a:a_end] @ counts[b:b_end].T)
             i, j = np.nonzero(squared <= 2)
@@ -190,7 +190,8 @@ def _meeting(table: pa.Table) -> pa.Table:
     schema = pa.schema([("word", pa.string()), ("n_near", pa.int64()), ("best_n", pa.int64()), ("best", pa.string())])
     if not n_own:
         return schema.empty_table()
-    p, q = near_pairs(words[:n_own].tolist(), words[n_own:].tolist())
+    # own words are in every part of their piece; the first part alone counts the pairs among them
+    p, q = near_pairs(words[:n_own].tolist(), words[n_own:].tolist(), table.column("part")[0].as_py() == 0)
     if not len(p):
         return schema.empty_table()
     word, other = np.concatenate((p, q)), np.concatenate((q, p))

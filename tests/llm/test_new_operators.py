@@ -101,6 +101,17 @@ def test_variants_in_cut_blocks(spark, monkeypatch):
         assert (b, n) == min(((x, m) for x, m in vocabulary.items() if x != w and distance_one(w, x)), key=lambda p: (-p[1], p[0]))
 
 
+def test_variants_count_pairs_of_a_block_once(spark, monkeypatch):
+    """More letters than groups: words of one block are near each other and meet in every part of their piece."""
+    monkeypatch.setattr(spelling, "_OTHERS", 5)
+    rng = np.random.default_rng(4)
+    words = sorted({"xx" + "".join(rng.choice(list("abcdefghi"), 3)) for _ in range(250)})
+    vocabulary = {w: int(rng.integers(1, 40)) for w in words}
+    near = spelling.near_words(spark.createDataFrame(list(vocabulary.items()), "word string, n long"))
+    want = {(w, n, near_n) for w, _, _, n, near_n, _ in brute_variants(vocabulary, all_pairs=True)}
+    assert {(r.word, r.n, r.n_near) for r in near.collect()} == want
+
+
 def test_variants_on_odd_tables(spark, odd_documents, no_documents):
     rows = [(r.doc_id, r.text) for r in odd_documents.select("doc_id", "text").collect()]
     assert as_set(spelling.variants(odd_documents)) == brute_variants(brute_vocabulary(rows))
