@@ -406,3 +406,24 @@ def test_queries_of_one_driver_keep_their_own_lists(spark):
     assert spark.read.parquet(made["two"][0]).count() == 3
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(made["one"][0])
+
+
+# -- rows that come out of generators ---------------------------------------------------------------
+
+
+def first_join(df):
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    return next(line for line in plan.splitlines() if "Join" in line)
+
+
+@pytest.mark.parametrize("name", ["S18_read_patch", "S19_read_image", "A8_minmax", "R6_ncc_match", "A21_refine_affine"])
+def test_generated_rows_are_not_broadcast(spark, name):
+    """The estimate of a generator's rows is that of its input: Spark would send cells and patches whole through the driver."""
+    if name == "A21_refine_affine":  # its sampling runs while it is built; the template is the step that was sent
+        p = spark.range(10).select(F.lit(0).alias("image_id"), F.col("id").cast("int").alias("r"), F.col("id").cast("int").alias("c"), F.lit(1.0).alias("v"))
+        df = R.sample_bilinear(p.select("image_id", "r", F.lit(0.5).alias("px"), F.lit(0.5).alias("py")), p, ["r"])
+        assert "SortMergeJoin" in df._jdf.queryExecution().sparkPlan().toString()
+    elif name == "R6_ncc_match":
+        assert "Broadcast" not in registry.QUERIES[name](spark, DATA)._jdf.queryExecution().sparkPlan().toString()
+    else:
+        assert "SortMergeJoin" in first_join(registry.QUERIES[name](spark, DATA))
