@@ -427,3 +427,16 @@ def test_generated_rows_are_not_broadcast(spark, name):
         assert "Broadcast" not in registry.QUERIES[name](spark, DATA)._jdf.queryExecution().sparkPlan().toString()
     else:
         assert "SortMergeJoin" in first_join(registry.QUERIES[name](spark, DATA))
+
+
+def test_pairs_of_cells_are_not_broadcast(spark):
+    """Pairs of cells are many times larger in memory than in their files, which a hint for small tables went by."""
+    for name in ("J7_visible_cameras", "J9_not_own", "J8_in_frame"):
+        plan = registry.QUERIES[name](spark, DATA)._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" in plan, name
+
+
+def test_projection_of_all_pairs_is_spread(spark):
+    """Points of one file meet the photos in many tasks; the photos are sent, not the points."""
+    df = registry.QUERIES["P11_project"](spark, DATA)
+    assert df.rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
