@@ -440,3 +440,47 @@ def test_projection_of_all_pairs_is_spread(spark):
     """Points of one file meet the photos in many tasks; the photos are sent, not the points."""
     df = registry.QUERIES["P11_project"](spark, DATA)
     assert df.rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+# -- tasks that hold a bounded part ---------------------------------------------------------------
+
+
+def test_files_are_encoded_one_at_a_time(spark):
+    """A task holds the rows of one file as Arrow columns, not those of thousands of files as Python objects; ties by the other columns."""
+    rows = [("a", 2, 1.5, 2.5, [1] * 128), ("a", 1, 3.0, 4.0, [255] * 128), ("a", 1, 3.0, 4.0, [0] * 128), ("b", 7, 1.0, 1.0, None), ("b", 6, 0.0, 0.0, [3] * 128)]
+    f = spark.createDataFrame(rows, "path string, fid long, x double, y double, desc array<int>")
+    got = files.encode_features(f)
+    assert "FlatMapGroupsInArrow" in got._jdf.queryExecution().sparkPlan().toString()
+    found = {r.path: bytes(r.content) for r in got.collect()}
+    head = lambda n, d: np.array([n, d], dtype="<i4").tobytes()
+    assert found["a"] == head(3, 3) + np.array([3, 4, 3, 4, 1.5, 2.5], dtype="<f4").tobytes() + bytes([0] * 128 + [255] * 128 + [1] * 128)
+    assert found["b"] == head(2, 0) + np.array([0, 0, 1, 1], dtype="<f4").tobytes()
+    m = spark.createDataFrame([("p", 5, 4, None), ("p", 5, 3, 0.5)], "path string, fid_i long, fid_j long, dist double")
+    scored = bytes(files.encode_matches(m, scored=True).first().content)
+    r = np.frombuffer(scored, files.SCORED_PAIR, 2, 4)
+    assert r["j"].tolist() == [3, 4] and r["dist"][0] == 0.5 and np.isnan(r["dist"][1])
+    with pytest.raises(Exception, match="does not fit"):
+        files.encode_matches(m.withColumn("fid_i", F.lit(1 << 40))).collect()
+
+
+def test_a_pair_is_sent_to_few_tasks(spark):
+    """Every block of hypotheses is sent all matches of its pair, so a block of 128 sent a pair of 35,000 matches 270 times."""
+    assert B._HYPOTHESES >= 8192 and B._RESIDUALS <= 1 << 20
+    m = spark.range(300).select(F.lit(1).cast("long").alias("iid_i"), F.lit(2).cast("long").alias("iid_j"), F.col("id").alias("fid_i"), F.col("id").alias("fid_j"), (F.col("id") * 7 % 100).cast("double").alias("x1"), (F.col("id") * 11 % 90).cast("double").alias("y1"))
+    m = m.withColumn("x2", F.col("x1") + F.when(F.col("fid_i") % 3 > 0, 30).otherwise(F.col("fid_i") * 13 % 400)).withColumn("y2", F.col("y1") - 20)
+    one = lambda e: (np.where((e < 4).sum(axis=1) > 0, -(e < 4).sum(axis=1).astype(float), np.inf), (e < 4).sum(axis=1))
+    best = B._best_in_blocks(m, B.every_translation(m), "translation", one).collect()
+    assert [(r.draw, r.upto) for r in best] == [(1, 202)] or best[0].upto >= 200
+
+
+def test_distances_are_held_in_part(spark):
+    """J2 and the other nearest neighbours: more queries times features than a task holds at a time give the same rows."""
+    assert K._DISTANCES <= 1 << 20
+    rng = np.random.default_rng(5)
+    v = np.round(rng.normal(size=(2600, 4)), 2)
+    f = spark.createDataFrame([(0 if n < 1300 else 1, n, [float(x) for x in v[n]]) for n in range(2600)], "iid long, fid long, vec array<float>")
+    pairs = spark.createDataFrame([(0, 1)], "iid_i long, iid_j long")
+    got = K.knn_join(f, pairs, 1, query_block=4096).collect()
+    w = v.astype(np.float32).astype(float)
+    d = ((w[:1300, None] - w[None, 1300:]) ** 2).sum(-1)
+    assert {(r.fid_i, r.fid_j) for r in got} == {(n, 1300 + int(j)) for n, j in enumerate(d.argmin(axis=1))}
