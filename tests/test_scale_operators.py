@@ -484,3 +484,15 @@ def test_distances_are_held_in_part(spark):
     w = v.astype(np.float32).astype(float)
     d = ((w[:1300, None] - w[None, 1300:]) ** 2).sum(-1)
     assert {(r.fid_i, r.fid_j) for r in got} == {(n, 1300 + int(j)) for n, j in enumerate(d.argmin(axis=1))}
+
+
+def test_near_points_travel_once(spark):
+    """Points meet in tiles, cut into blocks where there are many, and not in nine cells each; equal rows whatever the blocks."""
+    m = spark.range(120).select(F.lit(0).cast("long").alias("g"), F.col("id").alias("fid"), (F.col("id") * 7 % 11).cast("double").alias("px"), (F.col("id") * 5 % 13).cast("double").alias("py"), F.lit(3).alias("want"))
+    m = m.withColumns({"gx": F.floor("px"), "gy": F.floor("py")})
+    train = m.select("g", F.col("fid").alias("nkey"), F.col("px").alias("qx"), F.col("py").alias("qy"), "gx", "gy")
+    p = [(k * 7 % 11, k * 5 % 13) for k in range(120)]
+    want = {(a, b) for a in range(120) for b in sorted(range(120), key=lambda b: ((p[a][0] - p[b][0]) ** 2 + (p[a][1] - p[b][1]) ** 2, a != b, b))[:3]}
+    assert {(r.fid, r.nkey) for r in K._nearest_in_tiles(m, train, ["g"], "fid", 1).collect()} == want
+    cut = [(r.fid, r.nkey) for r in K._nearest_in_tiles(m, train, ["g"], "fid", 1, block=7, train_block=50).collect()]
+    assert want <= set(cut) and len(cut) == 120 * 3 * 3
