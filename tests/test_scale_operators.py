@@ -306,6 +306,36 @@ def test_guided_join_uses_the_models_of_the_pair(spark):
     assert got == [(0, 1, 1, 11, 16.0), (0, 2, 1, 21, 0.0), (0, 3, 1, 32, 0.0)]
 
 
+@pytest.mark.parametrize("guided", [True, False])
+def test_guided_search_in_blocks_equals_brute_force(spark, guided):
+    rng = np.random.default_rng(4)
+    a = [(g, g + 9, k, guided, *map(float, rng.uniform(-50, 950, 2)), *map(float, rng.normal(size=2)), float(rng.normal(0, 300)), [float(v) for v in rng.integers(0, 4, 2)]) for g in range(2) for k in range(150)]
+    b = [(g, k, guided, *map(float, rng.uniform(0, 900, 2)), *map(float, rng.normal(size=2)), [float(rng.integers(0, 4)), float("nan") if k % 17 == 0 else 1.0]) for g in range(2) for k in range(130)]
+    q = spark.createDataFrame(a, "iid_i long, iid_j long, fid_i long, guided boolean, hx double, hy double, l0 double, l1 double, l2 double, a array<double>")
+    t = spark.createDataFrame(b, "iid_i long, fid_j long, guided boolean, x2 double, y2 double, l3 double, l4 double, b array<double>")
+    distance = lambda x, y: ((x["a"][:, None, :] - y["b"][None, :, :]) ** 2).sum(2)
+    got = sorted(tuple(r) for r in M.guided_search(q, t, distance, ["iid_i"], 100.0, 90000.0, 0.8, block=16, train_block=32).collect())
+    want = []
+    for g, h, k, _, hx, hy, l0, l1, l2, va in a:
+        near = []
+        for g2, n, _, x, y, l3, l4, vb in b:
+            e = (l0 * x + l1 * y + l2) ** 2 / (l0 * l0 + l1 * l1 + l3 * l3 + l4 * l4)
+            if g == g2 and e <= 90000 and (not guided or max(abs(hx - x), abs(hy - y)) <= 100):
+                d = sum((u - v) ** 2 for u, v in zip(va, vb))
+                near.append((math.isnan(d), d, n))
+        near.sort(key=lambda c: (c[0], 0.0 if c[0] else c[1], c[2]))
+        # NaN is the largest distance
+        if near and (len(near) == 1 or not near[0][0] and (near[1][0] or near[0][1] < 0.8 * near[1][1])):
+            want.append((g, h, k, near[0][2], near[0][1]))
+    assert repr(got) == repr(sorted(want)) and len(want) >= 5
+
+
+@pytest.mark.parametrize("name", ["J4_guided_match", "J4_guided_join"])
+def test_guided_queries_list_no_candidates(spark, name):
+    plan = registry.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" in plan  # candidates are met inside tasks, two a feature leave them
+
+
 def test_rays_meet_triangles_of_all_sizes(spark):
     rng = np.random.default_rng(10)
     tris = []
