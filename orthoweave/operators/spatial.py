@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..session import stage
+from ..session import spread_rows, stage
 
 # -- polygons: rings array<array<struct<x, y>>>, ring 0 outer, integer coordinates -----------------
 
@@ -250,12 +250,15 @@ def _candidates(rays: DataFrame, triangles: DataFrame, cell: float) -> DataFrame
     most about twice those of the finest.
     """
     tri_spans = [(F.least(*p), F.greatest(*p)) for p in (("ax", "bx", "cx"), ("ay", "by_", "cy"), ("az", "bz", "cz"))]
+    # of triangles with the same corners, in the same order, a ray meets all at one place or none: the least tid stands for them
+    distinct = triangles.groupBy(*TRI).agg(F.min("tid").alias("tid"))
     # written once: the levels are read from it, and then the triangles
-    levelled = stage(triangles.select("tid", *TRI, _voxel_level(tri_spans, cell).alias("level")), "voxel-levels")
+    levelled = stage(distinct.select("tid", *TRI, _voxel_level(tri_spans, cell).alias("level")), "voxel-levels")
     present = sorted(r.level for r in levelled.select("level").distinct().collect())  # 63 at most
     wide = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("level"))
     longest = F.greatest(*(F.abs(c) for c in ("dx", "dy", "dz"))) * (F.col("tfar") - F.col("tnear"))
-    visits = rays.select(*RAY, F.explode(F.array(*(F.lit(n) for n in present)).cast("array<int>")).alias("level"))
+    # a ray becomes many rows: rays are dealt over tasks first, also where they come from one small file
+    visits = spread_rows(rays.select(*RAY), "ray_id").select(*RAY, F.explode(F.array(*(F.lit(n) for n in present)).cast("array<int>")).alias("level"))
     pieces = visits.withColumn("k", F.greatest(F.lit(1), F.ceil(longest / wide)).cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"))
     end = lambda o, d, n: F.col(o) + F.col(d) * (F.col("tnear") + (F.col("tfar") - F.col("tnear")) * (F.col("i") + n) / F.col("k"))
 

@@ -336,6 +336,17 @@ def test_guided_queries_list_no_candidates(spark, name):
     assert "CoGroup" in plan  # candidates are met inside tasks, two a feature leave them
 
 
+def test_rays_meet_one_of_equal_triangles_from_many_tasks(spark):
+    """A thousand copies of a triangle are met once, as the least of them, and one file of rays is read by several tasks."""
+    t = spark.range(1000).select(F.col("id").alias("tid"), *(F.lit(float(v)).alias(c) for c, v in zip(X.TRI, (0, 0, 0, 4, 0, 0, 0, 4, 0), strict=True)))
+    r = spark.range(50).coalesce(1).select(F.col("id").alias("ray_id"), F.lit(1.0).alias("ox"), F.lit(1.0).alias("oy"), (F.col("id") + 1.0).alias("oz"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"), F.lit(-1.0).alias("dz"), F.lit(0.0).alias("tnear"), F.lit(100.0).alias("tfar"))
+    met = X._candidates(r, t, 8.0)
+    assert {x.tid for x in met.select("tid").distinct().collect()} == {0}
+    assert met.select(F.spark_partition_id().alias("p")).distinct().count() > 2
+    assert {(x.ray_id, x.tid, x.t) for x in X.ray_hits(r, t, 8.0).collect()} == {(k, 0, k + 1.0) for k in range(50)}
+    assert X.occluded(r, t, 8.0).count() == 50
+
+
 def test_rays_meet_triangles_of_all_sizes(spark):
     rng = np.random.default_rng(10)
     tris = []
