@@ -183,7 +183,9 @@ def mesh_merge(a_vertices: DataFrame, a_tri: DataFrame, b_vertices: DataFrame, b
 
 def drop_isolated(vertices: DataFrame, tri: DataFrame) -> DataFrame:
     """Vertices that a triangle uses."""
-    return vertices.join(tri.select(F.explode(F.array("v0", "v1", "v2")).alias("vid")).distinct(), "vid", "left_semi")
+    # both sides are dealt by id over a fixed number of tasks before ids are made distinct: ids pack so well in a shuffle that adaptive execution would put many in one task
+    used = spread_rows(tri.select(F.explode(F.array("v0", "v1", "v2")).alias("vid")), "vid").distinct()
+    return spread_rows(vertices, "vid").join(used, "vid", "left_semi")
 
 
 def subdivide(vertices: DataFrame, tri: DataFrame, max_len: float, iterations: int = 5) -> tuple[DataFrame, DataFrame]:
