@@ -97,8 +97,9 @@ def tie_point_rows(tie_points: DataFrame) -> DataFrame:
     return tie_points.groupBy(F.col("point_id").alias("Id")).agg(F.sort_array(F.collect_list(m)).alias("Measurement"))
 
 
-def write_tie_points_xml(tie_points: DataFrame, path: str) -> None:
-    tie_point_rows(tie_points).write.format("xml").option("rootTag", "TiePoints").option("rowTag", "TiePoint").save(path)
+def write_tie_points_xml(tie_points: DataFrame, path: str, per_file: int = 50_000) -> None:
+    """Tie points as XML, at most per_file points to a file: a file is read by one task."""
+    tie_point_rows(tie_points).write.format("xml").option("maxRecordsPerFile", per_file).option("rootTag", "TiePoints").option("rowTag", "TiePoint").save(path)
 
 
 def merge_tie_points(existing: DataFrame, new: DataFrame) -> DataFrame:
