@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -188,35 +188,101 @@ def drop_isolated(vertices: DataFrame, tri: DataFrame) -> DataFrame:
     return spread_rows(vertices, "vid").join(used, "vid", "left_semi")
 
 
-def subdivide(vertices: DataFrame, tri: DataFrame, max_len: float, iterations: int = 5) -> tuple[DataFrame, DataFrame]:
+#: rounds of a subdivision that run without meeting other triangles
+_ROUNDS = 5
+
+
+def subdivide(vertices: DataFrame, tri: DataFrame, max_len: float, iterations: int = 5, with_corners: bool = False) -> tuple[DataFrame, DataFrame]:
     """Triangles larger than max_len^2 / 2 become four at their edge middles, until none is or the iterations end.
 
     Shared edges share the new vertex (its id follows from the edge); neighbours that stay keep a T-junction.
+    Whether a triangle is split follows from its own corners, so up to five rounds run on each triangle by
+    itself. A new vertex lies in the grid of a given triangle: on its edge, which is named by the least
+    triangle that has it, or inside, which belongs to the triangles of the same three vertices. So given
+    triangles meet given vertices and each other once, and only new vertices are met again, to be told once.
+    with_corners: the triangles carry the coordinates of their corners, as TRI.
     """
-    for _ in range(iterations):
-        at = lambda k, n: vertices.select(F.col("vid").alias(k), *(F.col(c).alias(c + n) for c in "xyz"))
-        full = tri.join(at("v0", "0"), "v0").join(at("v1", "1"), "v1").join(at("v2", "2"), "v2")
-        p = [[F.col(c + n) for c in "xyz"] for n in "012"]
-        minus = lambda a, b: [x - y for x, y in zip(a, b, strict=True)]
-        full = stage(full.withColumn("large", S.norm(S.cross(minus(p[1], p[0]), minus(p[2], p[0]))) / 2 > max_len * max_len / 2), "subdivide")
-        split = full.filter("large")
-        if split.isEmpty():
-            break
-        edge = lambda a, b: F.struct(F.least(f"v{a}", f"v{b}").alias("lo"), F.greatest(f"v{a}", f"v{b}").alias("hi"), *((F.col(f"{c}{a}") + F.col(f"{c}{b}")).alias(c) for c in "xyz"))
-        edges = split.select(F.explode(F.array(edge(0, 1), edge(1, 2), edge(2, 0))).alias("e")).select("e.lo", "e.hi", *((F.col(f"e.{c}") / 2).alias(c) for c in "xyz")).groupBy("lo", "hi").agg(*(F.min(c).alias(c) for c in "xyz"))
-        from .graph import assign_oid
-
-        top = vertices.agg(F.max("vid")).first()[0] + 1
-        numbered = stage(assign_oid(edges.withColumn("key", F.struct("lo", "hi")), "key", "n").select("lo", "hi", (F.col("n") + top).alias("vid"), "x", "y", "z"), "subdivide-vertices")
-        vertices = vertices.select("vid", "x", "y", "z").unionByName(numbered.select("vid", "x", "y", "z"))
-        mid = lambda df, a, b, k: df.join(numbered.select(F.col("lo").alias("lo_"), F.col("hi").alias("hi_"), F.col("vid").alias(k)), (F.least(f"v{a}", f"v{b}") == F.col("lo_")) & (F.greatest(f"v{a}", f"v{b}") == F.col("hi_"))).drop("lo_", "hi_")
-        s = mid(mid(mid(split.select("tid", "v0", "v1", "v2"), 0, 1, "m0"), 1, 2, "m1"), 2, 0, "m2")
-        four = F.array(*(F.struct(F.lit(n).alias("n"), F.col(a).alias("v0"), F.col(b).alias("v1"), F.col(c).alias("v2")) for n, (a, b, c) in enumerate((("v0", "m0", "m2"), ("m0", "v1", "m1"), ("m2", "m1", "v2"), ("m0", "m1", "m2")))))
-        # a split triangle's parts take ids beyond all old ones
-        last = tri.agg(F.max("tid")).first()[0] + 1
-        parts = s.select("tid", F.explode(four).alias("q")).select((F.col("tid") * 4 + F.col("q.n") + last).alias("tid"), "q.v0", "q.v1", "q.v2")
-        tri = stage(full.filter("not large").select("tid", "v0", "v1", "v2").unionByName(parts), "subdivide-triangles")
-    return vertices, tri
+    places = [(c, n) for n in "012" for c in "xyz"]
+    for done in range(0, iterations, _ROUNDS):
+        rounds = min(_ROUNDS, iterations - done)
+        full = stage(_with_corners(vertices, tri).withColumn("large", _larger([[F.col(c + n) for c in "xyz"] for n in "012"], max_len)).filter("large is not null"), "subdivide")
+        nodes = _split(_with_owners(vertices, full, rounds), max_len, rounds)
+        leaves = nodes.filter("not split")
+        made = nodes.filter("split").select(F.explode(F.array(*_middles(1 << rounds))).alias("m")).select("m.vid", "m.x", "m.y", "m.z")
+        # dealt before they are made distinct, so that no task holds more than its share
+        made = spread_rows(made, "vid").groupBy("vid").agg(*(F.min(c).alias(c) for c in "xyz"))
+        vertices = vertices.select("vid", "x", "y", "z").unionByName(made)
+        tri = leaves.select("tid", *(F.col(f"c{n}.vid").alias(f"v{n}") for n in "012"), *(F.col(f"c{n}.{c}").alias(c + n) for c, n in places))
+        if done + rounds < iterations:
+            if leaves.filter(_larger([[F.col(f"c{n}.{c}") for c in "xyz"] for n in "012"], max_len)).isEmpty():
+                break
+            vertices, tri = stage(vertices, "subdivide-vertices"), stage(tri.select("tid", "v0", "v1", "v2"), "subdivide-triangles")
+    if not with_corners:
+        return vertices, tri.select("tid", "v0", "v1", "v2")
+    if iterations < 1:
+        tri = _with_corners(vertices, tri)
+    return vertices, tri.select("tid", "v0", "v1", "v2", *(F.col(c + n).alias(name) for (c, n), name in zip(places, TRI, strict=True)))
+
+
+def _with_corners(vertices: DataFrame, tri: DataFrame) -> DataFrame:
+    at = lambda k, n: vertices.select(F.col("vid").alias(k), *(F.col(c).alias(c + n) for c in "xyz"))
+    return tri.select("tid", "v0", "v1", "v2").join(at("v0", "0"), "v0").join(at("v1", "1"), "v1").join(at("v2", "2"), "v2")
+
+
+def _larger(p: list[list[Column]], max_len: float) -> Column:
+    minus = lambda a, b: [x - y for x, y in zip(a, b, strict=True)]
+    return S.norm(S.cross(minus(p[1], p[0]), minus(p[2], p[0]))) / 2 > max_len * max_len / 2
+
+
+def _with_owners(vertices: DataFrame, full: DataFrame, rounds: int) -> DataFrame:
+    """Triangles with the first ids of the new vertices on their edges (lo to mid, mid to hi, lo to hi of the sorted corners) and inside, and of their parts."""
+    block = 4**rounds
+    top = vertices.agg(F.max("vid")).first()[0]
+    first, last = full.agg(F.min("tid"), F.max("tid")).first()
+    top, first, last = (top or 0) + 1, first or 0, (last or 0) + 1
+    lo, mid, hi = (F.sort_array(F.array("v0", "v1", "v2"))[k] for k in range(3))
+    key = lambda side, a, b, c: F.struct(F.lit(side).alias("side"), a.alias("a"), b.alias("b"), c.alias("c"))
+    keys = F.array(key(0, lo, mid, mid), key(1, mid, hi, hi), key(2, lo, hi, hi), key(3, lo, mid, hi))
+    owned = full.filter("large").select("tid", F.explode(keys).alias("k")).select("tid", "k.*")
+    # an edge repeats its end, so that edges and faces are one kind of key
+    face = F.when(F.col("side") == 3, 1).otherwise(0).alias("face")
+    owned = owned.withColumn("owner", F.min((F.col("tid") - first) * 4 + F.col("side")).over(Window.partitionBy("a", "b", "c", face)))
+    ids = owned.groupBy("tid").agg(*(F.max(F.when(F.col("side") == k, F.col("owner") * block + top)).alias(f"e{k}") for k in range(4)))
+    # a split triangle's parts take ids beyond all old ones
+    return full.join(ids, "tid", "left").withColumn("parts", (F.col("tid") - first) * ((4 ** (rounds + 1) - 4) // 3) + last)
+
+
+def _middle(a: str, b: str, steps: int) -> Column:
+    """The vertex in the middle of two corners of a part; i and j are its places from the least vertex of the given triangle to the middle and the greatest one."""
+    i, j = ((F.col(f"{a}.{k}") + F.col(f"{b}.{k}")).cast("long") / 2 for k in "ij")
+    i, j = i.cast("long"), j.cast("long")
+    vid = F.when(j == 0, F.col("e0") + i).when(i + j == steps, F.col("e1") + j).when(i == 0, F.col("e2") + j).otherwise(F.col("e3") + i * steps + j)
+    return F.struct(vid.alias("vid"), i.alias("i"), j.alias("j"), *(((F.col(f"{a}.{c}") + F.col(f"{b}.{c}")) / 2).alias(c) for c in "xyz"))
+
+
+def _middles(steps: int) -> list[Column]:
+    return [_middle("c0", "c1", steps), _middle("c1", "c2", steps), _middle("c2", "c0", steps)]
+
+
+def _split(full: DataFrame, max_len: float, rounds: int) -> DataFrame:
+    """Parts of each triangle (split: false) and the triangles that were split on the way; nothing leaves a task."""
+    steps = 1 << rounds
+    v = [F.col(f"v{n}") for n in range(3)]
+    # place of a corner among the three, equal ones in order
+    before = lambda n: sum((F.when((v[k] < v[n]) if k > n else (v[k] <= v[n]), 1).otherwise(0) for k in range(3) if k != n), F.lit(0))
+    corner = lambda n: F.struct(v[n].cast("long").alias("vid"), *(F.when(before(n) == k, steps).otherwise(0).cast("long").alias(c) for k, c in ((1, "i"), (2, "j"))), *(F.col(f"{c}{n}").cast("double").alias(c) for c in "xyz"))
+    kept = ["parts", "e0", "e1", "e2", "e3"]
+    nodes = full.select(F.col("tid").cast("long").alias("tid"), *kept, F.lit(False).alias("split"), F.lit(-1).cast("long").alias("at"), *(corner(n).alias(f"c{n}") for n in range(3)))
+    for _ in range(rounds):
+        large = ~F.col("split") & _larger([[F.col(f"c{n}.{c}") for c in "xyz"] for n in "012"], max_len)
+        nodes = nodes.select("*", large.alias("large"), *(m.alias(f"m{n}") for n, m in enumerate(_middles(steps))))
+        node = lambda split, tid, at, a, b, c: F.struct(split.alias("split"), tid.alias("tid"), at.alias("at"), F.col(a).alias("c0"), F.col(b).alias("c1"), F.col(c).alias("c2"))
+        same = lambda split: node(split, F.col("tid"), F.col("at"), "c0", "c1", "c2")
+        # parts are numbered in the tree of parts of their given triangle
+        part = lambda n, a, b, c: node(F.lit(False), F.col("parts") + (F.col("at") + 1) * 4 + n, (F.col("at") + 1) * 4 + n, a, b, c)
+        four = [part(n, *of) for n, of in enumerate((("c0", "m0", "m2"), ("m0", "c1", "m1"), ("m2", "m1", "c2"), ("m0", "m1", "m2")))]
+        nodes = nodes.select(*kept, F.explode(F.when(F.col("large"), F.array(*four, same(F.lit(True)))).otherwise(F.array(same(F.col("split"))))).alias("q")).select(*kept, "q.*")
+    return nodes
 
 
 # -- rays ---------------------------------------------------------------------------------------

@@ -104,10 +104,8 @@ def _(i):
 # one round on separate faces: large ones become four of a quarter of the area
 @query("U7_subdivide", f"select round(area / case when area > 12.5 then 4 else 1 end, 6) as area, count(*) * case when area > 12.5 then 4 else 1 end as n from (select {_AREA} as area from {{v_triangles}}) group by area")
 def _(i):
-    v, f = X.subdivide(*_indexed(i.v_triangles), 5.0, 1)
-    at = lambda k, n: v.select(F.col("vid").alias(k), *(F.col(c).alias(m) for c, m in zip("xyz", n, strict=True)))
-    full = f.join(at("v0", X.TRI[:3]), "v0").join(at("v1", X.TRI[3:6]), "v1").join(at("v2", X.TRI[6:]), "v2")
-    return full.select(F.round(X.tri_area(), 6).alias("area")).groupBy("area").agg(F.count(F.lit(1)).alias("n"))
+    _, f = X.subdivide(*_indexed(i.v_triangles), 5.0, 1, with_corners=True)
+    return f.select(F.round(X.tri_area(), 6).alias("area")).groupBy("area").agg(F.count(F.lit(1)).alias("n"))
 
 
 # five rounds on a sheet whose triangles share edges: parts are its vertices, twenty in a row
@@ -129,11 +127,10 @@ def _(i):
     cells = has(has(has(ids.select(F.col("vid").alias("a")).filter("a % 20 < 19"), 1), 20), 21)
     two = F.array(*(F.struct(F.lit(m).alias("m"), *((F.col("a") + d).alias(f"v{j}") for j, d in enumerate(way))) for m, way in enumerate(((0, 1, 20), (1, 21, 20)))))
     f = cells.select("a", F.explode(two).alias("t")).select((F.col("a") * 2 + F.col("t.m")).alias("tid"), "t.v0", "t.v1", "t.v2")
-    v, f = X.subdivide(v, f, 4.0, 5)
-    at = lambda key, n: v.select(F.col("vid").alias(key), *(F.col(c).alias(m) for c, m in zip("xyz", n, strict=True)))
-    full = f.join(at("v0", X.TRI[:3]), "v0").join(at("v1", X.TRI[3:6]), "v1").join(at("v2", X.TRI[6:]), "v2")
-    areas = full.select(F.lit("area").alias("kind"), F.round(X.tri_area(), 4).alias("value")).groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"))
-    return areas.unionByName(X.drop_isolated(v, f).agg(F.count(F.lit(1)).alias("n")).select(F.lit("vertices").alias("kind"), F.lit(0.0).alias("value"), "n"))
+    # subdivision leaves no vertex without a triangle, so unused ones are dropped before it
+    v, f = X.subdivide(X.drop_isolated(v, f), f, 4.0, 5, with_corners=True)
+    areas = f.select(F.lit("area").alias("kind"), F.round(X.tri_area(), 4).alias("value")).groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"))
+    return areas.unionByName(v.agg(F.count(F.lit(1)).alias("n")).select(F.lit("vertices").alias("kind"), F.lit(0.0).alias("value"), "n"))
 
 
 # each point is looked at by one photo
