@@ -8,6 +8,7 @@ from ..functions import scalars as S
 from ..operators import cameras as C
 from ..operators import robust as R
 from ..operators import visibility as V
+from ..session import stage
 from .base import query
 
 R6 = lambda c, n=None: F.round(c, 6).alias(n or "v")
@@ -216,7 +217,8 @@ def _(i):
 def _shifted(i):
     """Matches of which two thirds follow one shift of whole pixels, and the rest do not."""
     good = F.col("fid_i") % 3 != 0
-    return i.v_matches.withColumn("x2", F.when(good, F.col("x1") + 30 + F.col("fid_i") % 4).otherwise(F.col("x2"))).withColumn("y2", F.when(good, F.col("y1") - 20).otherwise(F.col("y2")))
+    m = i.v_matches.withColumn("x2", F.when(good, F.col("x1") + 30 + F.col("fid_i") % 4).otherwise(F.col("x2"))).withColumn("y2", F.when(good, F.col("y1") - 20).otherwise(F.col("y2")))
+    return stage(m, "matches")  # read several times
 
 
 _SHIFT = "(select iid_i, iid_j, fid_i, fid_j, x1, y1, case when fid_i % 3 <> 0 then x1 + 30 + fid_i % 4 else x2 end as x2, case when fid_i % 3 <> 0 then y1 - 20 else y2 end as y2 from {v_matches})"
@@ -243,7 +245,8 @@ def _planted(i, x2, y2):
     """Matches of which four fifths follow a model within half a pixel, and the rest are where they were."""
     jitter = lambda m: (F.col("fid_i") * m % 11 - 5) / 12.0
     good = F.col("fid_i") % 5 != 0
-    return i.v_matches.select("iid_i", "iid_j", "fid_i", "fid_j", "x1", "y1", F.when(good, x2 + jitter(7)).otherwise(F.col("x2")).alias("x2"), F.when(good, y2 + jitter(3)).otherwise(F.col("y2")).alias("y2"), good.alias("good"))
+    m = i.v_matches.select("iid_i", "iid_j", "fid_i", "fid_j", "x1", "y1", F.when(good, x2 + jitter(7)).otherwise(F.col("x2")).alias("x2"), F.when(good, y2 + jitter(3)).otherwise(F.col("y2")).alias("y2"), good.alias("good"))
+    return stage(m, "matches")  # read many times
 
 
 def _recovered(planted, found):
